@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing
+from . import chat, exact_dedup, mixing, simhash
 from .common import table
 
 
@@ -20,6 +20,10 @@ FROM d JOIN g USING (h)
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(chat.with_injection(table(spark, sf_dir, "conversations")), texts=False)
 
@@ -65,5 +69,5 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing}
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_simhash": op4_simhash, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing}
 SQL = {"op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_mixing": OP10_SQL}
