@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, simhash
+from . import chat, decontaminate, exact_dedup, mixing, simhash, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("positions")
 
@@ -69,5 +78,12 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_simhash": op4_simhash, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_simhash": op4_simhash,
+    "op5_chat_format": op5_chat_format,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_mixing": op10_mixing,
+}
 SQL = {"op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_mixing": OP10_SQL}
