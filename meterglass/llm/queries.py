@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, mixing, simhash, toxicity
+from . import chat, decontaminate, exact_dedup, mixing, pii, simhash, toxicity
 from .common import table
 
 
@@ -48,6 +48,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
+    "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
