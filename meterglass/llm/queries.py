@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, mixing, pii, simhash, toxicity
+from . import chat, decontaminate, exact_dedup, licenses, mixing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -52,6 +53,17 @@ FROM e GROUP BY conv_id
 """
 
 
+def remainder(k: int) -> Column:
+    """crc32 of doc_id as text, modulo k."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % k
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return quality.score(docs, network).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -92,6 +104,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
+    "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
