@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, mixing, pii, quality, simhash, toxicity
+from . import chat, decontaminate, exact_dedup, language, licenses, mixing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -58,6 +58,12 @@ def remainder(k: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % k
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs, remainder(4) != 2))
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
@@ -104,6 +110,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
+    "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
