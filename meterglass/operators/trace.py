@@ -1,0 +1,100 @@
+"""Live views over usage events: trailing-window totals, rates and traces.
+
+An event has ts_ms, client, agent, model, input, output, cache_read, cache_write and key. The
+clock is always an argument. Events after it count, as they do in the window's definition.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.models import live_client
+from .rollup import long_sum
+
+RETENTION_S = 3600
+SHORT_WINDOW_S, LONG_WINDOW_S = 60, 600
+
+
+def event_tokens() -> Column:
+    """Four kinds; reasoning plays no part in live views."""
+    return F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")
+
+
+def in_window(events: DataFrame, now_ms: int | Column, seconds: int) -> DataFrame:
+    now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
+    return events.filter(F.col("ts_ms") >= now - seconds * 1000)
+
+
+def merged(events: DataFrame) -> DataFrame:
+    """Repeats of a key become the first event with the maximum of each token field; events without key stay."""
+    keyed = events.filter("key IS NOT NULL").groupBy("key").agg(
+        *[F.min_by(c, "ord").alias(c) for c in ("ts_ms", "client", "agent", "model")],
+        *[F.max(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")],
+        F.min("ord").alias("ord"),
+    )
+    return events.filter("key IS NULL").unionByName(keyed)
+
+
+def retained(events: DataFrame, now_ms: int) -> DataFrame:
+    return in_window(events, now_ms, RETENTION_S)
+
+
+def window_tokens(events: DataFrame, now_ms: int, seconds: int) -> DataFrame:
+    return in_window(events, now_ms, seconds).agg(F.coalesce(long_sum(event_tokens()), F.lit(0)).alias("tokens"))
+
+
+def rate(events: DataFrame, now_ms: int, seconds: int = SHORT_WINDOW_S) -> DataFrame:
+    """Tokens a minute over the window, as a 32-bit float; 0 for windows of 0 seconds or less."""
+    if seconds <= 0:
+        return events.sparkSession.createDataFrame([(0.0,)], "tokens_per_min float")
+    return window_tokens(events, now_ms, seconds).select((F.col("tokens") / F.lit(seconds / 60)).cast("float").alias("tokens_per_min"))
+
+
+def trace(events: DataFrame, now_ms: int, seconds: int = LONG_WINDOW_S) -> DataFrame:
+    """A row for each client, agent and model: tokens, messages, tokens a minute."""
+    minutes = max(seconds / 60, 1 / 60)
+    found = in_window(events, now_ms, seconds).groupBy("client", "agent", "model").agg(long_sum(event_tokens()).alias("tokens"), F.count(F.lit(1)).alias("messages"))
+    return found.withColumn("tokens_per_min", (F.col("tokens") / F.lit(minutes)).cast("float"))
+
+
+def sorted_trace(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(F.desc("tokens"), "client", "agent", "model")
+
+
+def collapse(rows: DataFrame) -> DataFrame:
+    """A row a client: sums, the agents and models joined; unknown models only where there is no other."""
+    models = F.array_sort(F.collect_set("model"))
+    grouped = rows.withColumn("client", live_client(F.col("client"))).groupBy("client").agg(
+        F.sum("tokens").alias("tokens"), F.sum("messages").alias("messages"), F.sum(F.col("tokens_per_min").cast("double")).alias("tokens_per_min"),
+        F.array_join(F.array_sort(F.collect_set("agent")), ", ").alias("agents"), models.alias("_models"),
+    )
+    known = F.filter("_models", lambda m: m != "unknown")
+    return grouped.withColumn("models", F.array_join(F.when(F.size("_models") > 1, known).otherwise(F.col("_models")), ", ")).drop("_models")
+
+
+def top(rows: DataFrame, n: int = 5) -> DataFrame:
+    """The n largest rows, with each one's share of the largest (bar percent) and of all tokens."""
+    all_tokens = rows.agg(F.sum("tokens").alias("all_tokens"))
+    first = rows.orderBy(F.desc("tokens"), "client").limit(n)
+    most = F.max("tokens").over(Window.partitionBy())
+    return first.withColumn("bar_percent", F.when(most > 0, F.greatest(F.lit(4.0), F.col("tokens") / most * 100)).otherwise(0.0)).crossJoin(F.broadcast(all_tokens))
+
+
+def live_clients(rows: DataFrame) -> DataFrame:
+    return rows.filter("tokens_per_min > 0").select(live_client(F.col("client")).alias("client")).distinct()
+
+
+def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per session and field the growth, never negative; sessions new in ``after`` count in full."""
+    fields = ("input", "output", "cache_read", "cache_write")
+    old = before.select("session_id", *[F.col(f).alias(f"_{f}") for f in fields])
+    grown = after.join(old, "session_id", "left").select("session_id", *[F.greatest(F.col(f) - F.coalesce(F.col(f"_{f}"), F.lit(0)), F.lit(0)).alias(f) for f in fields])
+    return grown.filter(F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write") > 0)
+
+
+def high_water_deltas(rows: DataFrame, keys: list[str], order: list[str], total: str) -> DataFrame:
+    """Rows whose cumulative total exceeds all before it, with the growth; the first total only seeds."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("_mark", F.max(total).over(before))
+    return seen.filter(F.col(total) > F.col("_mark")).withColumn("delta", F.col(total) - F.col("_mark")).drop("_mark")
