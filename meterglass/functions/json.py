@@ -18,21 +18,25 @@ def node(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
-def kind(v: Column) -> Column:
-    """STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, VOID, ARRAY<..>, OBJECT<..>; null where missing."""
-    return F.schema_of_variant(v)
+def written(v: Column) -> Column:
+    """A scalar as JSON text: strings start with a quote, numbers with a digit or a minus."""
+    return F.to_json(v)
 
 
 def is_string(v: Column) -> Column:
-    return kind(v) == "STRING"
+    return written(v).startswith('"')
 
 
 def is_array(v: Column) -> Column:
-    return kind(v).startswith("ARRAY")
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def is_number(v: Column) -> Column:
-    return kind(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
+    return written(v).rlike("^-?[0-9]")
+
+
+def is_integer(v: Column) -> Column:
+    return written(v).rlike("^-?[0-9]+$")
 
 
 def raw_string(v: Column) -> Column:
@@ -42,33 +46,31 @@ def raw_string(v: Column) -> Column:
 
 def string_value(v: Column) -> Column:
     """A trimmed non-empty string, or a number written out; else null."""
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(is_string(v), F.nullif(F.trim(text), F.lit(""))).when(is_number(v), text)
+    return F.when(written(v).rlike('^["0-9-]'), F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit("")))
 
 
 def saturating_long(d: Column) -> Column:
-    """Truncates towards zero and clamps to 64 bits; NaN is 0."""
-    return F.when(F.isnan(d), F.lit(0)).when(d >= 9.223372036854775e18, F.lit(INT_MAX)).when(d <= -9.223372036854775e18, F.lit(INT_MIN)).otherwise(F.floor(F.abs(d)).cast("long") * F.signum(d).cast("long"))
+    """Truncates towards zero and clamps to 64 bits."""
+    return F.when(d >= 9.223372036854775e18, F.lit(INT_MAX)).when(d <= -9.223372036854775e18, F.lit(INT_MIN)).otherwise(d.cast("long"))
+
+
+def beyond(text: Column) -> Column:
+    """Numbers that are no 64-bit integer: up to 2^64 they wrap, others are truncated and clamped."""
+    big = text.try_cast("decimal(20,0)")
+    two64 = F.lit(str(2**64)).cast("decimal(20,0)")
+    wraps = text.rlike("^[0-9]+$") & (big < two64)
+    return F.when(wraps, (big - two64).cast("long")).otherwise(saturating_long(text.try_cast("double")))
 
 
 def i64_value(v: Column) -> Column:
     """Integers as they are (beyond 63 bits they wrap), other numbers truncated and clamped, numeric strings; else null."""
-    k = kind(v)
-    number = F.try_variant_get(v, "$", "double")
-    big = F.try_variant_get(v, "$", "decimal(38,0)")
-    wrapped = F.when(k.rlike(r"^DECIMAL\(\d+,0\)$") & (big > INT_MAX) & (big < F.lit("18446744073709551616").cast("decimal(38,0)")), (big - F.lit("18446744073709551616").cast("decimal(38,0)")).cast("long"))
-    text = F.trim(F.try_variant_get(v, "$", "string"))
-    return (
-        F.when(k.rlike("^(BIGINT|INT|SMALLINT|TINYINT)$"), F.try_variant_get(v, "$", "bigint"))
-        .when(k.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.coalesce(wrapped, saturating_long(number)))
-        .when((k == "STRING") & text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
-    )
+    j = written(v)
+    return F.coalesce(F.trim(F.translate(j, '"', "")).try_cast("bigint"), F.when(j.rlike("^-?[0-9]"), beyond(j)))
 
 
 def f64_value(v: Column) -> Column:
     """Any number, or a numeric string; else null."""
-    text = F.trim(F.try_variant_get(v, "$", "string"))
-    return F.when(is_number(v), F.try_variant_get(v, "$", "double")).when(is_string(v), text.try_cast("double"))
+    return F.trim(F.translate(written(v), '"', "")).try_cast("double")
 
 
 def non_negative(v: Column) -> Column:

@@ -294,7 +294,7 @@ def provider_infer(spark, sf_dir):
 
 
 @query("""WITH x AS (SELECT event_id, (event_id % 10000 * 7919 + 1) * CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1000003 WHEN 2 THEN 1000000007 WHEN 3 THEN 100000000003 ELSE -20000003 END AS raw FROM events)
-SELECT event_id, raw, CASE WHEN abs(raw) >= 100000000000000000 THEN CAST(trunc(raw::DECIMAL(38,0) // 1000000) AS BIGINT) WHEN abs(raw) >= 100000000000000 THEN raw // 1000 WHEN abs(raw) >= 100000000000 THEN raw ELSE raw * 1000 END AS ms FROM x""")
+SELECT event_id, raw, CASE WHEN abs(raw) >= 100000000000000000 THEN raw // 1000000 WHEN abs(raw) >= 100000000000000 THEN raw // 1000 WHEN abs(raw) >= 100000000000 THEN raw ELSE raw * 1000 END AS ms FROM x""")
 def epoch_normalize(spark, sf_dir):
     factor = F.element_at(F.array(*[F.lit(x).cast("long") for x in (1, 1000003, 1000000007, 100000000003, -20000003)]), (F.col("event_id") % 5 + 1).cast("int"))
     x = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 10000 * 7919 + 1) * factor).alias("raw"))
