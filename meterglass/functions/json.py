@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 INT_MAX, INT_MIN = 9223372036854775807, -9223372036854775808
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value evaluated once: coercions name it often, and plans would grow with every copy."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def parse(text: Column) -> Column:
     """The line as VARIANT, or null if it isn't JSON."""
     return F.try_parse_json(F.trim(text))
@@ -41,12 +46,12 @@ def is_integer(v: Column) -> Column:
 
 def raw_string(v: Column) -> Column:
     """Strings as they stand; anything else is null."""
-    return F.when(is_string(v), F.try_variant_get(v, "$", "string"))
+    return let(v, lambda v: F.when(is_string(v), F.try_variant_get(v, "$", "string")))
 
 
 def string_value(v: Column) -> Column:
     """A trimmed non-empty string, or a number written out; else null."""
-    return F.when(written(v).rlike('^["0-9-]'), F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit("")))
+    return let(v, lambda v: F.when(written(v).rlike('^["0-9-]'), F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit(""))))
 
 
 def saturating_long(d: Column) -> Column:
@@ -64,8 +69,7 @@ def beyond(text: Column) -> Column:
 
 def i64_value(v: Column) -> Column:
     """Integers as they are (beyond 63 bits they wrap), other numbers truncated and clamped, numeric strings; else null."""
-    j = written(v)
-    return F.coalesce(F.trim(F.translate(j, '"', "")).try_cast("bigint"), F.when(j.rlike("^-?[0-9]"), beyond(j)))
+    return let(written(v), lambda j: F.coalesce(F.trim(F.translate(j, '"', "")).try_cast("bigint"), F.when(j.rlike("^-?[0-9]"), beyond(j))))
 
 
 def f64_value(v: Column) -> Column:

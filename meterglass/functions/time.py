@@ -40,9 +40,13 @@ def normalize_epoch_ms_double(d: Column) -> Column:
 
 def timestamp_ms(v: Column) -> Column:
     """A VARIANT as milliseconds: RFC 3339 or untrimmed integer strings, integers, or truncated numbers."""
-    text = J.raw_string(v)
-    whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
-    return F.when(J.is_string(v), F.coalesce(rfc3339_ms(text), normalize_epoch_ms(whole))).when(J.is_number(v), normalize_epoch_ms(J.i64_value(v)))
+
+    def read(v: Column) -> Column:
+        text = F.try_variant_get(v, "$", "string")
+        whole = F.when(J.is_string(v), F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))).when(J.is_number(v), J.i64_value(v))
+        return F.coalesce(F.when(J.is_string(v), J.let(text, rfc3339_ms)), J.let(whole, normalize_epoch_ms))
+
+    return J.let(v, read)
 
 
 def first_timestamp(v: Column, *paths: str) -> Column:

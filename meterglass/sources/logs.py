@@ -201,24 +201,33 @@ ENTRY = "struct<model:string,input:bigint,output:bigint,cache_read:bigint,reason
 def gemini_stats(stats: Column, hint: Column) -> Column:
     """The messages of a stats object: one a model, by name; else one for the hint."""
 
-    def entry(model: Column, value: Column) -> Column:
-        tokens = F.coalesce(J.node(value, "$.tokens"), value)
-        zero = F.lit(0).cast("long")
-        raw = F.coalesce(J.first_i64(tokens, "$.prompt", "$.input_tokens", "$.prompt_tokens", "$.input"), zero)
-        output = F.coalesce(J.first_i64(tokens, "$.candidates", "$.output", "$.output_tokens"), zero)
-        cached = F.coalesce(J.first_i64(tokens, "$.cached", "$.cached_tokens"), zero)
-        reasoning = F.coalesce(J.first_i64(tokens, "$.thoughts", "$.thoughts_tokens", "$.reasoning", "$.reasoning_tokens"), zero)
-        made = F.struct(
-            model.alias("model"), F.greatest(J.saturating_subtract(raw, cached), zero).alias("input"), F.greatest(output, zero).alias("output"),
-            F.greatest(cached, zero).alias("cache_read"), F.greatest(reasoning, zero).alias("reasoning"),
+    zero = F.lit(0).cast("long")
+
+    def numbers(model: Column, value: Column) -> Column:
+        def read(tokens: Column) -> Column:
+            n = lambda *names: F.coalesce(J.first_i64(tokens, *[f"$.{x}" for x in names]), zero)
+            return F.struct(
+                model.alias("model"), n("prompt", "input_tokens", "prompt_tokens", "input").alias("raw"), n("candidates", "output", "output_tokens").alias("output"),
+                n("cached", "cached_tokens").alias("cached"), n("thoughts", "thoughts_tokens", "reasoning", "reasoning_tokens").alias("reasoning"),
+            )
+
+        return J.let(F.coalesce(J.node(value, "$.tokens"), value), read)
+
+    def entry(n: Column) -> Column:
+        return F.struct(
+            n["model"].alias("model"), F.greatest(J.saturating_subtract(n["raw"], n["cached"]), zero).alias("input"), F.greatest(n["output"], zero).alias("output"),
+            F.greatest(n["cached"], zero).alias("cache_read"), F.greatest(n["reasoning"], zero).alias("reasoning"),
         )
-        return F.when((raw != 0) | (output != 0) | (cached != 0) | (reasoning != 0), made)
+
+    def entries(each: Column) -> Column:
+        return F.transform(F.filter(each, lambda n: (n["raw"] != 0) | (n["output"] != 0) | (n["cached"] != 0) | (n["reasoning"] != 0)), entry)
 
     none = F.expr(f"cast(array() as array<{ENTRY}>)")
     by_model = F.try_variant_get(stats, "$.models", "map<string,variant>")
-    entries = F.filter(F.transform(F.array_sort(F.map_keys(by_model)), lambda k: entry(k, F.element_at(by_model, k))), lambda e: e.isNotNull())
-    single = F.when(hint.isNotNull(), F.filter(F.array(entry(hint, stats)), lambda e: e.isNotNull())).otherwise(none)
-    return F.when(stats.isNull(), none).when(F.size(F.coalesce(entries, none)) > 0, entries).otherwise(single)
+    named = J.let(by_model, lambda m: entries(F.transform(F.array_sort(F.map_keys(m)), lambda k: numbers(k, F.element_at(m, k)))))
+    single = F.when(hint.isNotNull(), entries(F.array(numbers(hint, stats)))).otherwise(none)
+    found = J.let(F.coalesce(named, none), lambda e: F.when(F.size(e) > 0, e))
+    return F.when(stats.isNull(), none).otherwise(F.coalesce(found, single))
 
 
 def gemini_fields(v: Column, hint: Column) -> tuple[Column, Column, dict]:
