@@ -22,7 +22,7 @@ from .common import SALTS, cut, fresh_path, salt
 def digests(docs: DataFrame, normalize=lambda text: text) -> DataFrame:
     """doc_id, digest (SHA-256 of the normalised text, lowercase hex) and the row's salt."""
     text = F.coalesce(normalize(F.col("text")), F.lit(""))
-    return docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest"), salt(F.col("doc_id")).alias("salt"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("digest"), salt(F.col("doc_id")).alias("salt"))
 
 
 def groups(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,12 +96,12 @@ def drop_exact_duplicates(docs: DataFrame, buckets: int = 64) -> DataFrame:
     index = DigestIndex(docs.sparkSession, fresh_path(docs.sparkSession, "digests"), buckets)
     by_digest, dealt = groups(digests(docs))
     index.append(index.new(cut(by_digest)))
-    winners = index.read().select(F.col("keep_id").alias("_keep"), F.col("digest").alias("_digest"))
+    winners = index.read().select(F.col("keep_id").alias("__mg_keep"), F.col("digest").alias("__mg_digest"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    kept = docs.join(winners, docs["doc_id"].eqNullSafe(F.col("_keep")) & (digest == F.col("_digest")), "left_semi")
-    rows = digests(docs).join(winners, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    kept = docs.join(winners, docs["doc_id"].eqNullSafe(F.col("__mg_keep")) & (digest == F.col("__mg_digest")), "left_semi")
+    rows = digests(docs).join(winners, F.col("doc_id").eqNullSafe(F.col("__mg_keep")) & (F.col("digest") == F.col("__mg_digest")), "left_semi")
     twice = rows.groupBy("doc_id", "digest").count().filter("count > 1")
     if twice.isEmpty():
         return kept
     # Only where a doc_id itself repeats with its text: one of those rows stays.
-    return kept.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return kept.withColumn("__mg_digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", "__mg_digest"]).drop("__mg_digest")

@@ -123,7 +123,11 @@ def written(spans: Column) -> Column:
 def digest(found: DataFrame, kinds=KINDS, base: int = BASE) -> DataFrame:
     """Counts of the base kinds, a digest of the base spans, all spans and the highest score."""
     spans = F.col("found")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["place"] == k)).cast("long").alias(f"n_{kinds[k].name}") for k in range(base)]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["place"] == k)).cast("long").alias(f"n_{kinds[k].name}")
+
+    counts = [count(k) for k in range(base)]
     return found.select(
         "doc_id", *counts, F.sha2(written(F.filter(spans, lambda s: s["place"] < base)), 256).alias("base_sha256"),
         written(spans).alias("spans"), F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)).alias("top_score"),

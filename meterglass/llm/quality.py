@@ -160,11 +160,11 @@ class Network:
 
 def fit(docs: DataFrame, labels: DataFrame, learnable) -> Network:
     """Fits on labelled rows for which the column ``learnable`` (of doc_id) holds."""
-    marks = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(learnable).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).dropDuplicates(["_id"])
+    marks = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(learnable).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
     counts = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rank = F.xxhash64("_id", F.lit("quality"))
     picked = marks.filter("_y = 1").orderBy(rank).limit(MAX_ROWS).unionByName(marks.filter("_y = 0").orderBy(rank).limit(MAX_ROWS))
-    got = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(picked), "_id").dropDuplicates(["_id"]).toArrow().sort_by("_id")
+    got = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(picked), "_id").groupBy("_id", "_y").agg(F.max("text").alias("text")).toArrow().sort_by("_id")
     texts = [as_bytes(t) for t in got.column("text").to_pylist()]
     y = got.column("_y").to_numpy() if texts else np.zeros(0)
     network = Network().fit(texts, y)

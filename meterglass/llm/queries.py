@@ -96,7 +96,7 @@ l AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE / sum(weight) OVER () AS
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * coalesce(CASE WHEN flat <= first_at THEN flat
         ELSE min(CASE WHEN level >= full_at AND level <= next_at THEN level END) OVER () END, 'inf'::DOUBLE)) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size
+        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

@@ -205,5 +205,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its component; rows without doc_id stay."""
-    others = near_duplicates(docs, words, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(others, docs["doc_id"] == others["_id"], "left_anti")
+    others = near_duplicates(docs, words, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__mg_id")).distinct()
+    return docs.join(others, docs["doc_id"] == others["__mg_id"], "left_anti")

@@ -10,7 +10,8 @@ The models are fitted on a bounded sample of labelled rows: at most ``MAX_POSITI
 every whole text.
 
 Defined results: a null or wordless text has no features and gets the chain's base rates; rows
-are scored one by one, so ties and repeated rows score alike; without labelled rows of both
+are scored one by one, so ties and repeated rows score alike; repeated labels count as the
+highest; without labelled rows of both
 values a category's probability is its base rate (0 without any) and nothing is flagged; an
 empty table gives an empty result; ``drop_toxic`` passes all columns through, whatever their names.
 """
@@ -206,7 +207,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict, last: st
     rank = F.xxhash64(F.col("doc_id").cast("long"), F.lit("toxicity"))
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), *[F.coalesce(F.expr(c), F.lit(0)).cast("int").alias(f"_c{k}") for k, c in enumerate(categories.values())], rank.alias("_rank"))
     place = list(categories).index(last)
-    picked = marks.filter("_id IS NOT NULL").dropDuplicates(["_id"])
+    picked = marks.filter("_id IS NOT NULL").groupBy("_id", "_rank").agg(*[F.max(f"_c{k}").alias(f"_c{k}") for k in range(len(categories))])
     picked = picked.filter(F.col(f"_c{place}") == 1).orderBy("_rank").limit(MAX_POSITIVE).unionByName(picked.filter(F.col(f"_c{place}") == 0).orderBy("_rank").limit(MAX_NEGATIVE))
     names = [f"_c{k}" for k in range(len(categories))]
     found = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(picked), "_id")
