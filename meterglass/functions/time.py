@@ -65,13 +65,24 @@ def local_date(ms: Column) -> Column:
 
 
 def reset_text(now_ms: Column, then_ms: Column) -> Column:
-    """Resets now / in Nm / in Nh Mm (to 47 h) / in Nd Hh, minutes rounded up."""
-    minutes = F.ceil((then_ms - now_ms) / 60_000).cast("long")
-    hours, days = F.call_function("div", minutes, F.lit(60)), F.call_function("div", minutes, F.lit(1440))
+    """Resets now / in Nm / in Nh Mm (to 47 h) / in Nd Hh, minutes rounded up, zero parts left out."""
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    seconds = div(then_ms - now_ms, 1000)
+    minutes = div(seconds + 59, 60)
+    hours, days = div(minutes, 60), div(minutes, 1440)
+
+    def parts(big: Column, unit: str, small: Column, of: str) -> Column:
+        return F.concat(F.lit("Resets in "), big.cast("string"), F.lit(unit), F.when(small > 0, F.concat(F.lit(" "), small.cast("string"), F.lit(of))).otherwise(""))
+
     return (
         F.when(then_ms.isNull(), F.lit(None).cast("string"))
-        .when(minutes <= 0, F.lit("Resets now"))
-        .when(minutes < 60, F.concat(F.lit("Resets in "), minutes, F.lit("m")))
-        .when(hours < 48, F.concat(F.lit("Resets in "), hours, F.lit("h "), minutes % 60, F.lit("m")))
-        .otherwise(F.concat(F.lit("Resets in "), days, F.lit("d "), hours % 24, F.lit("h")))
+        .when(seconds <= 0, F.lit("Resets now"))
+        .when(minutes < 60, F.concat(F.lit("Resets in "), minutes.cast("string"), F.lit("m")))
+        .when(hours < 48, parts(hours, "h", minutes % 60, "m"))
+        .otherwise(parts(days, "d", hours % 24, "h"))
     )
+
+
+def rfc3339_text(ms: Column) -> Column:
+    """2023-11-14T22:13:20.000Z, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

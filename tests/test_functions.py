@@ -60,7 +60,7 @@ def test_dates(spark):
     assert one(spark, times.local_date(F.col("t")), t=1700000000000) == "2023-11-14"
 
 
-@pytest.mark.parametrize(("minutes", "text"), [(0, "Resets now"), (-3, "Resets now"), (59, "Resets in 59m"), (61, "Resets in 1h 1m"), (47 * 60 + 5, "Resets in 47h 5m"), (49 * 60, "Resets in 2d 1h")])
+@pytest.mark.parametrize(("minutes", "text"), [(0, "Resets now"), (-3, "Resets now"), (59, "Resets in 59m"), (61, "Resets in 1h 1m"), (47 * 60 + 5, "Resets in 47h 5m"), (49 * 60, "Resets in 2d 1h"), (48 * 60, "Resets in 2d"), (120, "Resets in 2h")])
 def test_reset_text(spark, minutes, text):
     assert one(spark, times.reset_text(F.lit(0), F.col("m") * 60_000), m=minutes) == text
 
