@@ -12,8 +12,9 @@ LONG_MAX = 2**63 - 1
 
 
 def long_sum(c: Column) -> Column:
-    """A sum clamped to 64 bits."""
-    return F.least(F.sum(c.cast("decimal(38,0)")), F.lit(LONG_MAX).cast("decimal(38,0)")).cast("long")
+    """A sum clamped to 64 bits; null where there is nothing to sum."""
+    total = F.sum(c.cast("decimal(38,0)"))
+    return F.when(total > LONG_MAX, F.lit(LONG_MAX)).otherwise(total.cast("long"))
 
 
 def money_sum(c: Column) -> Column:
