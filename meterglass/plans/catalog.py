@@ -10,24 +10,13 @@ from ..functions import models, pricing
 from ..functions import time as times
 from ..operators import derived, messages, rollup, stateful, trace
 from .adapters import ENRICHED_SQL, EVENTS_SQL, MESSAGES_SQL, table, usage_events, usage_messages
+from .registry import query
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 #: A moment after which the trace queries look back: the end of January 29, 2024, in milliseconds.
 NOW_MS = 1706572800000
 TRACE_S = 86_400
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.enriched(usage_messages(spark, sf_dir))
 
