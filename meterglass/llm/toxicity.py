@@ -40,7 +40,9 @@ PREFIXES = (4, 5, 6, 7, 8)
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 UPPER = bytes(range(65, 91))
 SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,-'")
-CACHE = 300_000
+CACHE = 100_000
+#: Rows whose features are counted at once in fitting.
+BATCH = 256
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -90,10 +92,12 @@ class Linear:
         empty = cls(np.zeros(0, np.int32), np.zeros(0), np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate))) if 0 < rate < 1 else -30.0)
         if not 0 < positives < n:
             return empty
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        row = np.repeat(np.arange(n), [len(r) for r in rows])
-        df = np.bincount(flat, minlength=1 << BITS)
-        hit = np.bincount(flat, weights=y[row], minlength=1 << BITS)
+        df, hit = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
+        for at in range(0, n, BATCH):
+            part = rows[at : at + BATCH]
+            flat = np.concatenate(part)
+            df += np.bincount(flat, minlength=1 << BITS)
+            hit += np.bincount(flat, weights=np.repeat(y[at : at + BATCH], [len(r) for r in part]), minlength=1 << BITS)
         use = np.flatnonzero((df >= LEAST_DOCS) & (df < n))
         a, b = hit[use], df[use] - hit[use]
         c, d = positives - a, n - positives - b
@@ -102,8 +106,8 @@ class Linear:
         use = np.sort(use).astype(np.int32)
         column = np.full(1 << BITS, -1, np.int32)
         column[use] = np.arange(len(use))
-        col = column[flat]
-        row, col = row[col >= 0], col[col >= 0]
+        kept = [c[c >= 0] for c in (column[r] for r in rows)]
+        row, col = np.repeat(np.arange(n), [len(c) for c in kept]), np.concatenate(kept)
         w, v, bias = np.zeros(len(use)), np.zeros(dense.shape[1]), empty.bias
         each = np.bincount(row, minlength=n) + 1 + dense.shape[1]
         # steps of a separable upper bound of the loss: each coordinate's curvature is at most a quarter of its rows' widths
