@@ -123,7 +123,8 @@ def filled(template: str, *values: Column) -> Column:
     return F.format_string(template, *values)
 
 
-KEY = F.col("c_custkey")
+def key() -> Column:
+    return F.col("c_custkey")
 
 
 @query("""SELECT c_custkey, 'Session' AS label, CAST(c_custkey % 90 AS DOUBLE) AS used_percent, NULL AS reset_text FROM customer
@@ -132,7 +133,7 @@ def codex_windows(spark, sf_dir):
     text = filled(
         '{"rate_limit": {"primary_window": {"used_percent": %d, "limit_window_seconds": 604800, "reset_at": 7200}, "secondary_window": {"used_percent": %d, "limit_window_seconds": 18000}}, '
         '"additional_rate_limits": [{"limit_name": "gpt-5_mini", "rate_limit": {"primary_window": {"used_percent": %d}}}, {"limit_name": "gpt 5 mini", "rate_limit": {"primary_window": {"used_percent": 1}}}]}',
-        KEY % 130, KEY % 90, KEY % 7,
+        key() % 130, key() % 90, key() % 7,
     )
     return windows_of(responses(spark, sf_dir, text), quota.codex_windows(F.col("v"), F.lit(0).cast("long")))
 
@@ -140,35 +141,46 @@ def codex_windows(spark, sf_dir):
 @query("""SELECT c_custkey, 'Session' AS label, least(100, c_custkey % 130)::DOUBLE AS used_percent, 'Resets in 30m' AS reset_text FROM customer
 UNION ALL SELECT c_custkey, 'Designs', CAST(c_custkey % 50 AS DOUBLE), NULL FROM customer""")
 def claude_windows(spark, sf_dir):
-    text = filled('{"five_hour": {"utilization": %d, "resets_at": "1970-01-01T00:30:00Z"}, "seven_day": null, "design": null, "omelette": {"utilization": "%d"}}', KEY % 130, KEY % 50)
+    text = filled('{"five_hour": {"utilization": %d, "resets_at": "1970-01-01T00:30:00Z"}, "seven_day": null, "design": null, "omelette": {"utilization": "%d"}}', key() % 130, key() % 50)
     return windows_of(responses(spark, sf_dir, text), quota.claude_windows(F.col("v"), F.lit(0).cast("long")))
 
 
 @query("""SELECT c_custkey, 'Monthly' AS label, round((200 - c_custkey % 200) / 200.0::DOUBLE * 100, 6) AS used_percent, 'Resets in 1m' AS reset_text FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT c_custkey, 'Cursor Models', CAST(c_custkey % 100 AS DOUBLE), 'Resets in 1m' FROM customer WHERE c_custkey % 2 = 1""")
 def cursor_windows(spark, sf_dir):
-    pool = F.when(KEY % 2 == 1, filled('"autoPercentUsed": %d, ', KEY % 100)).otherwise("")
-    text = filled('{"planUsage": {%s"limit": 200, "remaining": %d}, "billingCycleEnd": "60000"}', pool, KEY % 200)
+    pool = F.when(key() % 2 == 1, filled('"autoPercentUsed": %d, ', key() % 100)).otherwise("")
+    text = filled('{"planUsage": {%s"limit": 200, "remaining": %d}, "billingCycleEnd": "60000"}', pool, key() % 200)
     return windows_of(responses(spark, sf_dir, text), quota.cursor_windows(F.col("v"), F.lit(0).cast("long")))
 
 
 @query("""SELECT c_custkey, 'Tasks' AS label, round(least(20, c_custkey % 30) / 20.0::DOUBLE * 100, 6) AS used_percent, (20 - least(20, c_custkey % 30)) || '/20 left' AS remaining_label FROM customer""")
 def task_limit_dedup(spark, sf_dir):
-    text = filled('{"a": {"usage": %d, "limit": 20}, "b": [{"usage": "%d", "limit": {"val": 20}}]}', KEY % 30, KEY % 30)
+    text = filled('{"a": {"usage": %d, "limit": 20}, "b": [{"usage": "%d", "limit": {"val": 20}}]}', key() % 30, key() % 30)
     found = table(spark, sf_dir, "customer").select("c_custkey", F.explode(quota.grok_metrics(text)).alias("m"))
     return found.select("c_custkey", "m.label", F.round("m.used_percent", 6).alias("used_percent"), "m.remaining_label")
 
 
 @query("SELECT c_custkey, 'c' || c_custkey || '@example.org' AS email, CASE c_custkey % 3 WHEN 0 THEN 'Super Grok' WHEN 1 THEN 'Pro' END AS tier FROM customer")
 def account_claims(spark, sf_dir):
-    body = F.encode(filled('{"email": "c%d@example.org"}', KEY), "utf-8")
+    body = F.encode(filled('{"email": "c%d@example.org"}', key()), "utf-8")
     token = F.concat(F.lit("e30."), F.regexp_replace(F.translate(F.base64(body), "+/", "-_"), "=+$", ""), F.lit(".sig"))
-    tier = F.when(KEY % 3 == 0, "SUBSCRIPTION_TIER_SUPER_GROK").when(KEY % 3 == 1, "TIER_PRO").otherwise("NONE")
-    status = F.when(KEY % 3 == 2, "SUBSCRIPTION_STATUS_INACTIVE").otherwise("SUBSCRIPTION_STATUS_ACTIVE")
+    tier = F.when(key() % 3 == 0, "SUBSCRIPTION_TIER_SUPER_GROK").when(key() % 3 == 1, "TIER_PRO").otherwise("NONE")
+    status = F.when(key() % 3 == 2, "SUBSCRIPTION_STATUS_INACTIVE").otherwise("SUBSCRIPTION_STATUS_ACTIVE")
     text = filled('{"subscriptions": [{"status": "X_CANCELLED", "tier": "A"}, {"status": "%s", "tier": "%s"}]}', status, tier)
     return table(spark, sf_dir, "customer").select("c_custkey", labels.jwt_claim(token, "email").alias("email"), quota.grok_plan(J.parse(text)).alias("tier"))
 
 
+@query("""SELECT 1700000000000 + c_custkey AS timestamp_ms, CASE WHEN c_custkey % 2 = 0 THEN 'gpt-5' ELSE 'cursor' END AS model, c_custkey AS input_tokens, 0::BIGINT AS output_tokens, 7::BIGINT AS cache_read_tokens,
+  round(c_custkey % 1000 / 100.0::DOUBLE, 6) AS cost FROM customer""")
+def cursor_page_events(spark, sf_dir):
+    model = F.when(key() % 2 == 0, '"gpt-5"').otherwise("null")
+    page = filled(
+        '{"totalUsageEventsCount": 2, "usageEventsDisplay": [{"timestamp": " %d ", "model": %s, "tokenUsage": {"inputTokens": %d, "outputTokens": -5, "cacheReadTokens": 7, "totalCents": %d}}, {"timestamp": "soon", "tokenUsage": {}}]}',
+        key() + 1700000000000, model, key(), key() % 1000,
+    )
+    return logs.cursor_pages(table(spark, sf_dir, "customer").select(page.alias("value"))).withColumn("cost", F.round("cost", 6))
+
+
 # --- functions -----------------------------------------------------------------------------------
 
 
@@ -265,8 +277,8 @@ def saturating_arithmetic(spark, sf_dir):
 
 @query("SELECT c_custkey, 3 AS fields, c_name || ', x' AS name, CASE WHEN c_custkey % 2 = 0 THEN 1000.5 + c_custkey ELSE 0 END::DOUBLE AS cost FROM customer")
 def csv_fields(spark, sf_dir):
-    cost = F.when(KEY % 2 == 0, F.format_number(F.lit(1000.5) + KEY, 2)).otherwise("Included")
-    line = F.concat(KEY.cast("string"), F.lit(',"'), "c_name", F.lit(', x","$'), cost, F.lit('"'))
+    cost = F.when(key() % 2 == 0, F.format_number(F.lit(1000.5) + key(), 2)).otherwise("Included")
+    line = F.concat(key().cast("string"), F.lit(',"'), "c_name", F.lit(', x","$'), cost, F.lit('"'))
     parts = logs.split_csv(line)
     return table(spark, sf_dir, "customer").select("c_custkey", F.size(parts).alias("fields"), logs.clean_csv(F.get(parts, F.lit(1))).alias("name"), logs.parse_cost(logs.clean_csv(F.get(parts, F.lit(2)))).alias("cost"))
 

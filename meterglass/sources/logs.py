@@ -134,6 +134,18 @@ def cursor_json(spark: SparkSession, config: Config, name: str = "events.json")
     )
 
 
+def cursor_pages(pages: DataFrame) -> DataFrame:
+    """Captured usage pages (``value``: JSON) as the events of the cache: cents become dollars, rows without a whole time go."""
+    rows = pages.select(F.explode(F.try_variant_get(J.parse(F.col("value")), "$.usageEventsDisplay", "array<variant>")).alias("e"))
+    ts = F.trim(J.raw_string(at("$.timestamp", "e"))).try_cast("bigint")
+    names = {"input_tokens": "inputTokens", "output_tokens": "outputTokens", "cache_read_tokens": "cacheReadTokens"}
+    cents = F.greatest(F.coalesce(J.f64_value(at("$.tokenUsage.totalCents", "e")), F.lit(0.0)), F.lit(0.0))
+    return rows.select(
+        ts.alias("timestamp_ms"), F.coalesce(J.raw_string(at("$.model", "e")), F.lit("cursor")).alias("model"),
+        *[J.non_negative(at(f"$.tokenUsage.{p}", "e")).alias(n) for n, p in names.items()], (cents / 100).alias("cost"),
+    ).filter("timestamp_ms IS NOT NULL")
+
+
 #: Columns of model, input with and without cache writes, cache read, output and cost, by layout.
 CSV_LAYOUTS = {"wide": (4, 6, 7, 8, 9, 11), "kind": (2, 4, 5, 6, 7, 9), "plain": (1, 2, 3, 4, 5, 7)}
 
