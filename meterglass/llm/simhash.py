@@ -94,23 +94,32 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def spanning_links(home_fp, home_id, all_fp, all_id, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect whatever is within ``radius`` of a common home, at most one a comparison block and row."""
+    """Links that span whatever is within ``radius`` of a common home: one a row that has a near home, and fewer than one a home."""
     left, right = [], []
-    label = np.arange(len(home_fp))
     none = len(home_fp)
+    root = np.arange(none)  # of each home: the least home that it is known to be linked with
     step = max(1, 2_000_000 // max(1, none))
     for at in range(0, len(all_fp), step):
         fp, ids = all_fp[at : at + step], all_id[at : at + step]
         near = np.bitwise_count(home_fp[:, None] ^ fp[None, :]) <= radius
-        best = np.where(near, label[:, None], none).min(0)
+        best = np.where(near, root[:, None], none).min(0)
         hit = best < none
         left.append(ids[hit])
         right.append(home_id[best[hit]])
-        lower = np.minimum(label, np.where(near, best[None, :], none).min(1))
-        moved = lower < label
-        left.append(home_id[label[moved]])
-        right.append(home_id[lower[moved]])
-        label = lower
+        # all homes near a row are linked with its best one: join their roots until none differ
+        home, row = np.nonzero(near & (root[:, None] != best[None, :]))
+        high, low = root[home], best[row]
+        while len(high):
+            pairs = np.unique(np.maximum(high, low) * none + np.minimum(high, low))
+            high, low = pairs // none, pairs % none
+            moved, first = np.unique(high, return_index=True)  # each root moves once, to the least it meets
+            left.append(home_id[moved])
+            right.append(home_id[low[first]])
+            root[moved] = low[first]
+            while ((jumped := root[root]) != root).any():
+                root = jumped
+            high, low = root[high], root[low]
+            high, low = high[high != low], low[high != low]
     return np.concatenate(left), np.concatenate(right)
 
 

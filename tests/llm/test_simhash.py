@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from helpers import AWKWARD, docs
 from meterglass.llm import simhash as S
@@ -76,6 +77,65 @@ def test_components_against_all_pairs(spark):
     assert {x["doc_id"] for x in kept.collect()} == {c for _, c in got.values()}
 
 
+def chain(n, r):
+    """Fingerprints that share a block of 31 bits; only neighbours are within 3 bits of each other."""
+    out = [int(r.integers(0, 1 << 33)) << 31 | 12345]
+    while len(out) < n:
+        free = [int(b) for b in r.permutation(range(31, 64))]
+        for k in range(0, 33, 3):
+            x = out[-1] ^ sum(1 << b for b in free[k : k + 3])
+            if all(bin(x ^ y).count("1") > 3 for y in out[:-1]):
+                out.append(x)
+                break
+        else:
+            return chain(n, r)
+    return out
+
+
+def cloud(n, r):
+    """Fingerprints at random in few bits, so that they link in clumps and bridges."""
+    bits = r.choice(range(31, 64), 16, replace=False)
+    masks = r.choice(1 << 16, n, replace=False)
+    return [sum(1 << int(b) for k, b in enumerate(bits) if m >> k & 1) | 999 for m in masks]
+
+
+@pytest.mark.parametrize("make", [chain, cloud])
+@pytest.mark.parametrize("n", [6, 50, 120, 200])
+def test_links_at_one_anchor_span_the_linked_set(make, n):
+    r = np.random.default_rng(n)
+    for _ in range(5):
+        fps = [int(x) for x in r.permutation(np.array(make(n, r), np.uint64))]
+        homes = int(r.integers(1, n + 1)) if make is cloud else n
+        a, ids = np.array(fps, np.uint64), np.arange(n)
+        u, v = S.spanning_links(a[:homes], ids[:homes], a, ids)
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        def join(pairs):
+            root[:] = range(n)
+            for x, y in pairs:
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+            return [find(x) for x in range(n)]
+
+        want = join([(x, y) for x in range(homes) for y in range(n) if bin(fps[x] ^ fps[y]).count("1") <= 3])
+        assert join(zip(u.tolist(), v.tolist())) == want
+        assert len(u) < n + homes
+
+
+def test_chains_and_clouds_against_all_pairs(spark):
+    r = np.random.default_rng(7)
+    for fps in (chain(150, r), cloud(200, r)):
+        fps = [int(x) for x in r.permutation(np.array(fps, np.uint64))]
+        nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, id long")
+        got = {i: i for i in range(len(fps))} | {x["node"]: x["component"] for x in S.components(S.links(nodes)).collect()}
+        assert got == closed(list(range(len(fps))), fps)
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 98)], "u long, v long")
     got = {r["node"]: r["component"] for r in S.components(edges).collect()}
