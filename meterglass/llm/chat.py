@@ -6,9 +6,12 @@ and what was added is the turn's span; where an output does not continue the one
 template rewrites history. Inside a span the text is located by rendering the same turn with
 two probe texts and comparing those.
 
-Rows of a conversation stream through one task in turn order; the state is the hashes so far
-and the last ``CONTEXT`` turns, so a conversation of any length needs bounded memory. Prefixes
-longer than ``CONTEXT`` are rendered from their last ``CONTEXT`` turns.
+Rows of a conversation stream through one task in turn order; every prefix is rendered whole,
+from the first turn on, as only that shows what the template does to turns far back. The state
+is the hashes so far, the turns and the last output: memory grows with the longest conversation
+(the template takes and gives it whole), work with the square of its turns. No prefix without
+turns is rendered: what a template puts before the first turn belongs to that turn's span.
+Offsets are places in the output of the turn's own prefix; after a rewrite they go on from there.
 
 Defined results: null role or text counts as empty; turns are ordered by turn (nulls first),
 then role, then text; repeated rows are turns of their own; a null conv_id is a conversation of
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Turns from which a conversation is a long one to the tests; rendering has no window.
 CONTEXT = 16
 #: Two texts whose outputs differ only where a turn's text stands.
 PROBES = "x", "y"
@@ -55,21 +59,20 @@ def read_turn(span: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
-def added(render: Callable, context: list[tuple[str, str]], turn: tuple[str, str]) -> tuple[str, int, int, bool]:
-    """What ``turn`` adds to the output, where its text stands in that, and whether history was rewritten."""
-    before, now = render(context), render([*context, turn])
+def added(render: Callable, before: str, turns: list[tuple[str, str]]) -> tuple[str, int, int, int, bool]:
+    """The output of ``turns``, where it goes on from ``before``, the output without the last turn, where that turn's text stands after this, and whether history was rewritten."""
+    now = render([*turns])
     if not now.startswith(before):
-        same = next((i for i, (a, b) in enumerate(zip(before, now)) if a != b), min(len(before), len(now)))
-        return now[same:], 0, 0, True
-    span = now[len(before) :]
-    one, other = (render([*context, (turn[0], p)])[len(before) :] for p in PROBES)
+        return now, len(commonprefix([before, now])), 0, 0, True
+    role, at = turns[-1][0], len(before)
+    one, other = (render([*turns[:-1], (role, p)])[at:] for p in PROBES)
     head = len(commonprefix([one, other]))
     tail = len(commonprefix([one[:head:-1], other[:head:-1]]))
-    return span, head, len(span) - tail, False
+    return now, at, head, len(now) - at - tail, False
 
 
 def format_conversations(rows: DataFrame, render: Callable = chatml, parse: Callable = read_turn, decode: Callable = unescape, masked: str = "assistant", texts: bool = True) -> DataFrame:
-    """One row per turn: conv_id, n (from 0), span, loss_from, loss_to (code points in the conversation's output), rewritten.
+    """One row per turn: conv_id, n (from 0), span, loss_from, loss_to (code points in the output of the prefix that ends with the turn), rewritten.
 
     With ``texts=False`` one row per conversation with digests instead of the output.
     """
@@ -83,9 +86,10 @@ def format_conversations(rows: DataFrame, render: Callable = chatml, parse: Call
                 if state is None or state["conv"] != conv:
                     if state is not None and not texts:
                         out.append(summary(state))
-                    state = {"conv": conv, "n": 0, "at": 0, "context": [], "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "rewritten": 0}
-                span, lo, hi, rewritten = added(render, state["context"], (role, text))
-                state["context"] = [*state["context"], (role, text)][-CONTEXT:]
+                    state = {"conv": conv, "n": 0, "output": "", "said": [], "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "rewritten": 0}
+                state["said"].append((role, text))
+                state["output"], at, lo, hi, rewritten = added(render, state["output"], state["said"])
+                span = state["output"][at:]
                 back, said = parse(span) if not rewritten else (role, text)
                 state["turns"].update(f"{back}\n{said}\n".encode("utf-8", "surrogatepass"))
                 if back == masked and not rewritten:
@@ -94,8 +98,8 @@ def format_conversations(rows: DataFrame, render: Callable = chatml, parse: Call
                     state["loss_chars"] += len(learned)
                 if texts:
                     mask = back == masked and not rewritten
-                    out.append((conv, state["n"], span, state["at"] + lo if mask else None, state["at"] + hi if mask else None, rewritten))
-                state["n"], state["at"], state["rewritten"] = state["n"] + 1, state["at"] + len(span), state["rewritten"] + rewritten
+                    out.append((conv, state["n"], span, at + lo if mask else None, at + hi if mask else None, rewritten))
+                state["n"], state["rewritten"] = state["n"] + 1, state["rewritten"] + rewritten
                 if len(out) >= 2000:
                     yield pack(out, names)
                     out = []
@@ -114,7 +118,7 @@ ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "doub
 
 
 def summary(s: dict) -> tuple:
-    return s["conv"], s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["at"], s["rewritten"]
+    return s["conv"], s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), len(s["output"]), s["rewritten"]
 
 
 def pack(rows: list[tuple], names) -> pa.RecordBatch:

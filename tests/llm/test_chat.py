@@ -43,6 +43,38 @@ def test_rewriting_template_is_detected(spark):
     assert [r["rewritten"] for r in got] == [False, True, True]
 
 
+def test_templates_that_reach_far_back(spark):
+    def mark(i, text):
+        return f"[{i}]{text}"
+
+    def blanks_first(turns):
+        return "".join(mark(i, "" if i == 0 and len(turns) > 20 else t) for i, (_, t) in enumerate(turns))
+
+    def keeps_twenty(turns):
+        return "".join(mark(i, t) for i, (_, t) in list(enumerate(turns))[-20:])
+
+    def system_first(turns):
+        if turns[0][0] != "system":
+            raise ValueError("no system turn")
+        return "<bos>" + C.chatml(turns)
+
+    roles = ["system"] + ["user", "assistant"] * 15
+    df = spark.createDataFrame([(1, i, r, f"text {i}") for i, r in enumerate(roles)], SCHEMA)
+    for render, rewritten in ((blanks_first, [20]), (keeps_twenty, list(range(20, 31)))):
+        got = C.format_conversations(df, render=render, parse=lambda s: ("assistant", s), decode=str).orderBy("n").collect()
+        assert [r["n"] for r in got if r["rewritten"]] == rewritten
+        turns = [(r, f"text {i}") for i, r in enumerate(roles)]
+        for r in got:
+            if not r["rewritten"]:
+                assert render(turns[: r["n"] + 1])[r["loss_from"] : r["loss_to"]] == f"text {r['n']}"
+        digest = C.format_conversations(df, render=render, parse=lambda s: ("assistant", s), decode=str, texts=False).first()
+        assert (digest["rewritten_turns"], digest["formatted_chars"]) == (len(rewritten), len(render(turns)))
+    got = C.format_conversations(df, render=system_first, parse=lambda s: C.read_turn(s.removeprefix("<bos>"))).orderBy("n").collect()
+    whole = "".join(r["span"] for r in got)
+    assert whole == system_first(turns) and not any(r["rewritten"] for r in got)
+    assert [whole[r["loss_from"] : r["loss_to"]] for r in got if r["loss_from"] is not None] == [f"text {i}" for i in range(2, 31, 2)]
+
+
 @pytest.mark.parametrize("n", [1, C.CONTEXT, 5 * C.CONTEXT])
 def test_long_conversations_stream(spark, n):
     df = spark.createDataFrame([(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(n)], SCHEMA)
