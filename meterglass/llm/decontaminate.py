@@ -6,6 +6,12 @@ it, all on 2 e + 1 neighbouring diagonals (text place minus item place). Shared
 counted in bands of twice that width which overlap by half, so each such set of diagonals lies
 within one band; bands that meet the bound are verified by banded alignment of the whole item.
 
+An item of which only a part stands in a text is found by its passages: windows of ``PASSAGE``
+consecutive words, one from each word on, each with the edit budget, the bound and the alignment
+of its own length. Of runs without blanks longer than ``LONG`` bytes, each ``PIECE`` bytes count as
+a word here. An item found whole is reported so; else the first passage that verifies, those with
+most shared q-grams first. Before alignment the lemma is applied to q-grams of ``SHORT_Q`` bytes, too. A passage in which replaced words take more than the budget isn't found.
+
 The benchmark goes to the tasks in blocks of at most about ``BLOCK_BYTES`` of item text, one
 pass over the documents for each, so nothing that grows is broadcast. Text batches stream; no
 document or item is cut.
@@ -29,6 +35,13 @@ EDITS = 0.08
 BLOCK_BYTES = 4_000_000
 TABLE_BITS = 22
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Length of the q-grams that a passage is looked at for before it is aligned.
+SHORT_Q = 4
+#: Words of a passage, and what counts as one in a run of bytes without blanks.
+PASSAGE = 13
+LONG, PIECE = 24, 6
+#: Lifts the numbers of bands above zero.
+LIFT = 1 << 31
 #: Letters and digits stay (A-Z as a-z, all beyond ASCII); everything else is a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -62,10 +75,24 @@ def allowed(m: int, q: int = Q, edits: float = EDITS) -> int:
     return max(0, min(int(edits * m), (m - q) // q))
 
 
+def windows(a: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where passages of ``words`` words start and end in a normalised item; none if it has no more words."""
+    ends = np.flatnonzero(a == 32)
+    long = np.flatnonzero(np.diff(ends) > LONG)
+    if len(long):
+        ends = np.sort(np.r_[ends, *(np.arange(ends[i] + PIECE, ends[i + 1], PIECE) for i in long)])
+    if len(ends) - 1 <= words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return ends[:-words], ends[words:] + 1
+
+
 class Index:
-    """The q-grams of a block of items, in a sorted hash array with a bitmap before it."""
+    """The q-grams of a block of items, in a sorted hash array with a bitmap before it.
 
-    def __init__(self, items: list[tuple[int, str | None]], q: int = Q, edits: float = EDITS):
+    With ``words``, ``find`` also finds items of which a passage of so many words stands in the text.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], q: int = Q, edits: float = EDITS, words: int | None = None):
         self.q = q
         texts = [(i, normalise(t)) for i, t in items]
         texts = [(i, a) for i, a in texts if len(a) > 1]
@@ -75,6 +102,15 @@ class Index:
         sizes = np.array([len(a) for a in self.items], np.int64)
         self.least = np.maximum(1, sizes + 1 - q - q * self.budget)
         self.short = np.flatnonzero(sizes < q)
+        self.words = words
+        if words:
+            self.windows = []  # of each item: starts, ends, budgets and least shared q-grams
+            for a in self.items:
+                lo, hi = windows(a, words)
+                e = np.maximum(0, np.minimum((edits * (hi - lo)).astype(np.int64), (hi - lo - q) // q))
+                self.windows.append((lo, hi, e, np.maximum(1, hi - lo + 1 - q - q * e)))
+            self.width = np.array([2 * int(e.max(initial=0)) + 1 for _, _, e, _ in self.windows], np.int64)
+            self.fewest = np.array([int(n.min(initial=LIFT)) for _, _, _, n in self.windows], np.int64)
         grams = [qgrams(a, q) for a in self.items]
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -111,11 +147,63 @@ class Index:
         item, place = self.item[entry], self.place[entry]
         at = np.repeat(at, many)
         enough = np.bincount(item, minlength=len(self.items)) >= self.least
+        whole = set()
         for k in np.flatnonzero(enough):
             own = item == k
             got = self.verify(a, k, at[own] - place[own])
             if got:
                 found.append((self.ids[k], *got))
+                whole.add(int(k))
+        if self.words:
+            found += self.passages(a, item, place, at - place, whole)
+        return found
+
+    def passages(self, a: np.ndarray, item: np.ndarray, place: np.ndarray, diagonals: np.ndarray, whole: set[int]) -> list[tuple[int, int, int, int]]:
+        """What ``find`` gives, of a passage of each item that isn't in ``whole``."""
+        band = diagonals // self.width[item]
+        # bands are counted in a small table first: two numbers that share a place only count too much
+        mask = (1 << max(8, len(item).bit_length() + 1)) - 1
+        slot = (item * 40503 + band) & mask
+        n = np.bincount(slot, minlength=mask + 1)
+        keep = n[slot] + np.maximum(n[(slot + 1) & mask], n[(slot - 1) & mask]) >= self.fewest[item]
+        if not keep.any():
+            return []
+        code, place = (item[keep].astype(np.int64) << 32) + band[keep] + LIFT, place[keep]
+        code, place = np.r_[code, code - 1], np.r_[place, place]
+        order = np.lexsort((place, code))
+        code, place = code[order], place[order]
+        groups, first, count = np.unique(code, return_index=True, return_counts=True)
+        able = count >= self.fewest[groups >> 32]
+        tries, grams = {}, None
+        for group, at, size in zip(groups[able].tolist(), first[able].tolist(), count[able].tolist()):
+            k = group >> 32
+            if k in whole:
+                continue
+            lo, hi, e, least = self.windows[k]
+            there = place[at : at + size]
+            shared = np.searchsorted(there, hi - self.q, "right") - np.searchsorted(there, lo)
+            w = np.flatnonzero(shared >= least)
+            if not len(w):
+                continue
+            b = (group & (1 << 32) - 1) - LIFT
+            # the lemma again, with short q-grams, of which more must be there
+            if grams is None:
+                grams = short_grams(a)
+            have = np.r_[0, np.cumsum(any_near(self.items[k][lo[w[0]] : hi[w[-1]]], grams, b * int(self.width[k]) + int(lo[w[0]]), 2 * int(self.width[k])))]
+            x, y = lo[w] - lo[w[0]], hi[w] - lo[w[0]]
+            w = w[have[y - SHORT_Q + 1] - have[x] >= y - x + 1 - SHORT_Q - SHORT_Q * e[w]]
+            if len(w):
+                tries.setdefault(k, []).extend((-int(shared[i]), i, b) for i in w.tolist())
+        found = []
+        for k, places in tries.items():
+            lo, hi, e, _ = self.windows[k]
+            width = int(self.width[k])
+            for _, w, b in sorted(places):
+                low = b * width + int(lo[w])
+                got = align(self.items[k][lo[w] : hi[w]], a, low, low + 2 * width - 1, int(e[w]))
+                if got:
+                    found.append((self.ids[k], *got))
+                    break
         return found
 
     def verify(self, a: np.ndarray, k: int, diagonals: np.ndarray) -> tuple[int, int, int] | None:
@@ -133,6 +221,26 @@ class Index:
         return best
 
 
+def short_grams(a: np.ndarray) -> np.ndarray:
+    """The ``SHORT_Q``-grams themselves, as numbers."""
+    n = max(0, len(a) - SHORT_Q + 1)
+    out = np.zeros(n, np.int64)
+    for i in range(SHORT_Q):
+        out = out << 8 | a[i : i + n]
+    return out
+
+
+def any_near(part: np.ndarray, grams: np.ndarray, low: int, size: int) -> np.ndarray:
+    """Of each ``SHORT_Q``-gram of ``part``: whether the text has it on one of the diagonals low..low + size - 1."""
+    own = short_grams(part)
+    there = np.full(len(own) + size - 1, -1, np.int64)
+    lo, hi = max(0, low), min(len(grams), low + len(there))
+    if hi > lo:
+        there[lo - low : hi - low] = grams[lo:hi]
+    step = there.strides[0]
+    return (np.ndarray((len(own), size), np.int64, there, 0, (step, step)) == own[:, None]).any(1)
+
+
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """Start, end and edits of the whole item's best alignment on the diagonals low..high, or None beyond ``most`` edits.
 
@@ -151,14 +259,16 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     cost = np.where(inside, 0, far)
     start = column.copy()
     target = item.astype(np.int64) + 1
+    up, after = np.full(size, far + 1), np.zeros(size, np.int64)  # one diagonal on
     for i in range(m):
         column = low + i + 1 + spot
         fits = (column >= 0) & (column <= n)
         same = padded[i : i + size] != target[i]
         step = cost + same
-        up = np.r_[cost[1:], far] + 1
+        np.add(cost[1:], 1, out=up[:-1])
+        after[:-1] = start[1:]
         take = up < step
-        step, begin = np.where(take, up, step), np.where(take, np.r_[start[1:], 0], start)
+        step, begin = np.where(take, up, step), np.where(take, after, start)
         step = np.where(fits, step, far)
         # from the left: the least of (cost - place), carried on
         level = step - spot
@@ -181,12 +291,12 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> list[list[tuple[int
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
-    """One row per matching (doc_id, item_id): start, end in the normalised text and edits; docs without matches once, with nulls."""
+    """One row per matching (doc_id, item_id): start, end in the normalised text and edits of the item or its passage; docs without matches once, with nulls."""
     out = None
     for block in blocks(benchmark):
 
         def run(batches, block=block):
-            index = Index(block, q, edits)
+            index = Index(block, q, edits, PASSAGE)
             for batch in batches:
                 rows = []
                 for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -208,11 +318,11 @@ def by_document(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
-    """The rows of ``docs`` in which no item stands, with all their columns; no shuffle."""
+    """The rows of ``docs`` in which no item and no passage of one stands, with all their columns; no shuffle."""
     for block in blocks(benchmark):
 
         def run(batches, block=block):
-            index = Index(block, q, edits)
+            index = Index(block, q, edits, PASSAGE)
             for batch in batches:
                 yield batch.filter(pa.array([not index.find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 

@@ -68,3 +68,40 @@ def test_hash_of_qgrams():
     a = np.frombuffer(b"abcdefghijklmnabcdefghij", np.uint8)
     h = D.qgrams(a)
     assert len(h) == len(a) - D.Q + 1 and h[0] == h[14] and len(set(h[:14])) == 14
+
+
+def prose(n, r):
+    return ["".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 9))) for _ in range(n)]
+
+
+def test_passages_of_items(spark):
+    r = np.random.default_rng(5)
+    items = [prose(81, r) for _ in range(6)]
+    tenth = [w if i % 10 != 4 else prose(1, r)[0][:5] for i, w in enumerate(items[3])]
+    unspaced = "\u3042\u3044\u3046\u3048\u304a\u304b\u304d\u304f\u3051\u3053\u3055\u3057\u3059\u305b\u305d\u305f\u3061\u3064\u3066\u3068" * 2 + "".join(chr(0x4E00 + int(c)) for c in r.integers(0, 9000, 120))
+    before, after = prose(300, r), prose(300, r)
+    rows = {
+        0: items[0][:60], 1: items[1][40:], 2: items[2][:30] + prose(60, r) + items[2][30:], 3: tenth,
+        4: items[4][20:33], 5: [unspaced[60:110]], 6: items[5][:9] + prose(20, r) + items[5][40:49], 7: prose(81, r),
+    }
+    texts = [(i, " ".join(before + w + after)) for i, w in rows.items()]
+    bench = spark.createDataFrame([(100 + i, " ".join(w)) for i, w in enumerate(items)] + [(106, unspaced)], ITEMS)
+    got = {x["doc_id"]: x for x in D.by_document(docs(spark, texts), bench).collect()}
+    assert {i: x["item_ids"] for i, x in got.items() if x["contaminated"]} == {0: [100], 1: [101], 2: [102], 3: [103], 4: [104], 5: [106]}
+    assert {x["doc_id"] for x in D.drop_contaminated(docs(spark, texts), bench).collect()} == {6, 7}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_passages_within_the_budget_are_found(data):
+    index = D.Index([(1, ITEM)], words=D.PASSAGE)
+    words = ITEM.lower().split()
+    at = data.draw(st.integers(0, len(words) - D.PASSAGE))
+    chars = list(" ".join(words[at : at + D.PASSAGE]))
+    for _ in range(data.draw(st.integers(0, 9))):
+        chars[data.draw(st.integers(0, len(chars) - 1))] = data.draw(st.sampled_from("xqz "))
+    text = "some words before " + "".join(chars) + " and some after it"
+    a = D.normalise(text).tobytes()
+    item, (lo, hi) = D.normalise(ITEM), D.windows(D.normalise(ITEM), D.PASSAGE)
+    near = any(distance(item[x:y].tobytes(), a) <= D.allowed(y - x) for x, y in zip(lo, hi))
+    assert bool(index.find(text)) == near
