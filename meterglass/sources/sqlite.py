@@ -1,8 +1,18 @@
-"""SQLite files read through Spark: the bytes come from any store, each file is queried inside a task."""
+"""SQLite files read through Spark: the bytes come from any store, each file is queried inside a task.
+
+The write-ahead log beside a database (its path and ``-wal``) is read with it, so rows that were
+committed but not yet checkpointed are there. The two are read one after the other: a checkpoint
+just between them is not noticed. A file that can't be read is named in a warning of its task.
+"""
 
 from __future__ import annotations
 
+import logging
 import sqlite3
+import tempfile
+from collections.abc import Iterator
+from contextlib import closing, contextmanager
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +21,16 @@ from pyspark.sql import functions as F
 from .files import existing, path_key
 
 
-def opened(content: bytes) -> sqlite3.Connection:
-    """The file's database in memory; a write-ahead header is read as a plain one."""
-    db = sqlite3.connect(":memory:")
-    db.deserialize(content[:18] + b"\x01\x01" + content[20:])
-    return db
+@contextmanager
+def opened(content: bytes, log: bytes | None = None) -> Iterator[sqlite3.Connection]:
+    """The database of the file and its write-ahead log, as copies in the task's temporary folder."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder) / "copy.db"
+        path.write_bytes(content)
+        if log:
+            Path(f"{path}-wal").write_bytes(log)
+        with closing(sqlite3.connect(path)) as db:
+            yield db
 
 
 def fits(value, kind: str):
@@ -40,10 +55,11 @@ def table_rows(spark: SparkSession, roots: list[str], glob: str, read, columns:
         for batch in batches:
             for f in batch.to_pylist():
                 try:
-                    db = opened(f["content"])
-                    rows = [r for r in read(db) if all(fits(v, k) for v, k in zip(r, kinds))]
-                except sqlite3.Error:
-                    continue  # no such table, or no database: nothing to read
+                    with opened(f["content"], f["log"]) as db:
+                        rows = [r for r in read(db) if all(fits(v, k) for v, k in zip(r, kinds))]
+                except sqlite3.Error as e:  # no such table, or no database: nothing to read
+                    logging.getLogger(__name__).warning("%s not read: %s", f["path"], e)
+                    continue
                 if rows:
                     head = [(f["path"], f["root_ord"], f["path_key"], 0, i, f["mtime_ms"]) for i in range(len(rows))]
                     cols = list(zip(*[h + tuple(r) for h, r in zip(head, rows)]))
@@ -53,6 +69,9 @@ def table_rows(spark: SparkSession, roots: list[str], glob: str, read, columns:
     for k, root in enumerate(existing(spark, roots)):
         files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root)
         files = files.select("path", F.lit(k).alias("root_ord"), path_key(F.col("path")).alias("path_key"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+        logs = spark.read.format("binaryFile").option("pathGlobFilter", f"{glob}-wal").load(root)
+        logs = logs.select(F.regexp_replace("path", "-wal$", "").alias("path"), F.col("content").alias("log"))
+        files = files.join(logs, "path", "left")
         out = files if out is None else out.unionByName(files)
     return out.mapInArrow(run, schema) if out is not None else spark.createDataFrame([], schema)
 

@@ -219,3 +219,30 @@ def test_collect_to_payload(spark, config, tmp_path):
     assert messages.enriched(logs.collect(spark, config, ["codex"])).count() == 1
     with pytest.raises(ValueError, match="invalid year filter"):
         messages.enriched(df, "20x4")
+
+
+def test_sqlite_rows_in_the_write_ahead_log(spark, tmp_path):
+    from meterglass.sources import sqlite
+
+    root = tmp_path / "live"
+    root.mkdir()
+    db = sqlite3.connect(root / "opencode.db")
+    db.execute("PRAGMA journal_mode=WAL")
+    db.execute("PRAGMA wal_autocheckpoint=0")
+    db.execute("CREATE TABLE message (id TEXT, session_id TEXT, data TEXT)")
+    db.execute("INSERT INTO message VALUES ('a', 's', '{}')")
+    db.commit()
+    db.execute("PRAGMA wal_checkpoint(TRUNCATE)")
+    db.executemany("INSERT INTO message VALUES (?, 's', ?)", [(f"b{i:04}", "x" * 500) for i in range(300)])
+    db.commit()
+    assert (root / "opencode.db-wal").stat().st_size > 100_000
+    other = sqlite3.connect(root / "opencode-2.db")  # all of it is in the log
+    other.execute("PRAGMA journal_mode=WAL")
+    other.execute("CREATE TABLE message (id TEXT, session_id TEXT, data TEXT)")
+    other.execute("INSERT INTO message VALUES ('c', 's', '{}')")
+    other.commit()
+    (root / "opencode-3.db").write_bytes(b"no database at all" * 100)
+    got = sorted(r["id"] for r in sqlite.opencode_messages(spark, [str(root)]).collect())
+    db.close()
+    other.close()
+    assert got == ["a", *(f"b{i:04}" for i in range(300)), "c"]
