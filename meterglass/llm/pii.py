@@ -82,31 +82,72 @@ KINDS = (
 BASE = 4
 
 SPAN = "array<struct<start:int,place:int,end:int,kind:string,score:double>>"
+#: Matches (or spans) that are placed in one go; arrays are never grown beyond it, so work is linear in the matches.
+BLOCK = 256
+#: Matches before a block that its first context can reach back to: each is two code points at least.
+BACK = CONTEXT // 2 + 1
 
 
-def spans_of(text: Column, place: int, kind: Kind) -> Column:
-    """The confirmed spans of one kind: what stands between the matches gives their places."""
-    between, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+def let(value: Column, f) -> Column:
+    """f(value) with the value evaluated once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def blocks_of(n: Column) -> Column:
+    """The numbers, from 0, of the blocks of n elements; n is at least 1."""
+    return F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+
+
+def sliced(values: Column, k: Column) -> Column:
+    return F.slice(values, k * BLOCK + 1, F.lit(BLOCK))
+
+
+def placed(pieces: Column, k: Column) -> Column:
+    """Block k: its length (at) and its matches (got) with places from the block's start and the text before each."""
+    before = F.slice(pieces, F.greatest(k * BLOCK - BACK, F.lit(0)) + 1, F.least(k * BLOCK, F.lit(BACK)))
+    tail = F.right(F.array_join(F.transform(before, lambda p: F.concat(p["tail"], p["match"])), ""), F.lit(CONTEXT))
+    none = F.struct(F.lit(0).alias("at"), tail.alias("tail"), F.expr("cast(array() as array<struct<start:int,end:int,match:string,near:string>>)").alias("got"))
+
+    def step(state, p):
+        near = F.right(F.concat(state["tail"], p["tail"]), F.lit(CONTEXT))
+        start = state["at"] + p["gap"]
+        end = start + F.length(p["match"])
+        span = F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match"), near.alias("near"))
+        return F.struct(end.alias("at"), F.right(F.concat(near, p["match"]), F.lit(CONTEXT)).alias("tail"), F.concat(state["got"], F.array(span)).alias("got"))
+
+    return F.aggregate(sliced(pieces, k), none, step)
 
-    def step(state, i):
-        start = state["at"] + F.length(F.element_at(between, i))
-        match = F.element_at(found, i)
-        end = start + F.length(match)
-        return F.struct(end.alias("at"), F.concat(state["got"], F.array(F.struct(start.alias("start"), end.alias("end"), match.alias("match")))).alias("got"))
 
-    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("got"))
-    placed = F.aggregate(F.sequence(F.lit(1), F.size(found)), none, step, lambda s: s["got"])
-    if kind.valid:
-        placed = F.filter(placed, lambda s: kind.valid(s["match"]))
+def spans_of(text: Column, place: int, kind: Kind) -> Column:
+    """The confirmed spans of one kind: what stands between the matches gives their places.
+
+    The text is matched once; places are sums of lengths, first within blocks of matches, then over
+    the blocks, so that a text with very many matches costs no more than its length.
+    """
+    none = F.expr(f"cast(array() as {SPAN})")
+    between, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    piece = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("gap"), F.right(b, F.lit(CONTEXT)).alias("tail"), m.alias("match")))
+    pieces = F.filter(piece, lambda p: p["match"].isNotNull())  # what stands after the last match
 
-    def scored(s):
-        near = F.lower(text.substr(F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
+    def scored(s, base):
         return F.struct(
-            s["start"].alias("start"), F.lit(place).alias("place"), s["end"].alias("end"), F.lit(kind.name).alias("kind"),
-            (F.lit(kind.score) + F.when(near.rlike(kind.context), CONTEXT_SCORE).otherwise(0.0)).alias("score"),
+            (s["start"] + base).alias("start"), F.lit(place).alias("place"), (s["end"] + base).alias("end"), F.lit(kind.name).alias("kind"),
+            (F.lit(kind.score) + F.when(F.lower(s["near"]).rlike(kind.context), CONTEXT_SCORE).otherwise(0.0)).alias("score"),
         )
 
-    return F.when(text.rlike(kind.hint) & (F.size(found) > 0), F.transform(placed, scored)).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    def confirmed(block, base):
+        kept = F.filter(block["got"], lambda s: kind.valid(s["match"])) if kind.valid else block["got"]
+        return F.transform(kept, lambda s: scored(s, base))
+
+    def shifted(blocks):
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("bases"))
+        bases = F.aggregate(blocks, start, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["bases"], F.array(s["at"])).alias("bases")), lambda s: s["bases"])
+        return F.flatten(F.zip_with(blocks, bases, confirmed))
+
+    def of(pieces):
+        return F.when(F.size(pieces) > 0, let(F.transform(blocks_of(F.size(pieces)), lambda k: placed(pieces, k)), shifted)).otherwise(none)
+
+    return F.when(text.rlike(kind.hint), let(pieces, of)).otherwise(none)
 
 
 def find_pii(docs: DataFrame, kinds=KINDS) -> DataFrame:
@@ -137,11 +178,26 @@ def digest(found: DataFrame, kinds=KINDS, base: int = BASE) -> DataFrame:
 def redact(docs: DataFrame, least: float = 0.6, kinds=KINDS) -> DataFrame:
     """doc_id and text with every span of at least that score replaced by [KIND]; overlaps go to the first."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = F.filter(F.array_sort(F.concat(*[spans_of(F.col("text"), k, kind) for k, kind in enumerate(kinds)])), lambda s: s["score"] >= least)
+    text = F.col("text")
+    spans = F.filter(F.array_sort(F.concat(*[spans_of(text, k, kind) for k, kind in enumerate(kinds)])), lambda s: s["score"] >= least)
+
+    def block(state, part):
+        """A block of spans over the piece of text that it reaches, so that no span is looked up from the text's start."""
+        reach = F.greatest(state["at"], F.array_max(F.transform(part, lambda s: s["end"])))
+        base = state["at"]
+
+        def within(chunk):
+            def step(now, s):
+                out = F.concat(now["out"], chunk.substr(now["at"] - base + 1, s["start"] - now["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                return F.when(s["start"] >= now["at"], F.struct(s["end"].alias("at"), out.alias("out"))).otherwise(now)
+
+            return F.aggregate(part, F.struct(base.alias("at"), F.lit("").alias("out")), step)
+
+        return let(let(text.substr(base + 1, reach - base), within), lambda done: F.struct(done["at"].alias("at"), F.concat(state["parts"], F.array(done["out"])).alias("parts")))
 
-    def step(state, s):
-        out = F.concat(state["out"], F.col("text").substr(state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= state["at"], F.struct(s["end"].alias("at"), out.alias("out"))).otherwise(state)
+    def redacted(spans):
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+        done = F.aggregate(blocks_of(F.size(spans)), start, lambda state, k: let(sliced(spans, k), lambda part: block(state, part)), lambda s: F.concat(F.array_join(s["parts"], ""), text.substr(s["at"] + 1, F.length(text))))
+        return F.when(F.size(spans) > 0, done).otherwise(text)
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))))
-    return rows.select("doc_id", done.alias("text"))
+    return rows.select("doc_id", let(spans, redacted).alias("text"))

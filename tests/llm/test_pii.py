@@ -58,3 +58,28 @@ def test_native_plan_and_empty(spark):
     df = P.digest(P.find_pii(docs(spark, [])))
     assert df.count() == 0
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_very_many_matches(spark):
+    """Places and contexts hold across blocks of matches, and time doesn't grow with their square."""
+    r = random.Random(8)
+    mixed = "".join(r.choice([*PIECES, "mail ", "card ", "call "]) for _ in range(30_000))
+    rows = [(1, "a@b.c " * 100_000), (2, mixed), (3, "7 12 " * 3_000 + "x card 4111111111111111")]
+    got = {x["doc_id"]: x for x in P.digest(P.find_pii(docs(spark, rows))).collect()}
+    assert got[1]["n_email"] == 100_000
+    for i, t in rows:
+        assert got[i]["base_sha256"] == hashlib.sha256(brute(t).encode()).hexdigest()
+    scores = {x["doc_id"]: x["found"] for x in P.find_pii(docs(spark, rows[1:])).collect()}
+    for i, t in rows[1:]:
+        for s in scores[i]:
+            kind = P.KINDS[s["place"]]
+            near = re.search(kind.context, t[max(0, s["start"] - P.CONTEXT) : s["start"]].lower())
+            assert s["score"] == kind.score + (P.CONTEXT_SCORE if near else 0.0)
+    text = {x["doc_id"]: x["text"] for x in P.redact(docs(spark, rows)).collect()}
+    assert text[1] == "[EMAIL] " * 100_000
+    out, at = [], 0
+    for s in scores[2]:
+        if s["start"] >= at:
+            out += [mixed[at : s["start"]], f"[{s['kind'].upper()}]"]
+            at = s["end"]
+    assert text[2] == "".join(out) + mixed[at:]
