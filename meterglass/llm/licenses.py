@@ -1,23 +1,32 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
-A template is the set of words of a license notice; a text block is any window of consecutive
-words a quarter longer than the notice. A block matches where it holds at least ``THRESHOLD`` of
-the template's words. Words are ordered by their global frequency, counted over all documents;
-a block can reach the overlap o of an n-word template only if it holds one of the template's
-n - o + 1 rarest words (prefix filter), if the text has o distinct places for words (length
-filter) and if what follows the first such word in the order is enough (positional filter).
-What is left is verified exactly. All windows that match are found; overlapping ones are merged.
+A template is the set of words of a license notice; it is found where a window of consecutive
+words, a quarter longer than the notice, holds at least ``THRESHOLD`` of its words. Texts are
+cut into blocks of twice the longest window that overlap by half, so each window lies in one
+block, and blocks are joined with the template table on word sets:
+
+* words that no template has can't overlap one and are left out; the others are ordered by their
+  global frequency, counted over all documents, rarest first;
+* prefix filter: a block can reach the overlap o with an n-word template only if it holds one of
+  the template's n - o + 1 rarest words, so only these are indexed;
+* length filter: the block has at least o words;
+* positional filter: where the first common word stands i-th of the block's m words and j-th of
+  the template's, no more than 1 + min(m - i - 1, n - j - 1) words can be common;
+* what is left is verified exactly, window by window; overlapping windows that match are merged.
 
 Exact phrases of words (the base) are found besides and count with score 1.
 
+The template table travels with the job, so it is checked: at most ``MAX_TEMPLATE_BYTES``.
+
 Defined results: a null or empty text has no words and no labels; repeated rows are results of
 their own; ties in frequency fall to the word's order; an empty table gives an empty result;
-other columns are ignored. The templates are few and fixed, so they travel with the job.
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from math import ceil
 
@@ -28,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, as_bytes
 
 THRESHOLD = 0.9
+MAX_TEMPLATE_BYTES = 4_000_000
 #: Bytes of UTF-8: digits, a-z after lower-casing A-Z, and all beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
@@ -61,22 +71,94 @@ def words(text: str | None) -> list[bytes]:
 class Template:
     number: int
     label: str
-    ordered: tuple[bytes, ...]  # rarest first
+    ordered: tuple[int, ...]  # ranks of its words, rarest first
     overlap: int
     window: int
 
     @property
-    def prefix(self) -> tuple[bytes, ...]:
+    def prefix(self) -> tuple[int, ...]:
         return self.ordered[: len(self.ordered) - self.overlap + 1]
 
 
-def compiled(frequency: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
-    out = []
-    for k, (label, notice) in enumerate(templates):
-        found = words(notice)
-        ordered = sorted(set(found), key=lambda w: (frequency.get(w, 0), w))
+class Join:
+    """The template side of the join: ranks of all its words, and its prefixes as an inverted index."""
+
+    def __init__(self, frequency: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD):
+        notices = [(label, words(notice)) for label, notice in templates]
+        vocabulary = sorted({w for _, notice in notices for w in notice}, key=lambda w: (frequency.get(w, 0), w))
+        self.rank = {w: k for k, w in enumerate(vocabulary)}
         # the least whole overlap that reaches the threshold, free of rounding noise
-        out.append(Template(k, label, tuple(ordered), ceil(threshold * len(ordered) - 1e-9), ceil(len(found) * 1.25)))
+        self.templates = [
+            Template(k, label, tuple(sorted({self.rank[w] for w in n})), ceil(threshold * len(set(n)) - 1e-9), ceil(len(n) * 1.25))
+            for k, (label, n) in enumerate(notices) if n
+        ]
+        self.members = [frozenset(t.ordered) for t in self.templates]
+        self.index: dict[int, list[tuple[int, int]]] = {}
+        for k, t in enumerate(self.templates):
+            for j, r in enumerate(t.prefix):
+                self.index.setdefault(r, []).append((k, j))
+        self.first = frozenset(vocabulary[r] for r in self.index)
+        self.step = max((t.window for t in self.templates), default=1)
+
+    def candidates(self, block: list[int], seen: Counter | None = None) -> list[int]:
+        """The templates that a block, its words' ranks ascending, may reach. ``seen`` counts what each filter decides."""
+        out, met = [], set()
+        for i, r in enumerate(block):
+            for k, j in self.index.get(r, ()):
+                if k in met:
+                    continue
+                met.add(k)
+                t = self.templates[k]
+                if len(block) < t.overlap:
+                    why = "length"
+                elif 1 + min(len(block) - i - 1, len(t.ordered) - j - 1) < t.overlap:
+                    why = "position"
+                else:
+                    why = "candidate"
+                    out.append(k)
+                if seen is not None:
+                    seen[why] += 1
+        if seen is not None:
+            seen["prefix"] += len(self.templates) - len(met)
+        return out
+
+    def hits(self, found: list[bytes], seen: Counter | None = None) -> list[tuple[int, str, int, int, float]]:
+        """Template number, label, first and last word place and containment of each merged run of matching windows."""
+        places = [(i, self.rank[w]) for i, w in enumerate(found) if w in self.rank]
+        halves: dict[int, set[int]] = {}
+        for i, r in places:
+            halves.setdefault(i // self.step, set()).add(r)
+        blocks: dict[int, set[int]] = {}  # of each template: the halves that its candidates touch
+        for h, own in halves.items():
+            for k in self.candidates(sorted(own | halves.get(h + 1, set())), seen):
+                blocks.setdefault(k, set()).update((h, h + 1))
+        out = []
+        for k in sorted(blocks):
+            t, member = self.templates[k], self.members[k]
+            own = [(i, r) for i, r in places if r in member and i // self.step in blocks[k]]
+            out += [(t.number, t.label, a, b, n / len(t.ordered)) for a, b, n in runs(own, t)]
+        return out
+
+
+def runs(own: list[tuple[int, int]], template: Template) -> list[tuple[int, int, int]]:
+    """Merged runs of matching windows: first and last word place, and the best overlap. ``own``: the template's words by place."""
+    out: list[tuple[int, int, int]] = []
+    inside: dict[int, int] = {}
+    left = 0
+    for place, word in own:
+        inside[word] = inside.get(word, 0) + 1
+        while own[left][0] <= place - template.window:
+            gone = own[left][1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            left += 1
+        if len(inside) >= template.overlap:
+            first = own[left][0]
+            if out and first <= out[-1][1]:
+                out[-1] = (out[-1][0], place, max(out[-1][2], len(inside)))
+            else:
+                out.append((first, place, len(inside)))
     return out
 
 
@@ -95,58 +177,22 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[byte
     return {bytes(r["word"]): r["n"] for r in rows}
 
 
-def matches(found: list[bytes], at: dict[bytes, list[int]], template: Template) -> list[tuple[int, int, int]]:
-    """Merged runs of matching windows: first and last word place, and the best overlap.
-
-    ``at``: the places of the watched words in ``found``.
-    """
-    n, need, width = len(template.ordered), template.overlap, template.window
-    if len(found) < need:  # length filter
-        return []
-    near: set[int] = set()
-    for rank, word in enumerate(template.prefix):
-        if n - rank < need:  # positional filter: the words from here on in the order can't be enough
-            break
-        near.update(at.get(word, ()))
-    if not near:  # prefix filter
-        return []
-    own = [(place, word) for word in template.ordered for place in at.get(word, ())]
-    own.sort()
-    out: list[tuple[int, int, int]] = []
-    inside: dict[bytes, int] = {}
-    left = 0
-    for right, (place, word) in enumerate(own):
-        inside[word] = inside.get(word, 0) + 1
-        while own[left][0] <= place - width:
-            gone = own[left][1]
-            inside[gone] -= 1
-            if not inside[gone]:
-                del inside[gone]
-            left += 1
-        if len(inside) >= need:
-            first = own[left][0]
-            if out and first <= out[-1][1]:
-                out[-1] = (out[-1][0], place, max(out[-1][2], len(inside)))
-            else:
-                out.append((first, place, len(inside)))
-    return out
-
-
-def scan_text(text: str | None, templates: list[Template], phrases: dict[str, list[bytes]], needed: frozenset[bytes], watched: frozenset[bytes]):
+def scan_text(text: str | None, join: Join, phrases: dict[str, list[bytes]], needed: frozenset[bytes]):
     """Number of words, base hits (label, first, last) and template hits (number, label, first, last, containment)."""
     found = words(text)
-    at: dict[bytes, list[int]] = {}
-    if not needed.isdisjoint(found):
-        for i, w in enumerate(found):
-            if w in watched:
-                at.setdefault(w, []).append(i)
+    if needed.isdisjoint(found):
+        return len(found), [], []
     base = []
     for label, phrase in phrases.items():
-        for i in at.get(phrase[0], ()):
-            if found[i : i + len(phrase)] == phrase:
-                base.append((label, i, i + len(phrase) - 1))
-    hits = [(t.number, t.label, a, b, k / len(t.ordered)) for t in templates for a, b, k in matches(found, at, t)] if at else []
-    return len(found), base, hits
+        at = -1
+        try:
+            while True:
+                at = found.index(phrase[0], at + 1)
+                if found[at : at + len(phrase)] == phrase:
+                    base.append((label, at, at + len(phrase) - 1))
+        except ValueError:  # no further place
+            pass
+    return len(found), base, join.hits(found)
 
 
 SCHEMA = (
@@ -157,18 +203,30 @@ HIT = pa.struct([("template", pa.int64()), ("label", pa.string()), ("first", pa.
 PHRASE_HIT = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
 
 
+def listed(templates) -> list[tuple[str, str]]:
+    """The template table (label, notice) as a list, after a check of its size."""
+    if not isinstance(templates, DataFrame):
+        return list(templates)
+    size = templates.agg(F.sum(F.octet_length("notice"))).first()[0] or 0
+    if size > MAX_TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes; at most {MAX_TEMPLATE_BYTES} go to every task")
+    return [(r["label"], r["notice"]) for r in templates.select("label", "notice").filter("notice IS NOT NULL").orderBy("label", "notice").collect()]
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, ``base`` and ``hits`` with word places from 0."""
+    """One row per row of ``docs``: doc_id, n_words, ``base`` and ``hits`` with word places from 0.
+
+    ``templates``: a table with label and notice, or such pairs.
+    """
+    templates = listed(templates)
     spelled = {label: words(p) for label, p in phrases.items()}
-    vocabulary = frozenset(w for _, notice in templates for w in words(notice))
-    ready = compiled(word_frequencies(docs, vocabulary), templates, threshold)
-    watched = vocabulary | frozenset(w for p in spelled.values() for w in p)
+    join = Join(word_frequencies(docs, frozenset(w for _, notice in templates for w in words(notice))), templates, threshold)
     # a text without any of these can't match, so its places are never listed
-    needed = frozenset(w for t in ready for w in t.prefix) | frozenset(p[0] for p in spelled.values())
+    needed = join.first | frozenset(p[0] for p in spelled.values())
 
     def run(batches):
         for ids, texts in arrow_rows(batches, ("doc_id", "text")):
-            rows = [scan_text(t, ready, spelled, needed, watched) for t in texts]
+            rows = [scan_text(t, join, spelled, needed) for t in texts]
             names = ("label", "first", "last"), ("template", "label", "first", "last", "containment")
             yield pa.RecordBatch.from_arrays(
                 [
@@ -191,5 +249,5 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("labels"),
-        best.alias("score"), F.size("hits").cast("long").alias("n_blocks"),
+        best.alias("score"),
     )

@@ -7,12 +7,16 @@ cumulative offsets c; a document's training position is the t with D(t) = c. Doc
 range-sorted by position.
 
 Offsets are prefix sums in three levels (shelves of hash bins, bins of a shelf, rows of a bin),
-so no task holds a source, however hot.
+so no task holds a source, however hot; the order hashes doc_id and text, so rows without a
+doc_id are spread, too. Sources are ranked by ranges, and their shares found by rounds of one
+aggregate, so their number doesn't matter either.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its
-own, last in order; repeated rows are rows of their own; an empty table gives an empty result;
-sources of size 0 have target 0; other columns pass through ``mix`` untouched, and helper
-columns start with an underscore.
+own, last in order; rows that agree in doc_id, source and text are counted before anything is
+sorted, stand together in the order and share what is taken of them evenly, rounded down, at
+the position of the first; an empty table gives an empty result; sources of size 0 have target
+0; other columns play no part in ``mix``; in ``mixed_documents`` columns named like those it
+adds are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -36,35 +40,44 @@ def size(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """Adds place: a source's number, from 0, in code point order, null last.
+
+    Ranges of sources are numbered each for itself and shifted by the sizes of the ranges before,
+    of which there are as many as partitions.
+    """
+    order = F.col("source").asc_nulls_last()
+    ranged = cut(sizes.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    place, shifts = 0, []
+    for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect():
+        shifts.append((r["_range"], place))
+        place += r["n"]
+    shift = sizes.sparkSession.createDataFrame(shifts, "_range int, _shift long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranged.withColumn("_within", within).join(shift, "_range").select("source", "source_size", (F.col("_within") + F.col("_shift")).alias("place"))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MAX_EPOCHS) -> DataFrame:
-    """source, source_size -> also place (from 0), weight and target.
+    """source, source_size -> also place, weight and target.
 
-    Water filling: with sources sorted by the level at which they reach ``most`` times their
-    size, the full ones are a prefix; the level of the rest follows from what is left. One row
-    per source goes through one task here, sorted and spilled, never documents.
+    Each round shares what the full sources leave among the others by weight; those that reach
+    ``most`` times their size are full in the next. Full sources only grow in number, and when they
+    don't, the shares stand.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    level = Window.orderBy("_full_at", "place")
-    before = level.rowsBetween(Window.unboundedPreceding, 0)
-    after = level.rowsBetween(1, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("place", F.row_number().over(order) - 1).withColumn("weight", weight)
-    ranked = ranked.withColumn("_full_at", F.col("source_size") * most / F.col("weight"))
-    rest = F.coalesce(F.sum("weight").over(after), F.lit(0.0))
-    left = F.sum("source_size").over(every) * F.lit(float(budget)) - F.sum("source_size").over(before) * most
-    ranked = (
-        ranked.withColumn("_rest", F.sum("weight").over(every))
-        .withColumn("_flat", F.sum("source_size").over(every) * F.lit(float(budget)) / F.col("_rest"))
-        .withColumn("_level", F.when(rest > 0, left / F.when(rest > 0, rest)))
-        .withColumn("_next", F.lead("_full_at").over(level))
-        .withColumn("_first", F.min("_full_at").over(every))
-    )
-    # the level once this source and all before it are full, where the next one isn't
-    found = F.when((F.col("_level") >= F.col("_full_at")) & (F.col("_level") <= F.col("_next")), F.col("_level"))
-    chosen = F.when(F.col("_flat") <= F.col("_first"), F.col("_flat")).otherwise(F.min(found).over(every))
-    target = F.least(F.col("source_size") * F.lit(float(most)), F.col("weight") * F.coalesce(chosen, F.lit(float("inf"))))
-    return ranked.withColumn("target", target).select("source", "source_size", "place", "weight", "target")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sizes = cut(ranked(sizes).withColumn("weight", weight))
+    whole, level, known = F.col("source_size") * most, 0.0, -1
+    full = F.lit(False)
+    while True:
+        r = sizes.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("source_size"))).alias("full"), F.count_if(full).alias("n"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if not r["open"]:
+            level = float("inf")
+            break
+        level = (r["all"] * budget - (r["full"] or 0) * most) / r["open"]
+        if r["n"] == known:
+            break
+        known, full = r["n"], F.col("weight") * F.lit(float(level)) >= whole
+    return sizes.withColumn("target", F.least(whole.cast("double"), F.col("weight") * F.lit(float(level))))
 
 
 def demand_inverse(offset: Column, target: Column, place: Column, schedules=SCHEDULES) -> Column:
@@ -93,19 +106,20 @@ def before(value: str, *keys: str, order: str) -> Column:
     return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MAX_EPOCHS, schedules=SCHEDULES, keep=("doc_id",)) -> DataFrame:
-    """Rows of ``docs`` (columns ``keep``) with size, source_size, target, taken and positions.
+def order_hash(doc_id: Column, text: Column) -> Column:
+    """A row's place in its source's order: rows of other ids or texts are spread evenly."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
-    ``taken`` is the words of the document that fall under its source's target over the epochs;
-    the last document of a source is taken in part, so a source's taken words equal its target
-    rounded down. ``positions`` has the training position of each copy.
-    """
-    rows = docs.select(*keep, F.col("source").alias("_source"), size(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"))
+
+def placed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
+    """One row for all rows that agree in doc_id, source and text (rows: their number), with what is taken of each and where."""
+    rows = docs.select("doc_id", "source", size(F.col("text")).alias("size"), order_hash(F.col("doc_id"), F.col("text")).alias("_order"))
     # wide texts are read and counted once
-    rows = cut(rows)
+    rows = cut(rows.groupBy("doc_id", F.col("source").alias("_source"), "size", "_order").agg(F.count(F.lit(1)).alias("rows")))
     bins = max(16, rows.count() // BIN_ROWS)
     rows = rows.withColumn("_bin", (F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * bins).cast("long"))
-    by_bin = rows.groupBy("_source", "_bin").agg(F.sum("size").alias("_bin_size"))
+    rows = rows.withColumn("_words", F.col("size") * F.col("rows"))
+    by_bin = rows.groupBy("_source", "_bin").agg(F.sum("_words").alias("_bin_size"))
     by_bin = by_bin.withColumn("_shelf", F.floor(F.col("_bin") / SHELF_BINS))
     shelves = by_bin.groupBy(F.col("_source").alias("_s"), F.col("_shelf").alias("_k")).agg(F.sum("_bin_size").alias("_shelf_size"))
     shelves = shelves.withColumn("_below", before("_shelf_size", "_s", order="_k"))
@@ -117,29 +131,51 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MA
     )
     rows = rows.join(by_bin, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")))
     within = Window.partitionBy("_source", "_bin").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_from", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_words").over(within), F.lit(0)))
     whole = F.floor("target")
     starts = [F.col("_from") + F.col("source_size") * k for k in range(most)]
-    taken = [F.greatest(F.lit(0), F.least(s + F.col("size"), whole) - s) for s in starts]
+    taken = [F.greatest(F.lit(0), F.least(s + F.col("_words"), whole) - s) for s in starts]
     positions = F.filter(
         F.array(*[F.when(t > 0, demand_inverse(s.cast("double"), F.col("target"), F.col("place"), schedules)) for s, t in zip(starts, taken)]),
         lambda x: x.isNotNull(),
     )
-    return rows.select(*keep, "size", "source_size", "target", sum(taken[1:], taken[0]).cast("long").alias("taken"), positions.alias("positions"))
+    share = F.call_function("div", sum(taken[1:], taken[0]), F.col("rows")).cast("long")
+    return rows.select("doc_id", F.col("_source").alias("source"), "_order", "rows", "size", "source_size", "target", share.alias("taken"), positions.alias("positions"))
+
+
+def repeated(rows: DataFrame, n: str = "rows", at_once: int = 1 << 16) -> DataFrame:
+    """Each row as often as its column ``n`` says, in two steps, so that no array is long."""
+    parts = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / at_once))))
+    return parts.withColumn("_part", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(at_once).cast("long"), F.col(n) - F.col("_part") * at_once)))).drop("_part", n)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken and positions.
+
+    ``taken`` is the words of the document that fall under its source's target over the epochs;
+    the last document of a source is taken in part, so a source's taken words equal its target
+    rounded down. ``positions`` has the training position of each copy.
+    """
+    return repeated(placed(docs, **options)).select("doc_id", "size", "source_size", "target", "taken", "positions")
+
+
+def curriculum(docs: DataFrame, **options) -> DataFrame:
+    """``mix``, range-sorted by training position; rows that aren't taken come last."""
+    rows = mix(docs, **options).withColumn("position", F.try_element_at("positions", F.lit(1)))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The curriculum: the documents that the mix takes, range-sorted by training position.
 
     Adds size, source_size, target, taken, ``position`` (the first copy's) and ``positions``
-    (of all copies); columns of these names are replaced. Of rows that repeat a doc_id each
-    gets the places of all.
+    (of all copies); columns of these names are replaced. Rows are met by doc_id, source and text.
     """
     added = ("size", "source_size", "target", "taken", "position", "positions")
-    places = mix(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("__mg_id")).agg(
-        F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"),
-        F.sum("taken").alias("taken"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"),
-    )
-    places = places.withColumn("position", F.element_at("positions", 1)).select("__mg_id", *added)
-    docs = docs.drop(*added)
-    return docs.join(places, F.col("doc_id").eqNullSafe(F.col("__mg_id"))).drop("__mg_id").orderBy("position", "doc_id")
+
+    def key(order: Column) -> Column:
+        return F.concat(order, F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+
+    places = placed(docs, **options).filter("taken > 0").withColumn("position", F.element_at("positions", 1)).select(key(F.col("_order")).alias("__mg_key"), *added)
+    docs = docs.drop(*added).withColumn("__mg_key", key(order_hash(F.col("doc_id"), F.col("text"))))
+    return docs.join(places, "__mg_key").drop("__mg_key").orderBy("position", "doc_id")

@@ -18,6 +18,31 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+#: Every window of every text that starts with a word of the template, by brute force.
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d),
+p AS (SELECT label, string_split(phrase, ' ') AS pw FROM (VALUES {", ".join(f"({sql_text(k)}, {sql_text(v)})" for k, v in licenses.PHRASES.items())}) v(label, phrase)),
+b AS (SELECT rid, label, i FROM w JOIN p ON word = pw[1] JOIN d USING (rid) WHERE ws[i + 1 : i + len(pw)] = pw),
+bs AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY rid),
+t AS (SELECT k, label, tw, CAST(ceil(len(tw) * 1.25) AS BIGINT) AS width, len(list_distinct(tw)) AS n, CAST(ceil({licenses.THRESHOLD} * len(list_distinct(tw)) - 1e-9) AS BIGINT) AS need
+  FROM (SELECT k, label, string_split(notice, ' ') AS tw FROM (VALUES {", ".join(f"({k}, {sql_text(a)}, {sql_text(b)})" for k, (a, b) in enumerate(licenses.TEMPLATES))}) v(k, label, notice))),
+tw AS (SELECT DISTINCT k, width, unnest(tw) AS word FROM t),
+o AS (SELECT rid, i, word, k, width FROM w JOIN tw USING (word)),
+c AS (SELECT a.rid, a.k, a.i, count(DISTINCT z.word) AS c FROM o a JOIN o z ON a.rid = z.rid AND a.k = z.k AND z.i BETWEEN a.i AND a.i + a.width - 1 GROUP BY ALL),
+h AS (SELECT rid, label, max(c / n) AS containment FROM c JOIN t USING (k) WHERE c >= need GROUP BY ALL),
+hs AS (SELECT rid, max(containment) AS best FROM h GROUP BY rid),
+ls AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM b UNION ALL SELECT rid, label FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN bs USING (rid) LEFT JOIN hs USING (rid) LEFT JOIN ls USING (rid)
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -79,11 +104,23 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("positions")
-
-
-OP10_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    """Sorted by position; a document's second copy, if there is one, stands at last_position."""
+    at = lambda k: F.round(F.try_element_at("positions", F.lit(k)), 9)
+    return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", at(1).alias("position"), at(2).alias("last_position"))
+
+
+#: When a source of rising, falling or peaking weight has asked for a share x of its target.
+INVERSE_SQL = """round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE place % 3
+  WHEN 0 THEN sqrt(0.25::DOUBLE + 2 * ({x})) - 0.5::DOUBLE
+  WHEN 1 THEN (1.6::DOUBLE - sqrt(greatest(0.0::DOUBLE, 2.56::DOUBLE - 2.4::DOUBLE * ({x})))) / 1.2::DOUBLE
+  ELSE CASE WHEN ({x}) <= 0.5 THEN (sqrt(0.36::DOUBLE + 3.2::DOUBLE * ({x})) - 0.6::DOUBLE) / 1.6::DOUBLE
+    ELSE 0.5::DOUBLE + (1.4::DOUBLE - sqrt(greatest(0.0::DOUBLE, 1.96::DOUBLE - 3.2::DOUBLE * (({x}) - 0.5::DOUBLE)))) / 1.6::DOUBLE END END)), 9)"""
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
+        md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
+g AS (SELECT doc_id, source, size, o, count(*) AS n FROM d GROUP BY ALL),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
 w AS (SELECT *, CAST([3, 1, 2][place % 3 + 1] AS DOUBLE) AS weight FROM r),
@@ -93,15 +130,18 @@ l AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE / sum(weight) OVER () AS
         (sum(source_size) OVER () * 1.5::DOUBLE - 2 * sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
           / nullif(sum(weight) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS level
       FROM f WINDOW o AS (ORDER BY full_at, place)),
-t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * coalesce(CASE WHEN flat <= first_at THEN flat
+t AS (SELECT source, source_size, place, least(2.0::DOUBLE * source_size, weight * coalesce(CASE WHEN flat <= first_at THEN flat
         ELSE min(CASE WHEN level >= full_at AND level <= next_at THEN level END) OVER () END, 'inf'::DOUBLE)) AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
+p AS (SELECT g.*, t.source_size, t.place, t.target, floor(target) AS whole, g.size * g.n AS words,
+        coalesce(sum(g.size * g.n) OVER (PARTITION BY g.source ORDER BY o, g.doc_id NULLS FIRST, g.size
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(c + size, floor(target)) - c) + greatest(0, least(c + source_size + size, floor(target)) - c - source_size) AS BIGINT) AS taken
-FROM p
+      FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source),
+a AS (SELECT *, greatest(0, least(c + words, whole) - c) AS once, greatest(0, least(c + source_size + words, whole) - c - source_size) AS twice FROM p),
+e AS (SELECT *, unnest(generate_series(1, n)) AS k FROM a)
+SELECT doc_id, size, source_size, target, CAST(once + twice AS BIGINT) // n AS taken,
+  CASE WHEN once > 0 THEN {INVERSE_SQL.format(x="c::DOUBLE / target")} END AS position,
+  CASE WHEN once > 0 AND twice > 0 THEN {INVERSE_SQL.format(x="(c + source_size)::DOUBLE / target")} END AS last_position
+FROM e
 """
 
 QUERIES = {
@@ -116,4 +156,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
-SQL = {"op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_mixing": OP10_SQL}
+SQL = {"op2_license_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_mixing": OP10_SQL}

@@ -1,6 +1,9 @@
+import random
 import re
+from collections import Counter
 from math import ceil
 
+import pytest
 from helpers import AWKWARD, docs
 from meterglass.llm import licenses as L
 
@@ -43,8 +46,46 @@ def test_prefixes_follow_frequency(spark):
     df = docs(spark, [(i, "under the license") for i in range(9)] + [(99, "mit")])
     counts = L.word_frequencies(df, frozenset([b"under", b"the", b"mit", b"license"]))
     assert counts == {b"under": 9, b"the": 9, b"mit": 1, b"license": 9}
-    t = L.compiled(counts, (("mit", "under the mit license"),), 0.75)[0]
-    assert t.ordered[0] == b"mit" and len(t.prefix) == 2
+    join = L.Join(counts, (("mit", "under the mit license"),), 0.75)
+    assert join.rank[b"mit"] == 0 and len(join.templates[0].prefix) == 2 and join.first == {b"mit", b"license"}
+
+
+def test_each_filter_discards_and_none_loses():
+    """On texts of template words every filter acts, and each run of windows is what brute force finds."""
+    r = random.Random(3)
+    vocabulary = sorted({w for _, n in L.TEMPLATES for w in n.split()})
+    count = {w.encode(): 1000 // (k + 1) for k, w in enumerate(r.sample(vocabulary, len(vocabulary)))}
+    join, seen = L.Join(count), Counter()
+    for _ in range(400):
+        text = r.choices(vocabulary, k=r.randint(0, 60)) + r.choices(["filler"], k=r.randint(0, 90))
+        for _ in range(r.randint(0, 3)):
+            notice = r.choice(L.TEMPLATES)[1].split()
+            for _ in range(r.randint(0, 2)):
+                notice[r.randrange(len(notice))] = "other"
+            at = r.randint(0, len(text))
+            text[at:at] = notice if r.random() < 0.5 else r.sample(notice, len(notice))
+        if r.random() < 0.3:
+            text = [w for x in text for w in (x, "filler", "filler")]
+        got = {(k, round(c * 1000)) for k, _, _, _, c in join.hits([w.encode() for w in text], seen)}
+        want = {}
+        for k, (_, notice) in enumerate(L.TEMPLATES):
+            t = notice.split()
+            width = ceil(len(t) * 1.25)
+            for i in range(len(text)):
+                n = len(set(t) & set(text[i : i + width]))
+                if n >= ceil(L.THRESHOLD * len(set(t)) - 1e-9):
+                    want[k] = max(want.get(k, 0), n / len(set(t)))
+        assert {k: max(c for j, c in got if j == k) for k, _ in got} == {k: round(c * 1000) for k, c in want.items()}
+    assert all(seen[x] > 100 for x in ("prefix", "length", "position", "candidate")), seen
+
+
+def test_template_table(spark, monkeypatch):
+    table = spark.createDataFrame([("own", "these five words are mine"), ("none", None), ("empty", "")], "label string, notice string")
+    got = L.digest(L.scan(docs(spark, [(1, "say: these five words are mine!"), (2, "these words")]), table)).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == ["own", ""]
+    monkeypatch.setattr(L, "MAX_TEMPLATE_BYTES", 10)
+    with pytest.raises(ValueError):
+        L.scan(docs(spark, []), table)
 
 
 def test_long_and_empty(spark):
