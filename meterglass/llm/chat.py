@@ -12,6 +12,9 @@ is the hashes so far, the turns and the last output: memory grows with the longe
 (the template takes and gives it whole), work with the square of its turns. No prefix without
 turns is rendered: what a template puts before the first turn belongs to that turn's span.
 Offsets are places in the output of the turn's own prefix; after a rewrite they go on from there.
+A turn with which history is rewritten has the part of the output after the last common character
+as its span; its text is found by the probes in the whole output and read back from there, only
+its role is taken from the input. A text that the template doesn't show has no place and no loss.
 
 Defined results: null role or text counts as empty; turns are ordered by turn (nulls first),
 then role, then text; repeated rows are turns of their own; a null conv_id is a conversation of
@@ -23,14 +26,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns from which a conversation is a long one to the tests; rendering has no window.
-CONTEXT = 16
 #: Two texts whose outputs differ only where a turn's text stands.
 PROBES = "x", "y"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -59,16 +59,31 @@ def read_turn(span: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
-def added(render: Callable, before: str, turns: list[tuple[str, str]]) -> tuple[str, int, int, int, bool]:
-    """The output of ``turns``, where it goes on from ``before``, the output without the last turn, where that turn's text stands after this, and whether history was rewritten."""
+def shared(one: str, other: str) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(one), len(other))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if one[low:mid] == other[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def added(render: Callable, before: str, turns: list[tuple[str, str]]) -> tuple[str, int, int | None, int | None, bool]:
+    """The output of ``turns``; where it leaves ``before``, the output without the last turn; from where to where
+    that turn's text stands in it (None if it doesn't); and whether history was rewritten."""
     now = render([*turns])
-    if not now.startswith(before):
-        return now, len(commonprefix([before, now])), 0, 0, True
-    role, at = turns[-1][0], len(before)
-    one, other = (render([*turns[:-1], (role, p)])[at:] for p in PROBES)
-    head = len(commonprefix([one, other]))
-    tail = len(commonprefix([one[:head:-1], other[:head:-1]]))
-    return now, at, head, len(now) - at - tail, False
+    rewritten = not now.startswith(before)
+    at = shared(before, now) if rewritten else len(before)
+    role, skip = turns[-1][0], 0 if rewritten else at
+    one, other = (render([*turns[:-1], (role, p)])[skip:] for p in PROBES)
+    if one == other:
+        return now, at, None, None, rewritten
+    head = shared(one, other)
+    tail = shared(one[:head:-1], other[:head:-1])
+    return now, at, skip + head, len(now) - tail, rewritten
 
 
 def format_conversations(rows: DataFrame, render: Callable = chatml, parse: Callable = read_turn, decode: Callable = unescape, masked: str = "assistant", texts: bool = True) -> DataFrame:
@@ -89,16 +104,16 @@ def format_conversations(rows: DataFrame, render: Callable = chatml, parse: Call
                     state = {"conv": conv, "n": 0, "output": "", "said": [], "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "rewritten": 0}
                 state["said"].append((role, text))
                 state["output"], at, lo, hi, rewritten = added(render, state["output"], state["said"])
-                span = state["output"][at:]
-                back, said = parse(span) if not rewritten else (role, text)
+                span, shown = state["output"][at:], state["output"][lo:hi] if lo is not None else None
+                back, said = parse(span) if not rewritten else (role, "" if shown is None else decode(shown))
                 state["turns"].update(f"{back}\n{said}\n".encode("utf-8", "surrogatepass"))
-                if back == masked and not rewritten:
-                    learned = decode(span[lo:hi])
+                mask = back == masked and shown is not None
+                if mask:
+                    learned = decode(shown)
                     state["loss"].update(learned.encode("utf-8", "surrogatepass"))
                     state["loss_chars"] += len(learned)
                 if texts:
-                    mask = back == masked and not rewritten
-                    out.append((conv, state["n"], span, at + lo if mask else None, at + hi if mask else None, rewritten))
+                    out.append((conv, state["n"], span, lo if mask else None, hi if mask else None, rewritten))
                 state["n"], state["rewritten"] = state["n"] + 1, state["rewritten"] + rewritten
                 if len(out) >= 2000:
                     yield pack(out, names)

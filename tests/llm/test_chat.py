@@ -65,7 +65,9 @@ def test_templates_that_reach_far_back(spark):
         assert [r["n"] for r in got if r["rewritten"]] == rewritten
         turns = [(r, f"text {i}") for i, r in enumerate(roles)]
         for r in got:
-            if not r["rewritten"]:
+            if r["loss_from"] is None:
+                assert r["rewritten"] and roles[r["n"]] != "assistant"
+            else:
                 assert render(turns[: r["n"] + 1])[r["loss_from"] : r["loss_to"]] == f"text {r['n']}"
         digest = C.format_conversations(df, render=render, parse=lambda s: ("assistant", s), decode=str, texts=False).first()
         assert (digest["rewritten_turns"], digest["formatted_chars"]) == (len(rewritten), len(render(turns)))
@@ -75,7 +77,7 @@ def test_templates_that_reach_far_back(spark):
     assert [whole[r["loss_from"] : r["loss_to"]] for r in got if r["loss_from"] is not None] == [f"text {i}" for i in range(2, 31, 2)]
 
 
-@pytest.mark.parametrize("n", [1, C.CONTEXT, 5 * C.CONTEXT])
+@pytest.mark.parametrize("n", [1, 16, 80])
 def test_long_conversations_stream(spark, n):
     df = spark.createDataFrame([(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(n)], SCHEMA)
     r = C.format_conversations(df, texts=False).first()
@@ -83,5 +85,39 @@ def test_long_conversations_stream(spark, n):
     assert (r["n_turns"], r["formatted_chars"], r["rewritten_turns"]) == (n, len(C.chatml(turns)), 0)
 
 
+def test_template_that_numbers_and_folds(spark):
+    """Turns are numbered from the conversation's start, and beyond 20 turns the first ones fold into a count."""
+
+    def render(turns):
+        fold = max(0, len(turns) - 20)
+        return (f"({fold} folded)" if fold else "") + "".join(f"<{i}:{r}>{t}" for i, (r, t) in enumerate(turns) if i >= fold)
+
+    turns = [(("user", "assistant")[i % 2], f"text {i}") for i in range(40)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], SCHEMA).selectExpr("*", "'own' AS loss_from", "0 AS rewritten")
+
+    def parse(span):
+        role, _, text = span.partition(">")
+        return role.rpartition(":")[2], text
+
+    got = C.format_conversations(df, render=render, parse=parse, decode=str).orderBy("n").collect()
+    assert [r["n"] for r in got if r["rewritten"]] == list(range(20, 40))
+    assert "".join(r["span"] for r in got[:20]) == render(turns[:20])
+    for r in got[1::2]:
+        assert render(turns[: r["n"] + 1])[r["loss_from"] : r["loss_to"]] == turns[r["n"]][1]
+    digest = C.format_conversations(df, render=render, parse=parse, decode=str, texts=False).first()
+    loss = "".join(t for r, t in turns if r == "assistant")
+    assert (digest["loss_chars"], digest["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert digest["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+
+
+def test_very_long_text_and_hidden_text(spark):
+    long = "word <|im_end|> \\ " * 60_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "assistant", "hidden")], SCHEMA)
+    got = {r["conv_id"]: r for r in C.format_conversations(df, texts=False).collect()}
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    r = C.format_conversations(df.filter("conv_id = 2"), render=lambda turns: "[...]" * len(turns), parse=lambda s: ("assistant", s)).first()
+    assert r["loss_from"] is None and r["span"] == "[...]"
+
+
 def test_empty(spark):
     assert C.format_conversations(spark.createDataFrame([], SCHEMA), texts=False).count() == 0
