@@ -1,7 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Each language has a model of order ``ORDER`` over lower-cased letters, every other run of
-characters being one blank. N-grams are 64-bit hashes (16 bits a character) in sorted arrays
+characters being one blank. N-grams are 64-bit hashes (16 bits a character; letters beyond that
+are folded into a range without letters, where rare ones may share a number) in sorted arrays
 that all languages share, each with the interpolated log-probability in every language; an
 n-gram that no language has seen backs off through its history's weight to the next order. The
 language with the lowest cross-entropy a character wins. A logistic curve, fitted on labelled
@@ -34,6 +35,8 @@ CALIBRATION = 5
 SLOT_BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BLANK = 32
+#: Where letters beyond 16 bits are folded to: numbers that no letter has itself.
+FOLD_FROM, FOLD_SIZE = 0xE000, 0x1900
 UNKNOWN = "und"
 
 
@@ -50,7 +53,8 @@ def characters(text: str, letters: np.ndarray) -> np.ndarray:
         is_letter[beyond] = [chr(c).isalpha() for c in codes[beyond]]
     if not is_letter.any():
         return np.zeros(0, np.uint64)
-    out = np.where(is_letter, codes & 0xFFFF, BLANK).astype(np.uint64)
+    folded = np.where(codes < 0x10000, codes, FOLD_FROM + codes % FOLD_SIZE)
+    out = np.where(is_letter, folded, BLANK).astype(np.uint64)
     out = np.r_[np.uint64(BLANK), out, np.uint64(BLANK)]
     return out[np.r_[True, (out[1:] != BLANK) | (out[:-1] != BLANK)]]
 

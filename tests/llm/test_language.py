@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,6 +47,55 @@ def test_arrays_agree_with_the_counts():
     assert np.allclose(m.cross_entropy(chars), want, atol=1e-5)
 
 
+def plain_cross_entropy(train, text, order=4):
+    """Interpolated Kneser-Ney from its definition, with strings and dictionaries; None without a letter."""
+
+    def shaped(t):
+        return " " + "".join(c if c.isalpha() else " " for c in t.lower()).strip() + " "
+
+    def squeezed(t):
+        return " " + " ".join(shaped(t).split()) + " "
+
+    counts = {order: Counter(s[i : i + order] for s in map(squeezed, train) for i in range(len(s) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[k] = min(0.95, max(0.1, once / (once + 2 * twice) if once + twice else 0.5))
+
+    def p(gram, k, alphabet):
+        if k == 0:
+            return 1 / alphabet
+        history = gram[:-1]
+        after = [v for g, v in counts[k].items() if g[:-1] == history]
+        lower = p(gram[1:], k - 1, alphabet)
+        if not after:
+            return lower
+        return max(counts[k][gram] - discount[k], 0) / sum(after) + discount[k] * len(after) / sum(after) * lower
+
+    s = squeezed(text)
+    return lambda alphabet: -np.mean([np.log(p(s[i : i + order], order, alphabet)) for i in range(len(s) - order + 1)]), set(counts[1])
+
+
+def test_scores_against_the_definition():
+    letters = G.letter_table()
+    texts = {"a": ["banana bandana, cabana!", "an ananas"], "b": ["la casa de la rosa", "Ñandú y ñoño 12 la"], "c": ["\U00010400\U00010401 \U00010428 banal"]}
+    m = G.Models.fit({k: np.unique(np.concatenate([G.ngrams(G.characters(t, letters)) for t in ts]), return_counts=True) for k, ts in texts.items()}).ready()
+    for text in ("casa banana xyz", "ñandú", "qqqq", "a la", "\U00010428\U00010428 banal \U00010400"):
+        plain = [plain_cross_entropy(texts[k], text) for k in m.languages]
+        alphabet = len(set().union(*(seen for _, seen in plain))) + 1
+        want = [entropy(alphabet) for entropy, _ in plain]
+        assert np.allclose(m.cross_entropy(G.characters(text, letters)), want, atol=1e-5), text
+        assert m.predict(G.characters(text, letters))[0] == m.languages[int(np.argmin(want))]
+
+
+def test_letters_beyond_16_bits():
+    letters = G.letter_table()
+    one, other = G.characters("\U00010020\U00010021", letters), G.characters("\U00010021\U00010020", letters)
+    assert len(one) == 4 and (one != other).any() and not set(one[1:-1]) & {G.BLANK}
+
+
 def test_held_out_accuracy(spark):
     rows = corpus()
     df = docs(spark, rows, extra=True)
