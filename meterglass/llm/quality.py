@@ -5,9 +5,9 @@ Bytes are embedded; learned filters of ``WIDTH`` bytes slide over the text in st
 by half and cover the whole text; a small layer reads each chunk, its mean and maximum over all
 chunks form the document's vector, and a logistic unit turns that into one probability.
 
-The network is fitted on a bounded sample: at most ``MAX_ROWS`` labelled rows of either label,
-by hash of doc_id, of which ``TRAIN_CHUNKS`` chunks, spread evenly, are read per pass. Scoring
-reads every byte of every text.
+The network is fitted on a bounded sample: of either label at most ``MAX_ROWS`` labelled rows, by
+hash of doc_id, and no more of them than have ``SAMPLE_BYTES`` of text. Each pass reads every
+chunk of their whole texts, a slab at a time. Scoring reads every byte of every text.
 
 Defined results: a null or empty text is one chunk of padding; rows are scored one by one, so
 ties and repeated rows score alike; without labelled rows of both labels every score is the
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, as_bytes
 
 MAX_ROWS = 1500
-TRAIN_CHUNKS = 8
+SAMPLE_BYTES = 16_000_000
 #: Passes over the sample, more where it is so small that these make fewer than ``LEAST_STEPS`` steps.
-EPOCHS, LEAST_STEPS = 10, 600
+EPOCHS, LEAST_STEPS = 6, 600
 WIDTH, STEP, CHUNK = 8, 4, 512
 EMBED, FILTERS, HIDDEN = 8, 32, 16
 PAD = 256
@@ -35,6 +35,8 @@ PAD = 256
 HALF = CHUNK // 2 // STEP
 #: Bytes that the scorer works on at once.
 SLAB = 1 << 18
+#: Chunks that a training pass works on at once.
+TRAIN_SLAB = 256
 
 
 def padded(text: bytes) -> np.ndarray:
@@ -83,38 +85,52 @@ class Network:
         z = float(np.concatenate([h.mean(0), h.max(0)]) @ self.out + self.out_bias[0])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    def gradients(self, codes: np.ndarray, owner: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        """codes: chunks by CHUNK + STEP; owner: each chunk's document, ascending; y: labels of the documents."""
-        n, steps = len(codes), CHUNK // STEP
-        embedded = self.embed[codes].reshape(n, steps + 1, STEP * EMBED)
+    def answers(self, codes: np.ndarray) -> np.ndarray:
+        """Chunks x steps x filters, without bias. ``codes``: chunks by CHUNK + STEP."""
+        embedded = self.embed[codes].reshape(len(codes), CHUNK // STEP + 1, STEP * EMBED)
         split = STEP * EMBED
-        answers = embedded[:, :-1] @ self.filters[:split] + embedded[:, 1:] @ self.filters[split:]
-        where = answers.argmax(1)  # n x FILTERS
-        pooled = np.take_along_axis(answers, where[:, None], 1)[:, 0] + self.filter_bias
+        return embedded[:, :-1] @ self.filters[:split] + embedded[:, 1:] @ self.filters[split:]
+
+    def gradients(self, flat: np.ndarray, starts: np.ndarray, owner: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean loss. flat: byte values; starts: where each chunk starts in them; owner: each chunk's document,
+        ascending; y: labels of the documents. Only the filters' maxima and where they stand are kept between the two
+        passes over the chunks, so a document's length doesn't matter."""
+        n = len(starts)
+        slabs = [slice(at, min(n, at + TRAIN_SLAB)) for at in range(0, n, TRAIN_SLAB)]
+        where = np.empty((n, FILTERS), np.int64)
+        pooled = np.empty((n, FILTERS), self.filters.dtype)
+        for part in slabs:
+            answers = self.answers(flat[starts[part, None] + np.arange(CHUNK + STEP)])
+            where[part] = answers.argmax(1)
+            pooled[part] = np.take_along_axis(answers, where[part][:, None], 1)[:, 0]
+        pooled += self.filter_bias
         act = np.maximum(pooled, 0)
         pre = act @ self.hidden + self.hidden_bias
         h = np.maximum(pre, 0)
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        counts = np.diff(np.r_[starts, n])
-        mean = np.add.reduceat(h, starts) / counts[:, None]
-        top = np.maximum.reduceat(h, starts)
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        counts = np.diff(np.r_[first, n])
+        mean = np.add.reduceat(h, first) / counts[:, None]
+        top = np.maximum.reduceat(h, first)
         doc = np.concatenate([mean, top], 1)
         p = 1 / (1 + np.exp(-np.clip(doc @ self.out + self.out_bias[0], -30, 30)))
         g = ((p - y) / len(y)).astype(np.float32)
         d_out, d_bias = doc.T @ g, np.array([g.sum()], np.float32)
         d_doc = g[:, None] * self.out
-        place = np.repeat(np.arange(len(starts)), counts)
+        place = np.repeat(np.arange(len(first)), counts)
         tied = h == top[place]
-        share = tied / np.maximum(1, np.add.reduceat(tied.astype(np.float32), starts))[place]
+        share = tied / np.maximum(1, np.add.reduceat(tied.astype(np.float32), first))[place]
         d_h = (d_doc[place, :HIDDEN] / counts[place][:, None] + d_doc[place, HIDDEN:] * share) * (pre > 0)
         d_pooled = (d_h @ self.hidden.T) * (pooled > 0)
-        spots = where[:, :, None] * STEP + np.arange(WIDTH)  # n x FILTERS x WIDTH
-        read = codes[np.arange(n)[:, None, None], spots]
-        seen = self.embed[read].reshape(n, FILTERS, WIDTH * EMBED)
-        d_filters = np.einsum("nf,nfk->kf", d_pooled, seen, optimize=True)
-        d_seen = (d_pooled[:, :, None] * self.filters.T[None]).reshape(-1, EMBED)
-        flat = read.reshape(-1)
-        d_embed = np.stack([np.bincount(flat, weights=d_seen[:, e], minlength=257) for e in range(EMBED)], 1)
+        d_filters, d_embed = np.zeros((WIDTH * EMBED, FILTERS)), np.zeros((257, EMBED))
+        for part in slabs:
+            spots = starts[part][:, None, None] + where[part][:, :, None] * STEP + np.arange(WIDTH)  # chunks x FILTERS x WIDTH
+            read = flat[spots]
+            seen = self.embed[read].reshape(len(read), FILTERS, WIDTH * EMBED)
+            d_filters += np.einsum("nf,nfk->kf", d_pooled[part], seen, optimize=True)
+            d_seen = (d_pooled[part][:, :, None] * self.filters.T[None]).reshape(-1, EMBED)
+            at = read.reshape(-1)
+            for e in range(EMBED):
+                d_embed[:, e] += np.bincount(at, weights=d_seen[:, e], minlength=257)
         d_embed[PAD] = 0
         return [d_embed, d_filters, d_pooled.sum(0), act.T @ d_h, d_h.sum(0), d_out, d_bias]
 
@@ -123,12 +139,6 @@ class Network:
             self.constant = float(labels.mean()) if len(labels) else 0.5
             return self
         r = np.random.default_rng(seed)
-        cut = []
-        for t in texts:
-            codes = padded(t)
-            k = (len(codes) - STEP) // (CHUNK // 2) - 1
-            at = np.unique(np.linspace(0, k - 1, min(k, TRAIN_CHUNKS)).astype(int)) * (CHUNK // 2)
-            cut.append(codes[at[:, None] + np.arange(CHUNK + STEP)])
         self.out_bias[0] = np.log(labels.mean() / (1 - labels.mean()))
         first = [np.zeros_like(getattr(self, n)) for n in self.names]
         second = [np.zeros_like(x) for x in first]
@@ -139,11 +149,14 @@ class Network:
             order = r.permutation(len(texts))
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
-                codes = np.concatenate([cut[i] for i in own])
-                owner = np.repeat(np.arange(len(own)), [len(cut[i]) for i in own])
+                codes = [padded(texts[i]) for i in own]
+                chunks = [(len(c) - STEP) // (CHUNK // 2) - 1 for c in codes]
+                begin = np.cumsum([0, *[len(c) for c in codes[:-1]]])
+                starts = np.concatenate([b + np.arange(k) * (CHUNK // 2) for b, k in zip(begin, chunks)])
+                owner = np.repeat(np.arange(len(own)), chunks)
                 step += 1
                 pace = rate * min(1.0, step / 30) * (0.5 + 0.5 * np.cos(np.pi * step / (total + 1)))
-                for k, (name, g) in enumerate(zip(self.names, self.gradients(codes, owner, labels[own].astype(np.float32)))):
+                for k, (name, g) in enumerate(zip(self.names, self.gradients(np.concatenate(codes), starts, owner, labels[own].astype(np.float32)))):
                     w = getattr(self, name)
                     g = g.astype(np.float32) + 1e-4 * w
                     first[k] = 0.9 * first[k] + 0.1 * g
@@ -159,17 +172,26 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable) -> Network:
-    """Fits on labelled rows for which the column ``learnable`` (of doc_id) holds."""
+    """Fits on labelled rows for which the column ``learnable`` (of doc_id) holds; repeated labels count as the highest."""
     marks = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(learnable).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
     counts = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rank = F.xxhash64("_id", F.lit("quality"))
-    picked = marks.filter("_y = 1").orderBy(rank).limit(MAX_ROWS).unionByName(marks.filter("_y = 0").orderBy(rank).limit(MAX_ROWS))
-    got = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(picked), "_id").groupBy("_id", "_y").agg(F.max("text").alias("text")).toArrow().sort_by("_id")
+    marks = marks.withColumn("_rank", F.xxhash64("_id", F.lit("quality")))
+    picked = marks.filter("_y = 1").orderBy("_rank").limit(MAX_ROWS).unionByName(marks.filter("_y = 0").orderBy("_rank").limit(MAX_ROWS))
+    # texts come to the driver only once their lengths are known
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(picked), "_id")
+    sizes = rows.groupBy("_id", "_y", "_rank").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy("_rank").collect()
+    room, chosen = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}, []
+    for r in sizes:
+        if r["n"] <= room[r["_y"]]:
+            room[r["_y"]] -= r["n"]
+            chosen.append((r["_id"],))
+    if not chosen:
+        return Network().fit([], np.zeros(0))
+    ids = docs.sparkSession.createDataFrame(chosen, "_id long")
+    got = rows.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.max("text").alias("text")).toArrow().sort_by("_id")
     texts = [as_bytes(t) for t in got.column("text").to_pylist()]
-    y = got.column("_y").to_numpy() if texts else np.zeros(0)
-    network = Network().fit(texts, y)
-    share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return network.shift(share, float(y.mean())) if len(y) else network
+    y = got.column("_y").to_numpy()
+    return Network().fit(texts, y).shift(counts.get(1, 0) / sum(counts.values()), float(y.mean()))
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:

@@ -39,7 +39,7 @@ def test_gradients():
         p = 1 / (1 + np.exp(-z))
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    for name, g in zip(n.names, n.gradients(codes, owner, y)):
+    for name, g in zip(n.names, n.gradients(codes.ravel(), np.arange(5) * (Q.CHUNK + Q.STEP), owner, y)):
         w, at = getattr(n, name), np.unravel_index(np.abs(g).argmax(), g.shape)
         was = w[at]
         w[at] = was + 1e-5
@@ -50,6 +50,50 @@ def test_gradients():
         assert abs(g[at] - (high - low) / 2e-5) < 1e-5, name
 
 
+def plain_score(n, text):
+    """The network by its definition: filter by filter and place by place."""
+    codes = list(text) + [Q.PAD] * (max(2, -(-len(text) // 256)) * 256 + Q.STEP - len(text))
+    chunks = []
+    for start in range(0, len(codes) - Q.STEP - 256, 256):
+        top = [max(sum(float(n.embed[codes[at + i], e] * n.filters[i * Q.EMBED + e, f]) for i in range(Q.WIDTH) for e in range(Q.EMBED)) for at in range(start, start + Q.CHUNK, Q.STEP)) for f in range(Q.FILTERS)]
+        act = [max(0.0, t + float(b)) for t, b in zip(top, n.filter_bias)]
+        chunks.append([max(0.0, sum(a * float(w) for a, w in zip(act, n.hidden[:, k])) + float(n.hidden_bias[k])) for k in range(Q.HIDDEN)])
+    doc = [sum(c[k] for c in chunks) / len(chunks) for k in range(Q.HIDDEN)] + [max(c[k] for c in chunks) for k in range(Q.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(d * float(w) for d, w in zip(doc, n.out)) + float(n.out_bias[0]))))
+
+
+def test_scores_against_the_definition():
+    r = np.random.default_rng(5)
+    n = Q.Network(11)
+    n.out, n.filter_bias, n.hidden_bias = r.normal(0, 1, 2 * Q.HIDDEN).astype(np.float32), r.normal(0, 0.3, Q.FILTERS).astype(np.float32), r.normal(0, 0.3, Q.HIDDEN).astype(np.float32)
+    for text in (b"", b"short", bytes(r.integers(0, 256, 700).astype(np.uint8)), "zwölf Boxkämpfer ".encode() * 30):
+        assert abs(n.score(text) - plain_score(n, text)) < 1e-5
+
+
+def test_training_reads_whole_texts(monkeypatch):
+    """What stands only far into long texts is learned, and slabs don't change the gradients."""
+    r = np.random.default_rng(9)
+    plain = [bytes(r.integers(97, 110, 12_000).astype(np.uint8)) for _ in range(40)]
+    texts = [t[:9_000] + b"#$%&" * 40 + t[9_160:] if i % 2 else t for i, t in enumerate(plain)]
+    y = np.arange(40) % 2
+    n = Q.Network().fit(texts, y, epochs=3)
+    assert np.mean([(n.score(t) > 0.5) == v for t, v in zip(texts, y)]) > 0.9
+    codes, owner = r.integers(0, 257, (7, Q.CHUNK + Q.STEP)), np.array([0, 0, 1, 1, 1, 1, 1])
+    args = codes.ravel(), np.arange(7) * (Q.CHUNK + Q.STEP), owner, np.array([1.0, 0.0])
+    whole = n.gradients(*args)
+    monkeypatch.setattr(Q, "TRAIN_SLAB", 2)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole, n.gradients(*args)))
+
+
+def test_sample_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SAMPLE_BYTES", 3_000)
+    seen = []
+    monkeypatch.setattr(Q.Network, "fit", lambda self, texts, y: seen.append((texts, y)) or self)
+    Q.fit(docs(spark, [(i, "x" * 1_000) for i in range(20)] + [(99, "y" * 10_000)]), spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(99, 1, 0)], LABELS), F.lit(True))
+    texts, y = seen[0]
+    assert sorted(y) == [0, 0, 0, 1, 1, 1] and {len(t) for t in texts} == {1_000}
+
+
 def test_whole_text_counts():
     """The maxima over slabs are those over the whole text, and the last bytes matter."""
     n = Q.Network(1)
