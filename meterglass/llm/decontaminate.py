@@ -12,14 +12,19 @@ of its own length. Of runs without blanks longer than ``LONG`` bytes, each ``PIE
 a word here. An item found whole is reported so; else the first passage that verifies, those with
 most shared q-grams first. Before alignment the lemma is applied to q-grams of ``SHORT_Q`` bytes, too. A passage in which replaced words take more than the budget isn't found.
 
-The benchmark goes to the tasks in blocks of at most about ``BLOCK_BYTES`` of item text, one
-pass over the documents for each, so nothing that grows is broadcast. Text batches stream; no
-document or item is cut.
+Common q-grams are counted by item and band, ``PAIRS`` of them at once, before any is kept: a
+text that repeats one phrase takes time, not memory. Bands are looked at one by one.
+
+The benchmark goes to the tasks in blocks of at most about ``BLOCK_BYTES`` of item text (more only
+where one item is longer), broadcast one by one, so the driver holds one at a time; documents
+are read once for each ``AT_ONCE`` blocks, and texts stream, a few at a time. No document or item
+is cut.
 
 Defined results: null or empty texts match nothing; null or empty items are never found; items
-shorter than ``q`` must stand exactly, as whole words; repeated items are found each for itself;
-repeated rows are results of their own; an empty table gives an empty result; ``drop_contaminated``
-passes all columns through, whatever their names.
+shorter than ``q`` must stand exactly, as whole words; rows that repeat an item count once, items
+of equal text each for itself; repeated rows of documents are results of their own; an item
+without item_id counts as found but isn't listed; an empty table gives an empty result;
+``drop_contaminated`` passes all columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 Q = 10
 #: Edits allowed, as a share of the item's normalised bytes.
 EDITS = 0.08
 BLOCK_BYTES = 4_000_000
+#: Blocks that one pass over the documents looks for.
+AT_ONCE = 2
+#: Pairs of a text's and an item's equal q-grams that are counted at once.
+PAIRS = 1 << 20
 TABLE_BITS = 22
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Length of the q-grams that a passage is looked at for before it is aligned.
@@ -40,6 +51,8 @@ SHORT_Q = 4
 #: Words of a passage, and what counts as one in a run of bytes without blanks.
 PASSAGE = 13
 LONG, PIECE = 24, 6
+#: Alignments of a text that are remembered.
+KEPT = 1000
 #: Lifts the numbers of bands above zero.
 LIFT = 1 << 31
 #: Letters and digits stay (A-Z as a-z, all beyond ASCII); everything else is a blank.
@@ -139,57 +152,76 @@ class Index:
         slot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         same = self.keys[slot] == h[at]
         at, slot = at[same], slot[same]
-        many = self.count[slot]
-        total = int(many.sum())
-        if not total:
-            return found
-        entry = np.repeat(self.first[slot] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(total)
-        item, place = self.item[entry], self.place[entry]
-        at = np.repeat(at, many)
-        enough = np.bincount(item, minlength=len(self.items)) >= self.least
-        whole = set()
-        for k in np.flatnonzero(enough):
-            own = item == k
-            got = self.verify(a, k, at[own] - place[own])
+        totals, bands = self.counted(at, slot)
+        whole, self.seen = set(), {}
+        for k in np.flatnonzero(totals >= self.least).tolist():
+            got = self.verify(a, k, *bands(k))
             if got:
                 found.append((self.ids[k], *got))
-                whole.add(int(k))
+                whole.add(k)
         if self.words:
-            found += self.passages(a, item, place, at - place, whole)
+            found += self.passages(a, h, at, slot, whole)
         return found
 
-    def passages(self, a: np.ndarray, item: np.ndarray, place: np.ndarray, diagonals: np.ndarray, whole: set[int]) -> list[tuple[int, int, int, int]]:
-        """What ``find`` gives, of a passage of each item that isn't in ``whole``."""
-        band = diagonals // self.width[item]
+    def pairs(self, at: np.ndarray, slot: np.ndarray):
+        """(item, diagonal) of the pairs of equal q-grams, about ``PAIRS`` at once. ``at``, ``slot``: text places and their keys."""
+        ends = np.cumsum(self.count[slot])
+        i = 0
+        while i < len(at):
+            done = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+            many = self.count[slot[i:j]]
+            entry = np.repeat(self.first[slot[i:j]] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(int(many.sum()))
+            yield self.item[entry], np.repeat(at[i:j], many) - self.place[entry]
+            i = j
+
+    def counted(self, at: np.ndarray, slot: np.ndarray):
+        """Equal q-grams by item; and a function that gives an item's bands (for the whole item) and their counts."""
+        totals = np.zeros(len(self.items), np.int64)
+        for item, _ in self.pairs(at, slot):
+            totals += np.bincount(item, minlength=len(self.items))
+
+        def bands(k: int) -> tuple[np.ndarray, np.ndarray]:
+            width = 2 * int(self.budget[k]) + 1
+            return merged([np.unique(d[item == k] // width, return_counts=True) for item, d in self.pairs(at, slot)])
+
+        return totals, bands
+
+    def passages(self, a: np.ndarray, h: np.ndarray, at: np.ndarray, slot: np.ndarray, whole: set[int]) -> list[tuple[int, int, int, int]]:
+        """What ``find`` gives, of a passage of each item that isn't in ``whole``. ``h``: the text's q-grams."""
         # bands are counted in a small table first: two numbers that share a place only count too much
-        mask = (1 << max(8, len(item).bit_length() + 1)) - 1
-        slot = (item * 40503 + band) & mask
-        n = np.bincount(slot, minlength=mask + 1)
-        keep = n[slot] + np.maximum(n[(slot + 1) & mask], n[(slot - 1) & mask]) >= self.fewest[item]
-        if not keep.any():
+        mask = (1 << min(22, max(8, int(self.count[slot].sum()).bit_length() + 1))) - 1
+        n = np.zeros(mask + 1, np.int64)
+        for item, d in self.pairs(at, slot):
+            n += np.bincount((item * 40503 + d // self.width[item]) & mask, minlength=mask + 1)
+        codes = []
+        for item, d in self.pairs(at, slot):
+            band = d // self.width[item]
+            spot = (item * 40503 + band) & mask
+            keep = n[spot] + np.maximum(n[(spot + 1) & mask], n[(spot - 1) & mask]) >= self.fewest[item]
+            if keep.any():
+                codes.append(np.unique((item[keep].astype(np.int64) << 32) + band[keep] + LIFT, return_counts=True))
+        if not codes:
             return []
-        code, place = (item[keep].astype(np.int64) << 32) + band[keep] + LIFT, place[keep]
-        code, place = np.r_[code, code - 1], np.r_[place, place]
-        order = np.lexsort((place, code))
-        code, place = code[order], place[order]
-        groups, first, count = np.unique(code, return_index=True, return_counts=True)
-        able = count >= self.fewest[groups >> 32]
-        tries, grams = {}, None
-        for group, at, size in zip(groups[able].tolist(), first[able].tolist(), count[able].tolist()):
+        groups, count = paired(*merged(codes))
+        tries, grams, own = {}, None, {}
+        for group in groups[count >= self.fewest[groups >> 32]].tolist():
             k = group >> 32
             if k in whole:
                 continue
             lo, hi, e, least = self.windows[k]
-            there = place[at : at + size]
-            shared = np.searchsorted(there, hi - self.q, "right") - np.searchsorted(there, lo)
+            width, b = int(self.width[k]), (group & (1 << 32) - 1) - LIFT
+            if k not in own:
+                own[k] = qgrams(self.items[k], self.q)
+            shared = np.r_[0, np.cumsum(any_near(own[k], h, b * width, 2 * width))]
+            shared = shared[hi - self.q + 1] - shared[lo]
             w = np.flatnonzero(shared >= least)
             if not len(w):
                 continue
-            b = (group & (1 << 32) - 1) - LIFT
             # the lemma again, with short q-grams, of which more must be there
             if grams is None:
                 grams = short_grams(a)
-            have = np.r_[0, np.cumsum(any_near(self.items[k][lo[w[0]] : hi[w[-1]]], grams, b * int(self.width[k]) + int(lo[w[0]]), 2 * int(self.width[k])))]
+            have = np.r_[0, np.cumsum(any_near(short_grams(self.items[k][lo[w[0]] : hi[w[-1]]]), grams, b * width + int(lo[w[0]]), 2 * width))]
             x, y = lo[w] - lo[w[0]], hi[w] - lo[w[0]]
             w = w[have[y - SHORT_Q + 1] - have[x] >= y - x + 1 - SHORT_Q - SHORT_Q * e[w]]
             if len(w):
@@ -200,20 +232,32 @@ class Index:
             width = int(self.width[k])
             for _, w, b in sorted(places):
                 low = b * width + int(lo[w])
-                got = align(self.items[k][lo[w] : hi[w]], a, low, low + 2 * width - 1, int(e[w]))
+                got = self.aligned((k, w), self.items[k][lo[w] : hi[w]], a, low, 2 * width, int(e[w]))
                 if got:
                     found.append((self.ids[k], *got))
                     break
         return found
 
-    def verify(self, a: np.ndarray, k: int, diagonals: np.ndarray) -> tuple[int, int, int] | None:
-        """The best place of item k among the bands whose shared q-grams meet the bound."""
+    def aligned(self, name, part: np.ndarray, a: np.ndarray, low: int, size: int, most: int) -> tuple[int, int, int] | None:
+        """``align`` on the diagonals from low on; where a text repeats itself, one answer holds for equal stretches of it."""
+        high = low + len(part) + size
+        if low < 0 or high > len(a):
+            return align(part, a, low, low + size - 1, most)
+        key = name, a[low:high].tobytes()
+        if key not in self.seen:
+            if len(self.seen) >= KEPT:
+                self.seen.clear()
+            self.seen[key] = align(part, a[low:high], 0, size - 1, most)
+        got = self.seen[key]
+        return got and (got[0] + low, got[1] + low, got[2])
+
+    def verify(self, a: np.ndarray, k: int, bands: np.ndarray, counts: np.ndarray) -> tuple[int, int, int] | None:
+        """The best place of item k among the bands whose equal q-grams meet the bound."""
         e, best = int(self.budget[k]), None
         width = 2 * e + 1
-        band = diagonals // width
-        bands, hits = np.unique(np.r_[band, band - 1], return_counts=True)
+        bands, hits = paired(bands, counts)
         for b in bands[hits >= self.least[k]]:
-            got = align(self.items[k], a, int(b * width), int((b + 2) * width - 1), e)
+            got = self.aligned(k, self.items[k], a, int(b * width), 2 * width, e)
             if got and (best is None or got[2] < best[2]):
                 best = got
             if best and not best[2]:
@@ -221,6 +265,17 @@ class Index:
         return best
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of several such pairs, each number once."""
+    numbers, back = np.unique(np.concatenate([n for n, _ in parts]), return_inverse=True)
+    return numbers, np.bincount(back, weights=np.concatenate([c for _, c in parts]), minlength=len(numbers)).astype(np.int64)
+
+
+def paired(bands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bands of twice the width, which overlap by half: each with the counts of a band and the next."""
+    return merged([(bands, counts), (bands - 1, counts)])
+
+
 def short_grams(a: np.ndarray) -> np.ndarray:
     """The ``SHORT_Q``-grams themselves, as numbers."""
     n = max(0, len(a) - SHORT_Q + 1)
@@ -230,15 +285,14 @@ def short_grams(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def any_near(part: np.ndarray, grams: np.ndarray, low: int, size: int) -> np.ndarray:
-    """Of each ``SHORT_Q``-gram of ``part``: whether the text has it on one of the diagonals low..low + size - 1."""
-    own = short_grams(part)
-    there = np.full(len(own) + size - 1, -1, np.int64)
-    lo, hi = max(0, low), min(len(grams), low + len(there))
-    if hi > lo:
-        there[lo - low : hi - low] = grams[lo:hi]
-    step = there.strides[0]
-    return (np.ndarray((len(own), size), np.int64, there, 0, (step, step)) == own[:, None]).any(1)
+def any_near(own: np.ndarray, grams: np.ndarray, low: int, size: int) -> np.ndarray:
+    """Of each of an item's q-grams: whether the text's, ``grams``, have it on one of the diagonals low..low + size - 1."""
+    out = np.zeros(len(own), bool)
+    for d in range(low, low + size):
+        x, y = max(0, -d), min(len(own), len(grams) - d)
+        if y > x:
+            out[x:y] |= own[x:y] == grams[x + d : y + d]
+    return out
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -281,50 +335,75 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return (int(start[k]), int(low + m + k), int(cost[k])) if cost[k] <= most else None
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about ``most`` bytes, by hash; one block comes to the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
+    """The items, each once, in blocks of about ``most`` bytes, by hash; one block comes to the driver at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // most))
     for k in range(n):
         yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
+def passes(docs: DataFrame, benchmark: DataFrame) -> list[list]:
+    """The benchmark's blocks as broadcasts, which leave the driver's memory, by passes over the documents."""
+    context = docs.sparkSession.sparkContext
+    handles = [context.broadcast(block) for block in blocks(benchmark)]
+    return [handles[at : at + AT_ONCE] for at in range(0, len(handles), AT_ONCE)]
+
+
+def small_parts(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
+
+
+HIT = pa.struct([(n, pa.int64()) for n in ("item_id", "start", "end", "edits")])
+FOUND = "array<struct<item_id:long,start:long,end:long,edits:long>>"
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
-    """One row per matching (doc_id, item_id): start, end in the normalised text and edits of the item or its passage; docs without matches once, with nulls."""
-    out = None
-    for block in blocks(benchmark):
-
-        def run(batches, block=block):
-            index = Index(block, q, edits, PASSAGE)
-            for batch in batches:
-                rows = []
-                for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    rows += [(i, *m) for m in index.find(t)] or [(i, None, None, None, None)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "item_id", "start", "end", "edits"])
-
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long")
-        out = part if out is None else out.unionByName(part.filter("item_id IS NOT NULL"))
-    return out
+    """One row per row of ``docs``: doc_id and ``found``, each item that stands in it with start and end in the normalised text and edits of it or its passage."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(f"cast(array() as {FOUND})").alias("found"))
+    every = passes(docs, benchmark)
+    for number, handles in enumerate(every):
+        last = number + 1 == len(every)
+
+        def run(batches, handles=handles, last=last):
+            indexes = [Index(h.value, q, edits, PASSAGE) for h in handles]
+            for part in small_parts(batches):
+                found = []
+                for t, before in zip(part.column("text").to_pylist(), part.column("found").to_pylist()):
+                    hits = [m for index in indexes for m in index.find(t)] if t else []
+                    found.append(before + [dict(zip(("item_id", "start", "end", "edits"), m)) for m in hits])
+                columns = {"doc_id": part.column("doc_id"), "text": part.column("text"), "found": pa.array(found, pa.list_(HIT))}
+                if last:
+                    del columns["text"]
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        rows = rows.mapInArrow(run, f"doc_id long, {'' if last else 'text string, '}found {FOUND}")
+        if not last:
+            rows = cut(rows)  # or the passes' workers and indexes would all be in memory at once
+    return rows
 
 
 def by_document(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items, item_ids (sorted), least_edits."""
+    """One row per row of ``docs``: doc_id, contaminated, n_items, item_ids (sorted), least_edits; no shuffle."""
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("found", lambda m: m["item_id"]), lambda i: i.isNotNull())))
     found = contamination(docs, benchmark, q, edits)
-    return found.groupBy("doc_id").agg(
-        (F.count("item_id") > 0).alias("contaminated"), F.countDistinct("item_id").alias("n_items"),
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.min("edits").alias("least_edits"),
-    )
+    return found.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"), F.array_min(F.transform("found", lambda m: m["edits"])).alias("least_edits"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
     """The rows of ``docs`` in which no item and no passage of one stands, with all their columns; no shuffle."""
-    for block in blocks(benchmark):
+    every = passes(docs, benchmark)
+    for number, handles in enumerate(every):
 
-        def run(batches, block=block):
-            index = Index(block, q, edits, PASSAGE)
-            for batch in batches:
-                yield batch.filter(pa.array([not index.find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+        def run(batches, handles=handles):
+            indexes = [Index(h.value, q, edits, PASSAGE) for h in handles]
+            for part in small_parts(batches):
+                yield part.filter(pa.array([not (t and any(index.find(t) for index in indexes)) for t in part.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if number + 1 < len(every):
+            docs = cut(docs)
     return docs

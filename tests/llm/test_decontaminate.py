@@ -57,6 +57,44 @@ def test_rows(spark):
     assert D.drop_contaminated(df, bench.limit(0)).count() == len(rows)
 
 
+def test_repeated_rows_and_blocks(spark, monkeypatch):
+    """Each row is a result of its own, and items in several blocks and passes are found as in one."""
+    rows = [(1, f"a {ITEM} b"), (1, "clean"), (None, ITEM), (None, "clean"), (2, f"{ITEM} {ITEM} 3 {ITEM} 17")]
+    bench = spark.createDataFrame([(i, f"{ITEM} {i}") for i in range(20)] + [(None, "no id but a text of its own"), (3, f"{ITEM} 3")], ITEMS)
+    got = []
+    for size in (D.BLOCK_BYTES, 300):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        monkeypatch.setattr(D.blocks, "__defaults__", (size,))
+        found = D.by_document(docs(spark, rows), bench).collect()
+        got.append(sorted(((r["doc_id"] or 0, r["contaminated"], r["n_items"], r["item_ids"], r["least_edits"]) for r in found), key=str))
+        assert D.drop_contaminated(docs(spark, rows), bench).count() == 2
+    assert got[0] == got[1] and len(got[0]) == 5 and sum(x[1] for x in got[0]) == 3
+    assert D.by_document(docs(spark, [(1, "no id but a text of its own")]), bench).first()["contaminated"]
+
+
+def test_repetition_needs_little_memory():
+    """A long text and an item of one repeated word: tens of millions of equal q-grams, counted in parts."""
+    import tracemalloc
+
+    index = D.Index([(1, "word " * 200 + "end of it"), (2, ITEM)], words=D.PASSAGE)
+    tracemalloc.start()
+    found = index.find("word " * 30_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[0] for f in found] == [1] and peak < 200e6
+
+
+@pytest.mark.parametrize("pairs", [7, 1 << 20])
+def test_parts_of_the_count_agree(pairs, monkeypatch):
+    r = np.random.default_rng(3)
+    items = [" ".join(prose(40, r)) for _ in range(5)]
+    index = D.Index(list(enumerate(items)), words=D.PASSAGE)
+    text = " ".join(prose(50, r)) + items[1] + " ".join(items[3].split()[5:30]) + " " + items[1]
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    found = index.find(text)
+    assert [f[0] for f in found] == [1, 3] and found[0][3] <= 1 and found[1][3] <= 1
+
+
 @pytest.mark.parametrize("most", [300, 5000])
 def test_blocks_of_the_benchmark(spark, most):
     bench = spark.createDataFrame([(i, f"{ITEM} {i}") for i in range(20)], ITEMS)
