@@ -8,6 +8,11 @@ within covering radius plus threshold, 1 + 1 = 2 bits (1 or 16 of 2^26), so it m
 of each fingerprint one bit away. At an anchor, homes are compared with all that came there on
 the full 64 bits, and what is emitted are links that span the linked set, never all its pairs.
 
+Anchors at which more than ``HOT`` fingerprints may meet are found from counts of equal blocks
+before anything is copied. There homes are dealt over one set of salts and visitors over another,
+and each pair of salts is a group of its own; a group keeps its homes and streams its visitors, so
+a task's memory is bounded by ``HOT`` homes wherever fingerprints crowd.
+
 Only distinct fingerprints travel; their documents are joined back salt by salt. Components are
 found by alternating star contraction with salted joins.
 
@@ -33,6 +38,10 @@ WORDS = 3
 SEED = 42
 RADIUS = 3
 BLOCK = 31
+#: Homes that one group may hold, and visitors that it may be sent, about.
+HOT = 1 << 16
+#: Crowded anchors that are sent to every task.
+MOST_BROADCAST = 100_000
 LOW = (1 << BLOCK) - 1
 #: Bits of a block whose places (from 1) have bit j set: a word's syndrome is the parity of each.
 CHECKS = tuple(sum(1 << (i - 1) for i in range(1, BLOCK + 1) if i >> j & 1) for j in range(5))
@@ -93,37 +102,90 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def spanning_links(home_fp, home_id, all_fp, all_id, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+class Span:
     """Links that span whatever is within ``radius`` of a common home: one a row that has a near home, and fewer than one a home."""
-    left, right = [], []
-    none = len(home_fp)
-    root = np.arange(none)  # of each home: the least home that it is known to be linked with
-    step = max(1, 2_000_000 // max(1, none))
-    for at in range(0, len(all_fp), step):
-        fp, ids = all_fp[at : at + step], all_id[at : at + step]
-        near = np.bitwise_count(home_fp[:, None] ^ fp[None, :]) <= radius
-        best = np.where(near, root[:, None], none).min(0)
-        hit = best < none
-        left.append(ids[hit])
-        right.append(home_id[best[hit]])
-        # all homes near a row are linked with its best one: join their roots until none differ
-        home, row = np.nonzero(near & (root[:, None] != best[None, :]))
-        high, low = root[home], best[row]
-        while len(high):
-            pairs = np.unique(np.maximum(high, low) * none + np.minimum(high, low))
-            high, low = pairs // none, pairs % none
-            moved, first = np.unique(high, return_index=True)  # each root moves once, to the least it meets
-            left.append(home_id[moved])
-            right.append(home_id[low[first]])
-            root[moved] = low[first]
-            while ((jumped := root[root]) != root).any():
-                root = jumped
-            high, low = root[high], root[low]
-            high, low = high[high != low], low[high != low]
-    return np.concatenate(left), np.concatenate(right)
-
-
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+
+    def __init__(self, home_fp: np.ndarray, home_id: np.ndarray, radius: int = RADIUS):
+        self.fp, self.id, self.radius = home_fp, home_id, radius
+        self.root = np.arange(len(home_fp))  # of each home: the least home that it is known to be linked with
+
+    def links(self, all_fp: np.ndarray, all_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of some rows with the homes and, through them, of the homes with each other."""
+        left, right, none, root = [], [], len(self.fp), self.root
+        step = max(1, 2_000_000 // max(1, none))
+        for at in range(0, len(all_fp), step):
+            fp, ids = all_fp[at : at + step], all_id[at : at + step]
+            near = np.bitwise_count(self.fp[:, None] ^ fp[None, :]) <= self.radius
+            best = np.where(near, root[:, None], none).min(0)
+            hit = best < none
+            left.append(ids[hit])
+            right.append(self.id[best[hit]])
+            # all homes near a row are linked with its best one: join their roots until none differ
+            home, row = np.nonzero(near & (root[:, None] != best[None, :]))
+            high, low = root[home], best[row]
+            while len(high):
+                pairs = np.unique(np.maximum(high, low) * none + np.minimum(high, low))
+                high, low = pairs // none, pairs % none
+                moved, first = np.unique(high, return_index=True)  # each root moves once, to the least it meets
+                left.append(self.id[moved])
+                right.append(self.id[low[first]])
+                root[moved] = low[first]
+                while ((jumped := root[root]) != root).any():
+                    root = jumped
+                high, low = root[high], root[low]
+                high, low = high[high != low], low[high != low]
+        self.root = root
+        return np.concatenate(left), np.concatenate(right)
+
+
+def spanning_links(home_fp, home_id, all_fp, all_id, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    return Span(home_fp, home_id, radius).links(all_fp, all_id)
+
+
+def crowded(nodes: DataFrame, most: int = HOT) -> DataFrame:
+    """anchor, home_salts, visitor_salts: the anchors at which more than ``most`` rows may meet, of which there are few.
+
+    An anchor has rows of at most 497 blocks (those within two bits of it); blocks with few rows
+    can't crowd it, so only blocks with more than a 497th of ``most`` are spread.
+    """
+    blocks = nodes.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", BLOCK * k).bitwiseAND(F.lit(LOW)).alias("block")) for k in range(2)])).alias("b"))
+    many = blocks.groupBy("b.k", "b.block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most // 497)
+
+    def spread(batches):
+        for batch in batches:
+            k, block, n = (batch.column(c).to_numpy() for c in ("k", "block", "n"))
+            fps = block.view(np.uint64) << (k.astype(np.uint64) * np.uint64(BLOCK))
+            anchor, row, home = anchors(fps)
+            own = (anchor >> np.uint64(BLOCK)) == k[row].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[own].view(np.int64)), pa.array(n[row][own]), pa.array(np.where(home[own], n[row][own], 0))], names=["anchor", "n", "homes"])
+
+    sums = many.mapInArrow(spread, "anchor long, n long, homes long").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("homes").alias("homes")).filter(F.col("n") > most)
+    salts = [F.floor(F.col(c) / most + 1).cast("int") for c in ("homes", "n")]
+    return sums.select("anchor", salts[0].alias("home_salts"), salts[1].alias("visitor_salts"))
+
+
+def dealt(rows: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Rows with the group that they are compared in. At a crowded anchor a home is held by its own salt's groups,
+    once for each visitors' salt, and goes as a visitor to the others'."""
+    n = crowds.count()
+    if not n:
+        return rows.withColumns({"h": F.lit(0), "v": F.lit(0)})
+    # a row is a few bytes; more of them are met by a shuffle
+    hot = rows.join(F.broadcast(crowds) if n <= MOST_BROADCAST else crowds, "anchor", "left")
+
+    def every(n: str):
+        return F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1)
+
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    group = lambda h, v, home: F.struct(h.alias("h"), v.alias("v"), home.alias("as_home"))
+    mine, guest = own("home_salts", "home"), own("visitor_salts", "visitor")
+    as_home = F.transform(every("visitor_salts"), lambda v: group(mine, v, F.lit(True)))
+    as_visitor = F.transform(F.filter(every("home_salts"), lambda h: ~F.col("home") | (h != mine)), lambda h: group(h, guest, F.lit(False)))
+    groups = F.when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)
+    return hot.withColumn("g", F.explode(groups)).select("anchor", "g.h", "g.v", "fp", "id", F.col("g.as_home").alias("home"))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, most: int = HOT) -> DataFrame:
     """u, v (u > v): links between node ids that span every linked set. ``nodes``: fp, id."""
 
     def spread(batches):
@@ -138,35 +200,40 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 )
 
     def compare(batches):
-        held = None
+        """Groups stream by, homes first: a group's homes are kept until the next group, its visitors only met."""
+        group, span = None, None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "fp", "id", "home")]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            cut_at = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if cut_at:
-                yield from met([x[:cut_at] for x in held])
-                held = [x[cut_at:] for x in held]
-        if held is not None:
-            yield from met(held)
-
-    def met(cols):
-        anchor, fp, ids, home = cols
-        fp = fp.view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        ends = np.r_[starts[1:], len(anchor)]
-        us, vs = [], []
-        # homes sort first: only anchors that are a home and hold two fingerprints matter
-        for a, b in zip(*(x[home[starts] & (ends - starts > 1)] for x in (starts, ends))):
-            n = int(home[a:b].sum())
-            u, v = spanning_links(fp[a : a + n], ids[a : a + n], fp[a:b], ids[a:b], radius)
-            us.append(np.maximum(u, v)[u != v])
-            vs.append(np.minimum(u, v)[u != v])
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-
-    dealt = nodes.mapInArrow(spread, "anchor long, fp long, id long, home boolean")
-    dealt = dealt.repartition("anchor").sortWithinPartitions("anchor", F.desc("home"))
-    return dealt.mapInArrow(compare, "u long, v long").distinct()
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("anchor", "h", "v")])
+            fp, ids, home = batch.column("fp").to_numpy().view(np.uint64), batch.column("id").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, int)
+            ends = np.r_[starts[1:], len(keys)] if len(keys) else starts
+            goes_on = group is not None and len(keys) > 0 and tuple(keys[0]) == group
+            # a group matters if it has a home and another row; the first and the last may go on in other batches
+            matter = home[starts] & (ends - starts > 1)
+            matter[:1] |= goes_on
+            matter[-1:] = True
+            us, vs = [], []
+            for a, b in zip(starts[matter], ends[matter]):
+                n = int(home[a:b].sum())
+                if tuple(keys[a]) != group:
+                    group, span, held = tuple(keys[a]), None, []
+                if n:  # homes come first
+                    held += [(fp[a : a + n], ids[a : a + n])]
+                    span = Span(*(np.concatenate(x) for x in zip(*held)), radius)
+                    others = (np.concatenate(x) for x in zip(*held)) if len(held) > 1 else (fp[a : a + n], ids[a : a + n])
+                    u, v = span.links(*others)
+                    us.append(np.maximum(u, v)[u != v])
+                    vs.append(np.minimum(u, v)[u != v])
+                if b > a + n and span is not None:
+                    u, v = span.links(fp[a + n : b], ids[a + n : b])
+                    us.append(np.maximum(u, v)[u != v])
+                    vs.append(np.minimum(u, v)[u != v])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    rows = dealt(nodes.mapInArrow(spread, "anchor long, fp long, id long, home boolean"), cut(crowded(nodes, most)))
+    rows = rows.repartition("anchor", "h", "v").sortWithinPartitions("anchor", "h", "v", F.desc("home"))
+    return rows.mapInArrow(compare, "u long, v long").distinct()
 
 
 def with_min(edges: DataFrame) -> DataFrame:

@@ -136,6 +136,24 @@ def test_chains_and_clouds_against_all_pairs(spark):
         assert got == closed(list(range(len(fps))), fps)
 
 
+@pytest.mark.parametrize("most", [7, 40])
+def test_crowded_anchors_are_split(spark, most):
+    """Homes and visitors of crowded anchors are dealt over salts, and no link is lost."""
+    r = np.random.default_rng(most)
+    near = [x ^ (1 << int(r.integers(0, 31))) for x in cloud(120, r)]  # one bit of the shared block differs
+    fps = list(dict.fromkeys([*cloud(200, r), *near, *chain(40, r)]))
+    fps = [int(x) for x in r.permutation(np.array(fps, np.uint64))]
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, id long")
+    crowds = S.crowded(nodes, most).collect()
+    assert any(x["home_salts"] > 1 for x in crowds) and any(x["visitor_salts"] > 1 for x in crowds)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # so that groups go on from batch to batch
+    try:
+        got = {i: i for i in range(len(fps))} | {x["node"]: x["component"] for x in S.components(S.links(nodes, most=most)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == closed(list(range(len(fps))), fps)
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 98)], "u long, v long")
     got = {r["node"]: r["component"] for r in S.components(edges).collect()}
