@@ -6,8 +6,8 @@ later models meet the same kind of uncertainty as in use. Features are the prese
 words and word beginnings, screened by chi-square on the training folds only.
 
 The models are fitted on a bounded sample of labelled rows: at most ``MAX_POSITIVE`` and
-``MAX_NEGATIVE`` rows of either value of the last base label, by hash of doc_id. Scoring reads
-every whole text.
+``MAX_NEGATIVE`` rows of either value of the last base label, by hash of doc_id. Probabilities are those of all labelled rows: the sample's share of each category is
+corrected for. Scoring reads every whole text.
 
 Defined results: a null or wordless text has no features and gets the chain's base rates; rows
 are scored one by one, so ties and repeated rows score alike; repeated labels count as the
@@ -41,8 +41,6 @@ WORD = re.compile(rb"[a-z\x80-\xff]+")
 UPPER = bytes(range(65, 91))
 SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,-'")
 CACHE = 100_000
-#: Rows whose features are counted at once in fitting.
-BATCH = 256
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -76,6 +74,35 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+class Rows:
+    """Present features of the training rows in compressed rows: of each entry its row and the number of its feature.
+
+    Features of fewer than ``LEAST_DOCS`` rows can't be chosen by any model and are left out once.
+    """
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.n = len(rows)
+        sizes = np.array([len(r) for r in rows], np.int64)
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        counts = np.bincount(flat, minlength=1 << BITS)
+        self.features = np.flatnonzero(counts >= LEAST_DOCS).astype(np.int32)
+        column = np.full(1 << BITS, -1, np.int32)
+        column[self.features] = np.arange(len(self.features), dtype=np.int32)
+        col = column[flat]
+        used = col >= 0
+        self.col, self.row = col[used], np.repeat(np.arange(self.n, dtype=np.int32), sizes)[used]
+
+    def part(self, rows: np.ndarray) -> "Rows":
+        """The same features over some of the rows, ascending, numbered anew."""
+        out = object.__new__(Rows)
+        place = np.full(self.n, -1, np.int32)
+        place[rows] = np.arange(len(rows), dtype=np.int32)
+        own = place[self.row]
+        used = own >= 0
+        out.n, out.features, out.col, out.row = len(rows), self.features, self.col[used], own[used]
+        return out
+
+
 @dataclass
 class Linear:
     """Logistic regression over present features (sorted ids) and dense columns."""
@@ -86,28 +113,25 @@ class Linear:
     bias: float
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 240) -> "Linear":
+    def fit(cls, rows: Rows, dense: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 240, enough: float = 1e-3) -> "Linear":
+        """Accelerated descent by coordinates' curvatures; ends once no weight moves by ``enough``, or after ``steps``."""
         n, positives = len(y), int(y.sum())
         rate = (positives + 0.5) / (n + 1.0) if n else 0.0
         empty = cls(np.zeros(0, np.int32), np.zeros(0), np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate))) if 0 < rate < 1 else -30.0)
         if not 0 < positives < n:
             return empty
-        df, hit = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
-        for at in range(0, n, BATCH):
-            part = rows[at : at + BATCH]
-            flat = np.concatenate(part)
-            df += np.bincount(flat, minlength=1 << BITS)
-            hit += np.bincount(flat, weights=np.repeat(y[at : at + BATCH], [len(r) for r in part]), minlength=1 << BITS)
+        df = np.bincount(rows.col, minlength=len(rows.features))
+        hit = np.bincount(rows.col, weights=y[rows.row], minlength=len(rows.features))
         use = np.flatnonzero((df >= LEAST_DOCS) & (df < n))
         a, b = hit[use], df[use] - hit[use]
         c, d = positives - a, n - positives - b
         chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * positives * (n - positives))
         use = use[np.argsort(-chi2, kind="stable")[:MAX_FEATURES]][np.sort(-chi2)[:MAX_FEATURES] <= -LEAST_CHI2]
-        use = np.sort(use).astype(np.int32)
-        column = np.full(1 << BITS, -1, np.int32)
-        column[use] = np.arange(len(use))
-        kept = [c[c >= 0] for c in (column[r] for r in rows)]
-        row, col = np.repeat(np.arange(n), [len(c) for c in kept]), np.concatenate(kept)
+        use = np.sort(use)
+        column = np.full(len(rows.features), -1, np.int32)
+        column[use] = np.arange(len(use), dtype=np.int32)
+        col = column[rows.col]
+        row, col = rows.row[col >= 0], col[col >= 0]
         w, v, bias = np.zeros(len(use)), np.zeros(dense.shape[1]), empty.bias
         each = np.bincount(row, minlength=n) + 1 + dense.shape[1]
         # steps of a separable upper bound of the loss: each coordinate's curvature is at most a quarter of its rows' widths
@@ -116,7 +140,7 @@ class Linear:
         curve_b = each.sum() / 4
         last = [np.zeros_like(w), np.zeros_like(v), 0.0]
         at, momentum = [w, v, bias], 1.0
-        for _ in range(steps):
+        for k in range(steps):
             z = np.bincount(row, weights=at[0][col], minlength=n) + dense @ at[1] + at[2]
             g = sigmoid(z) - y
             new = [
@@ -124,11 +148,14 @@ class Linear:
                 at[1] - (dense.T @ g + l2 * at[1]) / curve_v,
                 at[2] - g.sum() / curve_b,
             ]
+            moved = max(np.abs(new[0] - last[0]).max(initial=0), np.abs(new[1] - last[1]).max(initial=0), abs(new[2] - last[2]))
             step = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
             pull = (momentum - 1) / step
-            at = [x + pull * (x - y_) for x, y_ in zip(new, last if _ else new)]
+            at = [x + pull * (x - y_) for x, y_ in zip(new, last if k else new)]
             last, momentum = new, step
-        return cls(use, last[0], last[1], float(last[2]))
+            if k and moved < enough:
+                break
+        return cls(rows.features[use], last[0], last[1], float(last[2]))
 
     def margin(self, present: np.ndarray, dense: np.ndarray) -> float:
         at = np.searchsorted(self.features, present)
@@ -144,24 +171,41 @@ class Chain:
     categories: tuple[str, ...]
     models: list[Linear] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
+    shifts: list[float] = field(default_factory=list)
 
     @classmethod
     def fit(cls, categories: tuple[str, ...], rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> "Chain":
         """labels: rows by categories, 0 or 1; folds: the fold of each row."""
-        chain = cls(categories)
+        chain = cls(categories, shifts=[0.0] * len(categories))
         before = np.zeros((len(rows), 0))
+        packed = Rows(rows)
         for k in range(len(categories)):
             y = labels[:, k].astype(float)
             out_of_fold = np.zeros(len(rows))
             for f in np.unique(folds):
                 there, here = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-                model = Linear.fit([rows[i] for i in there], before[there], y[there])
+                model = Linear.fit(packed.part(there), before[there], y[there])
                 out_of_fold[here] = [model.margin(rows[i], before[i]) for i in here]
-            chain.models.append(Linear.fit(rows, before, y))
+            chain.models.append(Linear.fit(packed, before, y))
             chain.thresholds.append(best_threshold(out_of_fold, y))
             before = np.column_stack([before, sigmoid(out_of_fold)])
         return chain
 
+    def correct(self, shares: list[float], sampled: list[float]) -> "Chain":
+        """Moves probabilities and thresholds from the sample's shares of each category to those of all labelled rows.
+
+        The chain's own inputs stay as they were in training; decisions stay the same.
+        """
+        for k, (share, was) in enumerate(zip(shares, sampled)):
+            if 0 < share < 1 and 0 < was < 1:
+                self.shifts[k] = float(np.log(share / (1 - share)) - np.log(was / (1 - was)))
+        return self
+
+    def threshold(self, k: int) -> float:
+        """The least probability, as ``scorer`` gives it, at which category k holds."""
+        t = self.thresholds[k]
+        return t if t >= 1 else float(sigmoid(np.log(t / (1 - t)) + self.shifts[k]))
+
     def scorer(self):
         """A function from a text to the probabilities of all categories."""
         every = np.unique(np.concatenate([m.features for m in self.models]) if self.models else np.zeros(0, np.int32))
@@ -185,9 +229,12 @@ class Chain:
                 if got := known(w):
                     present.update(got)
             z = weights[:, sorted(present)].sum(1)
+            chained: list[float] = []
             out: list[float] = []
             for k, m in enumerate(self.models):
-                out.append(float(sigmoid(z[k] + m.bias + np.dot(m.dense, out))))
+                margin = z[k] + m.bias + np.dot(m.dense, chained)
+                chained.append(float(sigmoid(margin)))
+                out.append(float(sigmoid(margin + self.shifts[k])))
             return out
 
         return score
@@ -206,12 +253,13 @@ def best_threshold(margins: np.ndarray, y: np.ndarray) -> float:
     return float(sigmoid((high + low) / 2))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, categories: dict, last: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features, labels and folds of a bounded sample of the labelled documents."""
+def training_rows(docs: DataFrame, labels: DataFrame, categories: dict, last: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[float]]:
+    """Features, labels and folds of a bounded sample of the labelled documents, and each category's share of all labelled rows."""
     rank = F.xxhash64(F.col("doc_id").cast("long"), F.lit("toxicity"))
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), *[F.coalesce(F.expr(c), F.lit(0)).cast("int").alias(f"_c{k}") for k, c in enumerate(categories.values())], rank.alias("_rank"))
     place = list(categories).index(last)
     picked = marks.filter("_id IS NOT NULL").groupBy("_id", "_rank").agg(*[F.max(f"_c{k}").alias(f"_c{k}") for k in range(len(categories))])
+    shares = [x or 0.0 for x in picked.agg(*[F.avg(f"_c{k}") for k in range(len(categories))]).first()]
     picked = picked.filter(F.col(f"_c{place}") == 1).orderBy("_rank").limit(MAX_POSITIVE).unionByName(picked.filter(F.col(f"_c{place}") == 0).orderBy("_rank").limit(MAX_NEGATIVE))
     names = [f"_c{k}" for k in range(len(categories))]
     found = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(picked), "_id")
@@ -224,7 +272,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict, last: st
     rows = [np.frombuffer(x, np.int32) for x in got.column("_f").to_pylist()]
     y = np.column_stack([got.column(n).to_numpy() for n in names]) if rows else np.zeros((0, len(names)), int)
     folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in got.column("_id").to_pylist()], int)
-    return rows, y, folds
+    return rows, y, folds, shares
 
 
 #: The labels table marks quality and toxicity; the chain's categories, in order, come from both.
@@ -232,8 +280,9 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic", "toxic_low_quality
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict = CATEGORIES, target: str = "toxic") -> Chain:
-    rows, y, folds = training_rows(docs, labels, categories, target)
-    return Chain.fit(tuple(categories), rows, y, folds)
+    rows, y, folds, shares = training_rows(docs, labels, categories, target)
+    chain = Chain.fit(tuple(categories), rows, y, folds)
+    return chain.correct(shares, list(y.mean(0))) if len(rows) else chain
 
 
 def score(docs: DataFrame, chain: Chain, target: str = "toxic") -> DataFrame:
@@ -245,7 +294,7 @@ def score(docs: DataFrame, chain: Chain, target: str = "toxic") -> DataFrame:
         probabilities = chain.scorer()
         for ids, texts in arrow_rows(batches, ("doc_id", "text")):
             got = np.array([probabilities(t) for t in texts]).reshape(len(texts), len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c) for c in got.T.copy()], pa.array(got[:, k] >= chain.thresholds[k])], names=["doc_id", *names, f"is_{target}"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c) for c in got.T.copy()], pa.array(got[:, k] >= chain.threshold(k))], names=["doc_id", *names, f"is_{target}"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names) + f", is_{target} boolean")
 
@@ -255,8 +304,10 @@ def drop_toxic(docs: DataFrame, chain: Chain, target: str = "toxic") -> DataFram
     k = chain.categories.index(target)
 
     def run(batches):
-        probabilities = chain.scorer()
+        probabilities, least = chain.scorer(), chain.threshold(k)
         for batch in batches:
-            yield batch.filter(pa.array([probabilities(t)[k] < chain.thresholds[k] for t in batch.column("text").to_pylist()], pa.bool_()))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield part.filter(pa.array([probabilities(t)[k] < least for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

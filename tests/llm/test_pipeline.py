@@ -23,7 +23,7 @@ def test_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     chain = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     score = chain.scorer()
-    rows = [r for r in docs.collect() if score(r["text"])[1] < chain.thresholds[1]]
+    rows = [r for r in docs.collect() if score(r["text"])[1] < chain.threshold(1)]
     keep = {}
     for r in rows:
         h = hashlib.sha256((r["text"] or "").encode()).digest()

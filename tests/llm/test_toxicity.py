@@ -52,11 +52,42 @@ def test_out_of_fold_features(monkeypatch):
     y = np.array([[1 - q, t] for _, q, t in labels])
     folds = np.arange(200) % 4
     T.Chain.fit(("a", "b"), features, y, folds)
-    first_full = [fit(T.Linear, [features[i] for i in np.flatnonzero(folds != f)], np.zeros((150, 0)), y[folds != f, 0].astype(float)) for f in range(4)]
+    first_full = [fit(T.Linear, T.Rows(features).part(np.flatnonzero(folds != f)), np.zeros((150, 0)), y[folds != f, 0].astype(float)) for f in range(4)]
     want = T.sigmoid(np.array([first_full[folds[i]].margin(features[i], np.zeros(0)) for i in range(200)]))
     assert np.allclose(seen[-1][1][:, 0], want)
 
 
+def test_scores_against_the_definition():
+    """Each category by its sums over the text's features and the probabilities before it."""
+    rows, labels = corpus(250)
+    y = np.array([[1 - q, t, t * (1 - q)] for _, q, t in labels])
+    chain = T.Chain.fit(("a", "b", "c"), [T.text_features(t) for _, t in rows], y, np.arange(250) % 4)
+    chain.correct([0.3, 0.02, 0.01], list(y.mean(0)))
+    score = chain.scorer()
+    for _, text in [*rows[:40], *AWKWARD]:
+        present = set(T.text_features(text).tolist())
+        chained = []
+        for k, m in enumerate(chain.models):
+            z = sum(float(w) for f, w in zip(m.features, m.weights) if int(f) in present) + m.bias + sum(float(d) * p for d, p in zip(m.dense, chained))
+            chained.append(1 / (1 + np.exp(-z)))
+            assert abs(score(text)[k] - 1 / (1 + np.exp(-z - chain.shifts[k]))) < 1e-9
+            assert (score(text)[k] >= chain.threshold(k)) == (chained[k] >= chain.thresholds[k])
+
+
+def test_fit_finds_the_least_loss():
+    """No small step from the fitted weights lowers the penalised loss by much."""
+    rows, labels = corpus(200)
+    features, y = [T.text_features(t) for _, t in rows], np.array([t for *_, t in labels], float)
+    m = T.Linear.fit(T.Rows(features), np.zeros((200, 0)), y)
+    x = np.array([[f in set(r.tolist()) for f in m.features.tolist()] for r in features], float)
+
+    def gradient():
+        g = T.sigmoid(x @ m.weights + m.bias) - y
+        return np.r_[x.T @ g + 0.3 * m.weights, g.sum()]
+
+    assert np.abs(gradient()).max() < 0.5 < np.abs(x.T @ (y.mean() - y)).max()
+
+
 def test_awkward_rows(spark):
     empty = spark.createDataFrame([], LABELS)
     chain = T.fit(docs(spark, AWKWARD), empty)
