@@ -28,8 +28,35 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints/meterglass"
 
 
+#: Folders that operators have written for themselves in this session, with the tables over them.
+SCRATCH: list[tuple[str, str | None]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    SCRATCH.append((path, None))
+    return path
+
+
+def owned(path: str, table: str) -> None:
+    """Notes the table over a folder that ``fresh_path`` gave."""
+    if (path, None) in SCRATCH:
+        SCRATCH[SCRATCH.index((path, None))] = (path, table)
+
+
+def clean(spark: SparkSession, keep: str | None = None) -> None:
+    """Removes what operators have written for themselves so far, but for ``keep``. Results not yet written are lost with it."""
+    left = []
+    while SCRATCH:
+        path, name = SCRATCH.pop()
+        if path == keep:
+            left.append((path, name))
+            continue
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    SCRATCH.extend(left)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, salt
+from .common import cut, fresh_path, owned, salt
 
 
 def digests(docs: DataFrame, normalize=lambda text: text) -> DataFrame:
@@ -116,7 +116,10 @@ class DigestIndex:
 
 
 def new_index(spark: SparkSession, by_digest: DataFrame, buckets: int | None) -> DigestIndex:
-    return DigestIndex(spark, fresh_path(spark, "digests"), buckets or buckets_for(by_digest.count()))
+    """An index for one job, in a folder that ``common.clean`` removes."""
+    index = DigestIndex(spark, fresh_path(spark, "digests"), buckets or buckets_for(by_digest.count()))
+    owned(index.path, index.name)
+    return index
 
 
 def exact_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from helpers import AWKWARD, docs
 from meterglass.llm import queries, toxicity
 from test_mixing import brute as mix
 from test_simhash import closed, plain
@@ -41,6 +42,38 @@ def test_run(spark):
     assert set(docs.columns) <= set(out.columns)
 
 
+def test_run_on_awkward_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated ids and rows, and columns named like those that stages add."""
+    item = "seven wizards quietly boil pots of vivid jade soup near the old harbour while a brown fox looks on"
+    rows = [*AWKWARD, (20, f"before {item} after"), (21, "a text with words enough to be no near copy of any other one"), (22, "a text with words enough to be no near copy of any other one"), (None, "a row without any id"), (None, "a row without any id")]
+
+    def written(name, docs_):
+        folder = str(tmp_path / name)
+        docs_.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 0, 1), (6, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        return folder
+
+    out = corpus_pipeline.run(spark, written("awkward", docs(spark, rows, extra=True)))
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in out.collect())
+    # no labels of both values: nothing is toxic; wordless texts are near copies of each other and have no words to take
+    budget = out.agg({"target": "max"}).first()[0]
+    assert sum(r["taken"] for r in out.collect()) <= budget
+    assert {i for i, _ in got} <= {0, 1, 4, 5, 7, 8, 22, 6, 21} and 20 not in {i for i, _ in got}
+    assert (0, "a row without any id") in got and {r["found"] for r in out.collect()} == {"own found"}
+    assert out.columns[: len(docs(spark, []).columns)] == docs(spark, []).columns
+    empty = corpus_pipeline.run(spark, written("empty", docs(spark, [], extra=True)))
+    assert empty.count() == 0 and "position" in empty.columns
+
+
+def test_run_removes_what_stages_wrote(spark):
+    from meterglass.llm import common
+
+    out = corpus_pipeline.run(spark, SF)
+    assert len(common.SCRATCH) == 1 and out.count() > 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index") and "digests" in t.name]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, SF)
