@@ -1,7 +1,13 @@
 """A corpus pipeline of five stages: each takes and returns documents, the last the training order.
 
-Null texts, empty tables, ties and repeated rows are handled as each operator states; all
-columns of the input are kept, and the mixing stage adds size, target, taken and positions.
+Defined results of ``run``: without labels of both values nothing is toxic; null, empty and wordless
+texts count as empty, of which the row with the largest doc_id survives the exact copies and, being
+a near copy of any other wordless text, the least doc_id among these the near copies; it has no words
+and isn't taken. Rows that repeat doc_id and text become one; rows of one doc_id with several texts
+are documents of their own, though a near copy among them drops them together; rows without a doc_id
+are never near copies. Of ties in any order the doc_id decides. Very long texts are read whole. An
+empty table gives an empty result. All columns of the input are kept, whatever their names, but for
+those that the mixing stage adds: size, source_size, target, taken, position and positions.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meterglass.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
-from meterglass.llm.common import fresh_path, table
+from meterglass.llm.common import clean, fresh_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
+    """Applies the stages to documents; each result is written to the shared folder and read again.
+
+    Once a stage is written, what it and the stages before it wrote for themselves is removed.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        clean(spark, keep=path)
     return docs
