@@ -44,11 +44,11 @@ def owned(path: str, table: str) -> None:
         SCRATCH[SCRATCH.index((path, None))] = (path, table)
 
 
-def clean(spark: SparkSession, keep: str | None = None) -> None:
-    """Removes what operators have written for themselves so far, but for ``keep``. Results not yet written are lost with it."""
-    left = []
-    while SCRATCH:
-        path, name = SCRATCH.pop()
+def clean(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Removes what operators have written for themselves, from number ``since`` on, but for ``keep``. Results not yet written are lost with it."""
+    own, left = SCRATCH[since:], []
+    del SCRATCH[since:]
+    for path, name in own:
         if path == keep:
             left.append((path, name))
             continue

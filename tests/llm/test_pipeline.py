@@ -69,9 +69,11 @@ def test_run_on_awkward_tables(spark, tmp_path):
 def test_run_removes_what_stages_wrote(spark):
     from meterglass.llm import common
 
+    own = common.fresh_path(spark, "of-the-caller")
+    before, tables = len(common.SCRATCH), len(spark.catalog.listTables())
     out = corpus_pipeline.run(spark, SF)
-    assert len(common.SCRATCH) == 1 and out.count() > 0
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index") and "digests" in t.name]
+    assert len(common.SCRATCH) == before + 1 and out.count() > 0 and (own, None) in common.SCRATCH
+    assert len(spark.catalog.listTables()) == tables
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
