@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meterglass.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
-from meterglass.llm.common import clean, fresh_path, table
+from meterglass.llm.common import SCRATCH, clean, fresh_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Once a stage is written, what it and the stages before it wrote for themselves is removed.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), len(SCRATCH)
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        clean(spark, keep=path)
+        clean(spark, since, path)
     return docs
