@@ -62,7 +62,9 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 o
 def normalise(text: str | None) -> np.ndarray:
     """Bytes of the normalised text, one blank before and after it."""
     a = np.frombuffer(b" " + (text or "").encode("utf-8", "replace").translate(FOLD) + b" ", np.uint8)
-    return a[np.r_[True, (a[1:] != 32) | (a[:-1] != 32)]]
+    keep = np.ones(len(a), bool)
+    np.logical_or(a[1:] != 32, a[:-1] != 32, out=keep[1:])
+    return a[keep]
 
 
 def qgrams(a: np.ndarray, q: int = Q) -> np.ndarray:
@@ -152,7 +154,8 @@ class Index:
         slot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         same = self.keys[slot] == h[at]
         at, slot = at[same], slot[same]
-        totals, bands = self.counted(at, slot)
+        parts = Parts(self, at, slot)
+        totals, bands = self.counted(parts)
         whole, self.seen = set(), {}
         for k in np.flatnonzero(totals >= self.least).tolist():
             got = self.verify(a, k, *bands(k))
@@ -160,42 +163,39 @@ class Index:
                 found.append((self.ids[k], *got))
                 whole.add(k)
         if self.words:
-            found += self.passages(a, h, at, slot, whole)
+            found += self.passages(a, h, parts, whole)
         return found
 
     def pairs(self, at: np.ndarray, slot: np.ndarray):
         """(item, diagonal) of the pairs of equal q-grams, about ``PAIRS`` at once. ``at``, ``slot``: text places and their keys."""
-        ends = np.cumsum(self.count[slot])
+        count = self.count[slot]
+        ends = np.cumsum(count)
         i = 0
         while i < len(at):
             done = int(ends[i - 1]) if i else 0
             j = max(i + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
-            many = self.count[slot[i:j]]
-            entry = np.repeat(self.first[slot[i:j]] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(int(many.sum()))
+            many = count[i:j]
+            entry = np.repeat(self.first[slot[i:j]] - (ends[i:j] - many - done), many) + np.arange(int(ends[j - 1]) - done)
             yield self.item[entry], np.repeat(at[i:j], many) - self.place[entry]
             i = j
 
-    def counted(self, at: np.ndarray, slot: np.ndarray):
+    def counted(self, parts: "Parts"):
         """Equal q-grams by item; and a function that gives an item's bands (for the whole item) and their counts."""
-        totals = np.zeros(len(self.items), np.int64)
-        for item, _ in self.pairs(at, slot):
-            totals += np.bincount(item, minlength=len(self.items))
+        totals = sum(np.bincount(item, minlength=len(self.items)) for item, _ in parts)
 
         def bands(k: int) -> tuple[np.ndarray, np.ndarray]:
             width = 2 * int(self.budget[k]) + 1
-            return merged([np.unique(d[item == k] // width, return_counts=True) for item, d in self.pairs(at, slot)])
+            return merged([np.unique(d[item == k] // width, return_counts=True) for item, d in parts])
 
         return totals, bands
 
-    def passages(self, a: np.ndarray, h: np.ndarray, at: np.ndarray, slot: np.ndarray, whole: set[int]) -> list[tuple[int, int, int, int]]:
+    def passages(self, a: np.ndarray, h: np.ndarray, parts: "Parts", whole: set[int]) -> list[tuple[int, int, int, int]]:
         """What ``find`` gives, of a passage of each item that isn't in ``whole``. ``h``: the text's q-grams."""
         # bands are counted in a small table first: two numbers that share a place only count too much
-        mask = (1 << min(22, max(8, int(self.count[slot].sum()).bit_length() + 1))) - 1
-        n = np.zeros(mask + 1, np.int64)
-        for item, d in self.pairs(at, slot):
-            n += np.bincount((item * 40503 + d // self.width[item]) & mask, minlength=mask + 1)
+        mask = (1 << min(22, max(8, parts.total.bit_length() + 1))) - 1
+        n = sum(np.bincount((item * 40503 + d // self.width[item]) & mask, minlength=mask + 1) for item, d in parts)
         codes = []
-        for item, d in self.pairs(at, slot):
+        for item, d in parts:
             band = d // self.width[item]
             spot = (item * 40503 + band) & mask
             keep = n[spot] + np.maximum(n[(spot + 1) & mask], n[(spot - 1) & mask]) >= self.fewest[item]
@@ -213,7 +213,9 @@ class Index:
             width, b = int(self.width[k]), (group & (1 << 32) - 1) - LIFT
             if k not in own:
                 own[k] = qgrams(self.items[k], self.q)
-            shared = np.r_[0, np.cumsum(any_near(own[k], h, b * width, 2 * width))]
+            shared = running(any_near(own[k], h, b * width, 2 * width))
+            if shared[-1] < self.fewest[k]:
+                continue
             shared = shared[hi - self.q + 1] - shared[lo]
             w = np.flatnonzero(shared >= least)
             if not len(w):
@@ -221,7 +223,7 @@ class Index:
             # the lemma again, with short q-grams, of which more must be there
             if grams is None:
                 grams = short_grams(a)
-            have = np.r_[0, np.cumsum(any_near(short_grams(self.items[k][lo[w[0]] : hi[w[-1]]]), grams, b * width + int(lo[w[0]]), 2 * width))]
+            have = running(any_near(short_grams(self.items[k][lo[w[0]] : hi[w[-1]]]), grams, b * width + int(lo[w[0]]), 2 * width))
             x, y = lo[w] - lo[w[0]], hi[w] - lo[w[0]]
             w = w[have[y - SHORT_Q + 1] - have[x] >= y - x + 1 - SHORT_Q - SHORT_Q * e[w]]
             if len(w):
@@ -265,6 +267,18 @@ class Index:
         return best
 
 
+class Parts:
+    """The pairs of a text's and the items' equal q-grams, part by part; made once if they are few, else each time anew."""
+
+    def __init__(self, index: Index, at: np.ndarray, slot: np.ndarray):
+        self.index, self.at, self.slot = index, at, slot
+        self.total = int(index.count[slot].sum())
+        self.kept = list(index.pairs(at, slot)) if self.total <= PAIRS else None
+
+    def __iter__(self):
+        return iter(self.kept) if self.kept is not None else self.index.pairs(self.at, self.slot)
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and counts of several such pairs, each number once."""
     numbers, back = np.unique(np.concatenate([n for n, _ in parts]), return_inverse=True)
@@ -276,6 +290,13 @@ def paired(bands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return merged([(bands, counts), (bands - 1, counts)])
 
 
+def running(hits: np.ndarray) -> np.ndarray:
+    """How many hold before each place, and in all."""
+    out = np.zeros(len(hits) + 1, np.int64)
+    np.cumsum(hits, out=out[1:])
+    return out
+
+
 def short_grams(a: np.ndarray) -> np.ndarray:
     """The ``SHORT_Q``-grams themselves, as numbers."""
     n = max(0, len(a) - SHORT_Q + 1)
@@ -287,12 +308,17 @@ def short_grams(a: np.ndarray) -> np.ndarray:
 
 def any_near(own: np.ndarray, grams: np.ndarray, low: int, size: int) -> np.ndarray:
     """Of each of an item's q-grams: whether the text's, ``grams``, have it on one of the diagonals low..low + size - 1."""
-    out = np.zeros(len(own), bool)
-    for d in range(low, low + size):
-        x, y = max(0, -d), min(len(own), len(grams) - d)
-        if y > x:
-            out[x:y] |= own[x:y] == grams[x + d : y + d]
-    return out
+    if not len(own):
+        return np.zeros(0, bool)
+    # beyond the text stands a number that the item doesn't have
+    most, one = own.max(), own.dtype.type(1)
+    there = np.full(len(own) + size - 1, most + one if most < np.iinfo(own.dtype).max else own.min() - one, own.dtype)
+    lo, hi = max(0, low), min(len(grams), low + len(there))
+    if hi > lo:
+        there[lo - low : hi - low] = grams[lo:hi]
+    step = there.strides[0]
+    # a row a diagonal: rows are long, so they are compared and joined fast
+    return np.logical_or.reduce(np.ndarray((size, len(own)), own.dtype, there, 0, (step, step)) == own)
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
