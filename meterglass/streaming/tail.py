@@ -1,10 +1,11 @@
 """Growing files as a stream: a Python data source that reads only what was appended.
 
-The offset maps each file to [epoch, size, mtime]; listing runs on the driver, reading in one
-task a grown file. A file that shrank starts a new epoch at 0. On the first batch files older
-than the look-back start at their end, younger ones at 0. A line counts to the range in which
-it ends; a last line without a newline counts as soon as it is complete JSON, and never again
-when its newline follows.
+The offset maps each file to [size, mtime]; listing runs on the driver, reading in one task a
+grown file, ``STEP`` bytes at a time. A file that shrank is read from 0 again: ``from_zero`` marks
+rows of a range that starts there, and the range's mtime, ``epoch``, orders a file's ranges. On the
+first batch files older than the look-back start at their end, younger ones at 0. A line counts to
+the range in which it ends; a last line without a newline counts as soon as it is complete JSON, and
+never again when its newline follows.
 
 Options: path (a folder, any store that pyarrow opens), suffix, lookback_ms (6 hours), now_ms
 (the clock, for replays).
@@ -23,6 +24,8 @@ SCHEMA = "file string, epoch long, start long, from_zero boolean, mtime_ms long,
 LOOKBACK_MS = 6 * 3600 * 1000
 #: Bytes read at once when looking back for the start of a line.
 BACK = 1 << 16
+#: Bytes of growth read at once; beyond them only an unfinished line is held.
+STEP = 1 << 20
 
 
 @dataclass
@@ -60,14 +63,22 @@ def grown_lines(read, start: int, end: int) -> Iterator[tuple[int, str]]:
             first = a + cut + 1
             break
         first = a
-    data = read(first, end)
-    told = first < start and complete(data[: start - first])  # that line was counted before its newline came
-    at = first
-    *lines, last = data.split(b"\n")
-    for line in lines:
-        if not (told and at == first):
-            yield at, line
-        at += len(line) + 1
+    # a line that ended at ``start`` without its newline was counted then
+    told = first < start and complete(read(first, start))
+    at, held, pos = first, [], first
+    while pos < end:
+        piece = read(pos, min(end, pos + STEP))
+        if not piece:
+            break
+        pos += len(piece)
+        head, *rest = piece.split(b"\n")
+        held.append(head)
+        for after in rest:
+            line = b"".join(held)
+            if not (told and at == first):
+                yield at, line
+            at, held = at + len(line) + 1, [after]
+    last = b"".join(held)
     if last.strip() and complete(last) and not (told and at == first):
         yield at, last
 
@@ -89,21 +100,18 @@ class TailReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         """Empty: the first batch decides file by file (see ``latestOffset``), so that young files are read from 0."""
         now = int(self.now) if self.now else int(time.time() * 1000)
-        return {f: [0, size, mtime] for f, (size, mtime) in self.files().items() if mtime < now - self.lookback}
+        return {f: [size, mtime] for f, (size, mtime) in self.files().items() if mtime < now - self.lookback}
 
     def latestOffset(self) -> dict:
-        return {f: [0, size, mtime] for f, (size, mtime) in self.files().items()}
+        return {f: [size, mtime] for f, (size, mtime) in self.files().items()}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         out = []
-        for f, (_, size, mtime) in sorted(end.items()):
-            before = start.get(f)
-            if before and size >= before[1]:
-                if size > before[1]:
-                    out.append(Range(f, 0, before[1], size, mtime))
-            elif size:
-                # new, or shrunk: the mtime numbers the file's life, so that state starts anew
-                out.append(Range(f, mtime if before else 0, 0, size, mtime))
+        for f, (size, mtime) in sorted(end.items()):
+            before = start.get(f, (0, 0))[0]
+            if size != before and size:
+                # what shrank begins anew
+                out.append(Range(f, mtime, before if size > before else 0, size, mtime))
         return out
 
     def read(self, partition: Range) -> Iterator[tuple]:

@@ -142,13 +142,41 @@ def test_publish_on_change(spark):
 
 
 def test_session_diff(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
     snap = lambda *rows: spark.createDataFrame([(s, "M-20250514", i, 0, 0, 0) for s, i in rows], "session_id string, model string, input long, output long, cache_read long, cache_write long")
-    d = live.SessionDiff()
-    assert d.tick(snap(("a", 10)), NOW).count() == 0
-    assert sorted((r["ord"], r["input"]) for r in d.tick(snap(("a", 15), ("b", 4)), NOW).collect()) == [(f"{NOW}:a", 5), (f"{NOW}:b", 4)]
-    assert d.tick(snap(("a", 2), ("b", 4)), NOW).count() == 0
-    assert [r["input"] for r in d.tick(snap(("a", 5), ("b", 4)), NOW).collect()] == [3]
+    tick = lambda at, *rows: sorted((r["ord"], r["input"]) for r in live.SessionDiff(spark, str(tmp_path / "sessions")).tick(snap(*rows), NOW + at).collect())
+    # a new object each time: the base is on disk, and a tick that is run again gives the same
+    assert tick(0, ("a", 10)) == []
+    for _ in range(2):
+        assert tick(1, ("a", 15), ("b", 4)) == [(f"{NOW + 1}:a", 5), (f"{NOW + 1}:b", 4)]
+    assert tick(2, ("a", 2), ("b", 4)) == []
+    assert tick(3, ("a", 5), ("b", 4)) == [(f"{NOW + 3}:a", 3)]
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 20])
+def test_growth_is_read_in_steps(step, monkeypatch):
+    monkeypatch.setattr(tail, "STEP", step)
+    asked, data = [], b'{"a": 1}\n' + b'{"b": "' + b"x" * 300 + b'"}\nhalf'
+
+    def read(a, b):
+        asked.append(b - a)
+        return data[a:b]
+
+    assert [x for _, x in tail.grown_lines(read, 0, len(data))] == [b'{"a": 1}', b'{"b": "' + b"x" * 300 + b'"}']
+    assert max(asked) <= max(step, 1)
+
+
+def test_counters_and_models_go_on_after_a_file_shrank(stream, tmp_path):
+    """A file that shrank begins anew once: what grows after that keeps its model and mark."""
+    log = tmp_path / "logs/s/updates.jsonl"
+    total = lambda n, **more: {"params": {"_meta": {"totalTokens": n, "agentTimestampMs": NOW - 5000}}, **more}
+    add(log, total(100, modelId="grok-4"), total(130))
+    s = stream("grok")
+    assert sorted(r[1:3] for r in s.tick()) == [("grok-4", 30), ("grok-4", 100)]
+    add(log, total(10, modelId="grok-3"), mode="w", age_s=-1)
+    assert sorted(r[1:3] for r in s.tick()) == [("grok-3", 10), ("grok-4", 30), ("grok-4", 100)]
+    add(log, total(25), age_s=-2)
+    assert sorted(r[1:3] for r in s.tick()) == [("grok-3", 10), ("grok-3", 15), ("grok-4", 30), ("grok-4", 100)]
+    assert [r[2] for r in s.tick()] == [100, 30, 10, 15]  # in the order of their lives
 
 
 def test_windowed_rates(spark, tmp_path):
