@@ -184,50 +184,68 @@ def _cycle(start, end) -> str:
     return "Weekly" if 6 <= days <= 8 else "Monthly" if 27 <= days <= 33 else "Credits"
 
 
-def _billing(x):
-    """The first object, depth first, that states a used share."""
-    if isinstance(x, dict):
-        limit = _first(_number(_reach(x, *p)) for p in (("monthlyLimit",), ("config", "monthlyLimit")))
-        used = _first(_number(_reach(x, *p)) for p in (("usage", "totalUsed"), ("totalUsed",), ("config", "usage", "totalUsed")))
-        both = limit is not None and used is not None
-        if both:
-            percent = used / limit * 100 if limit > 0 else None
-        else:
-            percent = _first(_number(x.get(k)) for k in ("usedPercent", "usagePercent", "creditUsagePercent"))
-        if percent is not None:
-            percent = min(100.0, max(0.0, percent))
-            start = _when(_first((_reach(x, "billingCycle", "billingPeriodStart"), x.get("billingPeriodStart"))))
-            end = _when(_first((_reach(x, "billingCycle", "billingPeriodEnd"), x.get("billingPeriodEnd"))))
-            left = f"${max(0.0, limit - used) / 100:.2f}/${limit / 100:.2f} left" if both else None
-            return (_cycle(start, end), percent, 100 - percent, left, end)
-    children = x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
-    return _first(_billing(c) for c in children)
-
-
-def _tasks(x, out):
-    """Every usage and limit at any depth; what is the same to four decimals counts once."""
-    if isinstance(x, dict):
-        reset = _first(x.get(k) if isinstance(x.get(k), str) else None for k in ("resetTime", "resetsAt", "resetAt"))
-        for label, used, limit in (("Tasks", "usage", "limit"), ("Frequent", "frequentUsage", "frequentLimit"), ("Occasional", "occasionalUsage", "occasionalLimit")):
-            most = _number(x.get(limit))
-            if most is None or most <= 0:
-                continue
+def _objects(doc):
+    """Every object of a document, parents before children, in order; a stack, as documents may be deep."""
+    waiting = [doc]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, dict):
+            yield x
+            waiting.extend(reversed(x.values()))
+        elif isinstance(x, list):
+            waiting.extend(reversed(x))
+
+
+#: Where a limit, what was used of it, a share of it and the period stand.
+LIMIT = (("monthlyLimit",), ("config", "monthlyLimit"))
+USED = (("usage", "totalUsed"), ("totalUsed",), ("config", "usage", "totalUsed"))
+SHARE = (("usedPercent",), ("usagePercent",), ("creditUsagePercent",))
+PERIOD_START = (("billingCycle", "billingPeriodStart"), ("billingPeriodStart",))
+PERIOD_END = (("billingCycle", "billingPeriodEnd"), ("billingPeriodEnd",))
+TASKS = (("Tasks", "usage", "limit"), ("Frequent", "frequentUsage", "frequentLimit"), ("Occasional", "occasionalUsage", "occasionalLimit"))
+RESETS = ("resetTime", "resetsAt", "resetAt")
+
+
+def _number_at(x, paths):
+    return _first(_number(_reach(x, *p)) for p in paths)
+
+
+def _bill(x):
+    """The metric of an object that states a used share of its budget, else None."""
+    limit, used = _number_at(x, LIMIT), _number_at(x, USED)
+    priced = limit is not None and used is not None
+    percent = (used / limit * 100 if limit > 0 else None) if priced else _number_at(x, SHARE)
+    if percent is None:
+        return None
+    start, end = (_when(_first(_reach(x, *p) for p in paths)) for paths in (PERIOD_START, PERIOD_END))
+    percent = min(100.0, max(0.0, percent))
+    left = f"${max(0.0, limit - used) / 100:.2f}/${limit / 100:.2f} left" if priced else None
+    return _cycle(start, end), percent, 100 - percent, left, end
+
+
+def _counts(x):
+    """The metrics of an object's task limits."""
+    reset = _first(x[k] for k in RESETS if isinstance(x.get(k), str))
+    for label, used, limit in TASKS:
+        most = _number(x.get(limit))
+        if most is not None and most > 0:
             n = min(most, max(0.0, _number(x.get(used)) or 0.0))
-            percent, left = min(100.0, n / most * 100), f"{most - n:.0f}/{most:.0f} left"
-            if not any(m[0] == label and abs(m[1] - percent) < 1e-4 and m[3] == left for m in out):
-                out.append((label, percent, 100 - percent, left, reset))
-    for c in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
-        _tasks(c, out)
-    return out
+            percent = min(100.0, n / most * 100)
+            yield label, percent, 100 - percent, f"{most - n:.0f}/{most:.0f} left", reset
 
 
 def _metrics(text: str | None):
+    """The first bill, then every task limit at any depth; what is the same to four decimals counts once."""
     try:
         doc = json.loads(text)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return []
-    bill = _billing(doc)
-    return ([bill] if bill else []) + _tasks(doc, [])
+    bill = _first(_bill(x) for x in _objects(doc))
+    found = []
+    for m in (m for x in _objects(doc) for m in _counts(x)):
+        if not any(m[0] == o[0] and abs(m[1] - o[1]) < 1e-4 and m[3] == o[3] for o in found):
+            found.append(m)
+    return ([bill] if bill else []) + found
 
 
 @F.pandas_udf(METRIC)

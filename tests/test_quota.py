@@ -117,3 +117,11 @@ def test_latest_payload_and_labels(spark):
     assert Q.latest_payload(df).first()["payload"] == "new"
     row = spark.range(1).select(labels.plan_label(F.lit("pro_plus-x")), labels.minor_units(F.lit(1234.0), F.lit("eur")), labels.display_name(F.lit("new-tool")), labels.jwt_claim(F.lit("a.eyJlbWFpbCI6ICJ4QHkueiJ9.b"), "email"), labels.jwt_claim(F.lit("nope"), "email")).first()
     assert tuple(row) == ("Pro Plus X", "12.34 EUR", "New Tool", "x@y.z", None)
+
+
+def test_deep_documents_do_no_harm():
+    from meterglass.operators import quota
+
+    deep = "[" * 400 + '{"usage": 3, "limit": 4, "usedPercent": 5}' + "]" * 400
+    assert [m[0] for m in quota._metrics(deep)] == ["Credits", "Tasks"]
+    assert quota._metrics("[" * 200_000 + "]" * 200_000) == [] == quota._metrics(None)
