@@ -10,7 +10,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import tempfile
 import time
 from pathlib import Path
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions.time import rfc3339_text
 from .operators import messages, rollup, trace
-from .session import session
+from .session import fresh_path, session
 from .sources import logs
 from .sources.files import Config
 from .streaming import live
@@ -32,7 +31,7 @@ def graph(args) -> None:
     now = int(time.time() * 1000)
     config = Config(home=args.home, now_ms=now)
     clients = args.clients.split(",") if args.clients else None
-    facts = logs.ingest(spark, config, args.facts or f"{tempfile.mkdtemp()}/facts", clients)
+    facts = logs.ingest(spark, config, args.facts or fresh_path(spark, "facts"), clients)
     stamp = spark.range(1).select(rfc3339_text(F.lit(now))).first()[0]
     doc = rollup.payload(messages.enriched(facts, args.year), stamp).first()["payload"]
     print(json.dumps(json.loads(doc), sort_keys=True))
@@ -41,7 +40,7 @@ def graph(args) -> None:
 def tail_sim(args) -> None:
     """One cold tick with a pinned clock: events and trace in a fixed order."""
     spark = session("tail-sim", args.time_zone)
-    work = args.work or tempfile.mkdtemp()
+    work = args.work or fresh_path(spark, "tail")
     table = live.HourTable(spark, f"{work}/hour")
     events = live.live_events(spark, args.client, args.root, args.now_ms)
     query = events.writeStream.foreachBatch(table.sink(lambda: args.now_ms)).option("checkpointLocation", f"{work}/checkpoint").start()
@@ -60,7 +59,7 @@ def tail_sim(args) -> None:
 def profile(args) -> None:
     """Cold: logs to the payload; warm: the fact table to the payload."""
     spark = session("profile", args.time_zone)
-    facts, took = f"{tempfile.mkdtemp()}/facts", {}
+    facts, took = fresh_path(spark, "facts"), {}
     began = time.time()
     logs.ingest(spark, Config(home=args.home, now_ms=int(began * 1000)), facts)
     took["ingest_s"] = time.time() - began

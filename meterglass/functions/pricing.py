@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 
 def has(column: str, *parts: str) -> str:
-    return "(" + " OR ".join(f"{column} LIKE '%{p}%'" for p in parts) + ")"
+    return "(" + " OR ".join(f"_{column} LIKE '%{p}%'" for p in parts) + ")"
 
 
 def begins(column: str, *parts: str) -> str:
-    return "(" + " OR ".join(f"{column} LIKE '{p}%'" for p in parts) + ")"
+    return "(" + " OR ".join(f"_{column} LIKE '{p}%'" for p in parts) + ")"
 
 
 def same(column: str, *values: str) -> str:
-    return f"{column} IN ({', '.join(repr(v) for v in values)})"
+    return f"_{column} IN ({', '.join(repr(v) for v in values)})"
 
 
 #: Fixed values, first match wins. m: lower-case model; n: m with dots, blanks and underscores as
@@ -92,28 +92,31 @@ COLUMNS = ("price_rule", *[f"{p}_price" for p in PARTS], "tier_at", *[f"{p}_abov
 
 
 def rule_sql() -> str:
-    """The number (from 1) of the first rule that holds, over columns m, n, t, c and provider."""
+    """The number (from 1) of the first rule that holds, over columns _m, _n, _t, _c and _provider."""
     return "CASE " + " ".join(f"WHEN {test} THEN {k}" for k, (test, *_) in enumerate(RULES, 1)) + " END"
 
 
-def price_rows() -> list[tuple]:
-    out = []
-    for k, (_, base, *tier) in enumerate(RULES, 1):
-        out.append((k, *base, tier[0] if tier else None, *(tier[1] if tier else (None,) * 4)))
-    return out
+def with_prices(df: DataFrame, model: str = "model_id", provider: str = "provider_id") -> DataFrame:
+    """Adds ``COLUMNS``: the rule of each row's model and provider, and its prices from constant arrays.
 
-
-def price_table(df: DataFrame, model: str = "model_id", provider: str = "provider_id") -> DataFrame:
-    """The distinct (model, provider) pairs of ``df`` with their prices: rules run once a pair, not once a row."""
-    spark = df.sparkSession
-    pairs = df.select(F.col(model), F.col(provider)).distinct()
+    Rules run once a row, in its own stage: no join, and no second pass over the rows for their models.
+    """
     m = F.lower(F.col(model))
     n = F.translate(m, "._ ", "---")
     t = F.regexp_replace(n, "^.*/", "")
-    shaped = pairs.select(model, provider, m.alias("m"), n.alias("n"), t.alias("t"), F.regexp_replace(t, "^grok-", "").alias("c"), F.coalesce(F.col(provider), F.lit("")).alias("provider"))
-    ruled = shaped.select(model, provider, F.expr(rule_sql()).alias("price_rule"))
-    prices = spark.createDataFrame(price_rows(), "price_rule int, " + ", ".join(f"{p}_price double" for p in PARTS) + ", tier_at long, " + ", ".join(f"{p}_above double" for p in PARTS))
-    return ruled.join(F.broadcast(prices), "price_rule")  # as many rows as there are rules
+    shaped = df.withColumns({"_m": m, "_n": n, "_t": t, "_c": F.regexp_replace(t, "^grok-", ""), "_provider": F.coalesce(F.col(provider), F.lit(""))})
+    ruled = shaped.withColumn("price_rule", F.expr(rule_sql())).drop("_m", "_n", "_t", "_c", "_provider")
+    tiers = [tier for _, _, *tier in RULES]
+    values = {f"{p}_price": [base[k] for _, base, *_ in RULES] for k, p in enumerate(PARTS)}
+    values["tier_at"] = [tier[0] if tier else None for tier in tiers]
+    values |= {f"{p}_above": [tier[1][k] if tier else None for tier in tiers] for k, p in enumerate(PARTS)}
+    kinds = {c: "bigint" if c == "tier_at" else "double" for c in values}
+    return ruled.withColumns({c: F.element_at(F.array(*[F.lit(v).cast(kinds[c]) for v in vs]), F.col("price_rule")) for c, vs in values.items()})
+
+
+def price_table(df: DataFrame, model: str = "model_id", provider: str = "provider_id") -> DataFrame:
+    """The distinct (model, provider) pairs of ``df`` with their prices."""
+    return with_prices(df.select(F.col(model), F.col(provider)).distinct(), model, provider)
 
 
 def tiered(tokens: Column, price: Column, tier_at: Column, above: Column) -> Column:

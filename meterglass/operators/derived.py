@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import once
 from .rollup import long_sum, money_sum
 
 
@@ -53,6 +54,7 @@ def streaks(per_day: DataFrame, start: Column, end: Column, keys: tuple[str, ...
 
 def stats(daily_client: DataFrame, clients: list[str] | None = None) -> DataFrame:
     """One row: totals, best day (dearest, earliest of equals), average, most tokens, streaks, present clients of all."""
+    daily_client = once(daily_client)
     chosen = per_day(daily_client, clients)
     range_ = daily_client.agg(F.min("date").alias("start"), F.max("date").alias("end"))
     totals = chosen.agg(

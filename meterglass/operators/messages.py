@@ -48,17 +48,15 @@ def with_provider(df: DataFrame) -> DataFrame:
     return df.withColumn("provider_id", F.when(blank, models.infer_provider(F.col("model_id"))).otherwise(F.col("provider_id")))
 
 
-def with_cost(df: DataFrame) -> DataFrame:
-    """Fills costs that logs lack. Prices are found once for each pair of model and provider."""
-    prices = pricing.price_table(df).withColumnsRenamed({"model_id": "_m", "provider_id": "_p"})
-    priced = df.join(prices, F.col("model_id").eqNullSafe(F.col("_m")) & F.col("provider_id").eqNullSafe(F.col("_p")), "left")
+def with_cost(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fills costs that logs lack. ``keep``: price columns to keep."""
     cost = F.when(F.col("cost") <= 0, pricing.estimated_cost(*[F.col(t) for t in TOKENS])).otherwise(F.col("cost"))
-    return priced.withColumn("cost", cost).select(*df.columns)
+    return pricing.with_prices(df).withColumn("cost", cost).select(*df.columns, *keep)
 
 
-def enriched(df: DataFrame, year: str | None = None) -> DataFrame:
-    """Dedup, then validity, then provider, cost and the year filter, in this order."""
-    out = with_cost(with_provider(valid(dedup(df))))
+def enriched(df: DataFrame, year: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Dedup, then validity, then provider, cost and the year filter, in this order: one shuffle."""
+    out = with_cost(with_provider(valid(dedup(df))), keep)
     return by_year(out, year)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import once
 from .messages import TOKENS, total_tokens
 
 MONEY = "decimal(28,10)"
@@ -47,6 +48,7 @@ def intensity(cost: Column, most: Column) -> Column:
 
 def with_intensity(daily: DataFrame, cost: str = "cost") -> DataFrame:
     """The dearest day is one row, joined to all: no window over every day."""
+    daily = once(daily)
     most = daily.agg(F.max(cost).alias("_most"))
     return daily.crossJoin(F.broadcast(most)).withColumn("intensity", intensity(F.col(cost), F.col("_most"))).drop("_most")
 
@@ -60,12 +62,14 @@ def contributions(df: DataFrame) -> DataFrame:
         F.struct(*[long_sum(F.col(t)).alias(t) for t in TOKENS]).alias("token_breakdown"),
         nested.alias("clients"),
     )
+    days = once(days)
     most = days.agg(F.max("totals.cost").alias("_most"))
     return days.crossJoin(F.broadcast(most)).select("date", "totals", intensity(F.col("totals.cost"), F.col("_most")).alias("intensity"), "token_breakdown", "clients")
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """One row: totals, days, average of active days, dearest day, clients and models."""
+    """One row: totals, days, average of active days, dearest day, clients and models. ``df``: messages or their ``daily_client``."""
+    df = once(daily_client(df))
     days = daily_totals(df).agg(
         long_sum(F.col("tokens")).alias("total_tokens"), money_sum(F.col("cost")).alias("total_cost"), F.count(F.lit(1)).cast("int").alias("total_days"),
         F.count_if(F.col("tokens") > 0).cast("int").alias("active_days"), F.coalesce(F.max("cost"), F.lit(0.0)).alias("max_cost_in_single_day"),
@@ -100,7 +104,9 @@ def payload(df: DataFrame, generated_at: str, version: str = "1") -> DataFrame:
     """One row, ``payload``: the whole document as JSON with camelCase names.
 
     A document for one reader: as many days as a calendar has, whatever the number of messages.
+    All parts are made of one ``daily_client`` table.
     """
+    df = once(daily_client(df))
 
     clients = F.transform(
         "clients",

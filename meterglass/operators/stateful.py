@@ -147,7 +147,7 @@ def turn_segments(rows: DataFrame, keys: list[str], order: str = "ord") -> DataF
     ``rows``: keys, order, opens (a user message), total, model (null if the line names none),
     timestamp_ms, and ``fallback_model``. A total below the high-water mark is ignored. Growth
     before the first user message forms an implicit turn; a turn's model is the one known as it
-    opens, or, if that is unknown, the first named while it is open. Files without any turn that
+    opens, or, if that is unknown, the first named while it is open or by the line that closes it. Files without any turn that
     grew give their last total as one row.
     """
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -163,7 +163,6 @@ def turn_segments(rows: DataFrame, keys: list[str], order: str = "ord") -> DataF
     implicit = (F.col("_opened") == 0) & (F.sum(F.col("_grows").cast("int")).over(upto) > 0)
     seen = seen.withColumn("_turn", F.when(F.col("_opened") > 0, F.col("_opened")).when(implicit, F.lit(0)))
     own = seen.filter("_turn IS NOT NULL")
-    unknown = F.col("fallback_model")
     turns = own.groupBy(*keys, "_turn").agg(
         F.min(order).alias("ord"),
         F.coalesce(F.min_by(F.coalesce(F.col("_mark"), F.lit(0)), order), F.lit(0)).alias("_base"),
@@ -171,8 +170,11 @@ def turn_segments(rows: DataFrame, keys: list[str], order: str = "ord") -> DataF
         F.max_by("timestamp_ms", F.when((F.col("_grows") | F.col("_first")) & (F.col("_high") > 0), F.col(order))).alias("_at"),
         F.min_by("_known", order).alias("_opened_with"),
         F.min_by("model", F.when(F.col("model").isNotNull(), F.col(order))).alias("_named"),
-        F.first(unknown).alias("_fallback"),
+        F.min_by("model", order).alias("_head"),
     )
+    # a line that closes a turn and names a model names it for that turn, too
+    following = F.lead("_head").over(Window.partitionBy(*keys).orderBy("_turn"))
+    turns = turns.withColumn("_named", F.coalesce(F.col("_named"), following))
     model = F.when(F.col("_opened_with") == "grok-unknown", F.coalesce("_named", "_opened_with")).otherwise(F.col("_opened_with"))
     first_implicit = F.max(F.when(F.col("_turn") == 0, 1).otherwise(0)).over(Window.partitionBy(*keys))
     turns = turns.select(*keys, (F.col("_turn") - 1 + first_implicit).cast("int").alias("turn"), model.alias("model"), (F.col("_max") - F.col("_base")).alias("delta"), F.col("_at").alias("timestamp_ms"), "ord")

@@ -9,7 +9,7 @@ from ..functions import format as fmt
 from ..functions import models, pricing
 from ..functions import time as times
 from ..operators import derived, messages, rollup, stateful, trace
-from .adapters import ENRICHED_SQL, EVENTS_SQL, MESSAGES_SQL, table, usage_events, usage_messages
+from .adapters import ENRICHED_SQL, EVENTS_SQL, KEY_SQL, MESSAGES_SQL, table, usage_events, usage_messages
 from .registry import query
 
 #: A moment after which the trace queries look back: the end of January 29, 2024, in milliseconds.
@@ -22,31 +22,31 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def money(*names: str) -> dict:
-    return {n: F.round(F.col(n), 6) for n in names}
+    return {n: F.round(F.col(n), 8) for n in names}
 
 
 FIVE = "CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, CAST(sum(reasoning) AS BIGINT) AS reasoning"
-COST = "round(CAST(sum(CAST(cost AS DECIMAL(28,10))) AS DOUBLE), 6)"
+COST = "round(CAST(sum(CAST(cost AS DECIMAL(28,10))) AS DOUBLE), 8)"
 TOTALS = f"{FIVE}, CAST(sum(tokens) AS BIGINT) AS tokens, {COST} AS cost, CAST(sum(messages) AS BIGINT) AS messages"
 
 
-@query(f"WITH {MESSAGES_SQL} SELECT ord, client, model_id, timestamp_ms, date, input, output, cache_read, cache_write, reasoning, round(cost, 6) AS cost, dedup_key FROM u")
+@query(f"WITH {MESSAGES_SQL} SELECT ord, client, model_id, timestamp_ms, date, input, output, cache_read, cache_write, reasoning, round(cost, 8) AS cost, dedup_key FROM u")
 def usage_message_rows(spark, sf_dir):
-    return usage_messages(spark, sf_dir).select("ord", "client", "model_id", "timestamp_ms", "date", *messages.TOKENS, F.round("cost", 6).alias("cost"), "dedup_key")
+    return usage_messages(spark, sf_dir).select("ord", "client", "model_id", "timestamp_ms", "date", *messages.TOKENS, F.round("cost", 8).alias("cost"), "dedup_key")
 
 
-@query(f"WITH {MESSAGES_SQL} SELECT ord, client, model_id, dedup_key, input FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY ord) AS rn FROM u) WHERE rn = 1")
+@query(f"WITH {MESSAGES_SQL} SELECT ord, client, model_id, dedup_key, input FROM (SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY ord) AS rn FROM u) WHERE rn = 1")
 def dedup_first_wins(spark, sf_dir):
     return messages.dedup(usage_messages(spark, sf_dir)).select("ord", "client", "model_id", "dedup_key", "input")
 
 
-@query(f"{ENRICHED_SQL} SELECT ord, client, model_id, provider_id, date, tokens, price_rule, round(cost, 6) AS cost FROM e")
+@query(f"{ENRICHED_SQL} SELECT ord, client, model_id, provider_id, date, tokens, price_rule, round(cost, 8) AS cost FROM e")
 def enriched_messages(spark, sf_dir):
-    rows = enriched(spark, sf_dir).select("ord", "client", "model_id", "provider_id", "date", messages.total_tokens().alias("tokens"), F.round("cost", 6).alias("cost"))
-    return rows.join(pricing.price_table(rows).select("model_id", "provider_id", "price_rule"), ["model_id", "provider_id"])
+    rows = messages.enriched(usage_messages(spark, sf_dir), keep=("price_rule",))
+    return rows.select("ord", "client", "model_id", "provider_id", "date", messages.total_tokens().alias("tokens"), "price_rule", F.round("cost", 8).alias("cost"))
 
 
-@query(f"{ENRICHED_SQL} SELECT DISTINCT model_id, provider_id, price_rule, input_price, output_price, cache_read_price, cache_write_price, CAST(tier_at AS BIGINT) AS tier_at, CAST(input_above AS DOUBLE) AS input_above FROM q JOIN prices USING (price_rule)")
+@query(f"{ENRICHED_SQL} SELECT DISTINCT model_id, provider_id, price_rule, input_price, output_price, cache_read_price, cache_write_price, CAST(tier_at AS BIGINT) AS tier_at, CAST(input_above AS DOUBLE) AS input_above FROM q")
 def model_price_lookup(spark, sf_dir):
     rows = messages.with_provider(messages.valid(messages.dedup(usage_messages(spark, sf_dir))))
     return pricing.price_table(rows).select("model_id", "provider_id", "price_rule", "input_price", "output_price", "cache_read_price", "cache_write_price", "tier_at", "input_above")
@@ -79,9 +79,9 @@ def nested_clients(spark, sf_dir):
 
 
 @query(f"""{ENRICHED_SQL}, g AS (SELECT date, sum(tokens) AS t, sum(CAST(cost AS DECIMAL(28,10))) AS c FROM e GROUP BY date)
-SELECT (SELECT CAST(sum(t) AS BIGINT) FROM g) AS total_tokens, (SELECT round(CAST(sum(c) AS DOUBLE), 6) FROM g) AS total_cost, (SELECT CAST(count(*) AS INTEGER) FROM g) AS total_days,
-  (SELECT CAST(count(*) AS INTEGER) FROM g WHERE t > 0) AS active_days, (SELECT round(CAST(max(c) AS DOUBLE), 6) FROM g) AS max_cost_in_single_day, (SELECT min(date) FROM g) AS start, (SELECT max(date) FROM g) AS "end",
-  (SELECT round(CAST(sum(c) AS DOUBLE) / count(*) FILTER (t > 0), 6) FROM g) AS average_per_day,
+SELECT (SELECT CAST(sum(t) AS BIGINT) FROM g) AS total_tokens, (SELECT round(CAST(sum(c) AS DOUBLE), 8) FROM g) AS total_cost, (SELECT CAST(count(*) AS INTEGER) FROM g) AS total_days,
+  (SELECT CAST(count(*) AS INTEGER) FROM g WHERE t > 0) AS active_days, (SELECT round(CAST(max(c) AS DOUBLE), 8) FROM g) AS max_cost_in_single_day, (SELECT min(date) FROM g) AS start, (SELECT max(date) FROM g) AS "end",
+  (SELECT round(CAST(sum(c) AS DOUBLE) / count(*) FILTER (t > 0), 8) FROM g) AS average_per_day,
   (SELECT string_agg(DISTINCT client, ',' ORDER BY client) FROM e) AS clients, (SELECT string_agg(DISTINCT model_id, ',' ORDER BY model_id) FROM e) AS models""")
 def usage_summary(spark, sf_dir):
     one = rollup.summary(enriched(spark, sf_dir)).withColumns(money("total_cost", "max_cost_in_single_day", "average_per_day"))
@@ -113,9 +113,9 @@ PER_DAY_SQL = f"per_day AS (SELECT date, CAST(sum(tokens) AS BIGINT) AS tokens,
 r AS (SELECT min(date) AS start, max(date) AS "end" FROM e),
 i AS (SELECT date, CAST(date AS DATE) - CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS a FROM per_day WHERE tokens > 0),
 runs AS (SELECT max(date) AS last, CAST(count(*) AS INTEGER) AS n FROM i GROUP BY a)
-SELECT (SELECT CAST(sum(tokens) AS BIGINT) FROM per_day) AS total_tokens, (SELECT round(CAST(sum(cost) AS DOUBLE), 6) FROM per_day) AS total_cost, (SELECT CAST(count(*) AS INTEGER) FROM per_day) AS active_days,
-  (SELECT max(tokens) FROM per_day) AS max_tokens, (SELECT date FROM per_day ORDER BY cost DESC, date LIMIT 1) AS best_day, (SELECT round(CAST(max(cost) AS DOUBLE), 6) FROM per_day) AS best_cost,
-  (SELECT round(CAST(sum(cost) AS DOUBLE) / count(*), 6) FROM per_day) AS average_per_day, start, "end",
+SELECT (SELECT CAST(sum(tokens) AS BIGINT) FROM per_day) AS total_tokens, (SELECT round(CAST(sum(cost) AS DOUBLE), 8) FROM per_day) AS total_cost, (SELECT CAST(count(*) AS INTEGER) FROM per_day) AS active_days,
+  (SELECT max(tokens) FROM per_day) AS max_tokens, (SELECT date FROM per_day ORDER BY cost DESC, date LIMIT 1) AS best_day, (SELECT round(CAST(max(cost) AS DOUBLE), 8) FROM per_day) AS best_cost,
+  (SELECT round(CAST(sum(cost) AS DOUBLE) / count(*), 8) FROM per_day) AS average_per_day, start, "end",
   (SELECT string_agg(DISTINCT client, ',' ORDER BY client) FROM e) AS present_clients,
   (SELECT max(n) FROM runs) AS longest_streak, coalesce((SELECT n FROM runs WHERE last = r."end"), 0) AS current_streak FROM r""")
 def stats_by_client(spark, sf_dir):
@@ -123,7 +123,7 @@ def stats_by_client(spark, sf_dir):
     return one.withColumn("present_clients", F.array_join("present_clients", ","))
 
 
-@query(f"{ENRICHED_SQL}, {PER_DAY_SQL} SELECT date, tokens, round(CAST(cost AS DOUBLE), 6) AS cost FROM per_day WHERE tokens <> 0 OR cost <> 0")
+@query(f"{ENRICHED_SQL}, {PER_DAY_SQL} SELECT date, tokens, round(CAST(cost AS DOUBLE), 8) AS cost FROM per_day WHERE tokens <> 0 OR cost <> 0")
 def client_semi_join(spark, sf_dir):
     chosen = spark.createDataFrame([(c,) for c in SELECTED], "client string")
     return derived.per_day(rollup.daily_client(enriched(spark, sf_dir)), chosen).withColumns(money("cost"))
@@ -151,12 +151,12 @@ def calendar_grid(spark, sf_dir):
 
 
 BARS_SQL = f"""parts AS (SELECT date, client, CAST(sum(tokens) AS BIGINT) AS tokens, sum(CAST(cost AS DECIMAL(28,10))) AS cost FROM e GROUP BY ALL),
-bars AS (SELECT date, CAST(sum(tokens) AS BIGINT) AS total_tokens, round(CAST(sum(cost) AS DOUBLE), 6) AS total_cost, string_agg(client || '=' || tokens, ',' ORDER BY client) AS segments FROM parts GROUP BY date)"""
+bars AS (SELECT date, CAST(sum(tokens) AS BIGINT) AS total_tokens, round(CAST(sum(cost) AS DOUBLE), 8) AS total_cost, string_agg(client || '=' || tokens, ',' ORDER BY client) AS segments FROM parts GROUP BY date)"""
 
 
 def written_segments(bars: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("segments", lambda s: F.concat(s["client"], F.lit("="), s["tokens"].cast("string"))), ",")
-    return bars.withColumns({"segments": text, "total_cost": F.round("total_cost", 6)})
+    return bars.withColumns({"segments": text, "total_cost": F.round("total_cost", 8)})
 
 
 @query(f"{ENRICHED_SQL}, {BARS_SQL} SELECT * FROM bars")
@@ -194,10 +194,10 @@ def trace_collapse(spark, sf_dir):
     return trace.collapse(trace.trace(usage_events(spark, sf_dir), NOW_MS, TRACE_S)).withColumn("tokens_per_min", F.round("tokens_per_min", 3))
 
 
-@query(f"{COLLAPSE_SQL} SELECT client, tokens, round(greatest(4.0::DOUBLE, tokens::DOUBLE / (SELECT max(tokens) FROM co) * 100), 6) AS bar_percent, (SELECT CAST(sum(tokens) AS BIGINT) FROM co) AS all_tokens FROM co ORDER BY tokens DESC, client LIMIT 5")
+@query(f"{COLLAPSE_SQL} SELECT client, tokens, round(greatest(4.0::DOUBLE, tokens::DOUBLE / (SELECT max(tokens) FROM co) * 100), 8) AS bar_percent, (SELECT CAST(sum(tokens) AS BIGINT) FROM co) AS all_tokens FROM co ORDER BY tokens DESC, client LIMIT 5")
 def top5_trace(spark, sf_dir):
     rows = trace.collapse(trace.trace(usage_events(spark, sf_dir), NOW_MS, TRACE_S))
-    return trace.top(rows).select("client", "tokens", F.round("bar_percent", 6).alias("bar_percent"), "all_tokens")
+    return trace.top(rows).select("client", "tokens", F.round("bar_percent", 8).alias("bar_percent"), "all_tokens")
 
 
 @query(f"{WINDOW_SQL} SELECT round(CAST(CAST(coalesce(sum(t), 0) / {TRACE_S / 60} AS FLOAT) AS DOUBLE), 2) AS tokens_per_min, CAST(coalesce(sum(t), 0) AS BIGINT) AS tokens FROM w")
@@ -227,15 +227,15 @@ def snapshot_diff(spark, sf_dir):
     return trace.snapshot_diff(side(0), side(1))
 
 
-@query(f"""WITH {MESSAGES_SQL}, k AS (SELECT user_id AS file, dedup_key, min(ord) AS ord, arg_min(model_id, ord) AS model_id, max(input) AS input, max(output) AS output, max(cache_read) AS cache_read, max(cache_write) AS cache_write FROM u WHERE ord % 6 > 0 GROUP BY ALL)
-SELECT user_id AS file, NULL AS dedup_key, ord, model_id, input, output, cache_read, cache_write FROM u WHERE ord % 6 = 0 UNION ALL SELECT file, dedup_key, ord, model_id, input, output, cache_read, cache_write FROM k""")
+@query(f"""WITH {MESSAGES_SQL}, k AS (SELECT user_id AS file, dedup_key, min(ord) AS ord, arg_min(model_id, ord) AS model_id, max(input) AS input, max(output) AS output, max(cache_read) AS cache_read, max(cache_write) AS cache_write FROM u WHERE ord % 6 > 0 AND dedup_key IS NOT NULL GROUP BY ALL)
+SELECT user_id AS file, NULL AS dedup_key, ord, model_id, input, output, cache_read, cache_write FROM u WHERE ord % 6 = 0 OR dedup_key IS NULL UNION ALL SELECT file, dedup_key, ord, model_id, input, output, cache_read, cache_write FROM k""")
 def in_file_max_merge(spark, sf_dir):
     rows = usage_messages(spark, sf_dir).select(F.col("user_id").alias("file"), F.when(F.col("ord") % 6 > 0, F.col("dedup_key")).alias("dedup_key"), "ord", "model_id", *stateful.FOUR)
     return stateful.max_merge(rows)
 
 
-@query(f"""WITH {MESSAGES_SQL}, k AS (SELECT user_id AS file, dedup_key, min(ord) AS ord, arg_max(model_id, ord) AS model_id, arg_max(input, ord) AS input FROM u WHERE ord % 6 > 0 GROUP BY ALL)
-SELECT user_id AS file, NULL AS dedup_key, ord, model_id, input FROM u WHERE ord % 6 = 0 UNION ALL SELECT file, dedup_key, ord, model_id, input FROM k""")
+@query(f"""WITH {MESSAGES_SQL}, k AS (SELECT user_id AS file, dedup_key, min(ord) AS ord, arg_max(model_id, ord) AS model_id, arg_max(input, ord) AS input FROM u WHERE ord % 6 > 0 AND dedup_key IS NOT NULL GROUP BY ALL)
+SELECT user_id AS file, NULL AS dedup_key, ord, model_id, input FROM u WHERE ord % 6 = 0 OR dedup_key IS NULL UNION ALL SELECT file, dedup_key, ord, model_id, input FROM k""")
 def in_file_replace(spark, sf_dir):
     rows = usage_messages(spark, sf_dir).select(F.col("user_id").alias("file"), F.when(F.col("ord") % 6 > 0, F.col("dedup_key")).alias("dedup_key"), "ord", "model_id", "input")
     return stateful.replace_in_place(rows)
@@ -251,10 +251,36 @@ def counter_fold(spark, sf_dir):
     return stateful.counter_deltas(e)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MESSAGES_SQL},
+r AS (SELECT user_id, ord, event_type = 'purchase' AS opens, CASE WHEN ord % 7 = 0 THEN NULL ELSE sum(k) OVER (PARTITION BY user_id ORDER BY ord) - CASE WHEN ord % 5 = 0 THEN 100 ELSE 0 END END AS total,
+  CASE WHEN ord % 4 = 0 THEN model_id END AS model, timestamp_ms, row_number() OVER (PARTITION BY user_id ORDER BY ord) AS rn FROM u),
+s AS (
+  SELECT user_id, 0::BIGINT AS rn, 'grok-unknown' AS now, NULL::HUGEINT AS mark, 0 AS closed, false AS open, NULL::VARCHAR AS turn_model, 0::HUGEINT AS base, NULL::HUGEINT AS most, NULL::BIGINT AS hit, NULL::BIGINT AS first, NULL::BIGINT AS seen_at, NULL::BIGINT AS start,
+    NULL::VARCHAR AS out_model, NULL::HUGEINT AS out_delta, NULL::BIGINT AS out_at, NULL::BIGINT AS out_ord, 0 AS out_turn FROM (SELECT DISTINCT user_id FROM r)
+  UNION ALL
+  SELECT user_id, rn, now, mark, closed, open, turn_model, base, most, hit, first, seen_at, start, out_model, out_delta, out_at, out_ord, out_turn FROM (
+    SELECT n.user_id, n.rn, n.now, CASE WHEN n.counts THEN n.total ELSE n.mark END AS mark, n.closed2 AS closed,
+      (n.open2 OR n.grows) AS open, CASE WHEN n.open2 THEN n.tm2 WHEN n.grows THEN n.now END AS turn_model, CASE WHEN n.open2 THEN n.base2 ELSE coalesce(n.mark, 0) END AS base,
+      CASE WHEN n.grows OR (n.seeds AND n.open2) THEN n.total WHEN n.open2 THEN n.most2 END AS most,
+      CASE WHEN n.grows OR (n.seeds AND n.open2) THEN n.timestamp_ms WHEN n.open2 THEN n.at2 END AS hit, CASE WHEN n.open2 THEN n.first2 WHEN n.grows THEN n.ord END AS first,
+      CASE WHEN n.counts THEN n.timestamp_ms ELSE n.seen_at END AS seen_at, coalesce(n.start, n.ord) AS start,
+      CASE WHEN n.shuts THEN n.tm1 END AS out_model, CASE WHEN n.shuts THEN n.pmost - n.pbase END AS out_delta, CASE WHEN n.shuts THEN n.pat END AS out_at, CASE WHEN n.shuts THEN n.pfirst END AS out_ord, n.closed AS out_turn
+    FROM (SELECT m.*, m.opens AND m.popen AS shuts, m.closed + CASE WHEN m.opens AND m.popen THEN 1 ELSE 0 END AS closed2, m.opens OR m.popen AS open2,
+        CASE WHEN m.opens THEN m.now ELSE m.tm1 END AS tm2, CASE WHEN m.opens THEN coalesce(m.mark, 0) ELSE m.pbase END AS base2, CASE WHEN NOT m.opens THEN m.pmost END AS most2,
+        CASE WHEN NOT m.opens THEN m.pat END AS at2, CASE WHEN m.opens THEN m.ord ELSE m.pfirst END AS first2
+      FROM (SELECT r.user_id, r.rn, r.ord, r.opens, r.total, r.timestamp_ms, coalesce(r.model, s.now) AS now, s.mark, s.closed, s.open AS popen, s.base AS pbase, s.most AS pmost, s.hit AS pat, s.first AS pfirst, s.seen_at, s.start,
+          CASE WHEN s.turn_model = 'grok-unknown' AND r.model IS NOT NULL THEN r.model ELSE s.turn_model END AS tm1,
+          coalesce(r.total >= 0 AND r.total >= coalesce(s.mark, 0), false) AS counts, coalesce(r.total > s.mark, false) AS grows, coalesce(s.mark IS NULL AND r.total >= 0, false) AS seeds
+        FROM s JOIN r ON r.user_id = s.user_id AND r.rn = s.rn + 1) m) n) x),
+last AS (SELECT user_id, max(rn) AS rn FROM s GROUP BY user_id),
+outs AS (SELECT user_id, out_turn AS k, out_model AS model, out_delta AS delta, out_at AS timestamp_ms, out_ord AS ord FROM s WHERE out_ord IS NOT NULL
+  UNION ALL SELECT user_id, closed, turn_model, most - base, hit, first FROM s JOIN last USING (user_id, rn) WHERE open),
+kept AS (SELECT * FROM outs WHERE delta > 0)
+SELECT user_id, CAST(k AS INTEGER) AS turn, model, CAST(delta AS BIGINT) AS delta, timestamp_ms, ord FROM kept
+UNION ALL SELECT user_id, 0, now, CAST(mark AS BIGINT), seen_at, start FROM s JOIN last USING (user_id, rn) WHERE mark > 0 AND user_id NOT IN (SELECT user_id FROM kept)""")
 def turn_segments(spark, sf_dir):
     rows = usage_messages(spark, sf_dir).select(
-        "user_id", "ord", (F.col("event_type") == "purchase").alias("opens"), F.sum("k").over(Window.partitionBy("user_id").orderBy("ord")).alias("total"),
+        "user_id", "ord", (F.col("event_type") == "purchase").alias("opens"), F.when(F.col("ord") % 7 > 0, F.sum("k").over(Window.partitionBy("user_id").orderBy("ord")) - F.when(F.col("ord") % 5 == 0, 100).otherwise(0)).alias("total"),
         F.when(F.col("ord") % 4 == 0, F.col("model_id")).alias("model"), "timestamp_ms", F.lit("grok-unknown").alias("fallback_model"),
     )
     return stateful.turn_segments(rows, ["user_id"])
@@ -330,6 +356,34 @@ def tab_union(spark, sf_dir):
     return derived.tabs(enriched(spark, sf_dir), table(spark, sf_dir, "region").select(F.lower("r_name").alias("client")))
 
 
-@query()
+PAYLOAD = (
+    "meta struct<generatedAt:string,dateRange:struct<start:string,end:string>>, summary struct<totalTokens:bigint,totalDays:int,activeDays:int,clients:array<string>,models:array<string>,totalCost:double,maxCostInSingleDay:double>, "
+    "years array<struct<year:string,totalTokens:bigint,totalCost:double,range:struct<start:string,end:string>>>, contributions array<struct<date:string,totals:struct<tokens:bigint,cost:double,messages:bigint>,intensity:int,"
+    "tokenBreakdown:struct<input:bigint,output:bigint,cacheRead:bigint,cacheWrite:bigint,reasoning:bigint>,clients:array<struct<client:string,modelId:string,providerId:string,cost:double,messages:bigint,tokens:struct<input:bigint>>>>>"
+)
+
+
+@query(f"""{ENRICHED_SQL}, g AS (SELECT date, client, provider_id, model_id, CAST(sum(input) AS BIGINT) AS i, sum(CAST(cost AS DECIMAL(28,10))) AS c, sum(messages) AS n FROM e GROUP BY ALL),
+days AS (SELECT date, {TOTALS}, sum(CAST(cost AS DECIMAL(28,10))) AS exact FROM e GROUP BY date),
+cl AS (SELECT date, string_agg(client || '/' || provider_id || '/' || model_id || '/' || i || '/' || n, ',' ORDER BY client, provider_id, model_id) AS clients, CAST(count(*) AS INTEGER) AS n_clients FROM g GROUP BY date),
+y AS (SELECT substr(date, 1, 4) AS year, sum(tokens) AS t, min(date) AS a, max(date) AS z FROM e GROUP BY 1),
+s AS (SELECT CAST(sum(tokens) AS BIGINT) AS total_tokens, CAST(count(*) AS INTEGER) AS total_days, CAST(count(*) FILTER (tokens > 0) AS INTEGER) AS active_days, round(CAST(sum(exact) AS DOUBLE), 8) AS total_cost,
+  round(CAST(max(exact) AS DOUBLE), 8) AS max_cost, min(date) AS start, max(date) AS "end" FROM days)
+SELECT '2024-03-01T00:00:00.000Z' AS generated_at, start, "end", total_tokens, total_days, active_days, total_cost, max_cost, (SELECT string_agg(DISTINCT client, ',' ORDER BY client) FROM e) AS all_clients,
+  (SELECT string_agg(DISTINCT model_id, ',' ORDER BY model_id) FROM e) AS all_models, (SELECT string_agg(year || '=' || t || '=' || a || '=' || z, ',' ORDER BY year) FROM y) AS years,
+  date, tokens, cost, messages, CASE WHEN exact / (SELECT max(exact) FROM days) >= 0.75 THEN 4 WHEN exact / (SELECT max(exact) FROM days) >= 0.5 THEN 3 WHEN exact / (SELECT max(exact) FROM days) >= 0.25 THEN 2 WHEN exact > 0 THEN 1 ELSE 0 END AS intensity,
+  input, output, cache_read, cache_write, reasoning, clients, n_clients FROM s, days JOIN cl USING (date)""")
 def payload_json(spark, sf_dir):
-    return rollup.payload(enriched(spark, sf_dir), "2024-03-01T00:00:00.000Z")
+    """The document, read back: one row a day with what stands above the days."""
+    doc = rollup.payload(enriched(spark, sf_dir), "2024-03-01T00:00:00.000Z").select(F.from_json("payload", PAYLOAD).alias("p")).select("p.*", F.posexplode("p.contributions").alias("place", "d"))
+    text = lambda *parts: F.concat_ws("/", *[p.cast("string") for p in parts])
+    clients = F.transform("d.clients", lambda c: text(c["client"], c["providerId"], c["modelId"], c["tokens"]["input"], c["messages"]))
+    years = F.transform("years", lambda y: F.concat_ws("=", y["year"], y["totalTokens"].cast("string"), y["range"]["start"], y["range"]["end"]))
+    b = "d.tokenBreakdown."
+    return doc.select(
+        F.col("meta.generatedAt").alias("generated_at"), "meta.dateRange.start", "meta.dateRange.end", F.col("summary.totalTokens").alias("total_tokens"), F.col("summary.totalDays").alias("total_days"),
+        F.col("summary.activeDays").alias("active_days"), F.round("summary.totalCost", 8).alias("total_cost"), F.round("summary.maxCostInSingleDay", 8).alias("max_cost"), F.array_join("summary.clients", ",").alias("all_clients"),
+        F.array_join("summary.models", ",").alias("all_models"), F.array_join(years, ",").alias("years"), "d.date", "d.totals.tokens", F.round("d.totals.cost", 8).alias("cost"), "d.totals.messages", "d.intensity",
+        F.col(b + "input").alias("input"), F.col(b + "output").alias("output"), F.col(b + "cacheRead").alias("cache_read"), F.col(b + "cacheWrite").alias("cache_write"), F.col(b + "reasoning").alias("reasoning"),
+        F.array_join(clients, ",").alias("clients"), F.size("d.clients").alias("n_clients"),
+    )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings for reading logs: UTC dates unless set otherwise, and the last of repeated JSON keys wins.
 SETTINGS = {
@@ -19,3 +21,28 @@ def session(name: str = "meterglass", time_zone: str = "UTC", **settings: str) -
     for k, v in {**SETTINGS, "spark.sql.session.timeZone": time_zone, **settings}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only a local session, whose executors run inside the driver, may go without it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "/tmp/checkpoints/meterglass"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Rows that several results are made of, made once: a checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)
