@@ -61,12 +61,17 @@ def animation_interval_ms(load: Column) -> Column:
     return (F.lit(500.0) / F.greatest(F.lit(1.0), load / 5)).cast("long")
 
 
+def share_of(tokens: Column, most: Column) -> Column:
+    """Where all is idle the most counts as 1."""
+    return tokens / F.greatest(most, F.lit(1))
+
+
 def tile_height(tokens: Column, most: Column) -> Column:
-    return F.lit(0.05) + F.pow(tokens / most, F.lit(0.6)) * 4.0
+    return F.lit(0.05) + F.pow(share_of(tokens, most), F.lit(0.6)) * 4.0
 
 
 def color_ratio(tokens: Column, most: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.pow(tokens / most, F.lit(0.5))))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.pow(share_of(tokens, most), F.lit(0.5))))
 
 
 def bar_percent(value: Column, most: Column) -> Column:

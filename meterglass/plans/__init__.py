@@ -1,2 +1,2 @@
-from . import catalog, views  # noqa: F401
+from . import catalog, clients, views  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -117,3 +117,11 @@ def test_format_cost(spark):
         assert one(spark, fmt.format_cost(F.col("x")), x=usd) == text
     assert one(spark, fmt.clamp_percent(F.col("x")), x=79.5) == 80
     assert one(spark, fmt.clamp_percent(F.col("x")), x=-3.0) == 0
+
+
+def test_scales_of_an_idle_calendar(spark):
+    from meterglass.functions import format as fmt
+
+    df = spark.createDataFrame([(0, 0), (5, 5)], "tokens long, most long")
+    got = df.orderBy("tokens").select(fmt.tile_height(F.col("tokens"), F.col("most")).alias("h"), fmt.color_ratio(F.col("tokens"), F.col("most")).alias("c")).collect()
+    assert [(r["h"], r["c"]) for r in got] == [(0.05, 0.0), (4.05, 1.0)]
