@@ -1,7 +1,8 @@
-"""Command line: graph, rate, tail-sim and profile over one home folder's logs.
+"""Command line: graph, tail-sim, tail-live and profile over one home folder's logs.
 
     python -m meterglass graph --home ~ [--year 2026] [--clients claude,codex]
     python -m meterglass tail-sim --root DIR --client claude --now-ms N [--window 600]
+    python -m meterglass tail-live --root DIR --client claude [--ticks 12] [--home ~]
     python -m meterglass profile --home ~
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import time
 from pathlib import Path
@@ -22,19 +24,29 @@ from .sources import logs
 from .sources.files import Config
 from .streaming import live
 
-#: Seconds between live ticks and full refreshes, and for which a one-shot result holds.
-TICK_S, REFRESH_S, CACHE_S = 5, 1800, 30
+#: Seconds between live ticks and between full refreshes.
+TICK_S, REFRESH_S = 5, 1800
+
+
+def clock() -> int:
+    return int(time.time() * 1000)
+
+
+def config_of(home: str, now_ms: int) -> Config:
+    return Config(home=home, now_ms=now_ms, data_home=os.environ.get("XDG_DATA_HOME"), codex_home=os.environ.get("CODEX_HOME"))
+
+
+def show_graph(spark, home: str, facts: str, clients: list[str] | None = None, year: str | None = None) -> None:
+    now = clock()
+    rows = logs.ingest(spark, config_of(home, now), facts, clients)
+    stamp = spark.range(1).select(rfc3339_text(F.lit(now))).first()[0]
+    doc = rollup.payload(messages.enriched(rows, year), stamp).first()["payload"]
+    print(json.dumps(json.loads(doc), sort_keys=True), flush=True)
 
 
 def graph(args) -> None:
     spark = session("graph", args.time_zone)
-    now = int(time.time() * 1000)
-    config = Config(home=args.home, now_ms=now)
-    clients = args.clients.split(",") if args.clients else None
-    facts = logs.ingest(spark, config, args.facts or fresh_path(spark, "facts"), clients)
-    stamp = spark.range(1).select(rfc3339_text(F.lit(now))).first()[0]
-    doc = rollup.payload(messages.enriched(facts, args.year), stamp).first()["payload"]
-    print(json.dumps(json.loads(doc), sort_keys=True))
+    show_graph(spark, args.home, args.facts or fresh_path(spark, "facts"), args.clients.split(",") if args.clients else None, args.year)
 
 
 def tail_sim(args) -> None:
@@ -56,12 +68,41 @@ def tail_sim(args) -> None:
     print(json.dumps(found, sort_keys=True))
 
 
+def tail_live(args) -> None:
+    """A tick every ``TICK_S`` seconds: rates and trace are printed when they change, the graph of ``--home`` every ``REFRESH_S``."""
+    spark = session("tail-live", args.time_zone)
+    work = args.work or fresh_path(spark, "tail")
+    table = live.HourTable(spark, f"{work}/hour")
+    events = live.live_events(spark, args.client, args.root)
+    query = events.writeStream.trigger(processingTime=f"{TICK_S} seconds").foreachBatch(table.sink(clock)).option("checkpointLocation", f"{work}/checkpoint").start()
+
+    def view():
+        now, rows = clock(), table.read()
+        shown = trace.sorted_trace(trace.trace(rows, now, args.window)).select(F.to_json(F.struct("*")).alias("row"))
+        per_min = [F.lit(trace.rate(rows, now, s).first()[0]).alias(f"per_min_{s}") for s in (trace.SHORT_WINDOW_S, args.window)]
+        return spark.range(1).select(*per_min, F.lit([r["row"] for r in shown.collect()] or None).alias("trace"))  # a trace: a few rows
+
+    tick = live.PublishOnChange(view, lambda rows: print(json.dumps({"tokens_per_min": rows[0][0], "in_window": rows[0][1], "trace": [json.loads(r) for r in rows[0][2] or []]}), flush=True))
+    refreshed = None
+    query.processAllAvailable()
+    for n in range(args.ticks):
+        if n:
+            time.sleep(TICK_S)
+        if query.exception():
+            raise query.exception()
+        tick()
+        if args.home and (refreshed is None or time.monotonic() - refreshed >= REFRESH_S):
+            refreshed = time.monotonic()
+            show_graph(spark, args.home, fresh_path(spark, "facts"))
+    query.stop()
+
+
 def profile(args) -> None:
     """Cold: logs to the payload; warm: the fact table to the payload."""
     spark = session("profile", args.time_zone)
     facts, took = fresh_path(spark, "facts"), {}
     began = time.time()
-    logs.ingest(spark, Config(home=args.home, now_ms=int(began * 1000)), facts)
+    logs.ingest(spark, config_of(args.home, clock()), facts)
     took["ingest_s"] = time.time() - began
     for run in ("first_s", "again_s"):
         began = time.time()
@@ -85,11 +126,18 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--now-ms", type=int, required=True)
     t.add_argument("--window", type=int, default=trace.LONG_WINDOW_S)
     t.add_argument("--work")
+    n = sub.add_parser("tail-live")
+    n.add_argument("--root", required=True)
+    n.add_argument("--client", choices=("claude", "codex", "grok", "omp"), required=True)
+    n.add_argument("--ticks", type=int, default=12)
+    n.add_argument("--window", type=int, default=trace.LONG_WINDOW_S)
+    n.add_argument("--home", help="print its graph as well")
+    n.add_argument("--work")
     f = sub.add_parser("profile")
     f.add_argument("--home", default=str(Path.home()))
     args = p.parse_args(argv)
     try:
-        {"graph": graph, "tail-sim": tail_sim, "profile": profile}[args.command](args)
+        {"graph": graph, "tail-sim": tail_sim, "tail-live": tail_live, "profile": profile}[args.command](args)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2

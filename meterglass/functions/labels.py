@@ -12,6 +12,14 @@ DISPLAY_NAMES = {
 }
 
 
+#: The colours of clients in charts, and of all others.
+COLORS = {
+    "claude": "#d97706", "openclaw": "#dc2626", "gemini": "#60a5fa", "opencode": "#1f2937", "codex": "#9ca3af", "copilot": "#1f2937", "cursor": "#0ea5e9", "amp": "#10b981", "droid": "#22c55e", "hermes": "#a78bfa",
+    "grok": "#111827", "pi": "#f472b6", "kimi": "#fbbf24", "qwen": "#7c3aed", "roocode": "#ef4444", "kilocode": "#f97316", "kilo": "#f59e0b", "mux": "#06b6d4", "crush": "#ec4899", "synthetic": "#64748b",
+}
+OTHER_COLOR = "#6b7280"
+
+
 def capitalised(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)), word.substr(F.lit(2), F.length(word)))
 
@@ -77,6 +85,13 @@ def display_name(client: Column) -> Column:
     return out.otherwise(F.initcap(F.translate(client, "-_", "  ")))
 
 
+def client_color(client: Column) -> Column:
+    out = F
+    for k, v in COLORS.items():
+        out = out.when(client == k, F.lit(v))
+    return out.otherwise(F.lit(OTHER_COLOR))
+
+
 def jwt_claim(token: Column, claim: str) -> Column:
     """A text claim of a JSON web token's payload, unverified; null where it isn't one."""
     part = F.translate(F.get(F.split(token, r"\."), F.lit(1)), "-_", "+/")

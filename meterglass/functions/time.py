@@ -64,6 +64,11 @@ def local_date(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd")
 
 
+def diff_days(a: Column, b: Column) -> Column:
+    """Days from timestamp b to timestamp a, to the nearest whole one, so that an hour of summer time counts for nothing."""
+    return F.floor((F.unix_millis(a) - F.unix_millis(b)) / 86_400_000 + 0.5).cast("long")
+
+
 def reset_text(now_ms: Column, then_ms: Column) -> Column:
     """Resets now / in Nm / in Nh Mm (to 47 h) / in Nd Hh, minutes rounded up, zero parts left out."""
     div = lambda a, b: F.call_function("div", a, F.lit(b))

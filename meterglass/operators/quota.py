@@ -363,6 +363,11 @@ def carry_stale(now: DataFrame, before: DataFrame, now_ms: int) -> DataFrame:
     return joined.withColumns({**columns, "stale": F.when(take, F.lit(True)).otherwise(F.col("stale"))}).select(*now.columns)
 
 
+def opted_in(snapshots: DataFrame, cursor: bool) -> DataFrame:
+    """Without the opt-in to read its usage, Cursor's snapshots are not shown at all."""
+    return snapshots if cursor else snapshots.filter(~F.col("client_id").eqNullSafe("cursor"))
+
+
 def latest_payload(payloads: DataFrame) -> DataFrame:
     """Of payloads (generated_at, payload) the newest; older ones never replace it."""
     return payloads.agg(F.max_by("payload", times.rfc3339_ms(F.col("generated_at"))).alias("payload"))

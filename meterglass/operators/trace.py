@@ -63,20 +63,24 @@ def sorted_trace(rows: DataFrame) -> DataFrame:
 
 
 def collapse(rows: DataFrame) -> DataFrame:
-    """A row a client: sums, the agents and models joined; unknown models only where there is no other."""
+    """A row a client: sums, the agents and models joined; unknown models only where there is no other.
+
+    ``seen`` is the place of its first row in the trace's order, which decides between equal clients.
+    """
     models = F.array_sort(F.collect_set("model"))
+    rows = rows.withColumn("_seen", F.struct((-F.col("tokens")).alias("less"), "client", "agent", "model"))
     grouped = rows.withColumn("client", live_client(F.col("client"))).groupBy("client").agg(
         F.sum("tokens").alias("tokens"), F.sum("messages").alias("messages"), F.sum(F.col("tokens_per_min").cast("double")).alias("tokens_per_min"),
-        F.array_join(F.array_sort(F.collect_set("agent")), ", ").alias("agents"), models.alias("_models"),
+        F.array_join(F.array_sort(F.collect_set("agent")), ", ").alias("agents"), models.alias("_models"), F.min("_seen").alias("seen"),
     )
     known = F.filter("_models", lambda m: m != "unknown")
     return grouped.withColumn("models", F.array_join(F.when(F.size("_models") > 1, known).otherwise(F.col("_models")), ", ")).drop("_models")
 
 
 def top(rows: DataFrame, n: int = 5) -> DataFrame:
-    """The n largest rows, with each one's share of the largest (bar percent) and of all tokens."""
+    """The n largest rows of ``collapse``, with each one's share of the largest (bar percent) and of all tokens."""
     all_tokens = rows.agg(F.sum("tokens").alias("all_tokens"))
-    first = rows.orderBy(F.desc("tokens"), "client").limit(n)
+    first = rows.orderBy(F.desc("tokens"), "seen").limit(n).drop("seen")
     most = F.max("tokens").over(Window.partitionBy())
     return first.withColumn("bar_percent", F.when(most > 0, F.greatest(F.lit(4.0), F.col("tokens") / most * 100)).otherwise(0.0)).crossJoin(F.broadcast(all_tokens))
 

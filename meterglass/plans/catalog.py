@@ -181,7 +181,7 @@ WINDOW_SQL = f"WITH {EVENTS_SQL}, w AS (SELECT *, input + output + cache_read +
 TRACE_SQL = f"{WINDOW_SQL}, tr AS (SELECT client, agent, model, CAST(sum(t) AS BIGINT) AS tokens, count(*) AS messages, CAST(sum(t) / {TRACE_S / 60} AS FLOAT) AS tokens_per_min FROM w GROUP BY ALL)"
 COLLAPSE_SQL = f"""{TRACE_SQL}, b AS (SELECT *, CASE WHEN client LIKE '%-cli' THEN left(client, length(client) - 4) ELSE client END AS c FROM tr),
 co AS (SELECT c AS client, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(messages) AS BIGINT) AS messages, sum(CAST(tokens_per_min AS DOUBLE)) AS tokens_per_min, string_agg(DISTINCT agent, ', ' ORDER BY agent) AS agents,
-  CASE WHEN count(DISTINCT model) > 1 THEN string_agg(DISTINCT model, ', ' ORDER BY model) FILTER (model <> 'unknown') ELSE min(model) END AS models FROM b GROUP BY c)"""
+  CASE WHEN count(DISTINCT model) > 1 THEN string_agg(DISTINCT model, ', ' ORDER BY model) FILTER (model <> 'unknown') ELSE min(model) END AS models, min(row(-tokens, client, agent, model)) AS seen FROM b GROUP BY c)"""
 
 
 @query(f"{TRACE_SQL} SELECT client, agent, model, tokens, messages, round(CAST(tokens_per_min AS DOUBLE), 3) AS tokens_per_min FROM tr")
@@ -191,10 +191,10 @@ def trace_window(spark, sf_dir):
 
 @query(f"{COLLAPSE_SQL} SELECT client, tokens, messages, round(tokens_per_min, 3) AS tokens_per_min, agents, models FROM co")
 def trace_collapse(spark, sf_dir):
-    return trace.collapse(trace.trace(usage_events(spark, sf_dir), NOW_MS, TRACE_S)).withColumn("tokens_per_min", F.round("tokens_per_min", 3))
+    return trace.collapse(trace.trace(usage_events(spark, sf_dir), NOW_MS, TRACE_S)).withColumn("tokens_per_min", F.round("tokens_per_min", 3)).drop("seen")
 
 
-@query(f"{COLLAPSE_SQL} SELECT client, tokens, round(greatest(4.0::DOUBLE, tokens::DOUBLE / (SELECT max(tokens) FROM co) * 100), 8) AS bar_percent, (SELECT CAST(sum(tokens) AS BIGINT) FROM co) AS all_tokens FROM co ORDER BY tokens DESC, client LIMIT 5")
+@query(f"{COLLAPSE_SQL} SELECT client, tokens, round(greatest(4.0::DOUBLE, tokens::DOUBLE / (SELECT max(tokens) FROM co) * 100), 8) AS bar_percent, (SELECT CAST(sum(tokens) AS BIGINT) FROM co) AS all_tokens FROM co ORDER BY tokens DESC, seen LIMIT 5")
 def top5_trace(spark, sf_dir):
     rows = trace.collapse(trace.trace(usage_events(spark, sf_dir), NOW_MS, TRACE_S))
     return trace.top(rows).select("client", "tokens", F.round("bar_percent", 8).alias("bar_percent"), "all_tokens")
@@ -241,14 +241,55 @@ def in_file_replace(spark, sf_dir):
     return stateful.replace_in_place(rows)
 
 
-@query()
+#: Counter logs made of messages: forked files, totals that restart or come late or not at all, and models named by turns.
+FOLD_SQL = f"""WITH RECURSIVE {MESSAGES_SQL},
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord) AS rn FROM u),
+p AS (SELECT *, CASE WHEN rn = 1 AND user_id % 4 = 0 THEN 'meta' WHEN ord % 7 = 0 THEN 'turn' ELSE 'count' END AS kind,
+  CAST(sum(k) OVER w AS BIGINT) AS a, CAST(sum(k % 5) OVER w AS BIGINT) AS b, CAST(sum(k % 3) OVER w AS BIGINT) AS c FROM n WINDOW w AS (PARTITION BY user_id, rn // 13 ORDER BY ord)),
+r AS (SELECT user_id, rn, ord, timestamp_ms, kind, CASE WHEN kind = 'turn' OR ord % 4 = 1 THEN model_id WHEN ord % 8 = 0 THEN 'unknown' END AS named,
+  CASE WHEN kind = 'count' AND ord % 5 > 0 THEN [greatest(a - CASE WHEN ord % 11 = 0 THEN 3 ELSE 0 END, 0), b, c] END AS total, CASE WHEN kind = 'count' AND ord % 3 > 0 THEN [k, k % 5, k % 3] END AS last,
+  CASE WHEN user_id % 8 = 0 THEN a // 50 END AS reported FROM p),
+s AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS rn, NULL::VARCHAR AS model, 'openai' AS provider, NULL::BIGINT[] AS before, false AS replaying, NULL::BIGINT[] AS parent, NULL::BIGINT AS parent_reported,
+    NULL::BIGINT AS ord, NULL::BIGINT AS timestamp_ms, NULL::VARCHAR AS shown, NULL::BIGINT[] AS made FROM r
+  UNION ALL
+  SELECT user_id, rn, model, provider, CASE WHEN takes THEN total WHEN emits THEN after ELSE before END, replaying,
+    CASE WHEN opens OR counts THEN NULL WHEN replays THEN total ELSE parent END, CASE WHEN opens OR counts THEN NULL WHEN replays THEN reported ELSE parent_reported END,
+    ord, timestamp_ms, coalesce(named, model, 'unknown'), CASE WHEN emits THEN grown END
+  FROM (SELECT *, coalesce(counts AND NOT repeats AND grown[1] + grown[2] > 0, false) AS emits,
+      replays OR repeats OR (counts AND total IS NOT NULL AND last IS NULL AND before IS NOT NULL AND total <> before AND less) AS takes
+    FROM (SELECT *,
+        CASE WHEN total IS NOT NULL AND before IS NOT NULL AND (total = before OR (last IS NOT NULL AND less AND late)) THEN NULL
+          WHEN last IS NOT NULL THEN last WHEN total IS NOT NULL AND before IS NULL THEN total
+          WHEN total IS NOT NULL AND NOT less THEN [total[1] - before[1], total[2] - before[2], total[3] - before[3]] END AS grown,
+        CASE WHEN total IS NOT NULL THEN total WHEN before IS NOT NULL THEN [before[1] + last[1], before[2] + last[2], before[3] + last[3]] END AS after
+      FROM (SELECT r.user_id, r.rn, r.ord, r.timestamp_ms, r.named, r.total, r.last, r.reported, s.before, s.parent, s.parent_reported,
+          r.kind = 'meta' AS opens, r.kind = 'meta' OR (r.kind <> 'turn' AND s.replaying) AS replaying, r.kind = 'count' AND NOT s.replaying AS counts, r.kind = 'count' AND s.replaying AND r.total IS NOT NULL AS replays,
+          CASE WHEN r.kind = 'meta' THEN 'acme' ELSE s.provider END AS provider,
+          CASE WHEN r.kind = 'turn' OR (r.kind = 'count' AND NOT s.replaying AND r.named <> 'unknown') THEN r.named ELSE s.model END AS model,
+          coalesce(r.kind = 'count' AND NOT s.replaying AND r.total IS NOT NULL AND (coalesce(r.total = s.parent, false) OR coalesce(r.reported = s.parent_reported, false)), false) AS repeats,
+          coalesce(r.total[1] < s.before[1] OR r.total[2] < s.before[2] OR r.total[3] < s.before[3], false) AS less,
+          coalesce(list_sum(r.total) > 0 AND list_sum(r.last) > 0 AND list_sum(s.before) > 0 AND (list_sum(r.total) * 100 >= list_sum(s.before) * 98 OR list_sum(r.total) + 2 * list_sum(r.last) >= list_sum(s.before)), false) AS late
+        FROM s JOIN r ON r.user_id = s.user_id AND r.rn = s.rn + 1))))"""
+
+
+@query(f"""{FOLD_SQL} SELECT CAST(user_id AS VARCHAR) AS file, ord, shown AS model, provider, made[1] - least(made[3], made[1]) AS input, made[2] AS output, least(made[3], made[1]) AS cache_read, 0::BIGINT AS reasoning, timestamp_ms FROM s WHERE made IS NOT NULL""")
 def counter_fold(spark, sf_dir):
-    u = usage_messages(spark, sf_dir)
-    running = Window.partitionBy("user_id").orderBy("ord")
-    total = F.struct(F.sum("k").over(running).alias("input"), F.sum(F.col("k") % 5).over(running).alias("output"), F.sum(F.col("k") % 3).over(running).alias("cached"), F.lit(0).cast("long").alias("reasoning"))
-    last = F.struct(F.col("k").alias("input"), (F.col("k") % 5).alias("output"), (F.col("k") % 3).alias("cached"), F.lit(0).cast("long").alias("reasoning"))
-    e = u.select(F.col("user_id").cast("string").alias("file"), "ord", F.lit("count").alias("type"), F.col("model_id").alias("model"), F.lit("").alias("provider"), F.lit(False).alias("forked"), "timestamp_ms", total.alias("total"), F.when(F.col("ord") % 3 > 0, last).alias("last"), F.lit(None).cast("long").alias("reported"))
-    return stateful.counter_deltas(e)
+    file = Window.partitionBy("user_id").orderBy("ord")
+    u = usage_messages(spark, sf_dir).withColumn("rn", F.row_number().over(file))
+    running = Window.partitionBy("user_id", F.floor(F.col("rn") / 13)).orderBy("ord")
+    k, n, none = F.col("k"), F.col("ord"), F.lit(0).cast("long")
+    kind = F.when((F.col("rn") == 1) & (F.col("user_id") % 4 == 0), "meta").when(n % 7 == 0, "turn").otherwise("count")
+    u = u.withColumns({"type": kind, "a": F.sum(k).over(running), "b": F.sum(k % 5).over(running), "c": F.sum(k % 3).over(running)})
+    counts = F.col("type") == "count"
+    fields = lambda *parts: F.struct(*[p.cast("long").alias(name) for p, name in zip((*parts, none), stateful.COUNTERS)])
+    total = fields(F.greatest(F.col("a") - F.when(n % 11 == 0, 3).otherwise(0), F.lit(0)), F.col("b"), F.col("c"))
+    named = F.when((F.col("type") == "turn") | (n % 4 == 1), F.col("model_id")).when(n % 8 == 0, "unknown")
+    return stateful.counter_deltas(u.select(
+        F.col("user_id").cast("string").alias("file"), "ord", "type", named.alias("model"), F.when(F.col("type") == "meta", "acme").alias("provider"), (F.col("type") == "meta").alias("forked"), "timestamp_ms",
+        F.when(counts & (n % 5 > 0), total).alias("total"), F.when(counts & (n % 3 > 0), fields(k, k % 5, k % 3)).alias("last"),
+        F.when(F.col("user_id") % 8 == 0, F.call_function("div", F.col("a"), F.lit(50))).alias("reported"),
+    ))
 
 
 @query(f"""WITH RECURSIVE {MESSAGES_SQL},

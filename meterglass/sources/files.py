@@ -16,11 +16,17 @@ MESSAGE_COLUMNS = ("client", "model_id", "provider_id", "timestamp_ms", "date",
 
 @dataclass(frozen=True)
 class Config:
-    """Where logs lie. ``roots`` replaces a client's usual folders; ``now_ms`` is the clock."""
+    """Where logs lie. ``roots`` replaces a client's usual folders; ``now_ms`` is the clock.
+
+    With ``stop_at_bad_line`` a file ends before its first line that isn't UTF-8 (at the cost of a
+    second pass over the logs); otherwise such lines are left out and the rest is read.
+    """
 
     home: str
     now_ms: int = 0
     data_home: str | None = None
+    codex_home: str | None = None
+    stop_at_bad_line: bool = False
     roots: dict[str, list[str]] = field(default_factory=dict)
 
     @property
@@ -43,6 +49,15 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder, in the order of their names; none where it isn't there."""
+    if not existing(spark, [path]):
+        return []
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = found.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(found)
+    return sorted(f"{path}/{f.getPath().getName()}" for f in listed if f.isDirectory())
+
+
 def path_key(path: Column) -> Column:
     """Paths in byte order, component by component."""
     return F.translate(path, "/", "\u0000")
@@ -82,12 +97,15 @@ def _scan(spark: SparkSession, roots: list[str], glob: str, whole: bool, recursi
     return out
 
 
-def lines(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
+def lines(spark: SparkSession, roots: list[str], glob: str, stop: bool = False) -> DataFrame:
     """A row a line. Large files are split over tasks; (block, pos) is the order within a file.
 
-    Lines that are no UTF-8 are dropped (a reader that stops there would lose what follows, too).
+    Lines that are no UTF-8 are dropped, and with ``stop`` all lines after them in their file.
     """
     rows = _scan(spark, roots, glob, whole=False)
+    if stop:
+        bad = rows.filter(~F.is_valid_utf8("value")).groupBy("file").agg(F.min(F.struct("block", "pos")).alias("_bad"))
+        rows = rows.join(bad, "file", "left").filter(F.col("_bad").isNull() | (F.struct("block", "pos") < F.col("_bad"))).drop("_bad")
     return rows.filter(F.is_valid_utf8("value")).withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 

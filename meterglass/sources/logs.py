@@ -11,7 +11,7 @@ from ..functions import time as times
 from ..operators import stateful
 from ..operators.messages import total_tokens
 from . import sqlite
-from .files import Config, documents, existing, folder, lines, messages, numbered, parent, parsed, stem
+from .files import Config, children, documents, existing, folder, lines, messages, numbered, parent, parsed, stem
 
 V = "v"
 
@@ -42,7 +42,7 @@ def prefixed(prefix: str, *parts: Column) -> Column:
 
 def claude(spark: SparkSession, config: Config) -> DataFrame:
     roots = config.of("claude", f"{config.home}/.claude/projects", f"{config.home}/.claude/transcripts")
-    rows = parsed(lines(spark, roots, "*.{jsonl,json}"))
+    rows = parsed(lines(spark, roots, "*.{jsonl,json}", config.stop_at_bad_line))
     rows = rows.filter((J.raw_string(at("$.type")) == "assistant") & at("$.message.usage").isNotNull() & text("$.message.model").isNotNull())
     use = "$.message.usage."
     made = messages(
@@ -78,9 +78,11 @@ def codex_events(rows: DataFrame) -> DataFrame:
 
 
 def codex(spark: SparkSession, config: Config) -> DataFrame:
-    homes = config.of("codex", f"{config.home}/.codex")
-    roots = [f"{h}/{d}" for h in homes for d in ("sessions", "archived_sessions")]
-    events = codex_events(parsed(lines(spark, roots, "*.jsonl")))
+    # a launcher that redirects the home keeps one for each of its runtimes
+    redirected = [h for d in (f"{config.home}/Library/Application Support", config.data) for h in children(spark, f"{d}/orca/codex-runtime-home")]
+    homes = config.of("codex", config.codex_home or f"{config.home}/.codex", *redirected)
+    roots = [f"{h}/{d}" for h in homes for d in ("sessions", "archived_sessions")] + config.of("codex_exports")
+    events = codex_events(parsed(lines(spark, roots, "*.jsonl", config.stop_at_bad_line)))
     # the fold carries one number a line; the order's other parts come back by file
     ranked = events.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("block", "pos")).cast("long"))
     files = ranked.select("file", "root_ord", "path_key").distinct()
@@ -257,8 +259,8 @@ def gemini_ts(v: Column) -> Column:
     return F.coalesce(times.timestamp_ms(J.first_present(v, "$.timestamp", "$.created_at")), F.col("mtime_ms"))
 
 
-def gemini_lines(spark: SparkSession, roots: list[str]) -> DataFrame:
-    rows = parsed(lines(spark, roots, "*.jsonl"))
+def gemini_lines(spark: SparkSession, roots: list[str], stop: bool = False) -> DataFrame:
+    rows = parsed(lines(spark, roots, "*.jsonl", stop))
     upto = Window.partitionBy("file").orderBy("block", "pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("file").orderBy("block", "pos").rowsBetween(Window.unboundedPreceding, -1)
     hint = F.last(text("$.model"), True).over(upto)
@@ -302,7 +304,7 @@ def gemini_documents(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 def gemini(spark: SparkSession, config: Config) -> DataFrame:
     roots = config.of("gemini", f"{config.home}/.gemini/tmp")
-    return gemini_lines(spark, roots).unionByName(gemini_documents(spark, roots))
+    return gemini_lines(spark, roots, config.stop_at_bad_line).unionByName(gemini_documents(spark, roots))
 
 
 # --- Copilot, Amp, Droid -------------------------------------------------------------------------
@@ -325,7 +327,7 @@ def copilot_ts(v: Column) -> Column:
 
 def copilot(spark: SparkSession, config: Config) -> DataFrame:
     roots = config.of("copilot", f"{config.home}/.copilot/otel")
-    rows = parsed(numbered(lines(spark, roots, "*.jsonl"))).filter(at("$.attributes").isNotNull())
+    rows = parsed(numbered(lines(spark, roots, "*.jsonl", config.stop_at_bad_line))).filter(at("$.attributes").isNotNull())
     zero = F.lit(0).cast("long")
     n = lambda *names: F.coalesce(J.first_i64(F.col(V), *attribute(*names)), zero)
     s = lambda *names: J.first_string(F.col(V), *attribute(*names))
@@ -403,10 +405,10 @@ GROK_TIME = ("$.params._meta.agentTimestampMs", "$.params.update._meta.agentTime
 
 def grok(spark: SparkSession, config: Config) -> DataFrame:
     roots = [f"{h}/sessions" for h in config.of("grok", f"{config.home}/.grok")]
-    rows = parsed(lines(spark, roots, "updates.jsonl")).withColumn("dir", parent(F.col("file")))
+    rows = parsed(lines(spark, roots, "updates.jsonl", config.stop_at_bad_line)).withColumn("dir", parent(F.col("file")))
     beside = lambda name: parsed(documents(spark, roots, name)).withColumn("dir", parent(F.col("file")))
     summary = beside("summary.json").select("dir", J.first_string(F.col(V), "$.current_model_id", "$.model_id").alias("s_model"), times.first_timestamp(F.col(V), "$.updated_at", "$.created_at", "$.last_active_at").alias("s_ms"))
-    journal = parsed(numbered(lines(spark, roots, "events.jsonl"))).filter("line_no < 500").withColumn("dir", parent(F.col("file")))
+    journal = parsed(numbered(lines(spark, roots, "events.jsonl", config.stop_at_bad_line))).filter("line_no < 500").withColumn("dir", parent(F.col("file")))
     journal = journal.withColumns({"m": J.first_string(F.col(V), "$.model_id", "$.modelId"), "t": times.first_timestamp(F.col(V), "$.ts", "$.timestamp")})
     # the journal is read up to the line that names a model
     known = F.min(F.when(F.col("m").isNotNull(), F.col("line_no"))).over(Window.partitionBy("dir"))
@@ -438,7 +440,7 @@ def grok(spark: SparkSession, config: Config) -> DataFrame:
 
 def omp(spark: SparkSession, config: Config) -> DataFrame:
     roots = [f"{h}/sessions" for h in config.of("omp", f"{config.home}/.omp/agent")]
-    rows = parsed(lines(spark, roots, "*.jsonl"))
+    rows = parsed(lines(spark, roots, "*.jsonl", config.stop_at_bad_line))
     rows = rows.filter((J.raw_string(at("$.type")) == "message") & (J.raw_string(at("$.message.role")) == "assistant") & at("$.message.usage").isNotNull())
     bucket = folder(F.col("file"), 1)
     scope = F.when(~bucket.startswith("-") & bucket.contains("_"), F.concat(bucket, F.lit("/"), stem(F.col("file")))).otherwise(stem(F.col("file")))

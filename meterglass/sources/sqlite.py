@@ -12,6 +12,7 @@ import sqlite3
 import tempfile
 from collections.abc import Iterator
 from contextlib import closing, contextmanager
+from itertools import batched
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from .files import existing, path_key
 
 
+#: Rows of a database that a task holds at a time.
+BATCH_ROWS = 10_000
+
+
 @contextmanager
 def opened(content: bytes, log: bytes | None = None) -> Iterator[sqlite3.Connection]:
     """The database of the file and its write-ahead log, as copies in the task's temporary folder."""
@@ -56,14 +61,12 @@ def table_rows(spark: SparkSession, roots: list[str], glob: str, read, columns:
             for f in batch.to_pylist():
                 try:
                     with opened(f["content"], f["log"]) as db:
-                        rows = [r for r in read(db) if all(fits(v, k) for v, k in zip(r, kinds))]
+                        rows = (r for r in read(db) if all(fits(v, k) for v, k in zip(r, kinds)))
+                        for some in batched(enumerate(rows), BATCH_ROWS):
+                            cols = list(zip(*[(f["path"], f["root_ord"], f["path_key"], 0, i, f["mtime_ms"], *r) for i, r in some]))
+                            yield pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, t in zip(cols, [*fixed.values(), *kinds])], names=[*fixed, *columns])
                 except sqlite3.Error as e:  # no such table, or no database: nothing to read
-                    logging.getLogger(__name__).warning("%s not read: %s", f["path"], e)
-                    continue
-                if rows:
-                    head = [(f["path"], f["root_ord"], f["path_key"], 0, i, f["mtime_ms"]) for i in range(len(rows))]
-                    cols = list(zip(*[h + tuple(r) for h, r in zip(head, rows)]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, t in zip(cols, [*fixed.values(), *kinds])], names=[*fixed, *columns])
+                    logging.getLogger(__name__).warning("%s not read to its end: %s", f["path"], e)
 
     out = None
     for k, root in enumerate(existing(spark, roots)):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meterglass.functions import format as fmt
 from meterglass.functions import json as J
-from meterglass.functions import models, pricing
+from meterglass.functions import labels, models, pricing
 from meterglass.functions import time as times
 from meterglass.sources import logs
 
@@ -125,3 +125,13 @@ def test_scales_of_an_idle_calendar(spark):
     df = spark.createDataFrame([(0, 0), (5, 5)], "tokens long, most long")
     got = df.orderBy("tokens").select(fmt.tile_height(F.col("tokens"), F.col("most")).alias("h"), fmt.color_ratio(F.col("tokens"), F.col("most")).alias("c")).collect()
     assert [(r["h"], r["c"]) for r in got] == [(0.05, 0.0), (4.05, 1.0)]
+
+
+def test_diff_days(spark):
+    df = spark.sql("SELECT timestamp'2026-03-30 00:00:00' AS a, timestamp'2026-03-28 01:00:00' AS b, timestamp'2026-03-28 12:00:00' AS c")
+    assert tuple(df.select(times.diff_days(F.col("a"), F.col("b")), times.diff_days(F.col("b"), F.col("a")), times.diff_days(F.col("a"), F.col("c")), times.diff_days(F.col("c"), F.col("a"))).first()) == (2, -2, 2, -1)
+
+
+def test_client_color(spark):
+    df = spark.createDataFrame([("claude",), ("synthetic",), ("other",)], "c string")
+    assert [r[0] for r in df.select(labels.client_color(F.col("c"))).collect()] == ["#d97706", "#64748b", "#6b7280"]

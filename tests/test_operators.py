@@ -200,3 +200,24 @@ def test_command_line(tmp_path, capsys, spark):
     assert main(["graph", "--home", str(tmp_path), "--clients", "claude", "--year", "x", "--facts", str(tmp_path / "facts")]) == 2
     assert main(["tail-sim", "--root", str(tmp_path / ".claude"), "--client", "claude", "--now-ms", "1714521600000", "--work", str(tmp_path / "work")]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["trace"][0]["tokens"] == 1_000_000
+
+
+def test_equal_clients_keep_the_order_of_the_trace(spark):
+    rows = spark.createDataFrame([("amp", "main", "m", 3, 1, 0.3), ("amp", "main", "n", 3, 1, 0.3), ("grok", "main", "m", 5, 1, 0.5), ("grok", "main", "n", 1, 1, 0.1)], "client string, agent string, model string, tokens long, messages long, tokens_per_min float")
+    assert [r["client"] for r in trace.top(trace.collapse(rows)).collect()] == ["grok", "amp"]
+
+
+def test_tail_live(spark, tmp_path, capsys, monkeypatch):
+    from meterglass import __main__ as cli
+
+    now = 1_714_521_600_000
+    log = tmp_path / "logs/a/x.jsonl"
+    log.parent.mkdir(parents=True)
+    log.write_text(json.dumps({"type": "assistant", "timestamp": "2024-05-01T00:00:00Z", "requestId": "r", "message": {"id": "m", "model": "claude-x", "usage": {"input_tokens": 600, "output_tokens": 0}}}) + "\n")
+    monkeypatch.setattr(cli, "TICK_S", 0)
+    times = iter([now] * 3 + [now + 700_000] * 9)  # start, batch and first tick; then the window has passed
+    monkeypatch.setattr(cli, "clock", lambda: next(times, now + 700_000))
+    assert cli.main(["tail-live", "--root", str(tmp_path / "logs"), "--client", "claude", "--ticks", "3", "--work", str(tmp_path / "work")]) == 0
+    shown = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
+    assert [[r["tokens"] for r in s["trace"]] for s in shown] == [[600], []]  # only what changed
+    assert [(s["tokens_per_min"], s["in_window"]) for s in shown] == [(600.0, 60.0), (0.0, 0.0)]

@@ -125,3 +125,8 @@ def test_deep_documents_do_no_harm():
     deep = "[" * 400 + '{"usage": 3, "limit": 4, "usedPercent": 5}' + "]" * 400
     assert [m[0] for m in quota._metrics(deep)] == ["Credits", "Tasks"]
     assert quota._metrics("[" * 200_000 + "]" * 200_000) == [] == quota._metrics(None)
+
+
+def test_opted_in(spark):
+    df = spark.createDataFrame([("cursor",), ("codex",), (None,)], "client_id string")
+    assert [r[0] for r in Q.opted_in(df, False).collect()] == ["codex", None] and Q.opted_in(df, True).count() == 3

@@ -56,6 +56,22 @@ def test_codex_repeat(spark, config, tmp_path):
     assert got(logs.codex(spark, config), "model_id", "input", "cache_read", "output") == [("gpt-5.5", 80, 20, 10)]
 
 
+def test_codex_homes(spark, tmp_path):
+    for n, folder in enumerate(("h/sessions", ".local/share/orca/codex-runtime-home/r1/sessions", "exports/codex", ".codex/sessions"), 1):
+        write(tmp_path / folder / "s.jsonl", TURN, counter(usage(n * 100)))
+    config = Config(home=str(tmp_path), now_ms=T0, codex_home=f"{tmp_path}/h", roots={"codex_exports": [f"{tmp_path}/exports/codex"]})
+    assert sorted(got(logs.codex(spark, config), "input")) == [(100,), (200,), (300,)]
+    assert got(logs.codex(spark, Config(home=str(tmp_path), roots={"codex": [f"{tmp_path}/.codex", f"{tmp_path}/.codex/"]})), "input") == [(400,)]
+
+
+def test_bad_line(spark, tmp_path):
+    path = write(tmp_path / ".claude/projects/a/x.jsonl", claude_line("m1", "r", 1), claude_line("m2", "r", 2), claude_line("m3", "r", 3))
+    path.write_bytes(path.read_bytes().replace(b'"m2"', b'"\xff\xfe"'))
+    write(tmp_path / ".claude/projects/a/y.jsonl", claude_line("m4", "r", 4))
+    assert got(logs.claude(spark, Config(home=str(tmp_path))), "input") == [(1,), (3,), (4,)]
+    assert got(logs.claude(spark, Config(home=str(tmp_path), stop_at_bad_line=True)), "input") == [(1,), (4,)]
+
+
 def test_codex_stale(spark, config, tmp_path):
     write(tmp_path / ".codex/sessions/s.jsonl", TURN, *[counter(usage(t), usage(n)) for t, n in ((1000, 100), (990, 50), (1060, 60))])
     assert sum(r[0] for r in got(logs.codex(spark, config), "input")) == 160
