@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import sqlite3
+import tempfile
+from contextlib import closing
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import trace
 from ..session import fresh_path
 from ..sources import logs
+from ..streaming import live, tail
 from .adapters import EXPECTED_SQL, MESSAGES_SQL, usage_messages
-from .registry import query
+from .registry import SQL, query
 
 #: What every client's query returns.
 SHOWN = ("model_id", "provider_id", "timestamp_ms", "date", "input", "output", "cache_read", "cache_write", "reasoning", "dedup_key")
@@ -18,8 +26,8 @@ def iso() -> Column:
     return F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def written(rows: DataFrame, value: Column, by: str | None = None) -> str:
-    """A fresh shared folder of .jsonl files with a line a row, in the order of ``ord``; with ``by`` a file for each of its values."""
+def written(rows: DataFrame, value: Column, by: str | None = None, name: str = "{}.jsonl") -> str:
+    """A fresh shared folder of files with a line a row, in the order of ``ord``; with ``by`` a file, of that name, for each of its values."""
     spark = rows.sparkSession
     path = fresh_path(spark, "logs")
     lines = rows.select("user_id", "ord", value.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "ord")
@@ -27,17 +35,43 @@ def written(rows: DataFrame, value: Column, by: str | None = None) -> str:
     (writer.partitionBy(by) if by else writer).text(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files, names = store.listFiles(hadoop(path), True), []
+    files, found = store.listFiles(hadoop(path), True), []
     while files.hasNext():
-        names.append(files.next().getPath().toString())
-    for name in names:  # a few files: Spark's writer always ends them in .txt
-        if name.endswith(".txt"):
-            store.rename(hadoop(name), hadoop(name.removesuffix(".txt") + ".jsonl"))
+        found.append(files.next().getPath())
+    for file in found:  # a few files: Spark's writer always ends them in .txt
+        if file.getName().endswith(".txt"):
+            to = hadoop(path, name.format(file.getParent().getName().partition("=")[2] if by else file.getName().removesuffix(".txt")))
+            store.mkdirs(to.getParent())
+            store.rename(file, to)
     return path
 
 
-def read(spark: SparkSession, client: str, path: str) -> DataFrame:
-    return logs.SOURCES[client](spark, logs.Config(home=path, roots={client: [path]})).select(*SHOWN)
+def databases(rows: DataFrame, create: str, path: str, name: str, parts: int = 4) -> None:
+    """Rows as tables of SQLite files in shared storage, one a partition: run again, a task writes the same file."""
+    into = f"INSERT INTO {create.split()[2]} VALUES ({', '.join('?' * len(rows.columns))})"
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId()
+        with tempfile.TemporaryDirectory() as folder:
+            with closing(sqlite3.connect(f"{folder}/made.db")) as db:
+                db.execute(create)
+                for b in batches:
+                    db.executemany(into, zip(*b.to_pydict().values()))
+                db.commit()
+            store, root = tail.file_system(path)
+            target = f"{root}/{name.format(k)}"
+            store.create_dir(target.rpartition("/")[0])
+            with store.open_output_stream(target) as out:
+                out.write(Path(f"{folder}/made.db").read_bytes())
+        yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32())})
+
+    rows.repartition(parts, F.col(rows.columns[0])).mapInArrow(write, "k int").collect()  # a number a file
+
+
+def read(spark: SparkSession, client: str, *paths: str, more: tuple[str, ...] = ()) -> DataFrame:
+    return logs.SOURCES[client](spark, logs.Config(home=paths[0], roots={client: list(paths)})).select(*SHOWN, *more)
 
 
 def json_line(**fields) -> Column:
@@ -85,13 +119,13 @@ def codex_logs(spark, sf_dir):
     return logs.SOURCES["codex"](spark, logs.Config(home=path, roots={"codex": [moved(spark, path)]})).select(*SHOWN)
 
 
-def moved(spark: SparkSession, path: str) -> str:
+def moved(spark: SparkSession, path: str, to: str = "sessions") -> str:
     """The folder as the sessions of a home."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     home = f"{path}-home"
-    store.mkdirs(hadoop(home))
-    store.rename(hadoop(path), hadoop(f"{home}/sessions"))
+    store.mkdirs(hadoop(f"{home}/{to}").getParent())
+    store.rename(hadoop(path), hadoop(f"{home}/{to}"))
     return home
 
 
@@ -128,3 +162,168 @@ def omp_logs(spark, sf_dir):
     line = json_line(type=F.lit("message"), id=F.col("ord").cast("string"), timestamp=iso(), message=message)
     path = moved(spark, written(logged(spark, sf_dir), line))
     return logs.SOURCES["omp"](spark, logs.Config(home=path, roots={"omp": [path]})).select(*SHOWN)
+
+
+PROVIDED_SQL = f"x(model_id, provider) AS (SELECT col0, CASE WHEN col0 LIKE 'mystery%' THEN 'unknown' ELSE col1 END FROM (VALUES {EXPECTED_SQL}))"
+DAY_SQL = "strftime(make_timestamp({} * 1000), '%Y-%m-%d')"
+
+
+def sums(rows: DataFrame, *more: Column) -> DataFrame:
+    """A row a user: the sums of its tokens, its last model and time."""
+    tokens = ("input", "output", "cache_read", "cache_write", "reasoning")
+    return rows.groupBy("user_id").agg(F.max("ord").alias("last"), F.max_by("model_id", "ord").alias("model_id"), F.max("timestamp_ms").alias("timestamp_ms"), *[F.sum(t).alias(t) for t in tokens], *more).withColumnRenamed("last", "ord")
+
+
+SUMS_SQL = "s AS (SELECT user_id, arg_max(model_id, ord) AS model_id, max(timestamp_ms) AS timestamp_ms, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, CAST(sum(reasoning) AS BIGINT) AS reasoning FROM k GROUP BY user_id)"
+
+
+@query(f"""{SOURCE_SQL}, {PROVIDED_SQL}, t AS (SELECT *, user_id * 100000000 + ord * 1000 AS said, row_number() OVER (PARTITION BY user_id ORDER BY ord) - 1 AS i FROM k)
+SELECT model_id, provider AS provider_id, timestamp_ms, date, input, output, cache_read, cache_write, {ZERO} AS reasoning, 'amp:th' || user_id || ':ledger:' || i AS dedup_key, cost FROM t JOIN x USING (model_id) WHERE user_id % 2 = 0
+UNION ALL SELECT model_id, provider, said, {DAY_SQL.format('said')}, input, output, cache_read, cache_write, {ZERO}, 'amp:th' || user_id || ':message:' || ord, cost FROM t JOIN x USING (model_id) WHERE user_id % 2 = 1 AND ord % 4 > 0""")
+def amp_logs(spark, sf_dir):
+    """A thread a user: half of them have a ledger, the others messages of either side."""
+    rows = logged(spark, sf_dir)
+    tokens = F.struct("input", "output", F.col("cache_read").alias("cacheReadInputTokens"), F.col("cache_write").alias("cacheCreationInputTokens"))
+    use = F.struct(F.col("model_id").alias("model"), F.col("input").alias("inputTokens"), F.col("output").alias("outputTokens"), F.col("cache_read").alias("cacheReadInputTokens"), F.col("cache_write").alias("cacheCreationInputTokens"), F.col("cost").alias("credits"))
+    listed = lambda *fields: F.array_sort(F.collect_list(F.struct(F.col("ord").alias("messageId"), *fields)))
+    threads = rows.groupBy("user_id").agg(
+        F.max("ord").alias("ord"), listed(iso().alias("timestamp"), F.col("model_id").alias("model"), tokens.alias("tokens"), F.col("cost").alias("credits")).alias("events"),
+        listed(F.when(F.col("ord") % 4 > 0, "assistant").otherwise("user").alias("role"), use.alias("usage")).alias("messages"),
+    )
+    even = F.col("user_id") % 2 == 0
+    line = json_line(
+        id=F.concat(F.lit("th"), F.col("user_id").cast("string")), created=F.col("user_id").cast("long") * 100_000_000,
+        usageLedger=F.when(even, F.struct("events")), messages=F.col("messages"),
+    )
+    return read(spark, "amp", written(threads, line, "user_id", "T-{}.json"), more=("cost",))
+
+
+@query(f"""{SOURCE_SQL}, {PROVIDED_SQL}, {SUMS_SQL}
+SELECT trim(regexp_replace(translate(model_id, '._ ', '---'), '-{{2,}}', '-', 'g'), '-') AS model_id, CASE WHEN user_id % 3 = 0 THEN 'acme' ELSE provider END AS provider_id, timestamp_ms, {DAY_SQL.format('timestamp_ms')} AS date,
+  input, output, cache_read, cache_write, reasoning, 'droid:' || user_id || '.settings' AS dedup_key FROM s JOIN x USING (model_id)""")
+def droid_logs(spark, sf_dir):
+    """A session's settings a user, a third of them locked to a provider."""
+    use = {"inputTokens": "input", "outputTokens": "output", "cacheReadTokens": "cache_read", "cacheCreationTokens": "cache_write", "thinkingTokens": "reasoning"}
+    line = json_line(
+        model=F.concat("model_id", F.lit("[high]")), providerLock=F.when(F.col("user_id") % 3 == 0, "acme"), providerLockTimestamp=iso(), tokenUsage=F.struct(*[F.col(c).alias(n) for n, c in use.items()])
+    )
+    return read(spark, "droid", written(sums(logged(spark, sf_dir)), line, "user_id", "{}.settings.json"))
+
+
+@query(f"""{SOURCE_SQL}, {PROVIDED_SQL}, {SUMS_SQL}
+SELECT model_id, CASE WHEN ord % 2 = 0 THEN 'acme' ELSE provider END AS provider_id, timestamp_ms, date, input, output, cache_read, cache_write, reasoning, CASE WHEN ord % 6 > 0 THEN 'opencode:' ELSE '' END || 'm' || ord AS dedup_key, cost
+FROM k JOIN x USING (model_id) WHERE ord % 10 > 0
+UNION ALL SELECT model_id, provider, timestamp_ms, {DAY_SQL.format('timestamp_ms')}, input, output, cache_read, cache_write, reasoning, CAST(user_id AS VARCHAR), 0.0 FROM s JOIN x USING (model_id)""")
+def opencode_logs(spark, sf_dir):
+    """Messages in SQLite files, and a stored document a user beside them."""
+    rows = logged(spark, sf_dir)
+    tokens = F.struct("input", "output", "reasoning", F.struct(F.col("cache_read").alias("read"), F.col("cache_write").alias("write")).alias("cache"))
+    data = lambda **more: json_line(modelID=F.col("model_id"), tokens=tokens, time=F.struct(F.col("timestamp_ms").alias("created")), **more)
+    home = moved(spark, written(sums(rows), data(role=F.lit("assistant")), "user_id", "{}.json"), "storage/message")
+    id_ = F.concat(F.lit("m"), F.col("ord").cast("string"))
+    stored = rows.select(id_.alias("id"), F.col("user_id").cast("string").alias("session_id"), data(
+        role=F.when(F.col("ord") % 10 > 0, "assistant").otherwise("user"), id=F.when(F.col("ord") % 6 > 0, id_), providerID=F.when(F.col("ord") % 2 == 0, "acme"), cost=F.col("cost"),
+    ).alias("data"))
+    databases(stored, "CREATE TABLE message (id TEXT PRIMARY KEY, session_id TEXT, data TEXT)", home, "opencode-{}.db")
+    return read(spark, "opencode", home, more=("cost",))
+
+
+@query(f"""{SOURCE_SQL}, {PROVIDED_SQL}
+SELECT model_id, CASE ord % 4 WHEN 0 THEN 'acme' WHEN 1 THEN 'anthropic' ELSE provider END AS provider_id, timestamp_ms, date, input, output, cache_read, cache_write, reasoning, 'hermes:s' || ord AS dedup_key,
+  CASE WHEN cost > 0 THEN cost WHEN ord % 3 = 0 THEN 0.25 ELSE 0.0 END AS cost, CAST(greatest(ord % 4, 1) AS INTEGER) AS messages FROM k JOIN x USING (model_id) WHERE ord % 9 > 0""")
+def hermes_logs(spark, sf_dir):
+    """Sessions in SQLite files; every ninth is without a model."""
+    n = F.col("ord")
+    rows = logged(spark, sf_dir).select(
+        F.concat(F.lit("s"), n.cast("string")).alias("id"), F.when(n % 9 > 0, F.col("model_id")).otherwise(" ").alias("model"), "input", "output", "cache_read", "cache_write", "reasoning",
+        F.when(n % 4 == 0, " Acme").when(n % 4 == 1, "Anthropic API").otherwise("").alias("billing"), (F.col("timestamp_ms") / 1000).alias("started"),
+        F.col("cost").alias("actual"), F.when(n % 3 == 0, 0.25).otherwise(0.0).alias("estimated"), (n % 4).alias("count"),
+    )
+    path, parts = fresh_path(spark, "logs"), 4
+    create = """CREATE TABLE sessions (id TEXT, model TEXT, input_tokens INTEGER, output_tokens INTEGER, cache_read_tokens INTEGER, cache_write_tokens INTEGER, reasoning_tokens INTEGER,
+        billing_provider TEXT, started_at REAL, actual_cost_usd REAL, estimated_cost_usd REAL, message_count INTEGER)"""
+    databases(rows, create, path, "{}/state.db", parts)
+    return read(spark, "hermes", *[f"{path}/{k}" for k in range(parts)], more=("cost", "messages"))
+
+
+@query(f"""{SOURCE_SQL}, {PROVIDED_SQL} SELECT model_id, provider AS provider_id, timestamp_ms, date, input, output, cache_read, cache_write, {ZERO} AS reasoning,
+  'cursor:usage.' || user_id || ':' || strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(timestamp_ms % 1000 AS VARCHAR), 3, '0') || 'Z' AS dedup_key, ord % 100 / 4 AS cost FROM k JOIN x USING (model_id)""")
+def cursor_csv_logs(spark, sf_dir):
+    """A CSV file a user, with a column Kind and quoted models and costs."""
+    head = "Date,Kind,Model,Max Mode,Input (w/ Cache Write),Input (w/o Cache Write),Cache Read,Output Tokens,Total Tokens,Cost"
+    cost = F.concat(F.lit('"$'), F.format_number(F.col("ord") % 100 / 4, 2), F.lit('"'))
+    line = F.concat_ws(",", iso(), F.lit("Included"), F.concat(F.lit('"'), "model_id", F.lit('"')), F.lit("No"), F.col("input") + F.col("cache_write"), "input", "cache_read", "output", F.lit("1"), cost)
+    files = logged(spark, sf_dir).groupBy("user_id").agg(F.max("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("lines"))
+    text = F.concat(F.lit(head + "\r\n"), F.array_join("lines.line", "\r\n"))
+    return read(spark, "cursor", written(files, text, "user_id", "usage.{}.csv"), more=("cost",))
+
+
+def grok_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A session folder a user: the same cumulative totals as ``turn_segments``."""
+    running = F.sum("k").over(Window.partitionBy("user_id").orderBy("ord"))
+    rows = usage_messages(spark, sf_dir).withColumn("total", F.when(F.col("ord") % 7 > 0, running - F.when(F.col("ord") % 5 == 0, 100).otherwise(0)))
+    meta = F.struct(F.col("total").alias("totalTokens"), F.col("timestamp_ms").alias("agentTimestampMs"))
+    kind = F.when(F.col("event_type") == "purchase", "user_message_chunk").otherwise("agent_message_chunk")
+    line = json_line(params=F.struct(meta.alias("_meta"), F.struct(kind.alias("sessionUpdate")).alias("update"), F.when(F.col("ord") % 4 == 0, F.col("model_id")).alias("modelId")))
+    return written(rows, line, "user_id", "{}/updates.jsonl")
+
+
+@query(f"""SELECT model AS model_id, 'xai' AS provider_id, timestamp_ms, {DAY_SQL.format('timestamp_ms')} AS date, delta AS input, {ZERO} AS output, {ZERO} AS cache_read, {ZERO} AS cache_write, {ZERO} AS reasoning,
+  'grok:sessions:' || user_id || ':' || turn AS dedup_key FROM ({SQL['turn_segments']})""")
+def grok_logs(spark, sf_dir):
+    """Turns of a session's cumulative totals."""
+    return read(spark, "grok", moved(spark, grok_lines(spark, sf_dir)))
+
+
+# --- the same logs as streams --------------------------------------------------------------------
+
+LIVE = ("ts_ms", "client", "agent", "model", "input", "output", "cache_read", "cache_write")
+LIVE_SQL = "CASE WHEN length({0}) > 9 THEN regexp_replace({0}, '-[0-9]{{8}}$', '') ELSE {0} END"
+
+
+def streamed(spark: SparkSession, client: str, path: str) -> DataFrame:
+    """All events that the growing files under ``path`` give, through a stream and back."""
+    out = fresh_path(spark, "events")
+    events = live.live_events(spark, client, path)
+    run = events.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").start(out)
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return spark.read.schema(live.EVENT).parquet(out)
+
+
+@query(f"""WITH {MESSAGES_SQL}, c AS (SELECT *, user_id || ':' || event_type || ':' || date || ':' || (ord % 2) AS id FROM u WHERE ord % 10 > 0 AND ord % 17 > 0 AND input + output + cache_read + cache_write > 0)
+SELECT arg_min(timestamp_ms, ord) AS ts_ms, 'claude-code' AS client, arg_min(CASE WHEN ord % 3 = 0 THEN 'subagent:a' || (ord % 4) ELSE 'main' END, ord) AS agent, arg_min({LIVE_SQL.format('model_id')}, ord) AS model,
+  max(input) AS input, max(output) AS output, max(cache_read) AS cache_read, max(cache_write) AS cache_write, 'claude:' || id || ':r' AS key FROM c GROUP BY id""")
+def claude_stream(spark, sf_dir):
+    """Appended lines as events, repeats of a message merged; a third are of side chains."""
+    use = F.struct(F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_read").alias("cache_read_input_tokens"), F.col("cache_write").alias("cache_creation_input_tokens"))
+    message = F.struct(F.concat_ws(":", "id", (F.col("ord") % 2).cast("string")).alias("id"), F.col("model_id").alias("model"), use.alias("usage"))
+    line = json_line(
+        type=F.when(F.col("ord") % 10 == 0, "user").otherwise("assistant"), timestamp=iso(), requestId=F.lit("r"), isSidechain=F.col("ord") % 3 == 0,
+        agentId=F.concat(F.lit("a"), (F.col("ord") % 4).cast("string")), message=message,
+    )
+    path = written(logged(spark, sf_dir), F.when(F.col("ord") % 17 == 0, F.substring(line, 1, 40)).otherwise(line))
+    return trace.merged(streamed(spark, "claude", path)).select(*LIVE, "key")
+
+
+@query(f"""WITH {MESSAGES_SQL}, c AS (SELECT *, coalesce(last_value(CASE WHEN ord % 7 = 0 THEN model_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unknown') AS m, k % 3 AS cached FROM u)
+SELECT timestamp_ms AS ts_ms, 'codex-cli' AS client, 'main' AS agent, {LIVE_SQL.format('m')} AS model, greatest(k - cached, 0) AS input, k % 5 AS output, cached AS cache_read, {ZERO} AS cache_write
+FROM c WHERE ord % 7 > 0 AND greatest(k - cached, 0) + k % 5 + cached > 0""")
+def codex_stream(spark, sf_dir):
+    """A file a user; the model named last is state between lines."""
+    last = F.struct(F.col("k").alias("input_tokens"), (F.col("k") % 5).alias("output_tokens"), (F.col("k") % 3).alias("cached_input_tokens"))
+    turn = json_line(type=F.lit("turn_context"), timestamp=iso(), payload=F.struct(F.col("model_id").alias("model")))
+    count = json_line(type=F.lit("event_msg"), timestamp=iso(), payload=F.struct(F.lit("token_count").alias("type"), F.struct(last.alias("last_token_usage")).alias("info")))
+    path = written(logged(spark, sf_dir), F.when(F.col("ord") % 7 == 0, turn).otherwise(count), "user_id")
+    return streamed(spark, "codex", path).select(*LIVE)
+
+
+@query(f"""WITH {MESSAGES_SQL}, r AS (SELECT *, CASE WHEN ord % 7 > 0 THEN sum(k) OVER (PARTITION BY user_id ORDER BY ord) - CASE WHEN ord % 5 = 0 THEN 100 ELSE 0 END END AS total FROM u),
+c AS (SELECT *, coalesce(max(CASE WHEN total >= 0 THEN total END) OVER before, 0) AS mark, coalesce(last_value(CASE WHEN ord % 4 = 0 THEN model_id END IGNORE NULLS) OVER upto, 'unknown') AS m FROM r
+  WINDOW before AS (PARTITION BY user_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), upto AS (PARTITION BY user_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT timestamp_ms AS ts_ms, 'grok' AS client, 'main' AS agent, {LIVE_SQL.format('m')} AS model, CAST(total - mark AS BIGINT) AS input, {ZERO} AS output, {ZERO} AS cache_read, {ZERO} AS cache_write FROM c WHERE total > mark""")
+def grok_stream(spark, sf_dir):
+    """A file a user; the model and the high-water mark are state between lines."""
+    return streamed(spark, "grok", grok_lines(spark, sf_dir)).select(*LIVE)
