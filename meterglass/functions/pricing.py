@@ -96,6 +96,11 @@ def rule_sql() -> str:
     return "CASE " + " ".join(f"WHEN {test} THEN {k}" for k, (test, *_) in enumerate(RULES, 1)) + " END"
 
 
+def number(value: float | None, kind: str) -> str:
+    """A literal of SQL, parsed at once with all others: L for a long, D for a double."""
+    return "NULL" if value is None else f"{value}{kind}"
+
+
 def with_prices(df: DataFrame, model: str = "model_id", provider: str = "provider_id") -> DataFrame:
     """Adds ``COLUMNS``: the rule of each row's model and provider, and its prices from constant arrays.
 
@@ -110,8 +115,7 @@ def with_prices(df: DataFrame, model: str = "model_id", provider: str = "provide
     values = {f"{p}_price": [base[k] for _, base, *_ in RULES] for k, p in enumerate(PARTS)}
     values["tier_at"] = [tier[0] if tier else None for tier in tiers]
     values |= {f"{p}_above": [tier[1][k] if tier else None for tier in tiers] for k, p in enumerate(PARTS)}
-    kinds = {c: "bigint" if c == "tier_at" else "double" for c in values}
-    return ruled.withColumns({c: F.element_at(F.array(*[F.lit(v).cast(kinds[c]) for v in vs]), F.col("price_rule")) for c, vs in values.items()})
+    return ruled.withColumns({c: F.expr(f"element_at(array({', '.join(number(v, 'L' if c == 'tier_at' else 'D') for v in vs)}), price_rule)") for c, vs in values.items()})
 
 
 def price_table(df: DataFrame, model: str = "model_id", provider: str = "provider_id") -> DataFrame:

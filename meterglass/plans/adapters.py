@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models
@@ -90,6 +90,10 @@ def text_array(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+def picked(values, by: str) -> Column:
+    return F.expr(f"element_at(array({text_array(values)}), CAST({by} % {len(values)} + 1 AS INT))")
+
+
 def usage_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as message rows; every eleventh has no tokens, keys repeat within a user's day, and every thirteenth has none."""
     e = table(spark, sf_dir, "events")
@@ -99,9 +103,9 @@ def usage_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("ts").cast("string")
     return e.select(
         F.col("event_id").alias("ord"),
-        F.element_at(F.array(*[F.lit(c) for c in models.CLIENTS]), (F.col("user_id") % 11 + 1).cast("int")).alias("client"),
-        models.normalize_model(F.element_at(F.array(*[F.lit(m) for m in PALETTE]), (F.col("event_id") % len(PALETTE) + 1).cast("int"))).alias("model_id"),
-        F.element_at(F.array(*[F.lit(p) for p in NAMED]), (F.col("event_id") % len(NAMED) + 1).cast("int")).alias("provider_id"),
+        picked(models.CLIENTS, "user_id").alias("client"),
+        models.normalize_model(picked(PALETTE, "event_id")).alias("model_id"),
+        picked(NAMED, "event_id").alias("provider_id"),
         millis.alias("timestamp_ms"),
         day.alias("date"),
         (F.round(F.col("value") * 100).cast("long") * 100 * some).alias("input"),
