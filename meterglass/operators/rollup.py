@@ -55,7 +55,11 @@ def with_intensity(daily: DataFrame, cost: str = "cost") -> DataFrame:
 
 def contributions(df: DataFrame) -> DataFrame:
     """A row a day: totals, intensity, token kinds and the nested clients, sorted."""
-    grain = daily_client(df)
+    return contributions_of(daily_client(df))
+
+
+def contributions_of(grain: DataFrame) -> DataFrame:
+    """``contributions`` of a ``daily_client`` table."""
     nested = F.array_sort(F.collect_list(F.struct("client", "provider_id", "model_id", F.struct(*TOKENS).alias("tokens"), "cost", "messages")))
     days = grain.groupBy("date").agg(
         F.struct(long_sum(F.col("tokens")).alias("tokens"), money_sum(F.col("cost")).alias("cost"), F.sum("messages").alias("messages")).alias("totals"),
@@ -69,13 +73,17 @@ def contributions(df: DataFrame) -> DataFrame:
 
 def summary(df: DataFrame) -> DataFrame:
     """One row: totals, days, average of active days, dearest day, clients and models. ``df``: messages or their ``daily_client``."""
-    df = once(daily_client(df))
-    days = daily_totals(df).agg(
+    return summary_of(once(daily_client(df)))
+
+
+def summary_of(grain: DataFrame) -> DataFrame:
+    """``summary`` of a ``daily_client`` table, which is read twice."""
+    days = daily_totals(grain).agg(
         long_sum(F.col("tokens")).alias("total_tokens"), money_sum(F.col("cost")).alias("total_cost"), F.count(F.lit(1)).cast("int").alias("total_days"),
         F.count_if(F.col("tokens") > 0).cast("int").alias("active_days"), F.coalesce(F.max("cost"), F.lit(0.0)).alias("max_cost_in_single_day"),
         F.coalesce(F.min("date"), F.lit("")).alias("start"), F.coalesce(F.max("date"), F.lit("")).alias("end"),
     )
-    names = df.agg(F.array_sort(F.collect_set("client")).alias("clients"), F.array_sort(F.collect_set("model_id")).alias("models"))
+    names = grain.agg(F.array_sort(F.collect_set("client")).alias("clients"), F.array_sort(F.collect_set("model_id")).alias("models"))
     average = F.when(F.col("active_days") > 0, F.col("total_cost") / F.when(F.col("active_days") > 0, F.col("active_days"))).otherwise(0.0)
     filled = days.withColumns({"total_tokens": F.coalesce("total_tokens", F.lit(0)), "total_cost": F.coalesce("total_cost", F.lit(0.0))})
     return filled.withColumn("average_per_day", average).crossJoin(F.broadcast(names))
@@ -106,7 +114,7 @@ def payload(df: DataFrame, generated_at: str, version: str = "1") -> DataFrame:
     A document for one reader: as many days as a calendar has, whatever the number of messages.
     All parts are made of one ``daily_client`` table.
     """
-    df = once(daily_client(df))
+    grain = once(daily_client(df))
 
     clients = F.transform(
         "clients",
@@ -122,9 +130,9 @@ def payload(df: DataFrame, generated_at: str, version: str = "1") -> DataFrame:
         F.struct(F.col(f"{b}.input").alias("input"), F.col(f"{b}.output").alias("output"), F.col(f"{b}.cache_read").alias("cacheRead"), F.col(f"{b}.cache_write").alias("cacheWrite"), F.col(f"{b}.reasoning").alias("reasoning")).alias("tokenBreakdown"),
         clients.alias("clients"),
     )
-    days = contributions(df).agg(F.array_sort(F.collect_list(day)).alias("contributions"))
-    by_year = years(df).agg(F.array_sort(F.collect_list(F.struct("year", F.col("total_tokens").alias("totalTokens"), F.col("total_cost").alias("totalCost"), F.struct("start", "end").alias("range")))).alias("years"))
-    one = summary(df).select(
+    days = contributions_of(grain).agg(F.array_sort(F.collect_list(day)).alias("contributions"))
+    by_year = years(grain).agg(F.array_sort(F.collect_list(F.struct("year", F.col("total_tokens").alias("totalTokens"), F.col("total_cost").alias("totalCost"), F.struct("start", "end").alias("range")))).alias("years"))
+    one = summary_of(grain).select(
         F.struct(
             F.col("total_tokens").alias("totalTokens"), F.col("total_cost").alias("totalCost"), F.col("total_days").alias("totalDays"), F.col("active_days").alias("activeDays"),
             F.col("average_per_day").alias("averagePerDay"), F.col("max_cost_in_single_day").alias("maxCostInSingleDay"), "clients", "models",
