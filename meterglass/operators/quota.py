@@ -96,17 +96,20 @@ def solid(v: Column) -> Column:
 
 
 def claude_windows(v: Column, now_ms: Column) -> Column:
-    out = []
-    for label, names in CLAUDE_LIMITS:
-        w = F.coalesce(*[solid(J.node(v, f"$.{n}")) for n in names])
-        out.append(window(F.lit(label), number(w, "$.utilization"), times.rfc3339_ms(J.raw_string(J.node(w, "$.resets_at"))), now_ms))
+    named = F.array(*[F.struct(F.lit(label).alias("label"), F.coalesce(*[solid(J.node(v, f"$.{n}")) for n in names]).alias("limit")) for label, names in CLAUDE_LIMITS])
+
+    def of(limit: Column) -> Column:
+        reset = J.let(J.raw_string(J.node(limit["limit"], "$.resets_at")), times.rfc3339_ms)
+        return J.let(reset, lambda at: window(limit["label"], number(limit["limit"], "$.utilization"), at, now_ms))
+
+    limits = F.filter(F.transform(named, of), lambda w: w.isNotNull())
     extra = "$.extra_usage"
     used, cap = number(v, f"{extra}.used_credits"), number(v, f"{extra}.monthly_limit")
     money = J.raw_string(J.node(v, f"{extra}.currency"))
     note = F.concat(F.lit("Monthly cap: "), labels.minor_units(used, money), F.lit(" / "), labels.minor_units(cap, money))
     percent = F.coalesce(number(v, f"{extra}.utilization"), F.when(cap > 0, used / F.when(cap > 0, cap) * 100))
-    out.append(F.when(F.try_variant_get(v, f"{extra}.is_enabled", "boolean"), window(F.lit("Extra usage"), percent, F.lit(None).cast("long"), now_ms, note)))
-    return present(*out)
+    spent = F.when(F.try_variant_get(v, f"{extra}.is_enabled", "boolean"), window(F.lit("Extra usage"), percent, F.lit(None).cast("long"), now_ms, note))
+    return F.concat(limits, present(spent))
 
 
 def claude_credits(v: Column) -> Column:
