@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language, licenses, mixing, pii, quality, search, simhash, toxicity
+from . import chat, decontaminate, exact_dedup, language, licenses, mixing, pii, quality, runs, search, simhash, toxicity
 from .common import table
 
 
@@ -162,6 +164,21 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
+def with_planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Repeats a part of the words of one document in ten, chosen by its id, to the end; a document without id stays."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find_runs(table(spark, sf_dir, "documents"), rewrite=with_planted_run))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -174,5 +191,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
+    "op12_runs": op12_runs,
 }
 SQL = {"op2_license_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_mixing": OP10_SQL, "op11_lexical_search": OP11_SQL}
