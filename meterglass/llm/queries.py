@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language, licenses, mixing, pii, quality, runs, search, simhash, toxicity
+from . import chat, decontaminate, embeddings, exact_dedup, language, licenses, mixing, pii, quality, runs, search, simhash, toxicity
 from .common import table
 
 
@@ -179,6 +179,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.find_runs(table(spark, sf_dir, "documents"), rewrite=with_planted_run))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -192,5 +196,6 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
     "op12_runs": op12_runs,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 SQL = {"op2_license_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_mixing": OP10_SQL, "op11_lexical_search": OP11_SQL}

@@ -14,12 +14,13 @@ and each pair of salts is a group of its own; a group keeps its homes and stream
 a task's memory is bounded by ``HOT`` homes wherever fingerprints crowd.
 
 Only distinct fingerprints travel; their documents are joined back salt by salt. Components are
-found by alternating star contraction with salted joins.
+found by alternating star contraction with salted joins. Their nodes are fingerprints; those of
+rows that share a doc_id are linked, too, and the least doc_id of a component is taken last.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; rows
-that repeat a doc_id are one node with all their links; a document with a null doc_id gets the
-component of its fingerprint's other documents, or null if there are none; an empty table
-gives an empty result; other columns are ignored.
+that repeat a doc_id have one component, whatever their texts; rows with a null doc_id link, and
+so join others, like any row, and get the component's least doc_id, or null if all its doc_ids are
+null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, arrow_rows, as_bytes, cut, salt
+from .common import SALTS, arrow_rows, as_bytes, cut, salt, stored
 
 WORDS = 3
 SEED = 42
@@ -250,7 +251,7 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     seen = None
     while (now := state(edges)) != seen:
         seen = now
@@ -259,22 +260,39 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         small = with_min(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = cut(small.filter("u <> v").distinct())
+        edges = stored(small.filter("u <> v").distinct())
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def least_ids(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """node and component_id, the least id of all nodes of its component. ``ids``: node, id; ``found``: as of ``components``.
+
+    A component that holds very many nodes is met salt by salt.
+    """
+    root = F.coalesce("component", "node").alias("root")
+    named = stored(ids.join(found, "node", "left").select("node", root, "id", salt(F.col("node")).alias("salt")))
+    by_salt = named.groupBy("root", "salt").agg(F.min("id").alias("id"))
+    least = by_salt.groupBy("root").agg(F.min("id").alias("component_id"), F.collect_set("salt").alias("salts")).select("root", "component_id", F.explode("salts").alias("salt"))
+    return named.join(least, ["root", "salt"]).select("node", "component_id")
+
+
+def links_of_ids(prints: DataFrame) -> DataFrame:
+    """u, v: links between the fingerprints of each doc_id that has several."""
+    known = prints.filter("doc_id IS NOT NULL")
+    several = known.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").drop("high")
+    return known.join(several, "doc_id").select(F.col("fp").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
     prints = cut(fingerprints(docs, words))
     keyed = prints.withColumn("salt", salt(F.col("doc_id")))
     by_salt = keyed.groupBy("fp", "salt").agg(F.min("doc_id").alias("id"))
     by_print = cut(by_salt.groupBy("fp").agg(F.min("id").alias("id"), F.collect_set("salt").alias("salts")))
-    found = components(links(by_print.filter("id IS NOT NULL").select("fp", "id"), radius))
-    dealt = (
-        by_print.join(found, by_print["id"] == found["node"], "left")
-        .select("fp", F.coalesce("component", "id").alias("component_id"), F.explode("salts").alias("salt"))
-    )
+    near = links(by_print.select("fp", F.col("fp").alias("id")), radius)
+    found = least_ids(by_print.select(F.col("fp").alias("node"), "id"), components(near.unionByName(links_of_ids(prints))))
+    dealt = by_print.join(found, by_print["fp"] == found["node"]).select("fp", "component_id", F.explode("salts").alias("salt"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return keyed.join(dealt, ["fp", "salt"]).select("doc_id", hexed, "component_id")
 

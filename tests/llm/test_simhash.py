@@ -60,21 +60,17 @@ def test_anchors_bring_all_close_pairs_together():
 def test_components_against_all_pairs(spark):
     r = np.random.default_rng(3)
     base = [" ".join(f"w{r.integers(0, 50)}" for _ in range(60)) for _ in range(12)]
-    rows = [(i, t) for i, t in AWKWARD if i is not None and t != AWKWARD[7][1]]
+    rows = [(i, t) for i, t in AWKWARD if t != AWKWARD[7][1]]
     for k in range(160):
         words = base[k % 12].split()
         for _ in range(k // 12 % 3):
             words[r.integers(0, 60)] = "changed"
         rows.append((100 + k, " ".join(words)))
-    got = {}
-    for x in S.near_duplicates(docs(spark, rows, extra=True)).collect():
-        got[x["doc_id"]] = (x["fingerprint"], x["component_id"])
-    ids = sorted(got)
-    text = dict(rows)
-    assert all(got[i][0] == f"{plain(text[i]):016x}" for i in ids)
-    assert {i: got[i][1] for i in ids} == closed(ids, [plain(text[i]) for i in ids])
+    rows += [(None, base[0]), (150, base[7]), (None, base[3] + " changed"), (None, "alone")]
+    want = with_ids(rows)
+    assert found(S.near_duplicates(docs(spark, rows, extra=True))) == want
     kept = S.drop_near_duplicates(docs(spark, rows, extra=True))
-    assert {x["doc_id"] for x in kept.collect()} == {c for _, c in got.values()}
+    assert {x["doc_id"] for x in kept.collect() if x["doc_id"] is not None} == {c for *_, c in want if c is not None}
 
 
 def chain(n, r):
@@ -160,6 +156,64 @@ def test_long_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98}
 
 
+def with_ids(rows):
+    """Components of rows by all pairs: rows link by fingerprint or share a doc_id; a component's least doc_id, if it has one."""
+    fps, root = [plain(t) for _, t in rows], list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if bin(fps[a] ^ fps[b]).count("1") <= 3 or rows[a][0] is not None and rows[a][0] == rows[b][0]:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for a, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(a)] = min(i, least.get(find(a), i))
+    return sorted([(i, f"{fps[a]:016x}", least.get(find(a))) for a, (i, _) in enumerate(rows)], key=str)
+
+
+def found(df):
+    return sorted([(r["doc_id"], r["fingerprint"], r["component_id"]) for r in df.collect()], key=str)
+
+
+def bridge():
+    """Three texts of which only the second is near the first and the third."""
+    r = np.random.default_rng(11)
+    while True:
+        words = [f"w{k}" for k in r.integers(0, 400, 120)]
+        texts = [" ".join(words)]
+        for _ in range(2):
+            words = list(words)
+            words[int(r.integers(0, 120))] = f"x{r.integers(0, 1000)}"
+            texts.append(" ".join(words))
+        a, n, b = (plain(t) for t in texts)
+        apart = [bin(x ^ y).count("1") for x, y in ((a, n), (n, b), (a, b))]
+        if apart[0] <= 3 and apart[1] <= 3 and apart[2] > 3:
+            return texts
+
+
+def test_null_ids_bridge(spark):
+    a, n, b = bridge()
+    for ids in ((1, 3, 2), (1, None, 2), (None, None, 2), (None, 7, None), (None, None, None)):
+        rows = list(zip(ids, (a, n, b)))
+        want = with_ids(rows)
+        assert found(S.near_duplicates(docs(spark, rows))) == want and len({c for *_, c in want}) == 1
+
+
+def test_repeated_ids_join_their_groups(spark):
+    one, two, three = "a b c d e f g h", "some other words stand here now", "and a third text that is far away"
+    rows = [(1, one), (5, one), (2, two), (5, two), (9, three), (9, three), (None, three), (None, "x y z")]
+    want = with_ids(rows)
+    assert found(S.near_duplicates(docs(spark, rows, extra=True))) == want
+    assert {(i, c) for i, _, c in want} == {(1, 1), (5, 1), (2, 1), (9, 9), (None, 9), (None, None)}
+    assert sorted({r["doc_id"] for r in S.drop_near_duplicates(docs(spark, rows)).collect() if r["doc_id"]}) == [1, 9]
+
+
 def test_null_ids_and_empty(spark):
     got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs(spark, [(None, "x y z"), (4, "a b c"), (None, "a b c")])).collect() if r["doc_id"] is not None or r["component_id"] is not None}
     assert got == {4: 4, None: 4}
