@@ -149,12 +149,10 @@ METRIC = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.Str
 def _number(x):
     if isinstance(x, bool):
         return None
-    if isinstance(x, (int, float)):
-        return float(x) if math.isfinite(x) else None
-    if isinstance(x, str):
+    if isinstance(x, (int, float, str)):
         try:
-            return float(x) if math.isfinite(float(x)) else None
-        except ValueError:
+            return n if math.isfinite(n := float(x)) else None
+        except (ValueError, OverflowError):
             return None
     if isinstance(x, dict):
         return _number(x["val"] if "val" in x else x.get("value"))
@@ -171,12 +169,20 @@ def _first(values):
     return next((x for x in values if x is not None), None)
 
 
+def _moment(seconds) -> str | None:
+    """Epoch seconds as text; None beyond the calendar."""
+    try:
+        return datetime.fromtimestamp(int(seconds), timezone.utc).isoformat()
+    except (OverflowError, ValueError, OSError):
+        return None
+
+
 def _when(x):
     """A period bound: text as it is, or epoch seconds."""
     if isinstance(x, str):
         return x
     n = _number(x)
-    return None if n is None else datetime.fromtimestamp(int(n), timezone.utc).isoformat()
+    return None if n is None else _moment(n)
 
 
 def _cycle(start, end) -> str:
@@ -292,7 +298,7 @@ def _fields(data: bytes):
 
 
 def _seconds(data: bytes) -> str | None:
-    return _first(datetime.fromtimestamp(v, timezone.utc).isoformat() for n, w, v in _fields(data) if n == 1 and w == 0)
+    return _first(_moment(v) for n, w, v in _fields(data) if n == 1 and w == 0)
 
 
 def _config(data: bytes):

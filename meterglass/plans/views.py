@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +162,26 @@ def task_limit_dedup(spark, sf_dir):
     return found.select("c_custkey", "m.label", F.round("m.used_percent", 6).alias("used_percent"), "m.remaining_label")
 
 
+@query("""SELECT c_custkey, kind, CASE WHEN c_custkey % 5 > 2 THEN 'Credits' WHEN c_custkey % 2 = 0 THEN 'Weekly' ELSE 'Monthly' END AS label, CAST(least(100, c_custkey % 130) AS DOUBLE) AS used_percent,
+  CASE WHEN c_custkey % 5 <= 2 THEN strftime(make_timestamp((1700000000 + c_custkey * 60 + CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 30 END * 86400) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') END AS resets_at
+FROM customer, (VALUES ('text'), ('frame')) v(kind) WHERE kind = 'text' OR c_custkey % 5 <> 4""")
+def billing_bounds(spark, sf_dir):
+    """Billing periods of a week or a month, in documents and in frames; two in five end beyond the calendar and have no end."""
+    start = F.lit(1_700_000_000) + key() * 60
+    end = start + F.when(key() % 2 == 0, 7).otherwise(30) * 86_400
+    far = F.when(key() % 5 == 3, "1e30").when(key() % 5 == 4, "99999999999999").otherwise(end.cast("string"))
+    text = filled('{"usedPercent": %d, "billingPeriodStart": %d, "billingPeriodEnd": %s}', key() % 130, start, far)
+    seven = lambda n, k: F.lpad(F.hex(F.shiftrightunsigned(n.cast("long"), 7 * k).bitwiseAND(F.lit(127)).bitwiseOR(F.lit(128 if k < 4 else 0))), 2, "0")
+    bound = lambda field, n: F.concat(F.lit(field + "0608"), *[seven(n, k) for k in range(5)])  # noqa: E731  of five bytes
+    last = F.when(key() % 5 == 3, F.lit("2A0B0880808080808080808001")).otherwise(bound("2A", end))  # 2^63 seconds
+    share = F.concat(F.lit("0D"), F.element_at(F.array(*[F.lit(struct.pack("<f", n).hex()) for n in range(130)]), (key() % 130 + 1).cast("int")))
+    config = F.concat(share, bound("22", start), last)
+    size = lambda hexed, more, digits: F.lpad(F.hex((F.length(hexed) / 2 + more).cast("long")), digits, "0")
+    frame = F.unhex(F.concat(F.lit("00"), size(config, 2, 8), F.lit("0A"), size(config, 0, 2), config))
+    each = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(F.array(quota.grok_metrics(text), F.when(key() % 5 != 4, quota.grok_frame_metrics(frame)))).alias("i", "found"))
+    return each.select("c_custkey", F.when(F.col("i") == 0, "text").otherwise("frame").alias("kind"), F.explode("found").alias("m")).select("c_custkey", "kind", "m.label", "m.used_percent", "m.resets_at")
+
+
 @query("SELECT c_custkey, 'c' || c_custkey || '@example.org' AS email, CASE c_custkey % 3 WHEN 0 THEN 'Super Grok' WHEN 1 THEN 'Pro' END AS tier FROM customer")
 def account_claims(spark, sf_dir):
     body = F.encode(filled('{"email": "c%d@example.org"}', key()), "utf-8")

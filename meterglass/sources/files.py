@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import models
 from ..functions import time as times
+from . import listing
 
 MESSAGE_COLUMNS = ("client", "model_id", "provider_id", "timestamp_ms", "date", "input", "output", "cache_read", "cache_write", "reasoning", "cost", "messages", "dedup_key", "ord")
 
@@ -18,8 +22,8 @@ MESSAGE_COLUMNS = ("client", "model_id", "provider_id", "timestamp_ms", "date",
 class Config:
     """Where logs lie. ``roots`` replaces a client's usual folders; ``now_ms`` is the clock.
 
-    With ``stop_at_bad_line`` a file ends before its first line that isn't UTF-8 (at the cost of a
-    second pass over the logs); otherwise such lines are left out and the rest is read.
+    With ``stop_at_bad_line`` a file ends before its first line that isn't UTF-8; otherwise such
+    lines are left out and the rest is read. ``only`` (file) restricts what is read to some files.
     """
 
     home: str
@@ -28,6 +32,7 @@ class Config:
     codex_home: str | None = None
     stop_at_bad_line: bool = False
     roots: dict[str, list[str]] = field(default_factory=dict)
+    only: DataFrame | None = None
 
     @property
     def data(self) -> str:
@@ -76,42 +81,133 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
-FILE = ("file", "root_ord", "path_key", "block", "pos", "mtime_ms", "value")
+#: Bytes of a file that one task reads, and that it holds at a time.
+RANGE, STEP = 64 << 20, 4 << 20
+LINES = "file string, root_ord int, path_key string, block long, pos long, mtime_ms long, value string"
 
 
-def _scan(spark: SparkSession, roots: list[str], glob: str, whole: bool, recursive: bool = True) -> DataFrame:
-    out = None
-    for k, root in enumerate(roots):
-        if not existing(spark, [root]):
-            continue
-        reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").option("pathGlobFilter", glob)
-        df = reader.text(root, wholetext=True) if whole else reader.text(root, lineSep="\n")
-        df = df.select(
-            F.col("_metadata.file_path").alias("file"), F.lit(k).alias("root_ord"), path_key(F.col("_metadata.file_path")).alias("path_key"),
-            F.col("_metadata.file_block_start").cast("long").alias("block"), F.monotonically_increasing_id().alias("pos"),
-            F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), "value",
-        )
-        out = df if out is None else out.unionByName(df)
-    if out is None:
-        return spark.createDataFrame([], "file string, root_ord int, path_key string, block long, pos long, mtime_ms long, value string")
-    return out
+def listed(spark: SparkSession, roots: list[str], glob: str, recursive: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """The files to read, of those ``only`` (file) if given."""
+    found = listing.files(spark, roots, glob, recursive)
+    return found if only is None else found.join(only.select("file").distinct(), "file", "left_semi")
+
+
+def valid(piece: bytes) -> bool:
+    try:
+        piece.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
-def lines(spark: SparkSession, roots: list[str], glob: str, stop: bool = False) -> DataFrame:
+def line_batches(read: Callable[[int, int], bytes], start: int, end: int, size: int, stop: bool) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(places, texts) of the lines that start within [start, end), a few MB at a time; ``read(a, b)`` gives bytes a..b.
+
+    A carriage return before the newline is left out, and so are lines that aren't UTF-8; with
+    ``stop`` all after such a line, too.
+    """
+    at, held = start, b""
+    if start:  # the line that runs into the range is the one before's
+        at, held = start - 1, b""
+        while at < size and (cut := (piece := read(at, min(size, at + STEP))).find(b"\n")) < 0:
+            at += len(piece)
+            if not piece:
+                return
+        at += cut + 1 if at < size else 0
+    pos = at
+    while at < end:
+        piece = read(pos, min(size, pos + STEP)) if pos < size else b""
+        pos += len(piece)
+        held += piece
+        cut = held.rfind(b"\n") + 1 if piece else len(held)
+        if not cut and piece:
+            continue
+        whole, held = held[:cut], held[cut:]
+        if not whole:
+            return
+        data = np.frombuffer(whole, np.uint8)
+        ends = np.flatnonzero(data == 10)
+        starts = np.concatenate(([0], ends + 1))
+        if whole[-1] == 10:
+            starts = starts[:-1]
+        else:
+            ends = np.append(ends, len(data))
+        own = starts + at < end
+        starts, ends = starts[own], ends[own]
+        ends = ends - ((ends > starts) & (data[np.maximum(ends, 1) - 1] == 13))
+        bad = np.zeros(len(starts), bool) if valid(whole) else np.array([not valid(whole[a:b]) for a, b in zip(starts, ends)], bool)
+        if stop and bad.any():
+            starts, ends, bad = (x[: bad.argmax()] for x in (starts, ends, bad))
+            end = at
+        starts, ends = starts[~bad], ends[~bad]
+        mask = np.zeros(len(data) + 1, np.int8)
+        np.add.at(mask, starts, 1)
+        np.add.at(mask, ends, -1)
+        texts = data[np.cumsum(mask[:-1], dtype=np.int8).astype(bool)]
+        offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+        yield starts + at, pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(texts)])
+        at += cut
+
+
+def opened(path: str):
+    """A function that gives bytes a..b of a file, and what closes it."""
+    where, inner = listing.store(path)
+    handle = where.open_input_file(inner)
+
+    def read(a: int, b: int) -> bytes:
+        handle.seek(a)
+        return handle.read(b - a)
+
+    return read, handle.close
+
+
+def _read(found: DataFrame, whole: bool, stop: bool = False, size: int = RANGE) -> DataFrame:
+    """Rows of the listed files, ranges of ``size`` bytes dealt over tasks. A file that is gone meanwhile has none."""
+    n, total = found.agg(F.count(F.lit(1)), F.sum("size")).first()
+    parts = min(n, max(-(-(total or 0) // size), found.sparkSession.sparkContext.defaultParallelism)) or 1
+    step = F.greatest("size", F.lit(1)) if whole or stop else F.lit(size).cast("long")
+    cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0).cast("long")), step)
+    ranges = found.select("file", "root_ord", "mtime_ns", "size", F.explode(cuts).alias("start")).withColumn("end", F.least(F.col("start") + step, "size"))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                try:
+                    read, close = opened(r["file"])
+                except OSError:
+                    continue
+                try:
+                    if whole:
+                        text = read(0, r["size"])
+                        each = [(np.zeros(1, np.int64), pa.array([text.decode()]))] if valid(text) else []
+                    else:
+                        each = line_batches(read, r["start"], r["end"], r["size"], stop)
+                    for at, texts in each:
+                        same = lambda v, kind: pa.repeat(pa.scalar(v, kind), len(at))  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays(
+                            [same(r["file"], pa.string()), same(r["root_ord"], pa.int32()), same(r["file"].replace("/", "\0"), pa.string()), same(r["start"], pa.int64()), pa.array(at, pa.int64()), same(r["mtime_ns"] // 1_000_000, pa.int64()), texts],
+                            names=["file", "root_ord", "path_key", "block", "pos", "mtime_ms", "value"],
+                        )
+                except OSError:
+                    continue
+                finally:
+                    close()
+
+    return ranges.repartition(parts, "file", "start").mapInArrow(run, LINES)
+
+
+def lines(spark: SparkSession, roots: list[str], glob: str, stop: bool = False, only: DataFrame | None = None) -> DataFrame:
     """A row a line. Large files are split over tasks; (block, pos) is the order within a file.
 
-    Lines that are no UTF-8 are dropped, and with ``stop`` all lines after them in their file.
+    Lines that are no UTF-8 are dropped, and with ``stop`` all lines after them in their file, which
+    one task reads then.
     """
-    rows = _scan(spark, roots, glob, whole=False)
-    if stop:
-        bad = rows.filter(~F.is_valid_utf8("value")).groupBy("file").agg(F.min(F.struct("block", "pos")).alias("_bad"))
-        rows = rows.join(bad, "file", "left").filter(F.col("_bad").isNull() | (F.struct("block", "pos") < F.col("_bad"))).drop("_bad")
-    return rows.filter(F.is_valid_utf8("value")).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    return _read(listed(spark, roots, glob, only=only), whole=False, stop=stop)
 
 
-def documents(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
-    """A row a file."""
-    return _scan(spark, roots, glob, whole=True).withColumn("block", F.lit(0).cast("long")).withColumn("pos", F.lit(0).cast("long"))
+def documents(spark: SparkSession, roots: list[str], glob: str, only: DataFrame | None = None) -> DataFrame:
+    """A row a file; none for a file that isn't UTF-8."""
+    return _read(listed(spark, roots, glob, only=only), whole=True)
 
 
 def parsed(rows: DataFrame) -> DataFrame:

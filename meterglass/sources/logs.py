@@ -42,7 +42,7 @@ def prefixed(prefix: str, *parts: Column) -> Column:
 
 def claude(spark: SparkSession, config: Config) -> DataFrame:
     roots = config.of("claude", f"{config.home}/.claude/projects", f"{config.home}/.claude/transcripts")
-    rows = parsed(lines(spark, roots, "*.{jsonl,json}", config.stop_at_bad_line))
+    rows = parsed(lines(spark, roots, "*.{jsonl,json}", config.stop_at_bad_line, config.only))
     rows = rows.filter((J.raw_string(at("$.type")) == "assistant") & at("$.message.usage").isNotNull() & text("$.message.model").isNotNull())
     use = "$.message.usage."
     made = messages(
@@ -82,7 +82,7 @@ def codex(spark: SparkSession, config: Config) -> DataFrame:
     redirected = [h for d in (f"{config.home}/Library/Application Support", config.data) for h in children(spark, f"{d}/orca/codex-runtime-home")]
     homes = config.of("codex", config.codex_home or f"{config.home}/.codex", *redirected)
     roots = [f"{h}/{d}" for h in homes for d in ("sessions", "archived_sessions")] + config.of("codex_exports")
-    events = codex_events(parsed(lines(spark, roots, "*.jsonl", config.stop_at_bad_line)))
+    events = codex_events(parsed(lines(spark, roots, "*.jsonl", config.stop_at_bad_line, config.only)))
     # the fold carries one number a line; the order's other parts come back by file
     ranked = events.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("block", "pos")).cast("long"))
     files = ranked.select("file", "root_ord", "path_key").distinct()
@@ -116,7 +116,7 @@ def parse_cost(field: Column) -> Column:
 
 def cursor_json(spark: SparkSession, config: Config, name: str = "events.json") -> DataFrame:
     """Strict: one malformed event fails its document."""
-    rows = parsed(documents(spark, config.of("cursor", f"{config.home}/.config/cursor-cache"), name))
+    rows = parsed(documents(spark, config.of("cursor", f"{config.home}/.config/cursor-cache"), name, config.only))
     events = F.try_variant_get(V, "$.events", "array<variant>")
     whole = ("timestamp_ms", "input_tokens", "output_tokens", "cache_read_tokens")
 
@@ -153,7 +153,7 @@ CSV_LAYOUTS = {"wide": (4, 6, 7, 8, 9, 11), "kind": (2, 4, 5, 6, 7, 9), "plain":
 
 
 def cursor_csv(spark: SparkSession, config: Config) -> DataFrame:
-    rows = documents(spark, config.of("cursor", f"{config.home}/.config/cursor-cache"), "{usage.csv,usage.*.csv}")
+    rows = documents(spark, config.of("cursor", f"{config.home}/.config/cursor-cache"), "{usage.csv,usage.*.csv}", config.only)
     every = F.transform(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n", -1), split_csv)
     head = F.element_at("fields", 1)
     has_kind = F.exists(head, lambda f: F.regexp_replace(f, '^"+|"+$', "") == "Kind")
@@ -200,10 +200,10 @@ def opencode_rows(rows: DataFrame, now_ms: int, fallback_key: Column) -> DataFra
 
 def opencode(spark: SparkSession, config: Config) -> DataFrame:
     roots = config.of("opencode", f"{config.data}/opencode")
-    stored = sqlite.opencode_messages(spark, roots).withColumn("v", J.parse(F.col("data"))).filter("v IS NOT NULL")
+    stored = sqlite.opencode_messages(spark, roots, config.only).withColumn("v", J.parse(F.col("data"))).filter("v IS NOT NULL")
     key = F.when((F.col("id") == "unknown") & (F.col("session_id") != ""), F.col("session_id")).otherwise(F.col("id"))
     from_db = opencode_rows(stored, config.now_ms, key)
-    legacy = parsed(documents(spark, [f"{r}/storage/message" for r in roots], "*.json")).withColumn("root_ord", F.col("root_ord") + len(roots))
+    legacy = parsed(documents(spark, [f"{r}/storage/message" for r in roots], "*.json", config.only)).withColumn("root_ord", F.col("root_ord") + len(roots))
     return from_db.unionByName(opencode_rows(legacy, config.now_ms, stem(F.col("file"))))
 
 
@@ -259,8 +259,8 @@ def gemini_ts(v: Column) -> Column:
     return F.coalesce(times.timestamp_ms(J.first_present(v, "$.timestamp", "$.created_at")), F.col("mtime_ms"))
 
 
-def gemini_lines(spark: SparkSession, roots: list[str], stop: bool = False) -> DataFrame:
-    rows = parsed(lines(spark, roots, "*.jsonl", stop))
+def gemini_lines(spark: SparkSession, roots: list[str], stop: bool = False, only: DataFrame | None = None) -> DataFrame:
+    rows = parsed(lines(spark, roots, "*.jsonl", stop, only))
     upto = Window.partitionBy("file").orderBy("block", "pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("file").orderBy("block", "pos").rowsBetween(Window.unboundedPreceding, -1)
     hint = F.last(text("$.model"), True).over(upto)
@@ -287,8 +287,8 @@ def gemini_entries(rows: DataFrame) -> DataFrame:
     return messages(rows, "gemini", model=e("model"), provider=F.lit("google"), ts=F.col("mtime_ms"), input=e("input"), output=e("output"), cache_read=e("cache_read"), reasoning=e("reasoning"), index=F.col("i"))
 
 
-def gemini_documents(spark: SparkSession, roots: list[str]) -> DataFrame:
-    rows = parsed(documents(spark, roots, "*.json"))
+def gemini_documents(spark: SparkSession, roots: list[str], only: DataFrame | None = None) -> DataFrame:
+    rows = parsed(documents(spark, roots, "*.json", only))
     many = J.is_array(at("$.messages"))
     many = F.coalesce(many, F.lit(False))
     none = F.lit(None).cast("string")
@@ -304,7 +304,7 @@ def gemini_documents(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 def gemini(spark: SparkSession, config: Config) -> DataFrame:
     roots = config.of("gemini", f"{config.home}/.gemini/tmp")
-    return gemini_lines(spark, roots, config.stop_at_bad_line).unionByName(gemini_documents(spark, roots))
+    return gemini_lines(spark, roots, config.stop_at_bad_line, config.only).unionByName(gemini_documents(spark, roots, config.only))
 
 
 # --- Copilot, Amp, Droid -------------------------------------------------------------------------
@@ -327,7 +327,7 @@ def copilot_ts(v: Column) -> Column:
 
 def copilot(spark: SparkSession, config: Config) -> DataFrame:
     roots = config.of("copilot", f"{config.home}/.copilot/otel")
-    rows = parsed(numbered(lines(spark, roots, "*.jsonl", config.stop_at_bad_line))).filter(at("$.attributes").isNotNull())
+    rows = parsed(numbered(lines(spark, roots, "*.jsonl", config.stop_at_bad_line, config.only))).filter(at("$.attributes").isNotNull())
     zero = F.lit(0).cast("long")
     n = lambda *names: F.coalesce(J.first_i64(F.col(V), *attribute(*names)), zero)
     s = lambda *names: J.first_string(F.col(V), *attribute(*names))
@@ -347,7 +347,7 @@ def copilot(spark: SparkSession, config: Config) -> DataFrame:
 
 def amp(spark: SparkSession, config: Config) -> DataFrame:
     """A thread's ledger if it gives any message, else its assistant messages."""
-    rows = parsed(documents(spark, config.of("amp", f"{config.data}/amp/threads"), "T-*.json"))
+    rows = parsed(documents(spark, config.of("amp", f"{config.data}/amp/threads"), "T-*.json", config.only))
     rows = rows.withColumns({"created": F.coalesce(J.i64_value(at("$.created")), F.col("mtime_ms")), "thread": F.coalesce(text("$.id"), stem(F.col("file")))})
     has_model = lambda e: J.string_value(J.node(e, "$.model")).isNotNull()
     rows = rows.withColumn("events", F.try_variant_get(V, "$.usageLedger.events", "array<variant>"))
@@ -371,7 +371,7 @@ def amp(spark: SparkSession, config: Config) -> DataFrame:
 
 
 def droid(spark: SparkSession, config: Config) -> DataFrame:
-    rows = parsed(documents(spark, config.of("droid", f"{config.home}/.factory/sessions"), "*.settings.json")).filter(at("$.tokenUsage").isNotNull())
+    rows = parsed(documents(spark, config.of("droid", f"{config.home}/.factory/sessions"), "*.settings.json", config.only)).filter(at("$.tokenUsage").isNotNull())
     provider = F.coalesce(text("$.providerLock"), models.infer_provider(text("$.model")), F.lit("unknown"))
     provider = F.when(text("$.providerLock").isNull() & text("$.model").isNull(), F.lit("unknown")).otherwise(provider)
     model = F.coalesce(models.normalize_settings_model(text("$.model")), models.default_model(provider))
@@ -387,7 +387,7 @@ def droid(spark: SparkSession, config: Config) -> DataFrame:
 
 
 def hermes(spark: SparkSession, config: Config) -> DataFrame:
-    rows = sqlite.hermes_sessions(spark, config.of("hermes", f"{config.home}/.hermes"))
+    rows = sqlite.hermes_sessions(spark, config.of("hermes", f"{config.home}/.hermes"), config.only)
     ts = F.coalesce(times.normalize_epoch_ms_double(F.col("started_at")), times.normalize_epoch_ms_double(F.col("ended_at")), F.col("mtime_ms"))
     cost = F.when(F.col("actual_cost_usd") > 0, F.col("actual_cost_usd")).when(F.col("estimated_cost_usd") > 0, F.col("estimated_cost_usd")).otherwise(0.0)
     n = lambda c: F.greatest(F.col(c), F.lit(0))
@@ -405,10 +405,10 @@ GROK_TIME = ("$.params._meta.agentTimestampMs", "$.params.update._meta.agentTime
 
 def grok(spark: SparkSession, config: Config) -> DataFrame:
     roots = [f"{h}/sessions" for h in config.of("grok", f"{config.home}/.grok")]
-    rows = parsed(lines(spark, roots, "updates.jsonl", config.stop_at_bad_line)).withColumn("dir", parent(F.col("file")))
-    beside = lambda name: parsed(documents(spark, roots, name)).withColumn("dir", parent(F.col("file")))
+    rows = parsed(lines(spark, roots, "updates.jsonl", config.stop_at_bad_line, config.only)).withColumn("dir", parent(F.col("file")))
+    beside = lambda name: parsed(documents(spark, roots, name, config.only)).withColumn("dir", parent(F.col("file")))
     summary = beside("summary.json").select("dir", J.first_string(F.col(V), "$.current_model_id", "$.model_id").alias("s_model"), times.first_timestamp(F.col(V), "$.updated_at", "$.created_at", "$.last_active_at").alias("s_ms"))
-    journal = parsed(numbered(lines(spark, roots, "events.jsonl", config.stop_at_bad_line))).filter("line_no < 500").withColumn("dir", parent(F.col("file")))
+    journal = parsed(numbered(lines(spark, roots, "events.jsonl", config.stop_at_bad_line, config.only))).filter("line_no < 500").withColumn("dir", parent(F.col("file")))
     journal = journal.withColumns({"m": J.first_string(F.col(V), "$.model_id", "$.modelId"), "t": times.first_timestamp(F.col(V), "$.ts", "$.timestamp")})
     # the journal is read up to the line that names a model
     known = F.min(F.when(F.col("m").isNotNull(), F.col("line_no"))).over(Window.partitionBy("dir"))
@@ -440,7 +440,7 @@ def grok(spark: SparkSession, config: Config) -> DataFrame:
 
 def omp(spark: SparkSession, config: Config) -> DataFrame:
     roots = [f"{h}/sessions" for h in config.of("omp", f"{config.home}/.omp/agent")]
-    rows = parsed(lines(spark, roots, "*.jsonl", config.stop_at_bad_line))
+    rows = parsed(lines(spark, roots, "*.jsonl", config.stop_at_bad_line, config.only))
     rows = rows.filter((J.raw_string(at("$.type")) == "message") & (J.raw_string(at("$.message.role")) == "assistant") & at("$.message.usage").isNotNull())
     bucket = folder(F.col("file"), 1)
     scope = F.when(~bucket.startswith("-") & bucket.contains("_"), F.concat(bucket, F.lit("/"), stem(F.col("file")))).otherwise(stem(F.col("file")))

@@ -1,4 +1,4 @@
-"""SQLite files read through Spark: the bytes come from any store, each file is queried inside a task.
+"""SQLite files read through Spark: each file is copied to its task's folder, piece by piece, and queried there.
 
 The write-ahead log beside a database (its path and ``-wal``) is read with it, so rows that were
 committed but not yet checkpointed are there. The two are read one after the other: a checkpoint
@@ -11,30 +11,36 @@ import logging
 import sqlite3
 import tempfile
 from collections.abc import Iterator
-from contextlib import closing, contextmanager
+from contextlib import closing, contextmanager, suppress
 from itertools import batched
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .files import existing, path_key
 
+from . import listing
+from .files import listed
 
 #: Rows of a database that a task holds at a time.
 BATCH_ROWS = 10_000
 
 
+def copied(path: str, to: Path) -> None:
+    where, inner = listing.store(path)
+    with where.open_input_stream(inner) as source, to.open("wb") as out:
+        while piece := source.read(8 << 20):
+            out.write(piece)
+
+
 @contextmanager
-def opened(content: bytes, log: bytes | None = None) -> Iterator[sqlite3.Connection]:
-    """The database of the file and its write-ahead log, as copies in the task's temporary folder."""
+def opened(path: str) -> Iterator[sqlite3.Connection]:
+    """The database and its write-ahead log, if there is one, as copies in the task's temporary folder."""
     with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / "copy.db"
-        path.write_bytes(content)
-        if log:
-            Path(f"{path}-wal").write_bytes(log)
-        with closing(sqlite3.connect(path)) as db:
+        copy = Path(folder) / "copy.db"
+        copied(path, copy)
+        with suppress(FileNotFoundError):
+            copied(f"{path}-wal", Path(f"{copy}-wal"))
+        with closing(sqlite3.connect(copy)) as db:
             yield db
 
 
@@ -50,7 +56,7 @@ def fits(value, kind: str):
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
 
 
-def table_rows(spark: SparkSession, roots: list[str], glob: str, read, columns: dict[str, str]) -> DataFrame:
+def table_rows(spark: SparkSession, roots: list[str], glob: str, read, columns: dict[str, str], only: DataFrame | None = None) -> DataFrame:
     """``read(connection)`` yields rows; those whose values fit ``columns`` come with file, root_ord, path_key, block, pos and mtime_ms."""
     fixed = {"file": "string", "root_ord": "int", "path_key": "string", "block": "long", "pos": "long", "mtime_ms": "long"}
     schema = ", ".join(f"{n} {t}" for n, t in {**fixed, **columns}.items())
@@ -60,26 +66,19 @@ def table_rows(spark: SparkSession, roots: list[str], glob: str, read, columns:
         for batch in batches:
             for f in batch.to_pylist():
                 try:
-                    with opened(f["content"], f["log"]) as db:
+                    with opened(f["file"]) as db:
                         rows = (r for r in read(db) if all(fits(v, k) for v, k in zip(r, kinds)))
                         for some in batched(enumerate(rows), BATCH_ROWS):
-                            cols = list(zip(*[(f["path"], f["root_ord"], f["path_key"], 0, i, f["mtime_ms"], *r) for i, r in some]))
+                            cols = list(zip(*[(f["file"], f["root_ord"], f["file"].replace("/", "\0"), 0, i, f["mtime_ns"] // 1_000_000, *r) for i, r in some]))
                             yield pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, t in zip(cols, [*fixed.values(), *kinds])], names=[*fixed, *columns])
-                except sqlite3.Error as e:  # no such table, or no database: nothing to read
-                    logging.getLogger(__name__).warning("%s not read to its end: %s", f["path"], e)
+                except (sqlite3.Error, OSError) as e:  # no such table, no database, or gone: nothing to read
+                    logging.getLogger(__name__).warning("%s not read to its end: %s", f["file"], e)
 
-    out = None
-    for k, root in enumerate(existing(spark, roots)):
-        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root)
-        files = files.select("path", F.lit(k).alias("root_ord"), path_key(F.col("path")).alias("path_key"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
-        logs = spark.read.format("binaryFile").option("pathGlobFilter", f"{glob}-wal").load(root)
-        logs = logs.select(F.regexp_replace("path", "-wal$", "").alias("path"), F.col("content").alias("log"))
-        files = files.join(logs, "path", "left")
-        out = files if out is None else out.unionByName(files)
-    return out.mapInArrow(run, schema) if out is not None else spark.createDataFrame([], schema)
+    found = listed(spark, roots, glob, recursive=False, only=only)
+    return found.repartition("file").mapInArrow(run, schema)
 
 
-def opencode_messages(spark: SparkSession, roots: list[str]) -> DataFrame:
+def opencode_messages(spark: SparkSession, roots: list[str], only: DataFrame | None = None) -> DataFrame:
     def read(db):
         try:
             found = db.execute("SELECT m.id, m.session_id, m.data FROM message m LEFT JOIN session s ON s.id = m.session_id ORDER BY m.id, m.session_id")
@@ -87,7 +86,7 @@ def opencode_messages(spark: SparkSession, roots: list[str]) -> DataFrame:
             found = db.execute("SELECT id, session_id, data FROM message ORDER BY id, session_id")
         return ((i, s if isinstance(s, str) else "", d) for i, s, d in found)
 
-    return table_rows(spark, roots, "{opencode.db,opencode-*.db}", read, {"id": "string", "session_id": "string", "data": "string"})
+    return table_rows(spark, roots, "{opencode.db,opencode-*.db}", read, {"id": "string", "session_id": "string", "data": "string"}, only)
 
 
 #: Columns, types and what stands for those that a file lacks (None: they must be there).
@@ -98,7 +97,7 @@ HERMES = {
 }
 
 
-def hermes_sessions(spark: SparkSession, roots: list[str]) -> DataFrame:
+def hermes_sessions(spark: SparkSession, roots: list[str], only: DataFrame | None = None) -> DataFrame:
     def read(db):
         there = {r[1] for r in db.execute("PRAGMA table_info(sessions)")}
         picked = []
@@ -112,4 +111,4 @@ def hermes_sessions(spark: SparkSession, roots: list[str]) -> DataFrame:
         order = "started_at, id" if "started_at" in there else "id"
         return db.execute(f"SELECT {', '.join(picked)} FROM sessions WHERE model IS NOT NULL AND TRIM(model) != '' ORDER BY {order}")
 
-    return table_rows(spark, roots, "state.db", read, {n: t for n, (t, _) in HERMES.items()})
+    return table_rows(spark, roots, "state.db", read, {n: t for n, (t, _) in HERMES.items()}, only)

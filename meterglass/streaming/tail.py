@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..sources import listing
+
 SCHEMA = "file string, epoch long, start long, from_zero boolean, mtime_ms long, value string"
 LOOKBACK_MS = 6 * 3600 * 1000
 #: Bytes read at once when looking back for the start of a line.
@@ -37,10 +39,7 @@ class Range(InputPartition):
     mtime_ms: int
 
 
-def file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+file_system = listing.store
 
 
 def complete(piece: bytes) -> bool:
@@ -91,11 +90,8 @@ class TailReader(DataSourceStreamReader):
         self.now = options.get("now_ms")
 
     def files(self) -> dict[str, tuple[int, int]]:
-        from pyarrow import fs
-
-        store, root = file_system(self.path)
-        found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        return {f.path: (f.size, int(f.mtime_ns // 1_000_000)) for f in found if f.type == fs.FileType.File and f.path.endswith(self.suffix)}
+        found = listing.walked(iter([self.path]), listing.patterns(f"*{self.suffix}"))
+        return {f.path: (f.size, f.mtime_ns // 1_000_000) for f in found}
 
     def initialOffset(self) -> dict:
         """Empty: the first batch decides file by file (see ``latestOffset``), so that young files are read from 0."""

@@ -69,6 +69,16 @@ def test_frames(spark):
     assert rows == [[("Weekly", 12.5, 87.5, None, end)], [("Weekly", 0.0, 100.0, None, end)], [("Credits", 100.0, 0.0, None, None)], [], [], []]
 
 
+def test_bounds_beyond_the_calendar(spark):
+    """Periods that no calendar holds have no end; the rest of the response counts."""
+    docs = ['{"usedPercent": 5, "billingPeriodEnd": 1e30}', '{"usedPercent": 5, "billingPeriodEnd": 99999999999999}', '{"usedPercent": 5, "billingPeriodStart": -1e15}', '{"usedPercent": 1%s}' % ("0" * 400), '{"usage": 3, "limit": 1%s}' % ("0" * 400)]
+    rows = [[tuple(m) for m in r["m"]] for r in spark.createDataFrame([(d,) for d in docs], "t string").select(Q.grok_metrics("t").alias("m")).collect()]
+    assert rows == [[("Credits", 5.0, 95.0, None, None)]] * 3 + [[], []]
+    bodies = [frame(b"\x0d" + struct.pack("<f", 5) + stamp(5, 2**63)), frame(stamp(4, 1_700_000_000) + stamp(5, 2**62))]
+    rows = [[tuple(m) for m in r["m"]] for r in spark.createDataFrame([(b,) for b in bodies], "b binary").select(Q.grok_frame_metrics("b").alias("m")).collect()]
+    assert rows == [[("Credits", 5.0, 95.0, None, None)], [("Credits", 0.0, 100.0, None, None)]]
+
+
 SCHEMA = f"client_id string, source string, updated_at string, windows array<{Q.WINDOW}>, credits double, plan string, error string, stale boolean"
 
 
