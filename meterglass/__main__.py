@@ -1,9 +1,9 @@
 """Command line: graph, tail-sim, tail-live and profile over one home folder's logs.
 
-    python -m meterglass graph --home ~ [--year 2026] [--clients claude,codex]
+    python -m meterglass graph --home ~ [--year 2026] [--clients claude,codex] [--root grok=DIR] [--facts DIR]
     python -m meterglass tail-sim --root DIR --client claude --now-ms N [--window 600]
     python -m meterglass tail-live --root DIR --client claude [--ticks 12] [--home ~]
-    python -m meterglass profile --home ~
+    python -m meterglass profile --home ~ [--facts DIR]
 """
 
 from __future__ import annotations
@@ -32,13 +32,24 @@ def clock() -> int:
     return int(time.time() * 1000)
 
 
-def config_of(home: str, now_ms: int) -> Config:
-    return Config(home=home, now_ms=now_ms, data_home=os.environ.get("XDG_DATA_HOME"), codex_home=os.environ.get("CODEX_HOME"))
+def config_of(home: str, now_ms: int, roots: list[str] | None = None) -> Config:
+    """Where logs lie: ``client=path`` roots (several of one client are all read), then the clients' own variables, then the usual folders."""
+    env, given = os.environ.get, {}
+    for root in roots or []:
+        client, equals, path = root.partition("=")
+        if not equals or client not in (*logs.SOURCES, "codex_exports", "copilot_exporter"):
+            raise ValueError(f"not client=path: {root}")
+        given.setdefault(client, []).append(path)
+    agent = env("PI_CODING_AGENT_DIR") or (f"{env('PI_CONFIG_DIR')}/agent" if env("PI_CONFIG_DIR") else None)
+    for client, path in (("hermes", env("HERMES_HOME")), ("grok", env("GROK_HOME")), ("copilot_exporter", env("COPILOT_OTEL_FILE_EXPORTER_PATH")), ("omp", agent)):
+        if path:
+            given.setdefault(client, [path])
+    return Config(home=home, now_ms=now_ms, data_home=env("XDG_DATA_HOME"), codex_home=env("CODEX_HOME"), roots=given)
 
 
-def show_graph(spark, home: str, facts: str, clients: list[str] | None = None, year: str | None = None) -> None:
+def show_graph(spark, config: Config, facts: str, clients: list[str] | None = None, year: str | None = None) -> None:
     now = clock()
-    rows = logs.ingest(spark, config_of(home, now), facts, clients)
+    rows = logs.ingest(spark, config, facts, clients)
     stamp = spark.range(1).select(rfc3339_text(F.lit(now))).first()[0]
     doc = rollup.payload(messages.enriched(rows, year), stamp).first()["payload"]
     print(json.dumps(json.loads(doc), sort_keys=True), flush=True)
@@ -46,7 +57,8 @@ def show_graph(spark, home: str, facts: str, clients: list[str] | None = None, y
 
 def graph(args) -> None:
     spark = session("graph", args.time_zone)
-    show_graph(spark, args.home, args.facts or fresh_path(spark, "facts"), args.clients.split(",") if args.clients else None, args.year)
+    config = config_of(args.home, clock(), args.root)
+    show_graph(spark, config, args.facts or fresh_path(spark, "facts"), args.clients.split(",") if args.clients else None, args.year)
 
 
 def tail_sim(args) -> None:
@@ -93,20 +105,18 @@ def tail_live(args) -> None:
         tick()
         if args.home and (refreshed is None or time.monotonic() - refreshed >= REFRESH_S):
             refreshed = time.monotonic()
-            show_graph(spark, args.home, fresh_path(spark, "facts"))
+            show_graph(spark, config_of(args.home, clock()), f"{work}/facts")
     query.stop()
 
 
 def profile(args) -> None:
-    """Cold: logs to the payload; warm: the fact table to the payload."""
+    """Seconds from the logs to the payload: cold (all parsed, nothing kept), fill (all parsed and kept) and warm (only what changed since)."""
     spark = session("profile", args.time_zone)
-    facts, took = fresh_path(spark, "facts"), {}
-    began = time.time()
-    logs.ingest(spark, config_of(args.home, clock()), facts)
-    took["ingest_s"] = time.time() - began
-    for run in ("first_s", "again_s"):
+    config, facts, took = config_of(args.home, clock(), args.root), args.facts or fresh_path(spark, "facts"), {}
+    for run in ("cold_s", "fill_s", "warm_s"):
         began = time.time()
-        rollup.payload(messages.enriched(spark.read.parquet(facts)), "").first()
+        rows = logs.collect(spark, config) if run == "cold_s" else logs.ingest(spark, config, facts)
+        rollup.payload(messages.enriched(rows), "").first()
         took[run] = time.time() - began
     print(json.dumps({k: round(v, 3) for k, v in took.items()}))
 
@@ -119,7 +129,8 @@ def main(argv: list[str] | None = None) -> int:
     g.add_argument("--home", default=str(Path.home()))
     g.add_argument("--year")
     g.add_argument("--clients")
-    g.add_argument("--facts", help="folder for the fact table, shared on a cluster")
+    g.add_argument("--facts", help="folder for the fact table, shared on a cluster; a later run with the same one parses what changed")
+    g.add_argument("--root", action="append", help="client=folder, in place of its usual ones; may be repeated")
     t = sub.add_parser("tail-sim")
     t.add_argument("--root", required=True)
     t.add_argument("--client", choices=("claude", "codex", "grok", "omp"), required=True)
@@ -135,6 +146,8 @@ def main(argv: list[str] | None = None) -> int:
     n.add_argument("--work")
     f = sub.add_parser("profile")
     f.add_argument("--home", default=str(Path.home()))
+    f.add_argument("--facts")
+    f.add_argument("--root", action="append")
     args = p.parse_args(argv)
     try:
         {"graph": graph, "tail-sim": tail_sim, "tail-live": tail_live, "profile": profile}[args.command](args)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
 import tempfile
+from collections.abc import Callable
 from contextlib import closing
 from pathlib import Path
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import trace
 from ..session import fresh_path
-from ..sources import logs
+from ..sources import ingest, listing, logs
 from ..streaming import live, tail
 from .adapters import EXPECTED_SQL, MESSAGES_SQL, usage_messages
 from .registry import SQL, query
@@ -26,8 +28,9 @@ def iso() -> Column:
     return F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def written(rows: DataFrame, value: Column, by: str | None = None, name: str = "{}.jsonl") -> str:
+def written(rows: DataFrame, value: Column, by: str | None = None, name: str | Callable[[str], str] = "{}.jsonl") -> str:
     """A fresh shared folder of files with a line a row, in the order of ``ord``; with ``by`` a file, of that name, for each of its values."""
+    named = name if callable(name) else name.format
     spark = rows.sparkSession
     path = fresh_path(spark, "logs")
     lines = rows.select("user_id", "ord", value.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "ord")
@@ -40,7 +43,7 @@ def written(rows: DataFrame, value: Column, by: str | None = None, name: str = "
         found.append(files.next().getPath())
     for file in found:  # a few files: Spark's writer always ends them in .txt
         if file.getName().endswith(".txt"):
-            to = hadoop(path, name.format(file.getParent().getName().partition("=")[2] if by else file.getName().removesuffix(".txt")))
+            to = hadoop(path, named(file.getParent().getName().partition("=")[2] if by else file.getName().removesuffix(".txt")))
             store.mkdirs(to.getParent())
             store.rename(file, to)
     return path
@@ -275,6 +278,49 @@ def grok_logs(spark, sf_dir):
     return read(spark, "grok", moved(spark, grok_lines(spark, sf_dir)))
 
 
+# --- listing and increments -----------------------------------------------------------------------
+
+
+def claude_line(rows: DataFrame) -> Column:
+    use = F.struct(F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_read").alias("cache_read_input_tokens"), F.col("cache_write").alias("cache_creation_input_tokens"))
+    message = F.struct(F.concat(F.lit("m"), F.col("ord").cast("string")).alias("id"), F.col("model_id").alias("model"), use.alias("usage"))
+    return json_line(type=F.lit("assistant"), timestamp=iso(), requestId=F.lit("r"), message=message)
+
+
+CLAUDE_SQL = f"""SELECT model_id, 'anthropic' AS provider_id, timestamp_ms, date, input, output, cache_read, cache_write, {ZERO} AS reasoning, 'claude:m' || ord || ':r' AS dedup_key"""
+
+
+@query(f"WITH {MESSAGES_SQL} {CLAUDE_SQL} FROM u WHERE input + output + cache_read + cache_write > 0")
+def hidden_and_linked_logs(spark, sf_dir):
+    """A file a user, in names and folders that begin with a dot or an underscore; a link to a folder of other logs is not followed."""
+    rows = usage_messages(spark, sf_dir)
+    shapes = ("p/{}.jsonl", "p/_{}.jsonl", "_q/r/.{}.jsonl", ".h/{}.jsonl")
+    path = written(rows, claude_line(rows), "user_id", lambda user: shapes[int(user) % 4].format(user))
+    if (at := listing.local(path)) is not None:
+        other = written(rows.limit(50).withColumn("ord", -F.col("ord") - 1), claude_line(rows))
+        os.symlink(listing.local(other), f"{at}/p/linked")
+    return read(spark, "claude", path)
+
+
+@query(f"""WITH {MESSAGES_SQL}, f AS (SELECT *, CASE WHEN user_id % 5 = 0 THEN 'b00000002' ELSE 'b00000001' END AS batch FROM u WHERE user_id % 5 <> 1 AND (user_id % 5 = 0 OR ord % 3 > 0))
+{CLAUDE_SQL}, batch FROM f WHERE input + output + cache_read + cache_write > 0""")
+def incremental_ingest(spark, sf_dir):
+    """Logs in two states: a fifth of the users' files grow, a fifth vanish; messages of all others stay from the first batch."""
+    rows = usage_messages(spark, sf_dir)
+    path, facts = written(rows.filter("ord % 3 > 0"), claude_line(rows), "user_id"), ingest.Facts(spark, fresh_path(spark, "facts"))
+    config = logs.Config(home=path, roots={"claude": [path]})
+    facts.update(config, ["claude"])
+    grown = written(rows.filter("user_id % 5 = 0"), claude_line(rows), "user_id")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in rows.select("user_id").distinct().filter("user_id % 5 < 2").collect():  # a user a file
+        store.delete(hadoop(path, f"{r.user_id}.jsonl"), False)
+        if r.user_id % 5 == 0:
+            store.rename(hadoop(grown, f"{r.user_id}.jsonl"), hadoop(path, f"{r.user_id}.jsonl"))
+    facts.update(config, ["claude"])
+    return facts.read(["claude"], keep=("batch",)).select(*SHOWN, "batch")
+
+
 # --- the same logs as streams --------------------------------------------------------------------
 
 LIVE = ("ts_ms", "client", "agent", "model", "input", "output", "cache_read", "cache_write")

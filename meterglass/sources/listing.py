@@ -67,6 +67,10 @@ def entries(folder: str) -> Iterator[Entry]:
         return
     try:
         found = os.scandir(at)
+    except NotADirectoryError:  # a root may be a file
+        stat = os.stat(at)
+        yield Entry(at, False, stat.st_size, stat.st_mtime_ns)
+        return
     except OSError:
         return
     with found:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from ..functions import time as times
 from ..operators import stateful
 from ..operators.messages import total_tokens
 from . import sqlite
-from .files import Config, children, documents, existing, folder, lines, messages, numbered, parent, parsed, stem
+from .files import Config, children, documents, existing, folder, lines, messages, numbered, parent, parsed, path_key, stem
 
 V = "v"
 
@@ -40,9 +43,12 @@ def prefixed(prefix: str, *parts: Column) -> Column:
     return F.concat(*out)
 
 
+def claude_roots(spark: SparkSession, config: Config) -> list[str]:
+    return config.of("claude", f"{config.home}/.claude/projects", f"{config.home}/.claude/transcripts")
+
+
 def claude(spark: SparkSession, config: Config) -> DataFrame:
-    roots = config.of("claude", f"{config.home}/.claude/projects", f"{config.home}/.claude/transcripts")
-    rows = parsed(lines(spark, roots, "*.{jsonl,json}", config.stop_at_bad_line, config.only))
+    rows = parsed(lines(spark, claude_roots(spark, config), "*.{jsonl,json}", config.stop_at_bad_line, config.only))
     rows = rows.filter((J.raw_string(at("$.type")) == "assistant") & at("$.message.usage").isNotNull() & text("$.message.model").isNotNull())
     use = "$.message.usage."
     made = messages(
@@ -77,17 +83,20 @@ def codex_events(rows: DataFrame) -> DataFrame:
     ).filter("type IS NOT NULL")
 
 
-def codex(spark: SparkSession, config: Config) -> DataFrame:
+def codex_roots(spark: SparkSession, config: Config) -> list[str]:
     # a launcher that redirects the home keeps one for each of its runtimes
     redirected = [h for d in (f"{config.home}/Library/Application Support", config.data) for h in children(spark, f"{d}/orca/codex-runtime-home")]
     homes = config.of("codex", config.codex_home or f"{config.home}/.codex", *redirected)
-    roots = [f"{h}/{d}" for h in homes for d in ("sessions", "archived_sessions")] + config.of("codex_exports")
-    events = codex_events(parsed(lines(spark, roots, "*.jsonl", config.stop_at_bad_line, config.only)))
-    # the fold carries one number a line; the order's other parts come back by file
-    ranked = events.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("block", "pos")).cast("long"))
-    files = ranked.select("file", "root_ord", "path_key").distinct()
-    folded = stateful.counter_deltas(ranked.select("file", "ord", "type", "model", "provider", "forked", "timestamp_ms", "total", "last", "reported")).join(files, "file")
-    folded = folded.withColumns({"block": F.lit(0).cast("long"), "pos": F.col("ord")})
+    return [f"{h}/{d}" for h in homes for d in ("sessions", "archived_sessions")] + config.of("codex_exports")
+
+
+def codex(spark: SparkSession, config: Config) -> DataFrame:
+    events = codex_events(parsed(lines(spark, codex_roots(spark, config), "*.jsonl", config.stop_at_bad_line, config.only)))
+    # the fold is told a file's place among the roots by its key, and a line's place in the file by one number: its offset
+    keyed = events.withColumns({"file": F.concat(F.lpad(F.col("root_ord").cast("string"), 9, "0"), F.col("file")), "ord": F.col("pos")})
+    folded = stateful.counter_deltas(keyed.select("file", "ord", "type", "model", "provider", "forked", "timestamp_ms", "total", "last", "reported"))
+    name = F.substring("file", 10, 1 << 30)
+    folded = folded.withColumns({"root_ord": F.substring("file", 1, 9).cast("int"), "path_key": path_key(name), "block": F.lit(0).cast("long"), "pos": F.col("ord")})
     key = prefixed("codex", *[F.col(c) for c in ("timestamp_ms", "model_key", "input", "output", "cache_read")])
     return messages(
         folded.withColumn("model_key", models.normalize_model(F.col("model"))), "codex", model=F.col("model"), provider=F.col("provider"), ts=F.col("timestamp_ms"),
@@ -114,9 +123,13 @@ def parse_cost(field: Column) -> Column:
     return F.when(F.lower(plain).isin("", "nan", "included", "-"), F.lit(0.0)).otherwise(F.coalesce(plain.try_cast("double"), F.lit(0.0)))
 
 
+def cursor_roots(spark: SparkSession, config: Config) -> list[str]:
+    return config.of("cursor", f"{config.home}/.config/cursor-cache")
+
+
 def cursor_json(spark: SparkSession, config: Config, name: str = "events.json") -> DataFrame:
     """Strict: one malformed event fails its document."""
-    rows = parsed(documents(spark, config.of("cursor", f"{config.home}/.config/cursor-cache"), name, config.only))
+    rows = parsed(documents(spark, cursor_roots(spark, config), name, config.only))
     events = F.try_variant_get(V, "$.events", "array<variant>")
     whole = ("timestamp_ms", "input_tokens", "output_tokens", "cache_read_tokens")
 
@@ -153,7 +166,7 @@ CSV_LAYOUTS = {"wide": (4, 6, 7, 8, 9, 11), "kind": (2, 4, 5, 6, 7, 9), "plain":
 
 
 def cursor_csv(spark: SparkSession, config: Config) -> DataFrame:
-    rows = documents(spark, config.of("cursor", f"{config.home}/.config/cursor-cache"), "{usage.csv,usage.*.csv}", config.only)
+    rows = documents(spark, cursor_roots(spark, config), "{usage.csv,usage.*.csv}", config.only)
     every = F.transform(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n", -1), split_csv)
     head = F.element_at("fields", 1)
     has_kind = F.exists(head, lambda f: F.regexp_replace(f, '^"+|"+$', "") == "Kind")
@@ -198,8 +211,12 @@ def opencode_rows(rows: DataFrame, now_ms: int, fallback_key: Column) -> DataFra
     )
 
 
+def opencode_roots(spark: SparkSession, config: Config) -> list[str]:
+    return config.of("opencode", f"{config.data}/opencode")
+
+
 def opencode(spark: SparkSession, config: Config) -> DataFrame:
-    roots = config.of("opencode", f"{config.data}/opencode")
+    roots = opencode_roots(spark, config)
     stored = sqlite.opencode_messages(spark, roots, config.only).withColumn("v", J.parse(F.col("data"))).filter("v IS NOT NULL")
     key = F.when((F.col("id") == "unknown") & (F.col("session_id") != ""), F.col("session_id")).otherwise(F.col("id"))
     from_db = opencode_rows(stored, config.now_ms, key)
@@ -302,8 +319,12 @@ def gemini_documents(spark: SparkSession, roots: list[str], only: DataFrame | No
     return made.unionByName(gemini_entries(rest))
 
 
+def gemini_roots(spark: SparkSession, config: Config) -> list[str]:
+    return config.of("gemini", f"{config.home}/.gemini/tmp")
+
+
 def gemini(spark: SparkSession, config: Config) -> DataFrame:
-    roots = config.of("gemini", f"{config.home}/.gemini/tmp")
+    roots = gemini_roots(spark, config)
     return gemini_lines(spark, roots, config.stop_at_bad_line, config.only).unionByName(gemini_documents(spark, roots, config.only))
 
 
@@ -325,9 +346,13 @@ def copilot_ts(v: Column) -> Column:
     return out.otherwise(F.coalesce(times.first_timestamp(v, "$.timestamp", "$.observedTimestamp"), F.when(unix > 0, F.call_function("div", unix, F.lit(1_000_000)))))
 
 
+def copilot_roots(spark: SparkSession, config: Config) -> list[str]:
+    """The usual folder, and the file or folder that an exporter is told to write."""
+    return config.of("copilot", f"{config.home}/.copilot/otel") + config.of("copilot_exporter")
+
+
 def copilot(spark: SparkSession, config: Config) -> DataFrame:
-    roots = config.of("copilot", f"{config.home}/.copilot/otel")
-    rows = parsed(numbered(lines(spark, roots, "*.jsonl", config.stop_at_bad_line, config.only))).filter(at("$.attributes").isNotNull())
+    rows = parsed(numbered(lines(spark, copilot_roots(spark, config), "*.jsonl", config.stop_at_bad_line, config.only))).filter(at("$.attributes").isNotNull())
     zero = F.lit(0).cast("long")
     n = lambda *names: F.coalesce(J.first_i64(F.col(V), *attribute(*names)), zero)
     s = lambda *names: J.first_string(F.col(V), *attribute(*names))
@@ -345,9 +370,13 @@ def copilot(spark: SparkSession, config: Config) -> DataFrame:
     return positive(made)
 
 
+def amp_roots(spark: SparkSession, config: Config) -> list[str]:
+    return config.of("amp", f"{config.data}/amp/threads")
+
+
 def amp(spark: SparkSession, config: Config) -> DataFrame:
     """A thread's ledger if it gives any message, else its assistant messages."""
-    rows = parsed(documents(spark, config.of("amp", f"{config.data}/amp/threads"), "T-*.json", config.only))
+    rows = parsed(documents(spark, amp_roots(spark, config), "T-*.json", config.only))
     rows = rows.withColumns({"created": F.coalesce(J.i64_value(at("$.created")), F.col("mtime_ms")), "thread": F.coalesce(text("$.id"), stem(F.col("file")))})
     has_model = lambda e: J.string_value(J.node(e, "$.model")).isNotNull()
     rows = rows.withColumn("events", F.try_variant_get(V, "$.usageLedger.events", "array<variant>"))
@@ -370,8 +399,12 @@ def amp(spark: SparkSession, config: Config) -> DataFrame:
     ))
 
 
+def droid_roots(spark: SparkSession, config: Config) -> list[str]:
+    return config.of("droid", f"{config.home}/.factory/sessions")
+
+
 def droid(spark: SparkSession, config: Config) -> DataFrame:
-    rows = parsed(documents(spark, config.of("droid", f"{config.home}/.factory/sessions"), "*.settings.json", config.only)).filter(at("$.tokenUsage").isNotNull())
+    rows = parsed(documents(spark, droid_roots(spark, config), "*.settings.json", config.only)).filter(at("$.tokenUsage").isNotNull())
     provider = F.coalesce(text("$.providerLock"), models.infer_provider(text("$.model")), F.lit("unknown"))
     provider = F.when(text("$.providerLock").isNull() & text("$.model").isNull(), F.lit("unknown")).otherwise(provider)
     model = F.coalesce(models.normalize_settings_model(text("$.model")), models.default_model(provider))
@@ -386,8 +419,12 @@ def droid(spark: SparkSession, config: Config) -> DataFrame:
 # --- Hermes, Grok, Omp ---------------------------------------------------------------------------
 
 
+def hermes_roots(spark: SparkSession, config: Config) -> list[str]:
+    return config.of("hermes", f"{config.home}/.hermes")
+
+
 def hermes(spark: SparkSession, config: Config) -> DataFrame:
-    rows = sqlite.hermes_sessions(spark, config.of("hermes", f"{config.home}/.hermes"), config.only)
+    rows = sqlite.hermes_sessions(spark, hermes_roots(spark, config), config.only)
     ts = F.coalesce(times.normalize_epoch_ms_double(F.col("started_at")), times.normalize_epoch_ms_double(F.col("ended_at")), F.col("mtime_ms"))
     cost = F.when(F.col("actual_cost_usd") > 0, F.col("actual_cost_usd")).when(F.col("estimated_cost_usd") > 0, F.col("estimated_cost_usd")).otherwise(0.0)
     n = lambda c: F.greatest(F.col(c), F.lit(0))
@@ -403,8 +440,12 @@ GROK_TOTAL = ("$.params._meta.totalTokens", "$.params.update._meta.totalTokens",
 GROK_TIME = ("$.params._meta.agentTimestampMs", "$.params.update._meta.agentTimestampMs", "$.params.timestamp", "$.timestamp", "$.ts")
 
 
+def grok_roots(spark: SparkSession, config: Config) -> list[str]:
+    return [f"{h}/sessions" for h in config.of("grok", f"{config.home}/.grok")]
+
+
 def grok(spark: SparkSession, config: Config) -> DataFrame:
-    roots = [f"{h}/sessions" for h in config.of("grok", f"{config.home}/.grok")]
+    roots = grok_roots(spark, config)
     rows = parsed(lines(spark, roots, "updates.jsonl", config.stop_at_bad_line, config.only)).withColumn("dir", parent(F.col("file")))
     beside = lambda name: parsed(documents(spark, roots, name, config.only)).withColumn("dir", parent(F.col("file")))
     summary = beside("summary.json").select("dir", J.first_string(F.col(V), "$.current_model_id", "$.model_id").alias("s_model"), times.first_timestamp(F.col(V), "$.updated_at", "$.created_at", "$.last_active_at").alias("s_ms"))
@@ -438,8 +479,12 @@ def grok(spark: SparkSession, config: Config) -> DataFrame:
     return messages(every, "grok", model=F.col("model"), provider=F.lit("xai"), ts=F.col("timestamp_ms"), input=F.col("delta"), output=F.lit(0), key=key)
 
 
+def omp_roots(spark: SparkSession, config: Config) -> list[str]:
+    return [f"{h}/sessions" for h in config.of("omp", f"{config.home}/.omp/agent")]
+
+
 def omp(spark: SparkSession, config: Config) -> DataFrame:
-    roots = [f"{h}/sessions" for h in config.of("omp", f"{config.home}/.omp/agent")]
+    roots = omp_roots(spark, config)
     rows = parsed(lines(spark, roots, "*.jsonl", config.stop_at_bad_line, config.only))
     rows = rows.filter((J.raw_string(at("$.type")) == "message") & (J.raw_string(at("$.message.role")) == "assistant") & at("$.message.usage").isNotNull())
     bucket = folder(F.col("file"), 1)
@@ -470,21 +515,39 @@ def collect(spark: SparkSession, config: Config, clients: list[str] | None = Non
     return out
 
 
+@dataclass(frozen=True)
+class Reads:
+    """What a source reads: names under its roots, and the unit whose files are only meaningful together."""
+
+    roots: Callable[[SparkSession, Config], list[str]]
+    globs: tuple[str, ...]
+    unit: Callable[[Column], Column] = lambda file: file
+    recursive: bool = True
+
+
+#: A database and its write-ahead log, a session's folder, a cache's files are units; elsewhere each file is.
+READS = {
+    "claude": Reads(claude_roots, ("*.{jsonl,json}",)),
+    "codex": Reads(codex_roots, ("*.jsonl",)),
+    "cursor": Reads(cursor_roots, ("events.json", "{usage.csv,usage.*.csv}"), lambda file: F.lit("cache")),
+    "opencode": Reads(opencode_roots, ("{opencode.db,opencode-*.db,opencode.db-wal,opencode-*.db-wal}", "*.json"), lambda file: F.regexp_replace(file, "-wal$", "")),
+    "gemini": Reads(gemini_roots, ("*.{jsonl,json}",)),
+    "copilot": Reads(copilot_roots, ("*.jsonl",)),
+    "amp": Reads(amp_roots, ("T-*.json",)),
+    "droid": Reads(droid_roots, ("*.settings.json",)),
+    "hermes": Reads(hermes_roots, ("{state.db,state.db-wal}",), lambda file: F.regexp_replace(file, "-wal$", ""), recursive=False),
+    "grok": Reads(grok_roots, ("{updates.jsonl,events.jsonl,summary.json,signals.json}",), parent),
+    "omp": Reads(omp_roots, ("*.jsonl",)),
+}
+
+
 def ingest(spark: SparkSession, config: Config, path: str, clients: list[str] | None = None) -> DataFrame:
-    """Parses each client's logs once into a table at ``path``, a folder a client, and reads it back.
+    """The messages of the chosen clients through a table at ``path``; a later call reads only what changed (see ``ingest.Facts``)."""
+    from .ingest import Facts
 
-    Rollups read the fact table several times; parsing belongs before it. Reading a year or a
-    client later prunes to what was asked for.
-    """
-    columns = None
-    for name, source in SOURCES.items():
-        if clients is None or name in clients:
-            rows = source(spark, config)
-            columns = rows.columns
-            rows.drop("client").write.mode("overwrite").parquet(f"{path}/client={name}")
-    if columns is None:
-        raise ValueError(f"no such clients: {clients}")
-    return spark.read.parquet(path).select(*columns)
+    facts = Facts(spark, path)
+    facts.update(config, clients)
+    return facts.read(clients)
 
 
-__all__ = ["SOURCES", "Config", "collect", "existing", "ingest"]
+__all__ = ["READS", "SOURCES", "Config", "collect", "existing", "ingest"]
