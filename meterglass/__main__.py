@@ -65,12 +65,10 @@ def tail_sim(args) -> None:
     """One cold tick with a pinned clock: events and trace in a fixed order."""
     spark = session("tail-sim", args.time_zone)
     work = args.work or fresh_path(spark, "tail")
-    table = live.HourTable(spark, f"{work}/hour")
-    events = live.live_events(spark, args.client, args.root, args.now_ms)
-    query = events.writeStream.foreachBatch(table.sink(lambda: args.now_ms)).option("checkpointLocation", f"{work}/checkpoint").start()
+    query = live.follow(live.live_events(spark, args.client, args.root, args.now_ms), f"{work}/checkpoint", args.now_ms)
     query.processAllAvailable()
     query.stop()
-    rows = table.read()
+    rows = trace.retained(live.hour(spark, f"{work}/checkpoint"), args.now_ms)
     order = ["ts_ms", "client", "agent", "model", "input", "output", "cache_read", "cache_write"]
     found = {
         "events": [r.asDict() for r in rows.select(*order).orderBy(*order).collect()],
@@ -84,12 +82,10 @@ def tail_live(args) -> None:
     """A tick every ``TICK_S`` seconds: rates and trace are printed when they change, the graph of ``--home`` every ``REFRESH_S``."""
     spark = session("tail-live", args.time_zone)
     work = args.work or fresh_path(spark, "tail")
-    table = live.HourTable(spark, f"{work}/hour")
-    events = live.live_events(spark, args.client, args.root)
-    query = events.writeStream.trigger(processingTime=f"{TICK_S} seconds").foreachBatch(table.sink(clock)).option("checkpointLocation", f"{work}/checkpoint").start()
+    query = live.follow(live.live_events(spark, args.client, args.root), f"{work}/checkpoint", processingTime=f"{TICK_S} seconds")
 
     def view():
-        now, rows = clock(), table.read()
+        now, rows = clock(), live.hour(spark, f"{work}/checkpoint")
         shown = trace.sorted_trace(trace.trace(rows, now, args.window)).select(F.to_json(F.struct("*")).alias("row"))
         per_min = [F.lit(trace.rate(rows, now, s).first()[0]).alias(f"per_min_{s}") for s in (trace.SHORT_WINDOW_S, args.window)]
         return spark.range(1).select(*per_min, F.lit([r["row"] for r in shown.collect()] or None).alias("trace"))  # a trace: a few rows

@@ -51,6 +51,30 @@ def rate(events: DataFrame, now_ms: int, seconds: int = SHORT_WINDOW_S) -> DataF
     return window_tokens(events, now_ms, seconds).select((F.col("tokens") / F.lit(seconds / 60)).cast("float").alias("tokens_per_min"))
 
 
+#: Seconds of a pane.
+PANE_S = 5
+
+
+def panes(events: DataFrame) -> DataFrame:
+    """tokens and messages of each client, agent, model and pane of ``PANE_S`` seconds, numbered from the epoch."""
+    pane = F.floor(F.col("ts_ms") / (PANE_S * 1000)).cast("long")
+    return events.groupBy(pane.alias("pane"), "client", "agent", "model").agg(long_sum(event_tokens()).alias("tokens"), F.count(F.lit(1)).alias("messages"))
+
+
+def sliding(sums: DataFrame, seconds: int = LONG_WINDOW_S) -> DataFrame:
+    """pane, tokens, messages and tokens_per_min of every window of ``seconds`` that ends with a pane, wherever a window's sum changes.
+
+    A pane's sums enter at the pane and leave a window later, so a window is a difference of running
+    sums: two rows a pane are shuffled, however long the window is.
+    """
+    n, keys = seconds // PANE_S, ("client", "agent", "model")
+    steps = F.array(F.struct(F.col("pane").alias("pane"), F.lit(1).alias("sign")), F.struct((F.col("pane") + n).alias("pane"), F.lit(-1).alias("sign")))
+    moves = sums.select(*keys, "tokens", "messages", F.explode(steps).alias("m")).groupBy(*keys, F.col("m.pane").alias("pane")).agg(*[F.sum(F.col(c) * F.col("m.sign")).alias(c) for c in ("tokens", "messages")])
+    upto = Window.partitionBy(*keys).orderBy("pane").rowsBetween(Window.unboundedPreceding, 0)
+    found = moves.select(*keys, "pane", *[F.sum(c).over(upto).alias(c) for c in ("tokens", "messages")])
+    return found.withColumn("tokens_per_min", (F.col("tokens") / F.lit(seconds / 60)).cast("float"))
+
+
 def trace(events: DataFrame, now_ms: int, seconds: int = LONG_WINDOW_S) -> DataFrame:
     """A row for each client, agent and model: tokens, messages, tokens a minute."""
     minutes = max(seconds / 60, 1 / 60)

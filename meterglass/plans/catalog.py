@@ -206,6 +206,14 @@ def rate_in_window(spark, sf_dir):
     return trace.rate(e, NOW_MS, TRACE_S).select(F.round(F.col("tokens_per_min").cast("double"), 2).alias("tokens_per_min")).crossJoin(trace.window_tokens(e, NOW_MS, TRACE_S))
 
 
+@query(f"""WITH {EVENTS_SQL}, e AS (SELECT client, agent, model, ts_ms // 5000 AS pane, input + output + cache_read + cache_write AS t FROM ev), m AS (SELECT DISTINCT client, agent, model, unnest([pane, pane + 120]) AS pane FROM e)
+SELECT client, agent, model, m.pane, CAST(coalesce(sum(t), 0) AS BIGINT) AS tokens, count(t) AS messages FROM m LEFT JOIN e USING (client, agent, model) WHERE e.pane <= m.pane AND e.pane > m.pane - 120 OR e.pane IS NULL GROUP BY ALL
+UNION ALL SELECT client, agent, model, m.pane, CAST(0 AS BIGINT), 0 FROM m WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.client = m.client AND e.agent = m.agent AND e.model = m.model AND e.pane <= m.pane AND e.pane > m.pane - 120)""")
+def sliding_rates(spark, sf_dir):
+    """Every ten-minute window that ends with a pane at which its sum may change."""
+    return trace.sliding(trace.panes(usage_events(spark, sf_dir)), 600).drop("tokens_per_min")
+
+
 @query(f"{COLLAPSE_SQL} SELECT DISTINCT client FROM co WHERE tokens_per_min > 0")
 def live_clients(spark, sf_dir):
     return trace.live_clients(trace.trace(usage_events(spark, sf_dir), NOW_MS, TRACE_S))

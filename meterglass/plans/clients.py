@@ -373,3 +373,20 @@ SELECT timestamp_ms AS ts_ms, 'grok' AS client, 'main' AS agent, {LIVE_SQL.forma
 def grok_stream(spark, sf_dir):
     """A file a user; the model and the high-water mark are state between lines."""
     return streamed(spark, "grok", grok_lines(spark, sf_dir)).select(*LIVE)
+
+
+@query(f"""WITH {MESSAGES_SQL}, k AS (SELECT *, ord % 7200 AS n FROM u), e AS (SELECT n, 1700000000000 + n * 1000 AS ts_ms, max(k % 1000 + 1) AS input FROM k GROUP BY n)
+SELECT ts_ms, 'claude-code' AS client, 'main' AS agent, 'm' || (n % 3) AS model, CAST(input AS BIGINT) AS input, 'claude:i' || n || ':r' AS key FROM e WHERE ts_ms >= (SELECT max(ts_ms) FROM e) - 3600000""")
+def live_last_hour(spark, sf_dir):
+    """Logs that come in three batches, the query restarted for each: repeats merge across batches, what is past an hour has left the state."""
+    rows, path = usage_messages(spark, sf_dir).withColumn("n", F.col("ord") % 7200), fresh_path(spark, "logs")
+    message = F.struct(F.concat(F.lit("i"), F.col("n").cast("string")).alias("id"), F.concat(F.lit("m"), (F.col("n") % 3).cast("string")).alias("model"), F.struct((F.col("k") % 1000 + 1).alias("input_tokens")).alias("usage"))
+    at = F.date_format(F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("n") * 1000), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    line = json_line(type=F.lit("assistant"), timestamp=at, requestId=F.lit("r"), message=message)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(hadoop(path))
+    for part in range(3):
+        store.rename(hadoop(written(rows.filter(F.pmod("ord", F.lit(3)) == part), line)), hadoop(path, str(part)))
+        live.follow(live.live_events(spark, "claude", path, 1_700_010_000_000, lookback_ms=1 << 50), f"{path}-checkpoint", 1_700_010_000_000, availableNow=True).awaitTermination()
+    return live.hour(spark, f"{path}-checkpoint").select("ts_ms", "client", "agent", "model", "input", "key")

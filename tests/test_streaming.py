@@ -31,16 +31,15 @@ def test_every_line_once_however_it_is_cut(lines, cuts, ended):
 
 
 class Stream:
-    """A client's stream into an hour table, batch by batch."""
+    """A client's stream into the state of the last hour, batch by batch."""
 
     def __init__(self, spark, client, root, tmp, **options):
-        self.table = live.HourTable(spark, str(tmp / f"hour-{client}"))
-        events = live.live_events(spark, client, str(root), NOW, **options)
-        self.query = events.writeStream.foreachBatch(self.table.sink(lambda: NOW)).option("checkpointLocation", str(tmp / f"ck-{client}")).start()
+        self.spark, self.checkpoint = spark, str(tmp / f"ck-{client}")
+        self.query = live.follow(live.live_events(spark, client, str(root), NOW, **options), self.checkpoint, NOW)
 
     def tick(self):
         self.query.processAllAvailable()
-        return [tuple(r) for r in self.table.read().select("agent", "model", trace.event_tokens(), "ts_ms").orderBy("ord").collect()]
+        return [tuple(r) for r in trace.retained(live.hour(self.spark, self.checkpoint), NOW).select("agent", "model", trace.event_tokens(), "ts_ms").orderBy("ord").collect()]
 
 
 @pytest.fixture
@@ -83,7 +82,7 @@ def test_claude_growth_partial_lines_merge_and_shrink(stream, tmp_path):
     add(log, "", said("m1", 50))
     assert [r[2] for r in s.tick()] == [60, 11]  # a repeat raises the first event's fields
     add(log, said("m9", 1), mode="w")
-    assert [r[2] for r in s.tick()] == [60, 11, 11]
+    assert sorted(r[2] for r in s.tick()) == [11, 11, 60]
 
 
 def test_cold_files_wait_for_growth(stream, tmp_path):
@@ -124,14 +123,25 @@ def test_omp_and_expiry(stream, tmp_path):
     assert stream("omp").tick() == [("subagent:Task", "m", 7, NOW - 5000)]
 
 
-def test_batch_runs_again(spark, tmp_path):
-    table = live.HourTable(spark, str(tmp_path / "t"))
-    e = spark.createDataFrame([(NOW, "c", "main", "m", 1, 0, 0, 0, None, "a")], live.EVENT)
-    table.apply(e, 0, NOW)
-    table.apply(e, 0, NOW)
-    assert table.read().count() == 1
-    table.apply(e.limit(0), 1, NOW + 3_600_001)
-    assert table.read().count() == 0
+def event(ts, n, key=None, ord_="a"):
+    return (ts, "c", "main", "m", n, 0, 0, 0, key, ord_)
+
+
+def test_the_hour_is_merged_and_ends_across_batches_and_restarts(spark, tmp_path):
+    src, checkpoint = tmp_path / "in", str(tmp_path / "ck")
+
+    def tick(*rows):
+        spark.createDataFrame(rows, live.EVENT).coalesce(1).write.mode("append").parquet(str(src))
+        live.follow(spark.readStream.schema(live.EVENT).parquet(str(src)), checkpoint, NOW, availableNow=True).awaitTermination()  # each tick a restart
+        return sorted((r.key, r.ord, r.ts_ms - NOW, r.input) for r in live.hour(spark, checkpoint).collect() if r.key is not None) + sorted((r.ord, r.ts_ms - NOW, r.input) for r in live.hour(spark, checkpoint).collect() if r.key is None)
+
+    assert live.hour(spark, checkpoint).count() == 0
+    assert tick(event(NOW - 7_000_000, 1, "k1", "a"), event(NOW - 6_000_000, 5, "k2", "b"), event(NOW - 6_000_000, 7, None, "c"), event(NOW - 5_000_000, 2, "k2", "d")) == [("k1", "a", -7_000_000, 1), ("k2", "b", -6_000_000, 5), ("c", -6_000_000, 7)]
+    # a repeat raises its first event's tokens; the watermark, an hour behind, ends k1
+    assert tick(event(NOW - 5_000_000, 9, "k2", "e"), event(NOW - 3_000_000, 4, None, "f")) == [("k2", "b", -6_000_000, 9), ("c", -6_000_000, 7), ("f", -3_000_000, 4)]
+    # an event that claims to be of tomorrow moves the watermark to now only
+    assert tick(event(NOW + 86_400_000, 3, "k3", "g"), event(NOW, 1, None, "h")) == [("k3", "g", 86_400_000, 3), ("f", -3_000_000, 4), ("h", 0, 1)]
+    assert tick(event(NOW - 6_000_000, 1, "late", "i")) == [("k3", "g", 86_400_000, 3), ("f", -3_000_000, 4), ("h", 0, 1)]
 
 
 def test_publish_on_change(spark):
@@ -179,10 +189,21 @@ def test_counters_and_models_go_on_after_a_file_shrank(stream, tmp_path):
     assert [r[2] for r in s.tick()] == [100, 30, 10, 15]  # in the order of their lives
 
 
-def test_windowed_rates(spark, tmp_path):
-    schema = live.EVENT
-    spark.createDataFrame([(NOW, "c", "main", "m", 600, 0, 0, 0, None, "a"), (NOW + 1000, "c", "main", "m", 400, 0, 0, 0, None, "b")], schema).write.parquet(str(tmp_path / "in"))
-    out = live.windowed_rates(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "10 minutes", "10 minutes")
-    q = out.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r["tokens"], r["messages"], r["tokens_per_min"]) for r in spark.table("rates").collect()] == [(1000, 2, 100.0)]
+def test_panes_and_windows(spark, tmp_path):
+    """Every window against the events in it; the stream's panes are the batch's."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(NOW + rng.randint(0, 2_000_000), rng.choice("cd"), "main", rng.choice("mn"), rng.randint(1, 9), 0, 0, 0, None, str(i)) for i in range(300)]
+    events = spark.createDataFrame(rows, live.EVENT)
+    sums = trace.panes(events)
+    events.write.parquet(str(tmp_path / "in"))
+    query = live.pane_sums(spark.readStream.schema(live.EVENT).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("panes").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    columns = ["pane", "client", "agent", "model", "tokens", "messages"]
+    assert sorted(map(tuple, spark.table("panes").select(*columns).collect())) == sorted(map(tuple, sums.select(*columns).collect()))
+    for seconds in (60, 600):
+        for r in trace.sliding(sums, seconds).collect():
+            end = (r.pane + 1) * 5000
+            own = [x[4] for x in rows if (x[1], x[3]) == (r.client, r.model) and end - seconds * 1000 <= x[0] < end]
+            assert (r.tokens, r.messages) == (sum(own), len(own)) and abs(r.tokens_per_min - sum(own) * 60 / seconds) < 1e-3
