@@ -17,8 +17,8 @@ as its span; its text is found by the probes in the whole output and read back f
 its role is taken from the input. A text that the template doesn't show has no place and no loss.
 
 Defined results: null role or text counts as empty; turns are ordered by turn (nulls first),
-then role, then text; repeated rows are turns of their own; a null conv_id is a conversation of
-its own; an empty table gives an empty result; other columns are ignored.
+then role, then text; repeated rows are turns of their own; each row with a null conv_id is a
+conversation of one turn; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,16 +92,18 @@ def format_conversations(rows: DataFrame, render: Callable = chatml, parse: Call
     With ``texts=False`` one row per conversation with digests instead of the output.
     """
     ordered = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # rows without a conv_id are of no conversation: each is one of its own
+    ordered = ordered.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    ordered = ordered.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "alone", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, out = None, []
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-                if state is None or state["conv"] != conv:
+            for conv, alone, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "alone", "role", "text"))):
+                if state is None or (state["conv"], state["alone"]) != (conv, alone):
                     if state is not None and not texts:
                         out.append(summary(state))
-                    state = {"conv": conv, "n": 0, "output": "", "said": [], "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "rewritten": 0}
+                    state = {"conv": conv, "alone": alone, "n": 0, "output": "", "said": [], "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "rewritten": 0}
                 state["said"].append((role, text))
                 state["output"], at, lo, hi, rewritten = added(render, state["output"], state["said"])
                 span, shown = state["output"][at:], state["output"][lo:hi] if lo is not None else None

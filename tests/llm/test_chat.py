@@ -121,3 +121,21 @@ def test_very_long_text_and_hidden_text(spark):
 
 def test_empty(spark):
     assert C.format_conversations(spark.createDataFrame([], SCHEMA), texts=False).count() == 0
+
+
+def test_rows_without_a_conversation(spark, tmp_path):
+    """Each is a conversation of its own, however many there are; the query says the same as its SQL."""
+    import duckdb
+
+    from meterglass.llm import queries
+
+    rows = [(None, k % 3, "assistant" if k % 2 else "user", f"text {k % 4}") for k in range(200)] + [(7, 0, "user", "hi"), (7, 1, "assistant", "ho")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = C.format_conversations(df, texts=False).collect()
+    assert len(got) == 201 and {(r.conv_id, r.n_turns) for r in got} == {(None, 1), (7, 2)}
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.OP5_SQL)
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in queries.op5_chat_format(spark, str(tmp_path)).collect()))) == sorted(map(str, want.fetchall()))
