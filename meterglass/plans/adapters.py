@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 
-#: Model ids as logged, the provider that the log names, and what is expected of each, written out by
+#: Model ids as logged, the provider that the log names, and what is expected of each, written out by
 #: hand from the price list: the provider, the number of the rule, USD per million tokens of input,
 #: output, cache read and cache write, and the same above a threshold. Every rule is reached.
 EXPECTED = (

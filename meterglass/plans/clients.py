@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import trace
 from ..session import fresh_path
-from ..sources import ingest, listing, logs
+from ..sources import cache, ingest, listing, logs
 from ..streaming import live, tail
 from .adapters import EXPECTED_SQL, MESSAGES_SQL, usage_messages
 from .registry import SQL, query
@@ -49,8 +49,8 @@ def written(rows: DataFrame, value: Column, by: str | None = None, name: str | C
     return path
 
 
-def databases(rows: DataFrame, create: str, path: str, name: str, parts: int = 4) -> None:
-    """Rows as tables of SQLite files in shared storage, one a partition: run again, a task writes the same file."""
+def databases(rows: DataFrame, create: str, path: str, name: str, *more: str, parts: int = 4) -> None:
+    """Rows as tables of SQLite files in shared storage, one a partition: run again, a task writes the same file. ``more``: statements after them."""
     into = f"INSERT INTO {create.split()[2]} VALUES ({', '.join('?' * len(rows.columns))})"
 
     def write(batches):
@@ -62,6 +62,8 @@ def databases(rows: DataFrame, create: str, path: str, name: str, parts: int = 4
                 db.execute(create)
                 for b in batches:
                     db.executemany(into, zip(*b.to_pydict().values()))
+                for statement in more:
+                    db.execute(statement)
                 db.commit()
             store, root = tail.file_system(path)
             target = f"{root}/{name.format(k)}"
@@ -218,7 +220,7 @@ SELECT model_id, CASE WHEN ord % 2 = 0 THEN 'acme' ELSE provider END AS provider
 FROM k JOIN x USING (model_id) WHERE ord % 10 > 0
 UNION ALL SELECT model_id, provider, timestamp_ms, {DAY_SQL.format('timestamp_ms')}, input, output, cache_read, cache_write, reasoning, CAST(user_id AS VARCHAR), 0.0 FROM s JOIN x USING (model_id)""")
 def opencode_logs(spark, sf_dir):
-    """Messages in SQLite files, and a stored document a user beside them."""
+    """Messages in SQLite files, a few of another storage class, beside a session table that knows some of their sessions; and a stored document a user."""
     rows = logged(spark, sf_dir)
     tokens = F.struct("input", "output", "reasoning", F.struct(F.col("cache_read").alias("read"), F.col("cache_write").alias("write")).alias("cache"))
     data = lambda **more: json_line(modelID=F.col("model_id"), tokens=tokens, time=F.struct(F.col("timestamp_ms").alias("created")), **more)
@@ -227,7 +229,7 @@ def opencode_logs(spark, sf_dir):
     stored = rows.select(id_.alias("id"), F.col("user_id").cast("string").alias("session_id"), data(
         role=F.when(F.col("ord") % 10 > 0, "assistant").otherwise("user"), id=F.when(F.col("ord") % 6 > 0, id_), providerID=F.when(F.col("ord") % 2 == 0, "acme"), cost=F.col("cost"),
     ).alias("data"))
-    databases(stored, "CREATE TABLE message (id TEXT PRIMARY KEY, session_id TEXT, data TEXT)", home, "opencode-{}.db")
+    databases(stored, "CREATE TABLE message (id TEXT PRIMARY KEY, session_id TEXT, data TEXT)", home, "opencode-{}.db", "CREATE TABLE session (id TEXT, title TEXT)", "INSERT INTO session SELECT DISTINCT session_id, 'a' FROM message WHERE id LIKE '%3'", "INSERT INTO message VALUES ('odd', 's', x'00'), (CAST(x'41' AS BLOB), 's', '{}')")
     return read(spark, "opencode", home, more=("cost",))
 
 
@@ -235,7 +237,7 @@ def opencode_logs(spark, sf_dir):
 SELECT model_id, CASE ord % 4 WHEN 0 THEN 'acme' WHEN 1 THEN 'anthropic' ELSE provider END AS provider_id, timestamp_ms, date, input, output, cache_read, cache_write, reasoning, 'hermes:s' || ord AS dedup_key,
   CASE WHEN cost > 0 THEN cost WHEN ord % 3 = 0 THEN 0.25 ELSE 0.0 END AS cost, CAST(greatest(ord % 4, 1) AS INTEGER) AS messages FROM k JOIN x USING (model_id) WHERE ord % 9 > 0""")
 def hermes_logs(spark, sf_dir):
-    """Sessions in SQLite files; every ninth is without a model."""
+    """Sessions in SQLite files; every ninth is without a model, and a few count in words."""
     n = F.col("ord")
     rows = logged(spark, sf_dir).select(
         F.concat(F.lit("s"), n.cast("string")).alias("id"), F.when(n % 9 > 0, F.col("model_id")).otherwise(" ").alias("model"), "input", "output", "cache_read", "cache_write", "reasoning",
@@ -245,7 +247,8 @@ def hermes_logs(spark, sf_dir):
     path, parts = fresh_path(spark, "logs"), 4
     create = """CREATE TABLE sessions (id TEXT, model TEXT, input_tokens INTEGER, output_tokens INTEGER, cache_read_tokens INTEGER, cache_write_tokens INTEGER, reasoning_tokens INTEGER,
         billing_provider TEXT, started_at REAL, actual_cost_usd REAL, estimated_cost_usd REAL, message_count INTEGER)"""
-    databases(rows, create, path, "{}/state.db", parts)
+    odd = "INSERT INTO sessions SELECT 'odd' || id, model, 'many', output_tokens, cache_read_tokens, cache_write_tokens, reasoning_tokens, billing_provider, started_at, actual_cost_usd, estimated_cost_usd, message_count FROM sessions LIMIT 5"
+    databases(rows, create, path, "{}/state.db", odd, parts=parts)
     return read(spark, "hermes", *[f"{path}/{k}" for k in range(parts)], more=("cost", "messages"))
 
 
@@ -278,6 +281,19 @@ def grok_logs(spark, sf_dir):
     return read(spark, "grok", moved(spark, grok_lines(spark, sf_dir)))
 
 
+@query(f"""{SOURCE_SQL}, {PROVIDED_SQL} SELECT model_id, provider AS provider_id, timestamp_ms, date, input, output, cache_read, {ZERO} AS cache_write, {ZERO} AS reasoning,
+  'cursor:' || timestamp_ms || ':' || input || ':' || output AS dedup_key, ord % 100 / 4 AS cost FROM k JOIN x USING (model_id) WHERE ord % 8 > 0""")
+def cursor_cache_logs(spark, sf_dir):
+    """Captured pages, a user's events each, become the cache, in which every eighth event has no time; it goes before the CSV file beside it."""
+    use = F.struct(F.col("input").alias("inputTokens"), F.col("output").alias("outputTokens"), F.col("cache_read").alias("cacheReadTokens"), (F.col("ord") % 100 * 25).alias("totalCents"))
+    event = F.struct(F.when(F.col("ord") % 8 > 0, F.col("timestamp_ms").cast("string")).otherwise("soon").alias("timestamp"), F.col("model_id").alias("model"), use.alias("tokenUsage"))
+    pages = logged(spark, sf_dir).groupBy("user_id").agg(F.collect_list(event).alias("usageEventsDisplay")).select(F.to_json(F.struct("usageEventsDisplay")).alias("value"))
+    head = spark.createDataFrame([(0, 0, "Date,Model\n2023-11-15,other,1,1,1,1,1,1")], "user_id int, ord int, value string")
+    path = written(head, F.col("value"), "user_id", "usage.{}.csv")
+    cache.write_cache(spark, logs.cursor_pages(pages), path)
+    return read(spark, "cursor", path, more=("cost",))
+
+
 # --- listing and increments -----------------------------------------------------------------------
 
 
