@@ -124,6 +124,16 @@ def codex_logs(spark, sf_dir):
     return logs.SOURCES["codex"](spark, logs.Config(home=path, roots={"codex": [moved(spark, path)]})).select(*SHOWN)
 
 
+def joined(spark: SparkSession, path: str, into: str) -> None:
+    """Moves the files of a folder's folders into the folders of that name in another."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in store.listStatus(hadoop(path)):  # a few files
+        if folder.isDirectory():
+            for f in store.listStatus(folder.getPath()):
+                store.rename(f.getPath(), hadoop(f"{into}/{folder.getPath().getName()}/{f.getPath().getName()}"))
+
+
 def moved(spark: SparkSession, path: str, to: str = "sessions") -> str:
     """The folder as the sessions of a home."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
@@ -143,6 +153,16 @@ def gemini_logs(spark, sf_dir):
     return read(spark, "gemini", written(logged(spark, sf_dir), line))
 
 
+@query(f"""{SOURCE_SQL} SELECT model_id, 'google' AS provider_id, input, output, cache_read, {ZERO} AS cache_write, reasoning, CAST(NULL AS VARCHAR) AS dedup_key FROM k WHERE input + output + cache_read + reasoning > 0""")
+def gemini_stats_logs(spark, sf_dir):
+    """Lines of statistics, a third of them under a result, half of them by model."""
+    tokens = F.struct((F.col("input") + F.col("cache_read")).alias("prompt"), F.col("output").alias("candidates"), F.col("cache_read").alias("cached"), F.col("reasoning").alias("thoughts"))
+    by_model = F.to_json(F.struct(F.create_map("model_id", F.struct(tokens.alias("tokens"))).alias("models")))
+    stats = F.when(F.col("ord") % 2 == 0, by_model).otherwise(F.to_json(tokens))
+    line = F.concat(F.lit('{"model": '), F.to_json(F.array("model_id")).substr(F.lit(2), F.length(F.to_json(F.array("model_id"))) - 2), F.when(F.col("ord") % 3 == 0, F.concat(F.lit(', "result": {"stats": '), stats, F.lit("}}"))).otherwise(F.concat(F.lit(', "stats": '), stats, F.lit("}"))))
+    return read(spark, "gemini", written(logged(spark, sf_dir), line)).drop("timestamp_ms", "date")
+
+
 @query(f"""{SOURCE_SQL}, x(model_id, provider) AS (SELECT col0, CASE WHEN col0 LIKE 'mystery%' THEN 'unknown' ELSE col1 END FROM (VALUES {EXPECTED_SQL}))
 SELECT model_id, provider AS provider_id, timestamp_ms, date, input - least(cache_read, input) AS input, output, cache_read, cache_write, reasoning, 'copilot:t' || user_id || ':s' || ord AS dedup_key
 FROM k JOIN x USING (model_id) WHERE input - least(cache_read, input) + output + cache_read + cache_write + reasoning > 0""")
@@ -158,14 +178,14 @@ def copilot_logs(spark, sf_dir):
 
 
 @query(f"""{SOURCE_SQL} SELECT model_id, CASE ord % 3 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai' ELSE 'google' END AS provider_id, timestamp_ms, date, input, output, cache_read, cache_write, {ZERO} AS reasoning,
-  'omp:' || CASE WHEN ord % 4 > 0 THEN 'x' || ord END AS dedup_key FROM k WHERE ord % 4 > 0 AND input + output + cache_read + cache_write > 0""")
+  'omp:' || CASE WHEN ord % 5 = 1 THEN user_id || ':' || ord ELSE 'x' || ord END AS dedup_key FROM k WHERE ord % 4 > 0 AND input + output + cache_read + cache_write > 0""")
 def omp_logs(spark, sf_dir):
-    """Messages of routed providers; every fourth line is the user's."""
+    """Messages of routed providers; every fourth line is the user's, every fifth has no response id."""
     use = F.struct("input", "output", F.col("cache_read").alias("cacheRead"), F.col("cache_write").alias("cacheWrite"))
     routed = F.element_at(F.array(F.lit("anthropic-messages"), F.lit("azure"), F.lit("google-vertex")), (F.col("ord") % 3 + 1).cast("int"))
-    message = F.struct(F.when(F.col("ord") % 4 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("x"), F.col("ord").cast("string")).alias("responseId"), F.col("model_id").alias("model"), routed.alias("provider"), use.alias("usage"))
+    message = F.struct(F.when(F.col("ord") % 4 == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("ord") % 5 != 1, F.concat(F.lit("x"), F.col("ord").cast("string"))).alias("responseId"), F.col("model_id").alias("model"), routed.alias("provider"), use.alias("usage"))
     line = json_line(type=F.lit("message"), id=F.col("ord").cast("string"), timestamp=iso(), message=message)
-    path = moved(spark, written(logged(spark, sf_dir), line))
+    path = moved(spark, written(logged(spark, sf_dir), line, "user_id"))
     return logs.SOURCES["omp"](spark, logs.Config(home=path, roots={"omp": [path]})).select(*SHOWN)
 
 
@@ -264,13 +284,13 @@ def cursor_csv_logs(spark, sf_dir):
     return read(spark, "cursor", written(files, text, "user_id", "usage.{}.csv"), more=("cost",))
 
 
-def grok_lines(spark: SparkSession, sf_dir: str) -> str:
-    """A session folder a user: the same cumulative totals as ``turn_segments``."""
+def grok_lines(spark: SparkSession, sf_dir: str, named: bool = True) -> str:
+    """A session folder a user: the same cumulative totals as ``turn_segments``; ``named``: every fourth line names its model."""
     running = F.sum("k").over(Window.partitionBy("user_id").orderBy("ord"))
     rows = usage_messages(spark, sf_dir).withColumn("total", F.when(F.col("ord") % 7 > 0, running - F.when(F.col("ord") % 5 == 0, 100).otherwise(0)))
     meta = F.struct(F.col("total").alias("totalTokens"), F.col("timestamp_ms").alias("agentTimestampMs"))
     kind = F.when(F.col("event_type") == "purchase", "user_message_chunk").otherwise("agent_message_chunk")
-    line = json_line(params=F.struct(meta.alias("_meta"), F.struct(kind.alias("sessionUpdate")).alias("update"), F.when(F.col("ord") % 4 == 0, F.col("model_id")).alias("modelId")))
+    line = json_line(params=F.struct(meta.alias("_meta"), F.struct(kind.alias("sessionUpdate")).alias("update"), F.when((F.col("ord") % 4 == 0) & F.lit(named), F.col("model_id")).alias("modelId")))
     return written(rows, line, "user_id", "{}/updates.jsonl")
 
 
@@ -281,6 +301,20 @@ def grok_logs(spark, sf_dir):
     return read(spark, "grok", moved(spark, grok_lines(spark, sf_dir)))
 
 
+@query(f"""SELECT CASE user_id % 3 WHEN 0 THEN 'grok-summary' WHEN 1 THEN 'grok-journal' ELSE 'grok-signals' END AS model_id, 'xai' AS provider_id, timestamp_ms, {DAY_SQL.format('timestamp_ms')} AS date, delta AS input, {ZERO} AS output,
+  {ZERO} AS cache_read, {ZERO} AS cache_write, {ZERO} AS reasoning, 'grok:sessions:' || user_id || ':' || turn AS dedup_key FROM ({SQL['turn_segments']})""")
+def grok_sibling_logs(spark, sf_dir):
+    """Sessions whose lines name no model: a summary, a journal or signals beside them do; a journal of which others know more counts less."""
+    path = grok_lines(spark, sf_dir, named=False)
+    users = logged(spark, sf_dir).groupBy("user_id").agg(F.max("ord").alias("ord"))
+    of = lambda k: users.filter(F.col("user_id") % 3 == k)
+    joined(spark, written(of(0), json_line(current_model_id=F.lit("grok-summary"), updated_at=F.lit("2024-01-01T00:00:00Z")), "user_id", "{}/summary.json"), path)
+    journal = users.filter("user_id % 3 < 2").select("user_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord")).withColumn("model", F.when(F.col("ord") == 2, "grok-journal").when(F.col("ord") == 3, "later"))
+    joined(spark, written(journal, json_line(ts=F.lit("2024-01-01T00:00:00Z"), model_id=F.col("model")), "user_id", "{}/events.jsonl"), path)
+    joined(spark, written(of(2), json_line(primaryModelId=F.lit("grok-signals")), "user_id", "{}/signals.json"), path)
+    return read(spark, "grok", moved(spark, path))
+
+
 @query(f"""{SOURCE_SQL}, {PROVIDED_SQL} SELECT model_id, provider AS provider_id, timestamp_ms, date, input, output, cache_read, {ZERO} AS cache_write, {ZERO} AS reasoning,
   'cursor:' || timestamp_ms || ':' || input || ':' || output AS dedup_key, ord % 100 / 4 AS cost FROM k JOIN x USING (model_id) WHERE ord % 8 > 0""")
 def cursor_cache_logs(spark, sf_dir):
