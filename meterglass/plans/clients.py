@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import trace
-from ..session import fresh_path
+from ..session import fresh_path, scratch
 from ..sources import cache, ingest, listing, logs
 from ..streaming import live, tail
 from .adapters import EXPECTED_SQL, MESSAGES_SQL, usage_messages
@@ -138,7 +138,7 @@ def moved(spark: SparkSession, path: str, to: str = "sessions") -> str:
     """The folder as the sessions of a home."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    home = f"{path}-home"
+    home = scratch(f"{path}-home")
     store.mkdirs(hadoop(f"{home}/{to}").getParent())
     store.rename(hadoop(path), hadoop(f"{home}/{to}"))
     return home
@@ -381,7 +381,7 @@ def streamed(spark: SparkSession, client: str, path: str) -> DataFrame:
     """All events that the growing files under ``path`` give, through a stream and back."""
     out = fresh_path(spark, "events")
     events = live.live_events(spark, client, path)
-    run = events.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").start(out)
+    run = events.writeStream.format("parquet").option("checkpointLocation", scratch(f"{out}-checkpoint")).start(out)
     try:
         run.processAllAvailable()
     finally:
@@ -436,7 +436,8 @@ def live_last_hour(spark, sf_dir):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     store.mkdirs(hadoop(path))
+    checkpoint = scratch(f"{path}-checkpoint")
     for part in range(3):
         store.rename(hadoop(written(rows.filter(F.pmod("ord", F.lit(3)) == part), line)), hadoop(path, str(part)))
-        live.follow(live.live_events(spark, "claude", path, 1_700_010_000_000, lookback_ms=1 << 50), f"{path}-checkpoint", 1_700_010_000_000, availableNow=True).awaitTermination()
-    return live.hour(spark, f"{path}-checkpoint").select("ts_ms", "client", "agent", "model", "input", "key")
+        live.follow(live.live_events(spark, "claude", path, 1_700_010_000_000, lookback_ms=1 << 50), checkpoint, 1_700_010_000_000, availableNow=True).awaitTermination()
+    return live.hour(spark, checkpoint).select("ts_ms", "client", "agent", "model", "input", "key")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from contextlib import suppress
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings for reading logs: UTC dates unless set otherwise, and the last of repeated JSON keys wins.
@@ -13,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -36,8 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints/meterglass"
 
 
+#: Folders that queries have written for themselves in this process.
+SCRATCH: list[str] = []
+
+
+def scratch(path: str) -> str:
+    """Notes a folder that is only needed while results are made of it."""
+    SCRATCH.append(path)
+    return path
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def clean() -> None:
+    """Removes all noted folders; results that aren't written yet are lost with them. Runs when the process ends."""
+    jvm = SparkContext._jvm
+    while SCRATCH and jvm is not None:
+        folder = jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        folder.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with suppress(Exception):  # the JVM may be gone before
+        clean()
 
 
 def once(df: DataFrame) -> DataFrame:
