@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,12 @@ def clean(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
     SCRATCH.extend(left)
 
 
+@atexit.register
+def _at_exit() -> None:
+    with suppress(Exception):  # the session may have ended before
+        clean(SparkSession.getActiveSession())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through a file in the shared folder, so lost executors cost no recomputation."""
     spark = df.sparkSession
