@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import trace
+from ..operators import increments, trace
 from ..session import fresh_path, scratch
 from ..sources import cache, ingest, listing, logs
 from ..streaming import live, tail
@@ -331,10 +331,10 @@ def cursor_cache_logs(spark, sf_dir):
 # --- listing and increments -----------------------------------------------------------------------
 
 
-def claude_line(rows: DataFrame) -> Column:
+def claude_line(rows: DataFrame, id_: Column | None = None) -> Column:
+    id_ = F.concat(F.lit("m"), F.col("ord").cast("string")) if id_ is None else id_
     use = F.struct(F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_read").alias("cache_read_input_tokens"), F.col("cache_write").alias("cache_creation_input_tokens"))
-    message = F.struct(F.concat(F.lit("m"), F.col("ord").cast("string")).alias("id"), F.col("model_id").alias("model"), use.alias("usage"))
-    return json_line(type=F.lit("assistant"), timestamp=iso(), requestId=F.lit("r"), message=message)
+    return json_line(type=F.lit("assistant"), timestamp=iso(), requestId=F.lit("r"), message=F.struct(id_.alias("id"), F.col("model_id").alias("model"), use.alias("usage")))
 
 
 CLAUDE_SQL = f"""SELECT model_id, 'anthropic' AS provider_id, timestamp_ms, date, input, output, cache_read, cache_write, {ZERO} AS reasoning, 'claude:m' || ord || ':r' AS dedup_key"""
@@ -371,6 +371,30 @@ def incremental_ingest(spark, sf_dir):
     return facts.read(["claude"], keep=("batch",)).select(*SHOWN, "batch")
 
 
+@query(f"""WITH {MESSAGES_SQL}, p AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN '0-' ELSE '' END || user_id || '.jsonl' AS file, ord % 700 AS id FROM u WHERE user_id % 7 > 0 AND input + output + cache_read + cache_write > 0),
+m AS (SELECT id, file, min(ord) AS ord, arg_min(model_id, ord) AS model_id, arg_min(date, ord) AS date, max(input) AS input, max(output) AS output, max(cache_read) AS cache_read, max(cache_write) AS cache_write FROM p GROUP BY id, file),
+w AS (SELECT id, min(row(file, ord)) AS f FROM m GROUP BY id)
+SELECT date, 'claude' AS client, 'anthropic' AS provider_id, model_id, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write,
+  CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS tokens, count(*) AS messages FROM m JOIN w USING (id) WHERE f = row(file, ord) GROUP BY ALL""")
+def incremental_daily(spark, sf_dir):
+    """Messages that stand in several files: files that sort earlier come later and take them, files that go give them back; only touched days are made again."""
+    rows = usage_messages(spark, sf_dir)
+    line = claude_line(rows, F.concat(F.lit("i"), (F.col("ord") % 700).cast("string")))
+    path, daily = written(rows.filter("user_id % 3 > 0"), line, "user_id"), increments.Increments(spark, fresh_path(spark, "daily"))
+    config = logs.Config(home=path, roots={"claude": [path]})
+    daily.update(config, ["claude"])
+    early = written(rows.filter("user_id % 3 = 0"), line, "user_id", "new/0-{}.jsonl")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in store.listStatus(hadoop(early, "new")):  # a user a file
+        store.rename(f.getPath(), hadoop(path, f.getPath().getName()))
+    daily.update(config, ["claude"])
+    for r in rows.select("user_id").distinct().filter("user_id % 7 = 0").collect():
+        store.delete(hadoop(path, f"{'0-' if r.user_id % 3 == 0 else ''}{r.user_id}.jsonl"), False)
+    daily.update(config, ["claude"])
+    return daily.daily().drop("cost", "reasoning")
+
+
 # --- the same logs as streams --------------------------------------------------------------------
 
 LIVE = ("ts_ms", "client", "agent", "model", "input", "output", "cache_read", "cache_write")

@@ -121,6 +121,17 @@ class Facts:
         rows = self.spark.read.option("basePath", folder).parquet(folder)
         return rows.join(self.manifest(client).select("unit", "batch"), ["unit", "batch"], "left_semi")
 
+    def client_changes(self, client: str) -> DataFrame:
+        """The messages that the last update brought or took away (of units that were there before, both)."""
+        *older, last = self.versions(client)
+        now, pair = self.manifest(client, last), ["unit", "batch"]
+        before = self.manifest(client, older[-1]) if older else self.spark.createDataFrame([], MANIFEST)
+        changed = now.join(before, pair, "left_anti").select(pair).unionByName(before.join(now, pair, "left_anti").select(pair))
+        folder = f"{self.path}/facts/client={client}"
+        if not children(self.spark, folder):
+            return self.nothing(())
+        return self.spark.read.option("basePath", folder).parquet(folder).join(changed, pair, "left_semi")
+
     def read(self, clients: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
         """The messages of all units that are there. ``keep``: unit, batch or both."""
         out = None
