@@ -1,8 +1,8 @@
 """Command line: graph, tail-sim, tail-live and profile over one home folder's logs.
 
     python -m meterglass graph --home ~ [--year 2026] [--clients claude,codex] [--root grok=DIR] [--facts DIR]
-    python -m meterglass tail-sim --root DIR --client claude --now-ms N [--window 600]
-    python -m meterglass tail-live --root DIR --client claude [--ticks 12] [--home ~]
+    python -m meterglass tail-sim --home ~ | --root DIR --client claude --now-ms N [--window 600]
+    python -m meterglass tail-live --home ~ | --root DIR --client claude [--ticks 12]
     python -m meterglass profile --home ~ [--facts DIR]
 """
 
@@ -61,11 +61,21 @@ def graph(args) -> None:
     show_graph(spark, config, args.facts or fresh_path(spark, "facts"), args.clients.split(",") if args.clients else None, args.year)
 
 
+def followed(spark, args, now_ms: int | None = None):
+    """The events of ``--client`` under ``--root``, or of all clients of ``--home``."""
+    if args.client:
+        if not args.root:
+            raise ValueError("--client needs --root")
+        return live.live_events(spark, args.client, args.root, now_ms)
+    config = config_of(args.home or str(Path.home()), clock())
+    return live.all_events(spark, {c: logs.existing(spark, logs.READS[c].roots(spark, config)) for c in live.LIVE}, now_ms)
+
+
 def tail_sim(args) -> None:
     """One cold tick with a pinned clock: events and trace in a fixed order."""
     spark = session("tail-sim", args.time_zone)
     work = args.work or fresh_path(spark, "tail")
-    query = live.follow(live.live_events(spark, args.client, args.root, args.now_ms), f"{work}/checkpoint", args.now_ms)
+    query = live.follow(followed(spark, args, args.now_ms), f"{work}/checkpoint", args.now_ms)
     query.processAllAvailable()
     query.stop()
     rows = trace.retained(live.hour(spark, f"{work}/checkpoint"), args.now_ms)
@@ -82,7 +92,7 @@ def tail_live(args) -> None:
     """A tick every ``TICK_S`` seconds: rates and trace are printed when they change, the graph of ``--home`` every ``REFRESH_S``."""
     spark = session("tail-live", args.time_zone)
     work = args.work or fresh_path(spark, "tail")
-    query = live.follow(live.live_events(spark, args.client, args.root), f"{work}/checkpoint", processingTime=f"{TICK_S} seconds")
+    query = live.follow(followed(spark, args), f"{work}/checkpoint", processingTime=f"{TICK_S} seconds")
 
     def view():
         now, rows = clock(), live.hour(spark, f"{work}/checkpoint")
@@ -128,14 +138,15 @@ def main(argv: list[str] | None = None) -> int:
     g.add_argument("--facts", help="folder for the fact table, shared on a cluster; a later run with the same one parses what changed")
     g.add_argument("--root", action="append", help="client=folder, in place of its usual ones; may be repeated")
     t = sub.add_parser("tail-sim")
-    t.add_argument("--root", required=True)
-    t.add_argument("--client", choices=("claude", "codex", "grok", "omp"), required=True)
+    t.add_argument("--root")
+    t.add_argument("--client", choices=live.LIVE, help="one client's logs under --root; without it all clients' of --home")
+    t.add_argument("--home")
     t.add_argument("--now-ms", type=int, required=True)
     t.add_argument("--window", type=int, default=trace.LONG_WINDOW_S)
     t.add_argument("--work")
     n = sub.add_parser("tail-live")
-    n.add_argument("--root", required=True)
-    n.add_argument("--client", choices=("claude", "codex", "grok", "omp"), required=True)
+    n.add_argument("--root")
+    n.add_argument("--client", choices=live.LIVE)
     n.add_argument("--ticks", type=int, default=12)
     n.add_argument("--window", type=int, default=trace.LONG_WINDOW_S)
     n.add_argument("--home", help="print its graph as well")

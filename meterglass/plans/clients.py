@@ -465,3 +465,24 @@ def live_last_hour(spark, sf_dir):
         store.rename(hadoop(written(rows.filter(F.pmod("ord", F.lit(3)) == part), line)), hadoop(path, str(part)))
         live.follow(live.live_events(spark, "claude", path, 1_700_010_000_000, lookback_ms=1 << 50), checkpoint, 1_700_010_000_000, availableNow=True).awaitTermination()
     return live.hour(spark, checkpoint).select("ts_ms", "client", "agent", "model", "input", "key")
+
+
+@query(f"""WITH {MESSAGES_SQL}, e AS (SELECT 1700000000000 + ord % 3000 * 1000 AS ts_ms, k % 1000 + 1 AS n FROM u), c(client) AS (VALUES ('claude-code'), ('codex-cli'), ('grok'), ('omp'))
+SELECT client, count(*) AS events, CAST(sum(n) AS BIGINT) AS tokens, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM e, c GROUP BY client""")
+def live_all_clients(spark, sf_dir):
+    """The same numbers logged by four clients, each in its own form, followed by one query."""
+    rows = usage_messages(spark, sf_dir).withColumns({"n": F.col("k") % 1000 + 1, "ms": F.lit(1_700_000_000_000) + F.col("ord") % 3000 * 1000})
+    stamp, id_ = F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.concat(F.lit("a"), F.col("ord").cast("string"))
+    use = lambda name: F.struct(F.col("n").alias(name))
+    total = F.sum("n").over(Window.partitionBy("user_id").orderBy("ord"))
+    lines = {
+        "claude": json_line(type=F.lit("assistant"), timestamp=stamp, requestId=F.lit("r"), message=F.struct(id_.alias("id"), use("input_tokens").alias("usage"))),
+        "codex": json_line(type=F.lit("event_msg"), timestamp=stamp, payload=F.struct(F.lit("token_count").alias("type"), F.struct(use("input_tokens").alias("last_token_usage")).alias("info"))),
+        "grok": json_line(params=F.struct(F.struct(F.col("total").alias("totalTokens"), F.col("ms").alias("agentTimestampMs")).alias("_meta"))),
+        "omp": json_line(type=F.lit("message"), message=F.struct(F.lit("assistant").alias("role"), F.col("ms").alias("timestamp"), id_.alias("responseId"), use("input").alias("usage"))),
+    }
+    roots = {c: [written(rows.withColumn("total", total), line, "user_id", "{}/updates.jsonl")] for c, line in lines.items()}
+    checkpoint, now = scratch(f"{roots['claude'][0]}-checkpoint"), 1_700_003_000_000
+    live.follow(live.all_events(spark, roots, now, lookback_ms=1 << 50), checkpoint, now, availableNow=True).awaitTermination()
+    found = live.hour(spark, checkpoint).groupBy("client")
+    return found.agg(F.count(F.lit(1)).alias("events"), F.sum("input").alias("tokens"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
