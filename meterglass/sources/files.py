@@ -65,7 +65,7 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 def path_key(path: Column) -> Column:
     """Paths in byte order, component by component."""
-    return F.translate(path, "/", "\u0000")
+    return F.replace(path, F.lit("/"), F.lit("\u0000"))  # translate() would drop what becomes U+0000
 
 
 def stem(path: Column) -> Column:

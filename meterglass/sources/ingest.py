@@ -101,7 +101,7 @@ class Facts:
         return report
 
     def unit(self, client: str) -> Column:
-        return READS[client].unit(F.translate("ord.path_key", "\0", "/"))
+        return READS[client].unit(F.replace("ord.path_key", F.lit("\0"), F.lit("/")))
 
     def commit(self, client: str, manifest: DataFrame, batch: str) -> None:
         """The manifest becomes the last one; what only older ones name is removed."""

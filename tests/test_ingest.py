@@ -127,3 +127,15 @@ def test_exporter_file(spark, tmp_path):
     put(tmp_path / "out/spans.jsonl", {"traceId": "t", "spanId": "s", "endTime": [1700000000, 0], "attributes": attrs})
     config = Config(home=str(tmp_path), now_ms=T0, roots={"copilot_exporter": [f"{tmp_path}/out/spans.jsonl"]})
     assert [r.dedup_key for r in logs.copilot(spark, config).collect()] == ["copilot:t:s"]
+
+
+def test_every_client_keeps_its_units(spark, tmp_path, facts):
+    """Units of messages are those of the manifest, for sources that fold and that read several kinds of file, too."""
+    config = Config(home=str(tmp_path), now_ms=T0)
+    count = {"timestamp": "2023-11-14T22:13:20Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": 100}}}}
+    put(tmp_path / ".codex/sessions/2024/s.jsonl", count)
+    put(tmp_path / ".gemini/tmp/a/b.jsonl", {"type": "gemini", "id": "x", "model": "g", "tokens": {"input": 1}})
+    put(tmp_path / ".omp/agent/sessions/d/e.jsonl", {"type": "message", "id": "i", "message": {"role": "assistant", "usage": {"input": 3}}})
+    clients = ["codex", "gemini", "omp"]
+    assert [r.parsed for r in facts.update(config, clients)] == [1, 1, 1]
+    assert same(spark, facts, config, clients) == 3

@@ -96,3 +96,10 @@ def test_stream_and_batch_see_the_same_files(spark, tree):
     from meterglass.streaming.tail import TailReader
 
     assert sorted(TailReader({"path": str(tree), "suffix": ".jsonl"}).files()) == sorted(f.file for f in listing.files(spark, [str(tree)], "*.jsonl").collect())
+
+
+def test_path_keys_order_components(spark):
+    """Batch readers and the column function give one key, which sorts by component: a/z before a-b/c."""
+    paths = ["/r/a-b/c", "/r/a/z", "/r/a!", "/r/a"]
+    got = [r.p for r in spark.createDataFrame([(p,) for p in paths], "p string").withColumn("k", files.path_key(files.F.col("p"))).orderBy("k").collect()]
+    assert got == sorted(paths, key=lambda p: p.encode().replace(b"/", b"\0")) == ["/r/a", "/r/a/z", "/r/a!", "/r/a-b/c"]

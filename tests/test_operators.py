@@ -215,7 +215,7 @@ def test_tail_live(spark, tmp_path, capsys, monkeypatch):
     log.parent.mkdir(parents=True)
     log.write_text(json.dumps({"type": "assistant", "timestamp": "2024-05-01T00:00:00Z", "requestId": "r", "message": {"id": "m", "model": "claude-x", "usage": {"input_tokens": 600, "output_tokens": 0}}}) + "\n")
     monkeypatch.setattr(cli, "TICK_S", 0)
-    times = iter([now] * 3 + [now + 700_000] * 9)  # start, batch and first tick; then the window has passed
+    times = iter([now] + [now + 700_000] * 9)  # the first tick; then the window has passed
     monkeypatch.setattr(cli, "clock", lambda: next(times, now + 700_000))
     assert cli.main(["tail-live", "--root", str(tmp_path / "logs"), "--client", "claude", "--ticks", "3", "--work", str(tmp_path / "work")]) == 0
     shown = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
