@@ -207,3 +207,121 @@ def test_panes_and_windows(spark, tmp_path):
             end = (r.pane + 1) * 5000
             own = [x[4] for x in rows if (x[1], x[3]) == (r.client, r.model) and end - seconds * 1000 <= x[0] < end]
             assert (r.tokens, r.messages) == (sum(own), len(own)) and abs(r.tokens_per_min - sum(own) * 60 / seconds) < 1e-3
+
+
+def ranges(reader, start, end):
+    return [(os.path.basename(p.file), p.start, p.end, p.from_zero) for p in reader.partitions(start, end)]
+
+
+def engine(reader, start=None):
+    """As a query asks: the latest offset first, the initial one for a new query, then the ranges between."""
+    end = reader.latestOffset()
+    start = reader.initialOffset() if start is None else start
+    return end, ranges(reader, start, end)
+
+
+def options(tmp_path, **more):
+    return {"path": str(tmp_path / "logs"), "suffix": ".jsonl", "now_ms": str(NOW), **{k: str(v) for k, v in more.items()}}
+
+
+def test_batches_are_bounded_shared_and_go_on_after_restarts(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "SHARE", 1)
+    for name, n in (("a", 1000), ("b", 10), ("c", 300)):
+        add(tmp_path / f"logs/{name}.jsonl", "x" * (n - 1))
+    add(tmp_path / "logs/old.jsonl", "x" * 99, age_s=9 * 3600)
+    o = options(tmp_path, batch_bytes=300, progress=tmp_path / "note")
+    reader, at, got = tail.TailReader(o), None, []
+    for k in range(20):
+        if k % 2:  # a restart: nothing is held but the note and the query's own offset
+            reader = tail.TailReader(o)
+        at, some = engine(reader, at)
+        if not some:
+            break
+        assert sum(e - s for _, s, e, _ in some) <= 300 and all(zero for *_, zero in some)
+        got += some
+    for name, n in (("a", 1000), ("b", 10), ("c", 300)):  # every byte once, in order
+        own = [(s, e) for f, s, e, _ in got if f == f"{name}.jsonl"]
+        assert own[0][0] == 0 and own[-1][1] == n and all(x[1] == y[0] for x, y in zip(own, own[1:]))
+    assert not any(f == "old.jsonl" for f, *_ in got)
+    add(tmp_path / "logs/old.jsonl", "x" * 9)
+    at, some = engine(reader, at)
+    assert some == [("old.jsonl", 100, 110, False)]
+    add(tmp_path / "logs/a.jsonl", "y" * 4, mode="w")  # shrank: a new life
+    new, some = engine(reader, at)
+    assert some == [("a.jsonl", 0, 5, True)] and reader.partitions(at, new)[0].epoch > NOW
+    assert engine(reader, new)[1] == []
+
+
+def test_restart_without_a_note_keeps_lives(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "SHARE", 1)
+    log = tmp_path / "logs/a.jsonl"
+    add(log, "x" * 9)
+    o = options(tmp_path, batch_bytes=4)
+    first = tail.TailReader(o)
+    at, some = engine(first)
+    assert some == [("a.jsonl", 0, 10, True)]  # nothing is known before a first batch: no bound
+    life = first.partitions({}, at)[0].epoch
+    add(log, "y" * 9)
+    again = tail.TailReader(o)
+    at2, some = engine(again, at)
+    assert some == [("a.jsonl", 10, 20, False)]
+    assert again.partitions(at, at2)[0].epoch == 0 < life  # the fold takes 0 as the life that it knows
+    add(log, "z" * 9)
+    assert [r[1:3] for r in engine(again, at2)[1]] == [(20, 24)]
+
+
+def test_growth_is_cut_into_pieces(spark, tmp_path, monkeypatch):
+    """A line counts to the piece in which it ends: the same rows however small pieces are."""
+    log = tmp_path / "logs/a.jsonl"
+    add(log, *[said(f"m{i}", i + 1) for i in range(200)])
+    reader = tail.TailReader(options(tmp_path))
+    whole = [r for p in reader.partitions({}, engine(reader)[0]) for r in reader.read(p)]
+    monkeypatch.setattr(tail, "PIECE", 777)
+    reader = tail.TailReader(options(tmp_path))
+    parts = reader.partitions({}, engine(reader)[0])
+    assert len(parts) == -(-log.stat().st_size // 777) and [r for p in parts for r in reader.read(p)] == whole and len(whole) == 200
+    log.unlink()
+    assert list(reader.read(parts[0])) == []
+
+
+@pytest.mark.parametrize("client", ["grok", "codex"])
+def test_bounded_batches_give_the_same_events(stream, tmp_path, client):
+    """State goes from batch to batch: the fold of a file cut into many equals one batch's."""
+    use = lambda i: {"timestamp": "2023-11-14T22:13:10Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": i}}}}
+    model = lambda i: {"type": "turn_context", "payload": {"model": f"m{i}"}}
+    rows = [total(10 * i) for i in range(1, 40)] if client == "grok" else [r for i in range(1, 20) for r in (model(i), use(i))]
+    add(tmp_path / "logs/s/updates.jsonl", *rows)
+    found = stream(client, batch_bytes=700, progress=tmp_path / "note").tick()
+    assert [r[2] for r in found] == ([10] * 39 if client == "grok" else list(range(1, 20)))
+    assert [r[1] for r in found] == (["unknown"] * 39 if client == "grok" else [f"m{i}" for i in range(1, 20)])
+
+
+def test_tiered_scan(tmp_path, monkeypatch):
+    from meterglass.streaming import scan
+
+    monkeypatch.setattr(scan, "RACY_NS", 0)
+    root, now = tmp_path / "logs", NOW
+    for d in range(30):
+        add(root / f"d{d}/s/x.jsonl", "{}", age_s=3600)
+    add(root / "hot/s/x.jsonl", "{}")
+    s = scan.TieredScan(str(root), ["*.jsonl"])
+    assert len(s.files(now)) == 31
+    everything = s.looked
+    sizes = lambda at: {os.path.relpath(f, root): size for f, (size, _) in s.files(at).items()}
+    sizes(now)
+    assert s.looked < everything  # the root's entries, the folder of the active file and the file
+    add(root / "hot/s/x.jsonl", "{}")
+    assert sizes(now + 5000)["hot/s/x.jsonl"] == 6
+    add(root / "hot/s/y.jsonl", "{}", age_s=3600)  # beside an active file
+    add(root / "new/deep/er/z.jsonl", "{}")  # a new folder, with all below it
+    add(root / "d3/top.jsonl", "{}")  # a folder of the root has a new time
+    found = sizes(now + 10_000)
+    assert {"hot/s/y.jsonl", "new/deep/er/z.jsonl", "d3/top.jsonl"} <= set(found)
+    add(root / "d7/s/x.jsonl", "{}")  # it slept: seen late, not lost
+    assert sizes(now + 15_000)["d7/s/x.jsonl"] == 3
+    assert sizes(now + 60_000)["d7/s/x.jsonl"] == 6
+    (root / "hot/s/x.jsonl").unlink()
+    (root / "new").rename(tmp_path / "away")
+    found = sizes(now + 65_000)
+    assert "hot/s/x.jsonl" not in found and "new/deep/er/z.jsonl" not in found and len(found) == 32
+    assert found == {os.path.relpath(e, root): os.stat(e).st_size for e in map(str, root.rglob("*.jsonl"))}
