@@ -401,10 +401,10 @@ LIVE = ("ts_ms", "client", "agent", "model", "input", "output", "cache_read", "c
 LIVE_SQL = "CASE WHEN length({0}) > 9 THEN regexp_replace({0}, '-[0-9]{{8}}$', '') ELSE {0} END"
 
 
-def streamed(spark: SparkSession, client: str, path: str) -> DataFrame:
+def streamed(spark: SparkSession, client: str, path: str, **options) -> DataFrame:
     """All events that the growing files under ``path`` give, through a stream and back."""
     out = fresh_path(spark, "events")
-    events = live.live_events(spark, client, path)
+    events = live.live_events(spark, client, path, **options)
     run = events.writeStream.format("parquet").option("checkpointLocation", scratch(f"{out}-checkpoint")).start(out)
     try:
         run.processAllAvailable()
@@ -449,6 +449,34 @@ def grok_stream(spark, sf_dir):
     return streamed(spark, "grok", grok_lines(spark, sf_dir)).select(*LIVE)
 
 
+@query(SQL["grok_stream"])
+def bounded_stream(spark, sf_dir):
+    """The same in batches of a third of all bytes: models and marks go on from batch to batch."""
+    path = grok_lines(spark, sf_dir)
+    size = listing.files(spark, [path], "*.jsonl").agg(F.sum("size")).first()[0] or 0
+    return streamed(spark, "grok", path, batch_bytes=size // 3 + 1, progress=scratch(f"{path}-progress")).select(*LIVE)
+
+
+@query(f"""WITH {MESSAGES_SQL}, t AS (SELECT user_id, j, CAST(sum(k) FILTER (ord % 3 <= j) AS BIGINT) AS total FROM u, range(3) AS s(j) GROUP BY ALL),
+c AS (SELECT user_id, j, CASE WHEN j = 1 AND user_id % 7 = 0 THEN total // 2 ELSE total END AS input, total // 3 AS output FROM t WHERE total IS NOT NULL AND (j > 0 OR user_id % 5 > 0)),
+g AS (SELECT user_id, j, greatest(input - coalesce(lag(input) OVER w, 0), 0) AS input, greatest(output - coalesce(lag(output) OVER w, 0), 0) AS output FROM c WINDOW w AS (PARTITION BY user_id ORDER BY j))
+SELECT 's' || user_id AS session_id, 1700000000000 + j AS ts_ms, 'hermes' AS client, 'm' AS model, input, output FROM g WHERE j > 0 AND input + output > 0""")
+def hermes_stream(spark, sf_dir):
+    """Three snapshots of four databases, the query restarted for each: sessions grow, fall and come later."""
+    rows, path, parts = usage_messages(spark, sf_dir), fresh_path(spark, "logs"), 4
+    create = "CREATE TABLE sessions (id TEXT, model TEXT, input_tokens INTEGER, output_tokens INTEGER, cache_read_tokens INTEGER, cache_write_tokens INTEGER)"
+    out, checkpoint = fresh_path(spark, "events"), scratch(f"{path}-checkpoint")
+    for j in range(3):
+        total = rows.filter(F.pmod("ord", F.lit(3)) <= j).filter(f"{j} > 0 OR user_id % 5 > 0").groupBy("user_id").agg(F.sum("k").cast("long").alias("total"))
+        half = F.when((F.col("user_id") % 7 == 0) & F.lit(j == 1), F.expr("total div 2")).otherwise(F.col("total"))
+        stored = total.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("id"), F.lit("M-20250514").alias("model"), half.alias("i"), F.expr("total div 3").alias("o"), F.lit(0).alias("r"), F.lit(None).cast("int").alias("w"))
+        databases(stored, create, path, "{}/state.db", parts=parts)
+        events = live.all_events(spark, {"hermes": [f"{path}/{k}" for k in range(parts)]}, 1_700_000_000_000 + j)
+        events.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    session = F.element_at(F.split("ord", ":"), -2)
+    return spark.read.schema(live.EVENT).parquet(out).select(session.alias("session_id"), "ts_ms", "client", "model", "input", "output")
+
+
 @query(f"""WITH {MESSAGES_SQL}, k AS (SELECT *, ord % 7200 AS n FROM u), e AS (SELECT n, 1700000000000 + n * 1000 AS ts_ms, max(k % 1000 + 1) AS input FROM k GROUP BY n)
 SELECT ts_ms, 'claude-code' AS client, 'main' AS agent, 'm' || (n % 3) AS model, CAST(input AS BIGINT) AS input, 'claude:i' || n || ':r' AS key FROM e WHERE ts_ms >= (SELECT max(ts_ms) FROM e) - 3600000""")
 def live_last_hour(spark, sf_dir):

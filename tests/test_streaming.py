@@ -151,15 +151,53 @@ def test_publish_on_change(spark):
     assert [p(), p(), p()] == [True, False, True] and sent == [[(1,)], [(2,)]]
 
 
-def test_session_diff(spark, tmp_path):
-    snap = lambda *rows: spark.createDataFrame([(s, "M-20250514", i, 0, 0, 0) for s, i in rows], "session_id string, model string, input long, output long, cache_read long, cache_write long")
-    tick = lambda at, *rows: sorted((r["ord"], r["input"]) for r in live.SessionDiff(spark, str(tmp_path / "sessions")).tick(snap(*rows), NOW + at).collect())
-    # a new object each time: the base is on disk, and a tick that is run again gives the same
-    assert tick(0, ("a", 10)) == []
-    for _ in range(2):
-        assert tick(1, ("a", 15), ("b", 4)) == [(f"{NOW + 1}:a", 5), (f"{NOW + 1}:b", 4)]
-    assert tick(2, ("a", 2), ("b", 4)) == []
-    assert tick(3, ("a", 5), ("b", 4)) == [(f"{NOW + 3}:a", 3)]
+def sessions_file(path, *rows, model="M-20250514", wal=False):
+    import sqlite3
+
+    path.parent.mkdir(parents=True, exist_ok=True)
+    db = sqlite3.connect(path)
+    if wal:
+        db.execute("PRAGMA journal_mode = WAL")
+    db.execute("CREATE TABLE IF NOT EXISTS sessions (id TEXT PRIMARY KEY, model TEXT, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens)")
+    for id_, n, m in rows:
+        db.execute("INSERT OR REPLACE INTO sessions VALUES (?, ?, ?, ?, NULL, 0)", (id_, model, n, m))
+    db.commit()
+    return db if wal else db.close()
+
+
+def test_session_counters(spark, tmp_path):
+    """Snapshots between restarts: the first is the base, new sessions count in full, what fell counts nothing."""
+    file = tmp_path / "logs/state.db"
+
+    def tick(*rows, **more):
+        held = sessions_file(file, *rows, **more)
+        events = live.live_events(spark, "hermes", str(file.parent), NOW)
+        out = str(tmp_path / "out")
+        events.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out).awaitTermination()
+        if held:
+            held.close()
+        return sorted((r.ord.split(":")[1], r.model, r.input, r.output) for r in spark.read.schema(live.EVENT).parquet(out).collect())
+
+    assert tick(("a", 10, 1), ("x", 5, 0)) == []
+    one = [("a", "m", 5, 0), ("b", "m", 4, 2)]
+    assert tick(("a", 15, 1), ("b", 4, 2)) == one
+    assert tick() == one
+    assert tick(("a", 2, 3), ("c", "many", 1)) == sorted([*one, ("a", "m", 0, 2)])  # fields stand alone; a wrong class isn't read
+    assert tick(("a", 5, 3), ("x", 5, 0)) == sorted([*one, ("a", "m", 0, 2), ("a", "m", 3, 0)])
+    assert tick(("x", 6, 0), wal=True)[-1] == ("x", "m", 1, 0)  # committed in the write-ahead log only
+
+
+def test_session_counters_without_databases(spark, tmp_path):
+    from meterglass.streaming.sessions import CountersReader
+
+    (tmp_path / "state.db").mkdir()
+    reader = CountersReader({"path": str(tmp_path)})
+    cold = reader.latestOffset()
+    assert cold == {"looks": {}} and reader.partitions(reader.initialOffset(), cold) == []
+    (tmp_path / "state.db").rmdir()
+    (tmp_path / "state.db").write_text("no database")
+    part, = reader.partitions(cold, reader.latestOffset())  # it came after the first batch: no base
+    assert not part.base and list(reader.read(part)) == []
 
 
 @pytest.mark.parametrize("step", [1, 7, 1 << 20])
