@@ -2,7 +2,7 @@
 
     python -m meterglass graph --home ~ [--year 2026] [--clients claude,codex] [--root grok=DIR] [--facts DIR]
     python -m meterglass tail-sim --home ~ | --root DIR --client claude --now-ms N [--window 600]
-    python -m meterglass tail-live --home ~ | --root DIR --client claude [--ticks 12]
+    python -m meterglass tail-live --home ~ | --root DIR --client claude [--ticks 12] [--emit-s 180]
     python -m meterglass profile --home ~ [--facts DIR]
 """
 
@@ -26,6 +26,8 @@ from .streaming import live
 
 #: Seconds between live ticks and between full refreshes.
 TICK_S, REFRESH_S = 5, 1800
+#: Bytes of growth that a live batch takes of a folder.
+BATCH_BYTES = 1 << 28
 
 
 def clock() -> int:
@@ -61,14 +63,14 @@ def graph(args) -> None:
     show_graph(spark, config, args.facts or fresh_path(spark, "facts"), args.clients.split(",") if args.clients else None, args.year)
 
 
-def followed(spark, args, now_ms: int | None = None):
-    """The events of ``--client`` under ``--root``, or of all clients of ``--home``."""
+def followed(spark, args, now_ms: int | None = None, **options):
+    """The events of ``--client`` under ``--root``, or of all clients of ``--home``. ``options``: of the sources."""
     if args.client:
         if not args.root:
             raise ValueError("--client needs --root")
-        return live.live_events(spark, args.client, args.root, now_ms)
+        return live.live_events(spark, args.client, args.root, now_ms, **options)
     config = config_of(args.home or str(Path.home()), clock())
-    return live.all_events(spark, {c: logs.existing(spark, logs.READS[c].roots(spark, config)) for c in live.LIVE}, now_ms)
+    return live.all_events(spark, {c: logs.existing(spark, logs.READS[c].roots(spark, config)) for c in live.LIVE}, now_ms, **options)
 
 
 def tail_sim(args) -> None:
@@ -89,10 +91,15 @@ def tail_sim(args) -> None:
 
 
 def tail_live(args) -> None:
-    """A tick every ``TICK_S`` seconds: rates and trace are printed when they change, the graph of ``--home`` every ``REFRESH_S``."""
+    """A tick every ``TICK_S`` seconds: rates and trace are printed when they change, the graph of ``--home`` every ``REFRESH_S``.
+
+    With ``--emit-s`` each client's rate is printed as well, at most that often and when it changed, also over restarts with the same ``--work``.
+    """
     spark = session("tail-live", args.time_zone)
     work = args.work or fresh_path(spark, "tail")
-    query = live.follow(followed(spark, args), f"{work}/checkpoint", processingTime=f"{TICK_S} seconds")
+    events = followed(spark, args, batch_bytes=BATCH_BYTES, progress=f"{work}/progress")
+    send = (lambda rows: print(json.dumps({"rates": [r.asDict() for r in rows]}), flush=True)) if args.emit_s is not None else None
+    query = live.follow(events, f"{work}/checkpoint", send=send, emit_ms=(args.emit_s or 0) * 1000, window_s=args.window, processingTime=f"{TICK_S} seconds")
 
     def view():
         now, rows = clock(), live.hour(spark, f"{work}/checkpoint")
@@ -150,6 +157,7 @@ def main(argv: list[str] | None = None) -> int:
     n.add_argument("--ticks", type=int, default=12)
     n.add_argument("--window", type=int, default=trace.LONG_WINDOW_S)
     n.add_argument("--home", help="print its graph as well")
+    n.add_argument("--emit-s", type=int, help="seconds between the rates of a client, which are then printed")
     n.add_argument("--work")
     f = sub.add_parser("profile")
     f.add_argument("--home", default=str(Path.home()))

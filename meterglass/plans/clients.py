@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import increments, trace
 from ..session import fresh_path, scratch
 from ..sources import cache, ingest, listing, logs
-from ..streaming import live, tail
+from ..streaming import live, publish, tail
 from .adapters import EXPECTED_SQL, MESSAGES_SQL, usage_messages
 from .registry import SQL, query
 
@@ -514,3 +514,29 @@ def live_all_clients(spark, sf_dir):
     live.follow(live.all_events(spark, roots, now, lookback_ms=1 << 50), checkpoint, now, availableNow=True).awaitTermination()
     found = live.hour(spark, checkpoint).groupBy("client")
     return found.agg(F.count(F.lit(1)).alias("events"), F.sum("input").alias("tokens"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+
+
+@query(f"""WITH {MESSAGES_SQL}, e AS (SELECT ord % 1001 AS n, ord % 3 AS part, k % 50 + 1 AS tokens FROM u),
+m AS (SELECT n, j, max(tokens) AS tokens FROM e, range(3) AS s(j) WHERE part <= j GROUP BY n, j),
+r AS (SELECT 'c' || (n % 11) AS client, j, CAST(sum(tokens) AS BIGINT) AS tokens FROM m GROUP BY ALL)
+SELECT client, tokens, tokens / 60 AS tokens_per_min FROM (SELECT *, lag(tokens) OVER (PARTITION BY client ORDER BY j) AS before FROM r) WHERE tokens IS DISTINCT FROM before""")
+def published_rates(spark, sf_dir):
+    """Events of the last minute in three batches, the query restarted for each: rates over an hour, published when they change."""
+    src, out = fresh_path(spark, "events"), fresh_path(spark, "rates")
+    n, zero = F.col("ord") % 1001, F.lit(0).cast("long")
+    now = spark.range(1).select(F.unix_millis(F.current_timestamp())).first()[0]
+    rows = usage_messages(spark, sf_dir).select(
+        "ord", (F.lit(now) - n * 50).alias("ts_ms"), F.concat(F.lit("c"), (n % 11).cast("string")).alias("client"), F.lit("main").alias("agent"), F.lit("m").alias("model"),
+        (F.col("k") % 50 + 1).cast("long").alias("input"), zero.alias("output"), zero.alias("cache_read"), zero.alias("cache_write"), F.concat(F.lit("k"), n.cast("string")).alias("key"),
+    )
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
+    for part in range(3):
+        some = rows.filter(F.pmod("ord", F.lit(3)) == part).withColumn("ord", F.lpad(F.col("ord").cast("string"), 15, "0"))
+        some.select(*live.EVENT_COLUMNS).write.mode("append").parquet(src)
+        rates = publish.rates(live.last_hour(spark.readStream.schema(live.EVENT).parquet(src)), emit_ms=0, window_s=3600)
+        run = rates.writeStream.format("parquet").option("checkpointLocation", scratch(f"{src}-checkpoint")).trigger(processingTime="1 second").start(out)
+        # with timers by the clock a query never ends by itself: the part is read by the first or second batch
+        while len(run.recentProgress) < 3 and not run.awaitTermination(1):
+            pass
+        run.stop()
+    return spark.read.schema(publish.RATE).parquet(out).select("client", "tokens", "tokens_per_min")

@@ -363,3 +363,48 @@ def test_tiered_scan(tmp_path, monkeypatch):
     found = sizes(now + 65_000)
     assert "hot/s/x.jsonl" not in found and "new/deep/er/z.jsonl" not in found and len(found) == 32
     assert found == {os.path.relpath(e, root): os.stat(e).st_size for e in map(str, root.rglob("*.jsonl"))}
+
+
+def test_cadence_under_a_clock():
+    """At once, then at most each 180 s, only changes, down to 0, then silence."""
+    from meterglass.streaming import publish
+
+    start = NOW - NOW % 5000
+    panes, last, sent, timer = {start // 5000: 10}, publish.NEVER, [], 0
+    arrivals = {5_000: 7, 300_000: 1, 1_500_000: 4}
+    for at in range(0, 2_400_000, 5_000):  # a tick is 5 s
+        if at in arrivals:
+            pane = (start + at) // 5000
+            panes[pane] = panes.get(pane, 0) + arrivals[at]
+        elif at and (not timer or start + at < timer):
+            continue  # neither rows nor a timer
+        panes, last, send = publish.decided(panes, last, start + at, 180_000, 600)
+        timer = last[2]
+        if send is not None:
+            sent.append((at, send))
+    # 10 at once; 7 more wait for 180 s, 1 for 360; the first two have left by 720; that of 300 s is in the window until 900 s and missed at 1,080; a start after 0 is told at once
+    assert sent == [(0, 10), (180_000, 17), (360_000, 18), (720_000, 1), (1_080_000, 0), (1_500_000, 4), (2_220_000, 0)]
+    assert panes == {} and timer == 0
+
+
+def test_rates_go_on_after_a_restart(spark, tmp_path):
+    import time
+
+    src, checkpoint, sent = tmp_path / "in", str(tmp_path / "ck"), []
+    now = int(time.time() * 1000)
+
+    def run(until, *rows):
+        spark.createDataFrame(rows, live.EVENT).coalesce(1).write.mode("append").parquet(str(src))
+        query = live.follow(spark.readStream.schema(live.EVENT).parquet(str(src)), checkpoint, None, lambda found: sent.extend(r.tokens for r in found), 1000, 3600, processingTime="1 second")
+        for _ in range(120):
+            if query.exception() or (until(query) and len(query.recentProgress) > 2):
+                break
+            time.sleep(0.5)
+        query.stop()
+        assert not query.exception()
+
+    run(lambda q: len(sent) == 1, event(now, 5, "k"))
+    run(lambda q: len(sent) == 2, event(now, 9, "k", "b"), event(now, 1, None, "c"))  # a repeat adds what it raises
+    run(lambda q: len(q.recentProgress) > 5, event(now, 3, "k", "d"))  # no change, no rate
+    assert sent == [5, 10]
+    assert sorted(r.input for r in live.hour(spark, checkpoint).collect()) == [1, 9]
