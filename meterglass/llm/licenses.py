@@ -16,7 +16,10 @@ block, and blocks are joined with the template table on word sets:
 
 Exact phrases of words (the base) are found besides and count with score 1.
 
-The template table travels with the job, so it is checked: at most ``MAX_TEMPLATE_BYTES``.
+A template table of at most ``MAX_TEMPLATE_BYTES`` (checked) travels with the job, and tasks join
+their texts with it where they lie. A larger one is met by shuffles (``scan_shuffled``) with the
+same rows: ranks, prefixes and blocks are tables, candidates a join on prefix words, and only
+candidates meet the words of their block.
 
 Defined results: a null or empty text has no words and no labels; repeated rows are results of
 their own; ties in frequency fall to the word's order; an empty table gives an empty result;
@@ -31,13 +34,15 @@ from dataclasses import dataclass
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, as_bytes
+from .common import arrow_rows, as_bytes, stored
 
 THRESHOLD = 0.9
 MAX_TEMPLATE_BYTES = 4_000_000
+#: Candidate templates that meet the words of a block at a time, where templates are shuffled.
+AT_A_TIME = 64
 #: Bytes of UTF-8: digits, a-z after lower-casing A-Z, and all beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
@@ -196,48 +201,149 @@ def scan_text(text: str | None, join: Join, phrases: dict[str, list[bytes]], nee
 
 
 SCHEMA = (
-    "doc_id long, n_words long, base array<struct<label:string,first:long,last:long>>, "
+    "n_words long, base array<struct<label:string,first:long,last:long>>, "
     "hits array<struct<template:long,label:string,first:long,last:long,containment:double>>"
 )
 HIT = pa.struct([("template", pa.int64()), ("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("containment", pa.float64())])
 PHRASE_HIT = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
 
 
-def listed(templates) -> list[tuple[str, str]]:
-    """The template table (label, notice) as a list, after a check of its size."""
-    if not isinstance(templates, DataFrame):
-        return list(templates)
-    size = templates.agg(F.sum(F.octet_length("notice"))).first()[0] or 0
-    if size > MAX_TEMPLATE_BYTES:
-        raise ValueError(f"templates of {size} bytes; at most {MAX_TEMPLATE_BYTES} go to every task")
-    return [(r["label"], r["notice"]) for r in templates.select("label", "notice").filter("notice IS NOT NULL").orderBy("label", "notice").collect()]
+def template_files(spark: SparkSession, path: str) -> DataFrame:
+    """A template table of whole license texts, one a file; the file's name is the label."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("label"), F.col("value").alias("notice"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, ``base`` and ``hits`` with word places from 0.
 
-    ``templates``: a table with label and notice, or such pairs.
+    ``templates``: a table with label and notice, or such pairs; a null notice is no template.
     """
-    templates = listed(templates)
-    spelled = {label: words(p) for label, p in phrases.items()}
+    if isinstance(templates, DataFrame):
+        templates = templates.select("label", "notice").filter("notice IS NOT NULL")
+        if (templates.agg(F.sum(F.octet_length("notice"))).first()[0] or 0) > MAX_TEMPLATE_BYTES:
+            return scan_shuffled(docs, templates, phrases, threshold)
+        templates = [(r["label"], r["notice"]) for r in templates.orderBy("label", "notice").collect()]
     join = Join(word_frequencies(docs, frozenset(w for _, notice in templates for w in words(notice))), templates, threshold)
+    return scan_in_place(docs.select(F.col("doc_id").cast("long"), "text"), join, phrases)
+
+
+def scan_in_place(docs: DataFrame, join: Join, phrases: dict[str, str]) -> DataFrame:
+    """The join where the texts lie; other columns of ``docs`` than the text stay."""
+    spelled = {label: words(p) for label, p in phrases.items()}
     # a text without any of these can't match, so its places are never listed
     needed = join.first | frozenset(p[0] for p in spelled.values())
+    kept = [f for f in docs.schema if f.name != "text"]
+    names = [f.name for f in kept]
 
     def run(batches):
-        for ids, texts in arrow_rows(batches, ("doc_id", "text")):
+        for *own, texts in arrow_rows(batches, (*names, "text")):
             rows = [scan_text(t, join, spelled, needed) for t in texts]
-            names = ("label", "first", "last"), ("template", "label", "first", "last", "containment")
+            keys = ("label", "first", "last"), ("template", "label", "first", "last", "containment")
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([[dict(zip(names[0], x)) for x in r[1]] for r in rows], pa.list_(PHRASE_HIT)),
-                    pa.array([[dict(zip(names[1], x)) for x in r[2]] for r in rows], pa.list_(HIT)),
+                    *(pa.array(v, pa.int64() if f.dataType.typeName() == "long" else pa.binary()) for v, f in zip(own, kept)), pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([[dict(zip(keys[0], x)) for x in r[1]] for r in rows], pa.list_(PHRASE_HIT)),
+                    pa.array([[dict(zip(keys[1], x)) for x in r[2]] for r in rows], pa.list_(HIT)),
                 ],
-                names=["doc_id", "n_words", "base", "hits"],
+                names=[*names, "n_words", "base", "hits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return docs.mapInArrow(run, f"{schema}, {SCHEMA}")
+
+
+# --- beyond what may travel with the job ------------------------------------------------------
+
+
+def word_list(text: Column) -> Column:
+    """The words of a text, as ``words`` has them."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Rows with their number from 0 in the order: a range sort, and the sizes of its partitions summed."""
+    spark = df.sparkSession
+    # the part is stored with its rows, so that no later read can number them differently
+    placed = stored(df.orderBy(*order).select("*", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("at")), "numbered")
+    at, starts = 0, []
+    for part, n in sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect()):  # a row for each partition
+        starts.append((part, at))
+        at += n
+    begins = spark.createDataFrame(starts, "part int, begin long")
+    return placed.join(begins, "part").withColumn(name, F.col("begin") + F.col("at")).drop("part", "at", "begin")
+
+
+def template_tables(docs: DataFrame, templates: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The ranks of all template words, rarest first, and the templates as arrays of ranks."""
+    listed = numbered(templates, "number", "label", "notice").select("number", "label", word_list(F.col("notice")).alias("ws"))
+    spelled = listed.select("number", F.explode(F.array_distinct("ws")).alias("word"))
+    holding = docs.select(F.explode(F.array_distinct(word_list(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    frequency = spelled.select("word").distinct().join(holding, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    ranks = stored(numbered(frequency, "rank", "n", "word").select("word", "rank"), "ranks")
+    ordered = spelled.join(ranks, "word").groupBy("number").agg(F.sort_array(F.collect_list("rank")).alias("ordered"))
+    need = F.ceil(F.lit(threshold) * F.size("ordered") - F.lit(1e-9)).cast("int")
+    return ranks, stored(
+        listed.join(ordered, "number").select("number", "label", "ordered", need.alias("overlap"), F.ceil(F.size("ws") * F.lit(1.25)).cast("int").alias("window")), "templates"
+    )
+
+
+def candidate_pairs(blocks: DataFrame, templates: DataFrame) -> DataFrame:
+    """Blocks (key, half) and the templates that prefix, length and positional filters leave them."""
+    size = F.size("ordered").alias("n")
+    prefixes = templates.select("number", "overlap", size, F.posexplode(F.slice("ordered", F.lit(1), F.size("ordered") - F.col("overlap") + 1)).alias("j", "rank"))
+    ranks = F.array_distinct(F.transform("places", lambda p: p["rank"]))
+    own = blocks.select("key", "half", ranks.alias("ranks")).select("key", "half", F.size("ranks").alias("m"), F.posexplode("ranks").alias("i", "rank"))
+    met = own.join(prefixes, "rank").filter("m >= overlap").groupBy("key", "half", "number").agg(F.min(F.struct("i", "j", "m", "n", "overlap")).alias("a"))
+    return met.filter("1 + least(a.m - a.i - 1, a.n - a.j - 1) >= a.overlap").select("key", "half", "number")
+
+
+def verified(pairs: DataFrame, blocks: DataFrame, templates: DataFrame) -> DataFrame:
+    """The runs of matching windows of candidates, block by block: key, number, first, last and the best overlap."""
+    chunk = F.floor(F.col("number") / AT_A_TIME).alias("chunk")
+    sides = pairs.join(templates.drop("label"), "number").groupBy("key", "half", chunk).agg(F.collect_list(F.struct("number", "ordered", "overlap", "window")).alias("ts"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):  # row by row, so that one block and its templates are objects at a time
+                key, places, ts = (batch.column(c)[k].as_py() for c in ("key", "places", "ts"))
+                by_place = sorted((p["place"], p["rank"]) for p in places)
+                out = []
+                for t in ts:
+                    member = frozenset(t["ordered"])
+                    template = Template(t["number"], "", tuple(t["ordered"]), t["overlap"], t["window"])
+                    out += [(t["number"], *r) for r in runs([x for x in by_place if x[1] in member], template)]
+                columns = list(zip(*out)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(out), pa.binary()), *(pa.array(c, pa.int64()) for c in columns)], names=["key", "number", "first", "last", "common"])
+
+    joined = sides.join(blocks, ["key", "half"]).select("key", "places", "ts")
+    return joined.mapInArrow(run, "key binary, number long, first long, last long, common long")
+
+
+def scan_shuffled(docs: DataFrame, templates: DataFrame, phrases: dict[str, str], threshold: float) -> DataFrame:
+    """``scan`` with templates of any size: nothing of them is broadcast or collected.
+
+    Equal texts are one key, the digest of the text, so copies are joined with templates once. A
+    block is at most two of the longest windows. Runs found in blocks that overlap are merged.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"))
+    ranks, listed = template_tables(docs, templates, threshold)
+    step = listed.agg(F.max("window")).first()[0] or 1
+    placed = docs.select("key", F.posexplode(word_list(F.col("text"))).alias("place", "word")).join(ranks, "word")
+    half = F.floor(F.col("place") / step)
+    halved = placed.select("key", "place", "rank", F.explode(F.array(half - 1, half)).alias("half")).filter("half >= 0")
+    blocks = stored(halved.groupBy("key", "half").agg(F.sort_array(F.collect_set(F.struct("rank", "place"))).alias("places")), "blocks")
+    found = verified(stored(candidate_pairs(blocks, listed), "candidates"), blocks, listed)
+    by_first = Window.partitionBy("key", "number").orderBy("first", "last")
+    before = F.max("last").over(by_first.rowsBetween(Window.unboundedPreceding, -1))
+    opened = found.withColumn("opens", F.when(F.col("first") <= before, 0).otherwise(1)).withColumn("run", F.sum("opens").over(by_first.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = opened.groupBy("key", "number", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("common").alias("common"))
+    named = merged.join(listed.select("number", "label", F.size("ordered").alias("n")), "number")
+    hit = F.struct(F.col("number").alias("template"), "label", "first", "last", (F.col("common") / F.col("n")).alias("containment"))
+    hits = named.groupBy("key").agg(F.array_sort(F.collect_list(hit)).alias("found"))
+    rows = scan_in_place(docs, Join({}, ()), phrases).join(hits, "key", "left")
+    return rows.select("doc_id", "n_words", "base", F.coalesce("found", "hits").alias("hits"))
 
 
 def digest(found: DataFrame) -> DataFrame:
