@@ -101,6 +101,31 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op8_pii``: its rows without the spans that the method adds."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+#: The plain patterns; what stands between the matches gives their places.
+PII_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+k AS (SELECT * FROM (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) v(place, kind, pattern)),
+m AS (SELECT rid, place, kind, regexp_extract_all(t, pattern) AS ms, string_split_regex(t, pattern) AS gaps FROM d, k),
+e AS (SELECT rid, place, kind, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0),
+p AS (SELECT rid, place, kind, m, regexp_replace(m, '[^0-9]', '', 'g') AS digits, sum(length(gap) + length(m)) OVER (PARTITION BY rid, place ORDER BY i) AS till FROM e),
+v AS (SELECT rid, place, kind, CAST(till - length(m) AS BIGINT) AS a, CAST(till AS BIGINT) AS z FROM p WHERE CASE kind WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+  ELSE length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(digits)[i] AS INTEGER)
+    WHEN reverse(digits)[i] > '4' THEN 2 * CAST(reverse(digits)[i] AS INTEGER) - 9 ELSE 2 * CAST(reverse(digits)[i] AS INTEGER) END)) % 10 = 0 END),
+s AS (SELECT rid, count(*) FILTER (place = 0) AS n_email, count(*) FILTER (place = 1) AS n_ip, count(*) FILTER (place = 2) AS n_card, count(*) FILTER (place = 3) AS n_phone,
+  string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, place) AS spans FROM v GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN s USING (rid)
+"""
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -192,10 +217,11 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
+    "pii_base": pii_base,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
     "op12_runs": op12_runs,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
-SQL = {"op2_license_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_mixing": OP10_SQL, "op11_lexical_search": OP11_SQL}
+SQL = {"op2_license_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "pii_base": PII_BASE_SQL, "op10_mixing": OP10_SQL, "op11_lexical_search": OP11_SQL}
