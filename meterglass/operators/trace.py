@@ -6,10 +6,11 @@ clock is always an argument. Events after it count, as they do in the window's d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.models import live_client
+from ..functions import labels
+from ..functions.models import CLIENTS, live_client
 from .rollup import long_sum
 
 RETENTION_S = 3600
@@ -113,6 +114,33 @@ def live_clients(rows: DataFrame) -> DataFrame:
     return rows.filter("tokens_per_min > 0").select(live_client(F.col("client")).alias("client")).distinct()
 
 
+def registry(spark: SparkSession) -> DataFrame:
+    """The clients that the dashboard knows: id, place, name and colour. A row for each; the table doesn't grow."""
+    known = [*CLIENTS, *(c for c in labels.COLORS if c not in CLIENTS)]
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("client"), F.lit(i).alias("place")) for i, c in enumerate(known)]))
+    return spark.range(1).select(rows).select("client", "place", labels.display_name(F.col("client")).alias("name"), labels.client_color(F.col("client")).alias("color"))
+
+
+def styled(rows: DataFrame) -> DataFrame:
+    """Live rows with ``registry_id``, ``place``, ``name`` and ``color`` of their client in the registry.
+
+    A live id is matched by its dashboard id (claude-code and claude are one). A client that the
+    registry lacks keeps its id, has no place, a name made of its id and the common colour; a null
+    client has neither place nor name.
+    """
+    known = registry(rows.sparkSession).select(F.col("client").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("place", "name", "color")])
+    own = F.col("registry_id")
+    joined = rows.withColumn("registry_id", live_client(F.col("client"))).join(F.broadcast(known), own == F.col("_id"), "left")
+    return joined.withColumns(
+        {"place": F.col("_place"), "name": F.coalesce("_name", labels.display_name(own)), "color": F.coalesce("_color", F.lit(labels.OTHER_COLOR))}
+    ).drop("_id", "_place", "_name", "_color")
+
+
+def idle_clients(rows: DataFrame) -> DataFrame:
+    """The registry's clients that no live row has, in its order's places."""
+    return registry(rows.sparkSession).join(rows.select(live_client(F.col("client")).alias("client")).distinct(), "client", "left_anti")
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per session and field the growth, never negative; sessions new in ``after`` count in full."""
     fields = ("input", "output", "cache_read", "cache_write")

@@ -95,8 +95,10 @@ def year_rollup(spark, sf_dir):
 
 @query("""SELECT strftime(o_orderdate, '%Y') AS year, count(*) AS orders, round(CAST(sum(CAST(o_totalprice AS DECIMAL(28,10))) AS DOUBLE), 2) AS total_cost, strftime(min(o_orderdate), '%Y-%m-%d') AS start, strftime(max(o_orderdate), '%Y-%m-%d') AS "end" FROM orders GROUP BY 1""")
 def order_years(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").cast("string").alias("date"), "o_totalprice")
-    return o.groupBy(F.substring("date", 1, 4).alias("year")).agg(F.count(F.lit(1)).alias("orders"), F.round(rollup.money_sum(F.col("o_totalprice")), 2).alias("total_cost"), F.min("date").alias("start"), F.max("date").alias("end"))
+    """The years of the library's rollup, an order counting as one token."""
+    zero = [F.lit(0).cast("long").alias(c) for c in ("output", "cache_read", "cache_write", "reasoning")]
+    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").cast("string").alias("date"), F.lit(1).cast("long").alias("input"), *zero, F.col("o_totalprice").alias("cost"))
+    return rollup.years(o).withColumnRenamed("total_tokens", "orders").withColumn("total_cost", F.round("total_cost", 2))
 
 
 @query(f"{ENRICHED_SQL} SELECT date, {TOTALS} FROM e WHERE date LIKE '2024-%' GROUP BY date")
@@ -214,6 +216,20 @@ def sliding_rates(spark, sf_dir):
     return trace.sliding(trace.panes(usage_events(spark, sf_dir)), 600).drop("tokens_per_min")
 
 
+#: The registry written out by hand, as the oracle has it: id, place, name, colour.
+REGISTRY_SQL = """known AS (SELECT * FROM (VALUES ('claude', 0, 'Claude', '#d97706'), ('codex', 1, 'Codex', '#9ca3af'), ('cursor', 2, 'Cursor', '#0ea5e9'), ('opencode', 3, 'OpenCode', '#1f2937'), ('gemini', 4, 'Gemini', '#60a5fa'),
+  ('copilot', 5, 'Copilot', '#1f2937'), ('amp', 6, 'Amp', '#10b981'), ('droid', 7, 'Droid', '#22c55e'), ('hermes', 8, 'Hermes', '#a78bfa'), ('grok', 9, 'Grok', '#111827'), ('omp', 10, 'Omp', '#6b7280')) v(id, place, name, color))"""
+
+
+@query(f"""{TRACE_SQL}, {REGISTRY_SQL}, r AS (SELECT CASE client WHEN 'claude-code' THEN 'claude' ELSE regexp_replace(client, '-cli$', '') END || CASE WHEN agent LIKE '%1' THEN ' lab' ELSE '' END AS registry_id, agent, model, tokens FROM tr)
+SELECT registry_id, agent, model, tokens, place, coalesce(name, upper(registry_id[1]) || substr(registry_id, 2, length(registry_id) - 5) || ' Lab') AS name, coalesce(color, '#6b7280') AS color FROM r LEFT JOIN known ON id = registry_id""")
+def styled_trace(spark, sf_dir):
+    """Trace rows joined with the registry; agents that end with 1 are of clients that it lacks."""
+    rows = trace.trace(usage_events(spark, sf_dir), NOW_MS, TRACE_S)
+    renamed = rows.withColumn("client", F.when(F.col("agent").endswith("1"), F.concat(models.live_client(F.col("client")), F.lit(" lab"))).otherwise(F.col("client")))
+    return trace.styled(renamed).select("registry_id", "agent", "model", "tokens", "place", "name", "color")
+
+
 @query(f"{COLLAPSE_SQL} SELECT DISTINCT client FROM co WHERE tokens_per_min > 0")
 def live_clients(spark, sf_dir):
     return trace.live_clients(trace.trace(usage_events(spark, sf_dir), NOW_MS, TRACE_S))

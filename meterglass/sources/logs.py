@@ -108,10 +108,13 @@ def codex(spark: SparkSession, config: Config) -> DataFrame:
 
 
 def split_csv(line: Column) -> Column:
-    """Fields at commas that an even number of quotes precedes; quotes stay in the text, doubled or not."""
-    parts = F.split(line, '"', -1)
-    outside = F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(","), F.lit("\u0001"))).otherwise(p))
-    return F.split(F.array_join(outside, '"'), "\u0001", -1)
+    """Fields at commas that an even number of quotes precedes; quotes stay in the text, doubled or not.
+
+    U+0001 escapes: with 1 it stands for itself, with 2 for a comma that parts fields.
+    """
+    parts = F.split(F.replace(line, F.lit("\u0001"), F.lit("\u00011")), '"', -1)
+    outside = F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(","), F.lit("\u00012"))).otherwise(p))
+    return F.transform(F.split(F.array_join(outside, '"'), "\u00012", -1), lambda f: F.replace(f, F.lit("\u00011"), F.lit("\u0001")))
 
 
 def clean_csv(field: Column) -> Column:

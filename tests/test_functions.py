@@ -66,7 +66,7 @@ def test_reset_text(spark, minutes, text):
 
 
 def test_csv(spark):
-    cases = {'"a""b,c",d': ['"a""b,c"', "d"], '"a,b': ['"a,b'], "": [""], "a,b,": ["a", "b", ""]}
+    cases = {'"a""b,c",d': ['"a""b,c"', "d"], '"a,b': ['"a,b'], "": [""], "a,b,": ["a", "b", ""], '\x01a,"\x01,\x012",2\x011': ["\x01a", '"\x01,\x012"', "2\x011"]}
     for line, fields in cases.items():
         assert one(spark, logs.split_csv(F.col("t")), t=line) == fields
     costs = {"$1,234.56": 1234.56, "Included": 0.0, "NaN": 0.0, "-": 0.0, "": 0.0, "x": 0.0}

@@ -120,6 +120,20 @@ def test_trace(spark):
     assert [tuple(r)[:3] for r in trace.sorted_trace(rows).collect()][0] == ("codex-cli", "main", "gpt")
 
 
+def test_registry(spark):
+    rows = spark.createDataFrame([("claude-code", 1), ("claude", 2), ("gemini-cli", 3), ("new-client", 4), ("omp", 5), (None, 6), ("kimi", 7)], "client string, place_before long")
+    got = {r["place_before"]: (r["client"], r["registry_id"], r["place"], r["name"], r["color"]) for r in trace.styled(rows).collect()}
+    assert got == {
+        1: ("claude-code", "claude", 0, "Claude", "#d97706"), 2: ("claude", "claude", 0, "Claude", "#d97706"), 3: ("gemini-cli", "gemini", 4, "Gemini", "#60a5fa"), 4: ("new-client", "new-client", None, "New Client", "#6b7280"),
+        5: ("omp", "omp", 10, "Omp", "#6b7280"), 6: (None, None, None, None, "#6b7280"), 7: ("kimi", "kimi", 13, "Kimi", "#fbbf24"),
+    }
+    clash = rows.withColumns({c: F.lit("own") for c in ("name", "color", "place", "registry_id")})
+    assert {r["place_before"]: r["name"] for r in trace.styled(clash).collect()} == {k: v[3] for k, v in got.items()}
+    idle = {r["client"]: r["place"] for r in trace.idle_clients(rows).collect()}
+    assert not {"claude", "gemini", "omp", "kimi"} & set(idle) and idle["codex"] == 1 and len(idle) == trace.registry(spark).count() - 4
+    assert trace.styled(rows.limit(0)).count() == 0
+
+
 def test_merge_and_retention(spark):
     e = spark.createDataFrame([(5, "c", "a1", "m1", 1, 9, 0, 0, "k", 0), (7, "c", "a2", "m2", 4, 2, 0, 0, "k", 1), (9, "c", "a", "m", 1, 1, 0, 0, None, 2)], EVENT)
     got = trace.merged(e).orderBy("ord").collect()
