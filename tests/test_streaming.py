@@ -144,6 +144,19 @@ def test_the_hour_is_merged_and_ends_across_batches_and_restarts(spark, tmp_path
     assert tick(event(NOW - 6_000_000, 1, "late", "i")) == [("k3", "g", 86_400_000, 3), ("f", -3_000_000, 4), ("h", 0, 1)]
 
 
+def test_a_run_of_lines_ends_what_its_lines_put_past_the_hour(spark, tmp_path):
+    def tick(name, *calls):
+        add(tmp_path / f"logs/s/{name}.jsonl", *[{"type": "message", "message": {"role": "assistant", "model": "m", "timestamp": NOW - ms, "responseId": f"r{ms}", "usage": {"input": 1}}} for ms in calls])
+        live.follow(live.live_events(spark, "omp", str(tmp_path / "logs"), NOW), str(tmp_path / "ck"), NOW, availableNow=True).awaitTermination()  # each tick a restart
+        return sorted(NOW - r.ts_ms for r in live.hour(spark, str(tmp_path / "ck")).collect())
+
+    assert tick("a", 3_700_000, 3_602_500, 3_601_000, 3_000) == [3_000, 3_601_000, 3_602_500]
+    # the latest event is the last to come: what it puts past the hour is gone at the end of the same run
+    assert tick("b", 2_000, 3_601_500) == [2_000, 3_000, 3_601_000, 3_601_500]
+    assert tick("c", 0) == [0, 2_000, 3_000]
+    assert tick("c") == [0, 2_000, 3_000]
+
+
 def test_publish_on_change(spark):
     rows, sent = [[1], [1], [2]], []
     view = iter(rows)
