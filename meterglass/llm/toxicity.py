@@ -78,30 +78,43 @@ class Rows:
     """Present features of the training rows in compressed rows: of each entry its row and the number of its feature.
 
     Features of fewer than ``LEAST_DOCS`` rows can't be chosen by any model and are left out once.
+    Entries are met ``STEP`` at a time, so that what is made of them for a moment stays small.
     """
 
+    STEP = 1 << 19
+
     def __init__(self, rows: list[np.ndarray]):
-        self.n = len(rows)
-        sizes = np.array([len(r) for r in rows], np.int64)
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        counts = np.bincount(flat, minlength=1 << BITS)
+        self.n, self.place = len(rows), np.arange(len(rows), dtype=np.int32)
+        counts = np.zeros(1 << BITS, np.int32)
+        for r in rows:
+            counts[r] += 1  # a row's features are distinct
         self.features = np.flatnonzero(counts >= LEAST_DOCS).astype(np.int32)
         column = np.full(1 << BITS, -1, np.int32)
         column[self.features] = np.arange(len(self.features), dtype=np.int32)
-        col = column[flat]
-        used = col >= 0
-        self.col, self.row = col[used], np.repeat(np.arange(self.n, dtype=np.int32), sizes)[used]
+        size = int(counts[self.features].sum(dtype=np.int64))
+        self.col, self.row, at = np.empty(size, np.int32), np.empty(size, np.int32), 0
+        for i, r in enumerate(rows):
+            col = column[r]
+            col = col[col >= 0]
+            self.col[at : at + len(col)] = col
+            self.row[at : at + len(col)] = i
+            at += len(col)
 
     def part(self, rows: np.ndarray) -> "Rows":
-        """The same features over some of the rows, ascending, numbered anew."""
+        """The same features over some of the rows, ascending, numbered anew: a view, not a copy."""
         out = object.__new__(Rows)
-        place = np.full(self.n, -1, np.int32)
-        place[rows] = np.arange(len(rows), dtype=np.int32)
-        own = place[self.row]
-        used = own >= 0
-        out.n, out.features, out.col, out.row = len(rows), self.features, self.col[used], own[used]
+        out.n, out.features, out.col, out.row = len(rows), self.features, self.col, self.row
+        out.place = np.full(len(self.place), -1, np.int32)
+        out.place[np.flatnonzero(self.place >= 0)[rows]] = np.arange(len(rows), dtype=np.int32)
         return out
 
+    def entries(self):
+        """row and col of all entries, in steps."""
+        for at in range(0, len(self.col), self.STEP):
+            row = self.place[self.row[at : at + self.STEP]]
+            used = row >= 0
+            yield row[used], self.col[at : at + self.STEP][used]
+
 
 @dataclass
 class Linear:
@@ -120,8 +133,10 @@ class Linear:
         empty = cls(np.zeros(0, np.int32), np.zeros(0), np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate))) if 0 < rate < 1 else -30.0)
         if not 0 < positives < n:
             return empty
-        df = np.bincount(rows.col, minlength=len(rows.features))
-        hit = np.bincount(rows.col, weights=y[rows.row], minlength=len(rows.features))
+        df, hit = np.zeros(len(rows.features), np.int64), np.zeros(len(rows.features))
+        for row, col in rows.entries():
+            df += np.bincount(col, minlength=len(df))
+            hit += np.bincount(col, weights=y[row], minlength=len(df))
         use = np.flatnonzero((df >= LEAST_DOCS) & (df < n))
         a, b = hit[use], df[use] - hit[use]
         c, d = positives - a, n - positives - b
@@ -130,8 +145,9 @@ class Linear:
         use = np.sort(use)
         column = np.full(len(rows.features), -1, np.int32)
         column[use] = np.arange(len(use), dtype=np.int32)
-        col = column[rows.col]
-        row, col = rows.row[col >= 0], col[col >= 0]
+        none = np.zeros(0, np.int32)
+        kept = [(row[chosen], column[col[chosen]]) for row, col in rows.entries() for chosen in [column[col] >= 0]]
+        row, col = (np.concatenate(x) for x in zip((none, none), *kept))
         w, v, bias = np.zeros(len(use)), np.zeros(dense.shape[1]), empty.bias
         each = np.bincount(row, minlength=n) + 1 + dense.shape[1]
         # steps of a separable upper bound of the loss: each coordinate's curvature is at most a quarter of its rows' widths
@@ -269,7 +285,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict, last: st
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([text_features(t).tobytes() for t in columns[1]], pa.binary()), *[pa.array(c, pa.int32()) for c in columns[2:]]], names=["_id", "_f", *names])
 
     got = found.mapInArrow(run, "_id long, _f binary, " + ", ".join(f"{n} int" for n in names)).toArrow().sort_by("_id")
-    rows = [np.frombuffer(x, np.int32) for x in got.column("_f").to_pylist()]
+    rows = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("_f")]  # views: the driver holds the sample once
     y = np.column_stack([got.column(n).to_numpy() for n in names]) if rows else np.zeros((0, len(names)), int)
     folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in got.column("_id").to_pylist()], int)
     return rows, y, folds, shares
@@ -282,7 +298,10 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic", "toxic_low_quality
 def fit(docs: DataFrame, labels: DataFrame, categories: dict = CATEGORIES, target: str = "toxic") -> Chain:
     rows, y, folds, shares = training_rows(docs, labels, categories, target)
     chain = Chain.fit(tuple(categories), rows, y, folds)
-    return chain.correct(shares, list(y.mean(0))) if len(rows) else chain
+    chain = chain.correct(shares, list(y.mean(0))) if len(rows) else chain
+    del rows
+    pa.default_memory_pool().release_unused()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, target: str = "toxic") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from helpers import AWKWARD, docs
@@ -96,3 +97,18 @@ def test_awkward_rows(spark):
     one_sided = T.fit(docs(spark, AWKWARD), spark.createDataFrame([(1, 1, 0), (None, 0, 1), (4, None, None), (5, 1, 0), (5, 1, 0)], LABELS))
     assert T.drop_toxic(docs(spark, AWKWARD, extra=True), one_sided).count() == len(AWKWARD)
     assert T.score(docs(spark, []), one_sided).count() == 0
+
+
+def test_the_fit_holds_the_sample_about_once():
+    rng = np.random.default_rng(5)
+    features = [np.unique(rng.integers(0, 40_000, 1500)).astype(np.int32) for _ in range(3000)]
+    labels = rng.integers(0, 2, (3000, 1))
+    tracemalloc.start()
+    try:
+        T.Chain.fit(("a",), features, labels, np.arange(3000) % 4)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    entries = sum(map(len, features))
+    # two numbers of 4 bytes an entry, beside tables by feature and what a step makes
+    assert peak < 8 * entries + (64 << 20), peak / entries
