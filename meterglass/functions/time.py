@@ -10,6 +10,9 @@ from . import json as J
 #: Date, separator, time to the second, optional fraction, zone.
 RFC3339 = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}):(\d{2})(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
+#: What most logs write, and Spark casts as it stands.
+COMMON = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:[0-5]\d(\.\d{1,6})?Z$"
+
 
 def rfc3339_ms(text: Column) -> Column:
     """Strict RFC 3339 (zone required) to milliseconds, fractions truncated, second 60 the next second; else null."""
@@ -19,7 +22,8 @@ def rfc3339_ms(text: Column) -> Column:
     plain = F.concat(part[0], F.lit(" "), part[1], F.lit(":"), F.when(leap, "59").otherwise(part[2]), F.when(zone == "Z", "+00:00").otherwise(zone))
     whole = F.unix_seconds(plain.try_cast("timestamp")) * 1000 + F.when(leap, 1000).otherwise(0)
     fraction = F.rpad(F.substring(part[3], 2, 3), 3, "0").try_cast("long")
-    return F.when(text.rlike(RFC3339) & (zone.rlike(r"^(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$")), whole + F.when(part[3] == "", 0).otherwise(fraction))
+    parted = F.when(text.rlike(RFC3339) & (zone.rlike(r"^(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$")), whole + F.when(part[3] == "", 0).otherwise(fraction))
+    return F.when(text.rlike(COMMON), F.unix_millis(text.try_cast("timestamp"))).otherwise(parted)
 
 
 def normalize_epoch_ms(n: Column) -> Column:

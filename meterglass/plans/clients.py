@@ -10,6 +10,7 @@ from contextlib import closing
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,24 +29,48 @@ def iso() -> Column:
     return F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def written(rows: DataFrame, value: Column, by: str | None = None, name: str | Callable[[str], str] = "{}.jsonl") -> str:
-    """A fresh shared folder of files with a line a row, in the order of ``ord``; with ``by`` a file, of that name, for each of its values."""
+def written(rows: DataFrame, value: Column, by: str | None = None, name: str | Callable[[str], str] = "{}.jsonl", path: str | None = None) -> str:
+    """A shared folder, a fresh one unless given, of files with a line a row, in the order of ``ord``; with ``by`` a file, of that name, for each of its values.
+
+    Tasks write the files under their names: the driver touches none. Run again, a task writes the same files.
+    """
     named = name if callable(name) else name.format
     spark = rows.sparkSession
-    path = fresh_path(spark, "logs")
-    lines = rows.select("user_id", "ord", value.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "ord")
-    writer = lines.select("value", *([by] if by else [])).write
-    (writer.partitionBy(by) if by else writer).text(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files, found = store.listFiles(hadoop(path), True), []
-    while files.hasNext():
-        found.append(files.next().getPath())
-    for file in found:  # a few files: Spark's writer always ends them in .txt
-        if file.getName().endswith(".txt"):
-            to = hadoop(path, named(file.getParent().getName().partition("=")[2] if by else file.getName().removesuffix(".txt")))
-            store.mkdirs(to.getParent())
-            store.rename(file, to)
+    path = path or fresh_path(spark, "logs")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)  # there without rows, too
+    kept = [F.coalesce(F.col(by).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("by")] if by else []
+    lines = rows.select("user_id", "ord", value.alias("value"), *kept).repartition("user_id").sortWithinPartitions("user_id", "ord")
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        store, root = tail.file_system(path)
+        made, n, at, out = set(), 0, None, None
+        try:
+            for b in batches:
+                values = b.column("value")
+                names = b.column("by") if by else pa.repeat(pa.scalar(f"part-{TaskContext.get().partitionId():05d}"), len(b))
+                runs = pc.run_end_encode(names)
+                start = 0
+                for of, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                    if of != at:
+                        if out:
+                            out.close()
+                        target = f"{root}/{named(of)}"
+                        folder = target.rpartition("/")[0]
+                        if folder not in made:
+                            store.create_dir(folder)
+                            made.add(folder)
+                        out, at, n = store.open_output_stream(target), of, n + 1
+                    out.write("".join(f"{v or ''}\n" for v in values[start:end].to_pylist()).encode())
+                    start = end
+        finally:
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    lines.drop("user_id", "ord").mapInArrow(write, "n long").agg(F.sum("n")).collect()  # makes the files
     return path
 
 
