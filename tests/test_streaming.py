@@ -421,3 +421,16 @@ def test_rates_go_on_after_a_restart(spark, tmp_path):
     run(lambda q: len(q.recentProgress) > 5, event(now, 3, "k", "d"))  # no change, no rate
     assert sent == [5, 10]
     assert sorted(r.input for r in live.hour(spark, checkpoint).collect()) == [1, 9]
+
+
+def test_small_files_share_tasks(tmp_path):
+    """Many files are read by a bounded number of tasks, every line once."""
+    for k in range(500):
+        add(tmp_path / f"logs/{k}.jsonl", f'{{"k": {k}}}', "{}")
+    reader = tail.TailReader(options(tmp_path))
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert len(parts) <= 2 * tail.TASKS
+    assert sorted(os.path.basename(r[0]) for p in parts for r in reader.read(p)) == sorted(f"{k}.jsonl" for k in range(500) for _ in range(2))
+    (tmp_path / "logs/7.jsonl").unlink()  # the others of its task are still read
+    assert sum(1 for p in parts for _ in reader.read(p)) == 998
