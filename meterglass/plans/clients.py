@@ -6,7 +6,7 @@ import os
 import sqlite3
 import tempfile
 from collections.abc import Callable
-from contextlib import closing
+from contextlib import closing, suppress
 from pathlib import Path
 
 import pyarrow as pa
@@ -149,14 +149,20 @@ def codex_logs(spark, sf_dir):
     return logs.SOURCES["codex"](spark, logs.Config(home=path, roots={"codex": [moved(spark, path)]})).select(*SHOWN)
 
 
-def joined(spark: SparkSession, path: str, into: str) -> None:
-    """Moves the files of a folder's folders into the folders of that name in another."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in store.listStatus(hadoop(path)):  # a few files
-        if folder.isDirectory():
-            for f in store.listStatus(folder.getPath()):
-                store.rename(f.getPath(), hadoop(f"{into}/{folder.getPath().getName()}/{f.getPath().getName()}"))
+def without(users: DataFrame, path: str, name: Callable[[str], str]) -> None:
+    """Deletes the files, of that name, of the users' logs: in tasks, as ``written`` makes them."""
+
+    def delete(batches):
+        store, root = tail.file_system(path)
+        n = 0
+        for b in batches:
+            for user in b.column("user_id").to_pylist():
+                n += 1
+                with suppress(FileNotFoundError):
+                    store.delete_file(f"{root}/{name(user)}")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    users.select(F.col("user_id").cast("string")).distinct().mapInArrow(delete, "n long").agg(F.sum("n")).collect()
 
 
 def moved(spark: SparkSession, path: str, to: str = "sessions") -> str:
@@ -333,10 +339,10 @@ def grok_sibling_logs(spark, sf_dir):
     path = grok_lines(spark, sf_dir, named=False)
     users = logged(spark, sf_dir).groupBy("user_id").agg(F.max("ord").alias("ord"))
     of = lambda k: users.filter(F.col("user_id") % 3 == k)
-    joined(spark, written(of(0), json_line(current_model_id=F.lit("grok-summary"), updated_at=F.lit("2024-01-01T00:00:00Z")), "user_id", "{}/summary.json"), path)
+    written(of(0), json_line(current_model_id=F.lit("grok-summary"), updated_at=F.lit("2024-01-01T00:00:00Z")), "user_id", "{}/summary.json", path)
     journal = users.filter("user_id % 3 < 2").select("user_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord")).withColumn("model", F.when(F.col("ord") == 2, "grok-journal").when(F.col("ord") == 3, "later"))
-    joined(spark, written(journal, json_line(ts=F.lit("2024-01-01T00:00:00Z"), model_id=F.col("model")), "user_id", "{}/events.jsonl"), path)
-    joined(spark, written(of(2), json_line(primaryModelId=F.lit("grok-signals")), "user_id", "{}/signals.json"), path)
+    written(journal, json_line(ts=F.lit("2024-01-01T00:00:00Z"), model_id=F.col("model")), "user_id", "{}/events.jsonl", path)
+    written(of(2), json_line(primaryModelId=F.lit("grok-signals")), "user_id", "{}/signals.json", path)
     return read(spark, "grok", moved(spark, path))
 
 
@@ -385,13 +391,8 @@ def incremental_ingest(spark, sf_dir):
     path, facts = written(rows.filter("ord % 3 > 0"), claude_line(rows), "user_id"), ingest.Facts(spark, fresh_path(spark, "facts"))
     config = logs.Config(home=path, roots={"claude": [path]})
     facts.update(config, ["claude"])
-    grown = written(rows.filter("user_id % 5 = 0"), claude_line(rows), "user_id")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in rows.select("user_id").distinct().filter("user_id % 5 < 2").collect():  # a user a file
-        store.delete(hadoop(path, f"{r.user_id}.jsonl"), False)
-        if r.user_id % 5 == 0:
-            store.rename(hadoop(grown, f"{r.user_id}.jsonl"), hadoop(path, f"{r.user_id}.jsonl"))
+    written(rows.filter("user_id % 5 = 0"), claude_line(rows), "user_id", path=path)
+    without(rows.filter("user_id % 5 = 1"), path, "{}.jsonl".format)
     facts.update(config, ["claude"])
     return facts.read(["claude"], keep=("batch",)).select(*SHOWN, "batch")
 
@@ -408,14 +409,9 @@ def incremental_daily(spark, sf_dir):
     path, daily = written(rows.filter("user_id % 3 > 0"), line, "user_id"), increments.Increments(spark, fresh_path(spark, "daily"))
     config = logs.Config(home=path, roots={"claude": [path]})
     daily.update(config, ["claude"])
-    early = written(rows.filter("user_id % 3 = 0"), line, "user_id", "new/0-{}.jsonl")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for f in store.listStatus(hadoop(early, "new")):  # a user a file
-        store.rename(f.getPath(), hadoop(path, f.getPath().getName()))
+    written(rows.filter("user_id % 3 = 0"), line, "user_id", "0-{}.jsonl", path)
     daily.update(config, ["claude"])
-    for r in rows.select("user_id").distinct().filter("user_id % 7 = 0").collect():
-        store.delete(hadoop(path, f"{'0-' if r.user_id % 3 == 0 else ''}{r.user_id}.jsonl"), False)
+    without(rows.filter("user_id % 7 = 0"), path, lambda user: f"{'0-' if int(user) % 3 == 0 else ''}{user}.jsonl")
     daily.update(config, ["claude"])
     return daily.daily().drop("cost", "reasoning")
 
