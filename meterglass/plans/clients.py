@@ -93,8 +93,9 @@ def databases(rows: DataFrame, create: str, path: str, name: str, *more: str, pa
             store, root = tail.file_system(path)
             target = f"{root}/{name.format(k)}"
             store.create_dir(target.rpartition("/")[0])
-            with store.open_output_stream(target) as out:
-                out.write(Path(f"{folder}/made.db").read_bytes())
+            with store.open_output_stream(target) as out, Path(f"{folder}/made.db").open("rb") as source:
+                while piece := source.read(8 << 20):
+                    out.write(piece)
         yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32())})
 
     rows.repartition(parts, F.col(rows.columns[0])).mapInArrow(write, "k int").collect()  # a number a file

@@ -75,7 +75,9 @@ def table_rows(spark: SparkSession, roots: list[str], glob: str, read, columns:
                     logging.getLogger(__name__).warning("%s not read to its end: %s", f["file"], e)
 
     found = listed(spark, roots, glob, recursive=False, only=only)
-    return found.repartition("file").mapInArrow(run, schema)
+    # a task a file, as its few rows would else be put in one; what comes of a large file is then dealt over all
+    dealt = found.repartition(max(1, min(found.count(), 4 * spark.sparkContext.defaultParallelism)))
+    return dealt.mapInArrow(run, schema).repartition("file", "pos")
 
 
 def opencode_messages(spark: SparkSession, roots: list[str], only: DataFrame | None = None) -> DataFrame:
