@@ -25,6 +25,8 @@ EVENT = "timestamp_ms long, model string, input_tokens long, output_tokens long,
 FIELDS = tuple(f.split()[0] for f in EVENT.split(", "))
 NAME = "events.json"
 STEP = 4 << 20
+#: The first and last line: each event has a line of its own, so that a large cache is read by ranges.
+HEAD, TAIL = '{"events": [', "]}"
 
 
 @dataclass
@@ -50,7 +52,7 @@ class CacheWriter(DataSourceWriter):
         store.create_dir(at.rpartition("/")[0])
         with store.open_output_stream(at) as out:
             for row in iterator:
-                out.write(("," if n else "").encode() + json.dumps({f: row[f] for f in FIELDS}, ensure_ascii=False, allow_nan=False).encode("utf-8"))
+                out.write((",\n" if n else "").encode() + json.dumps({f: row[f] for f in FIELDS}, ensure_ascii=False, allow_nan=False).encode("utf-8"))
                 n += 1
         return Staged(part, name, n)
 
@@ -59,13 +61,13 @@ class CacheWriter(DataSourceWriter):
         store, made = self.inner(f".made-{self.run}")
         store.create_dir(made.rpartition("/")[0])
         with store.open_output_stream(made) as out:
-            out.write(b'{"events": [')
+            out.write(f"{HEAD}\n".encode())
             for k, m in enumerate(full):
-                out.write(b"," if k else b"")
+                out.write(b",\n" if k else b"")
                 with store.open_input_stream(self.inner(m.file)[1]) as staged:
                     while piece := staged.read(STEP):
                         out.write(piece)
-            out.write(b"]}")
+            out.write((f"\n{TAIL}" if full else TAIL).encode())
         store.move(made, self.inner(NAME)[1])
         self.clean()
 

@@ -163,8 +163,9 @@ def opened(path: str):
 
 def _read(found: DataFrame, whole: bool, stop: bool = False, size: int = RANGE) -> DataFrame:
     """Rows of the listed files, ranges of ``size`` bytes dealt over tasks. A file that is gone meanwhile has none."""
-    n, total = found.agg(F.count(F.lit(1)), F.sum("size")).first()
-    parts = min(n, max(-(-(total or 0) // size), found.sparkSession.sparkContext.defaultParallelism)) or 1
+    cut = F.lit(1) if whole or stop else F.greatest(F.ceil(F.col("size") / size), F.lit(1))
+    n, total = found.agg(F.sum(cut), F.sum("size")).first()  # ranges: those of one large file are dealt, too
+    parts = min(n or 0, max(-(-(total or 0) // size), found.sparkSession.sparkContext.defaultParallelism)) or 1
     step = F.greatest("size", F.lit(1)) if whole or stop else F.lit(size).cast("long")
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0).cast("long")), step)
     ranges = found.select("file", "root_ord", "mtime_ns", "size", F.explode(cuts).alias("start")).withColumn("end", F.least(F.col("start") + step, "size"))
@@ -196,13 +197,13 @@ def _read(found: DataFrame, whole: bool, stop: bool = False, size: int = RANGE)
     return ranges.repartition(parts, "file", "start").mapInArrow(run, LINES)
 
 
-def lines(spark: SparkSession, roots: list[str], glob: str, stop: bool = False, only: DataFrame | None = None) -> DataFrame:
+def lines(spark: SparkSession, roots: list[str], glob: str, stop: bool = False, only: DataFrame | None = None, size: int = RANGE) -> DataFrame:
     """A row a line. Large files are split over tasks; (block, pos) is the order within a file.
 
     Lines that are no UTF-8 are dropped, and with ``stop`` all lines after them in their file, which
     one task reads then.
     """
-    return _read(listed(spark, roots, glob, only=only), whole=False, stop=stop)
+    return _read(listed(spark, roots, glob, only=only), whole=False, stop=stop, size=size)
 
 
 def documents(spark: SparkSession, roots: list[str], glob: str, only: DataFrame | None = None) -> DataFrame:

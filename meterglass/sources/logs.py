@@ -13,8 +13,9 @@ from ..functions import models
 from ..functions import time as times
 from ..operators import stateful
 from ..operators.messages import total_tokens
-from . import sqlite
-from .files import Config, children, documents, existing, folder, lines, messages, numbered, parent, parsed, path_key, stem
+from ..session import once, stored
+from . import cache, sqlite
+from .files import Config, children, documents, existing, folder, lines, listed, messages, numbered, parent, parsed, path_key, stem
 
 V = "v"
 
@@ -126,24 +127,61 @@ def parse_cost(field: Column) -> Column:
     return F.when(F.lower(plain).isin("", "nan", "included", "-"), F.lit(0.0)).otherwise(F.coalesce(plain.try_cast("double"), F.lit(0.0)))
 
 
+#: Bytes beyond which a cache is read by ranges if it can be.
+LARGE = 16 << 20
+#: One pair of braces outside of strings, no brackets.
+FLAT = r'^\{(?:[^"{}\[\]]++|"(?:[^"\\]++|\\.)*+")*+\}$'
+
+
 def cursor_roots(spark: SparkSession, config: Config) -> list[str]:
     return config.of("cursor", f"{config.home}/.config/cursor-cache")
 
 
-def cursor_json(spark: SparkSession, config: Config, name: str = "events.json") -> DataFrame:
-    """Strict: one malformed event fails its document."""
-    rows = parsed(documents(spark, cursor_roots(spark, config), name, config.only))
-    events = F.try_variant_get(V, "$.events", "array<variant>")
-    whole = ("timestamp_ms", "input_tokens", "output_tokens", "cache_read_tokens")
+WHOLE = ("timestamp_ms", "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+def cursor_sound(e: Column) -> Column:
+    ok = J.is_string(J.node(e, "$.model")) & J.is_number(J.node(e, "$.cost"))
+    for f in WHOLE:
+        ok = ok & J.is_integer(J.node(e, f"$.{f}"))
+    return F.coalesce(ok, F.lit(False))
+
 
-    def sound(e: Column) -> Column:
-        ok = J.is_string(J.node(e, "$.model")) & J.is_number(J.node(e, "$.cost"))
-        for f in whole:
-            ok = ok & J.is_integer(J.node(e, f"$.{f}"))
-        return F.coalesce(ok, F.lit(False))
+def cursor_lines(spark: SparkSession, config: Config, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of large caches that have a line each, as ``cache`` writes them, read by ranges; and the files (file) that are of this form.
 
-    rows = rows.withColumn("events", events).filter(F.forall("events", sound)).select("*", F.posexplode("events").alias("i", "e")).drop("events")
-    n = {f: J.i64_value(at(f"$.{f}", "e")) for f in whole}
+    Every byte must be accounted for: the first and the last line, and between them a flat object a
+    line, a comma after each but the last. Such a file is the document of these events.
+    """
+    rows = lines(spark, cursor_roots(spark, config), "events.json", only=large, size=max(LARGE, 1 << 10))
+    comma = F.col("value").endswith(",")
+    rows = rows.withColumns({"comma": comma, "text": F.when(comma, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))})
+    # the parser passes over what follows a value: a line with one pair of braces outside of strings holds nothing more
+    rows = rows.withColumn("e", F.when((F.length("text") < 4096) & F.col("text").rlike(FLAT), J.parse(F.col("text")))).withColumn("event", F.col("e").isNotNull())
+    seen = rows.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("event").alias("events"), F.count_if(F.col("event") & F.col("comma")).alias("commas"), F.sum(F.octet_length("value") + 1).alias("bytes"),
+        F.min_by("value", "pos").alias("first"), F.max_by("value", "pos").alias("last"), F.max(F.when(F.col("event"), F.col("pos"))).alias("end"), F.max(F.when(F.col("event") & ~F.col("comma"), F.col("pos"))).alias("open"),
+        F.count_if(F.col("event") & ~cursor_sound(F.col("e"))).alias("unsound"),
+    )
+    whole = (F.col("first") == cache.HEAD) & (F.col("last") == cache.TAIL) & (F.col("n") == F.col("events") + 2) & (F.col("commas") == F.col("events") - 1) & (F.col("open") == F.col("end"))
+    found = once(seen.join(large, "file").filter(whole & (F.col("bytes") - F.col("size")).isin(0, 1)).select("file", "unsound"))
+    return rows.filter("event").join(F.broadcast(found.filter("unsound = 0").select("file")), "file", "left_semi").withColumn("i", F.lit(0)), found.select("file")
+
+
+def cursor_json(spark: SparkSession, config: Config, name: str = "events.json") -> DataFrame:
+    """Strict: one malformed event fails its document. A large cache with a line an event is read by ranges, any other document by one task."""
+    files = once(listed(spark, cursor_roots(spark, config), name, only=config.only))
+    large, columns = files.filter(F.col("size") > LARGE).select("file", "size"), ("file", "root_ord", "path_key", "block", "pos", "mtime_ms", "i", "e")
+    by_lines, small = None, files.select("file")
+    if name == "events.json" and not large.isEmpty():
+        by_lines, formed = cursor_lines(spark, config, large)
+        small = small.join(formed, "file", "left_anti")
+    rows = parsed(documents(spark, cursor_roots(spark, config), name, small))
+    events = F.try_variant_get(V, "$.events", "array<variant>")
+    rows = rows.withColumn("events", events).filter(F.forall("events", cursor_sound)).select("*", F.posexplode("events").alias("i", "e")).select(*columns)
+    if by_lines is not None:
+        rows = rows.unionByName(by_lines.select(*columns))
+    n = {f: J.i64_value(at(f"$.{f}", "e")) for f in WHOLE}
     model = J.raw_string(at("$.model", "e"))
     return messages(
         rows.filter(n["timestamp_ms"] > 0), "cursor", model=model, provider=models.infer_provider(model), ts=n["timestamp_ms"],

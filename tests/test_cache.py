@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from meterglass.sources import cache, logs
+from meterglass.sources import cache, files, logs
 from meterglass.sources.files import Config
 
 
@@ -40,3 +40,36 @@ def test_a_failed_job_changes_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="overwrite"):
         spark.dataSource.register(cache.UsageCache)
         rows(spark, 2).write.format("usage_cache").option("path", str(tmp_path)).mode("append").save()
+
+
+def test_a_large_cache_is_read_by_ranges(spark, tmp_path, monkeypatch):
+    """The same messages as by one task; a cache that isn't whole, or of another form, is read as one document."""
+    config = Config(home=str(tmp_path), roots={"cursor": [str(tmp_path)]})
+    seen = lambda: sorted((r.model_id, r.timestamp_ms, r.input, r.cost, r.dedup_key) for r in logs.cursor_json(spark, config).collect())
+    cache.write_cache(spark, rows(spark, *range(40)).repartition(3), str(tmp_path))
+    want = seen()
+    assert len(want) == 40 and len((tmp_path / "events.json").read_text().splitlines()) == 42
+    monkeypatch.setattr(logs, "LARGE", 0)
+    documents, whole = logs.documents, []
+
+    def counted(*args):
+        found = documents(*args)
+        whole.append(found.count())
+        return found
+
+    monkeypatch.setattr(logs, "documents", counted)
+    assert seen() == want and whole == [0]
+    text = (tmp_path / "events.json").read_text()
+    lines = text.splitlines()
+    one = json.dumps(json.loads(text))
+    two = "\n".join([lines[0], f"{lines[1]} {lines[2]}", *lines[3:]])
+    for form, n in ((one, 40), (two, 40), (text.replace("},\n", "}\n", 1), 0), (text.replace('"model": "', '"model": 1, "m": "', 1), 0), (text.replace("\n]}", "\n]"), 0)):
+        (tmp_path / "events.json").write_text(form)
+        assert len(seen()) == n, form[:300]
+    assert whole[1:3] == [1, 1]
+
+
+def test_ranges_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f"{k:09}\n" for k in range(3000)))
+    found = files.lines(spark, [str(tmp_path)], "*.jsonl", size=10_000)
+    assert found.rdd.getNumPartitions() == 3 and sorted(r.value for r in found.collect()) == [f"{k:09}" for k in range(3000)]
