@@ -498,6 +498,11 @@ def grok(spark: SparkSession, config: Config) -> DataFrame:
     first_used = F.when(J.is_array(at("$.modelsUsed")), J.string_value(at("$.modelsUsed[0]")))
     present = at("$.contextTokensUsed").isNotNull()
     signals = beside("signals.json").select("dir", F.coalesce(text("$.primaryModelId"), first_used).alias("g_model"), count("$.totalTokens").alias("total"), count("$.totalTokensBeforeCompaction").alias("before"), F.when(present, count("$.contextTokensUsed")).alias("context"))
+    # each line is parsed once: sessions, turns, totals and last models are made of these few fields
+    rows = stored(rows.select(
+        "dir", "file", "root_ord", "mtime_ms", "block", "pos", F.coalesce(J.raw_string(at("$.params.update.sessionUpdate")) == "user_message_chunk", F.lit(False)).alias("opens"),
+        J.first_i64(F.col(V), *GROK_TOTAL).alias("total"), J.first_string(F.col(V), *GROK_MODEL).alias("model"), times.first_timestamp(F.col(V), *GROK_TIME).alias("own_ms"),
+    ), "grok-lines").withColumn("path_key", path_key(F.col("file")))
     sessions = rows.groupBy("dir").agg(F.first("file").alias("file"), F.first("root_ord").alias("root_ord"), F.first("path_key").alias("path_key"), F.max("mtime_ms").alias("mtime_ms"))
     sessions = sessions.join(summary, "dir", "left").join(journal, "dir", "left").join(signals.select("dir", "g_model"), "dir", "left")
     sessions = sessions.select(
@@ -507,10 +512,9 @@ def grok(spark: SparkSession, config: Config) -> DataFrame:
     )
     rows = rows.join(sessions.select("dir", "known_model", "session_ms"), "dir")
     steps = rows.select(
-        "dir", F.struct("block", "pos").alias("ord"), F.coalesce(J.raw_string(at("$.params.update.sessionUpdate")) == "user_message_chunk", F.lit(False)).alias("opens"),
-        J.first_i64(F.col(V), *GROK_TOTAL).alias("total"), J.first_string(F.col(V), *GROK_MODEL).alias("model"),
-        F.coalesce(times.first_timestamp(F.col(V), *GROK_TIME), F.col("session_ms")).alias("timestamp_ms"), F.coalesce("known_model", F.lit(UNKNOWN_MODEL)).alias("fallback_model"),
-    )
+        "dir", F.struct("block", "pos").alias("ord"), "opens", "total", "model",
+        F.coalesce("own_ms", "session_ms").alias("timestamp_ms"), F.coalesce("known_model", F.lit(UNKNOWN_MODEL)).alias("fallback_model"),
+    )
     turns = stateful.turn_segments(steps, ["dir"])
     last_model = steps.groupBy("dir").agg(F.coalesce(F.max_by("model", F.when(F.col("model").isNotNull(), F.col("ord"))), F.first("fallback_model")).alias("last_model"))
     extra = stateful.signals_remainder(turns, signals.join(sessions.select("dir", "session_ms", "known_model"), "dir").join(last_model, "dir"), ["dir"])
